@@ -1,11 +1,12 @@
 """Ordered computations per key (row numbers, previous value, running totals,
 exact percentiles) that stay parallel when one key owns a large part of the rows.
 
-A plain window sorts a whole key in one task.  Here keys above ``hot_rows`` are
-first cut into ordered pieces at edges taken from the key's own order values;
-the window then runs per (key, piece) and a small table of per-piece totals
-carries the state across pieces.  Edges only decide where the cut lies, never
-which rows are used, so results are exact.
+A plain window sorts a whole key in one task.  One map-side combined count
+first asks whether any key exceeds ``hot_rows``; usually none does and a plain
+window is planned.  Otherwise the large keys are cut into ordered pieces at
+edges taken from their own order values, the window runs per (key, piece), and
+a small table of per-piece totals carries the state across pieces.  Edges only
+decide where the cut lies, never which rows are used, so results are exact.
 """
 
 from __future__ import annotations
@@ -25,6 +26,12 @@ def _named(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
+def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Does any key own more than ``hot_rows`` rows?  Only the key columns are read."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    return bool(sizes.select("_n").take(1))
+
+
 def cut_hot_keys(
     df: DataFrame,
     keys: Sequence[str],
@@ -71,17 +78,15 @@ def numbered(
 ) -> DataFrame:
     """Position of each row inside its key, counted from ``start``."""
     named, keys_ = _named(df, keys)
+    if not has_hot_key(named, keys_, hot_rows):
+        inside = Window.partitionBy(*keys_).orderBy(*order)
+        return named.withColumn(out, F.row_number().over(inside).cast("bigint") + (start - 1)).select(*df.columns, out)
     cut = cut_hot_keys(named, keys_, order, hot_rows)
     before = (
         cut.where("_hot")
         .groupBy(*keys_, "_piece")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn(
-            "_before",
-            F.sum("_c").over(
-                Window.partitionBy(*keys_).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
+        .withColumn("_before", F.sum("_c").over(_earlier(keys_)))
         .drop("_c")
     )
     inside = Window.partitionBy(*keys_, "_piece").orderBy(*order)
@@ -93,6 +98,10 @@ def numbered(
     )
 
 
+def _earlier(keys: Sequence[str]):
+    return Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -103,6 +112,9 @@ def with_previous(
 ) -> DataFrame:
     """Value of ``column`` in the row before, per key."""
     named, keys_ = _named(df, keys)
+    if not has_hot_key(named, keys_, hot_rows):
+        inside = Window.partitionBy(*keys_).orderBy(*order)
+        return named.withColumn(out, F.lag(column).over(inside)).select(*df.columns, out)
     cut = cut_hot_keys(named, keys_, order, hot_rows)
     position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     carry = (
@@ -132,22 +144,25 @@ def running(
     """Running sums / maxima up to and including each row: ``{out: column}``."""
     sums, maxima = sums or {}, maxima or {}
     named, keys_ = _named(df, keys)
-    cut = cut_hot_keys(named, keys_, order, hot_rows)
-    earlier = Window.partitionBy(*keys_).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     folds = [(out, F.sum, col) for out, col in sums.items()]
     folds += [(out, F.max, col) for out, col in maxima.items()]
-    carry = cut.where("_hot").groupBy(*keys_, "_piece").agg(
-        *[fold(col).alias(f"_t_{out}") for out, fold, col in folds]
-    )
-    for out, fold, _ in folds:
-        carry = carry.withColumn(f"_c_{out}", fold(f"_t_{out}").over(earlier)).drop(f"_t_{out}")
+    outs = [out for out, _, _ in folds]
+    hot = has_hot_key(named, keys_, hot_rows)
+    cut = cut_hot_keys(named, keys_, order, hot_rows) if hot else named
     inside = (
-        Window.partitionBy(*keys_, "_piece").orderBy(*order)
+        Window.partitionBy(*keys_, *(["_piece"] if hot else [])).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     result = cut
     for out, fold, col in folds:
         result = result.withColumn(out, fold(col).over(inside))
+    if not hot:
+        return result.select(*df.columns, *outs)
+    carry = cut.where("_hot").groupBy(*keys_, "_piece").agg(
+        *[fold(col).alias(f"_t_{out}") for out, fold, col in folds]
+    )
+    for out, fold, _ in folds:
+        carry = carry.withColumn(f"_c_{out}", fold(f"_t_{out}").over(_earlier(keys_))).drop(f"_t_{out}")
     result = result.join(carry, [*keys_, "_piece"], "left")
     for out in sums:
         both_null = F.col(out).isNull() & F.col(f"_c_{out}").isNull()
@@ -155,7 +170,7 @@ def running(
         result = result.withColumn(out, F.when(~both_null, total))
     for out in maxima:
         result = result.withColumn(out, F.greatest(F.col(out), F.col(f"_c_{out}")))
-    return result.select(*df.columns, *[out for out, _, _ in folds])
+    return result.select(*df.columns, *outs)
 
 
 def percentiles(
