@@ -5,6 +5,8 @@ The SELECT texts run unchanged in Spark SQL and in DuckDB.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -76,13 +78,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run a SELECT over the test tables; table names become DataFrame parameters."""
-    import re
-
-    used = [t for t in TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)]
-    body = text.replace("{", "{{").replace("}", "}}")
-    for t in used:
-        body = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", body)
-    return spark.sql(body, **tables(spark, sf_dir, *used))
+    pattern = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b")
+    parts = text.replace("{", "{{").replace("}", "}}").split("'")
+    used = {m.group(2) for part in parts[::2] for m in pattern.finditer(part)}
+    parts[::2] = [pattern.sub(r"\1 {\2}", part) for part in parts[::2]]  # odd parts are string literals
+    return spark.sql("'".join(parts), **tables(spark, sf_dir, *sorted(used)))
 
 
 def with_views(sql: str, *names: str) -> str:
