@@ -89,6 +89,8 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix an oracle statement with the views it reads, as CTEs."""
     ctes = ", ".join(f"{name} AS ({VIEWS[name]}\n)" for name in names)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes}\n{body}"
@@ -137,3 +139,27 @@ SELECT CAST(o_orderkey AS STRING) AS instance_id,
        CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'SELECT 1' END AS pred_sql,
        o_totalprice / 10000 AS act_elapsed_s
 FROM orders"""
+
+
+VIEWS["samples"] = """
+SELECT concat('dev_', CAST(o_orderkey AS STRING)) AS instance_id, o_orderkey AS pos, concat('db', CAST(o_custkey % 40 AS STRING)) AS db_id,
+       CAST(o_custkey % 500 AS INT) AS db_size, CASE o_orderstatus WHEN 'F' THEN 'easy' WHEN 'O' THEN 'hard' END AS difficulty,
+       concat('how many orders are ', o_orderpriority) AS question,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'SELECT' WHEN o_orderkey % 9 = 0 THEN NULL ELSE concat('SELECT ', CAST(o_orderkey % 100 AS STRING)) END AS query
+FROM orders"""
+
+VIEWS["catalog_columns"] = """
+SELECT DISTINCT concat('db', CAST(l_suppkey AS STRING)) AS db_id, concat('t', CAST(l_linenumber AS STRING)) AS table_name,
+       CAST(l_partkey % 13 AS INT) AS column_no, concat('col_', CAST(l_partkey % 13 AS STRING)) AS column_name,
+       CASE WHEN l_partkey % 13 % 2 = 0 THEN 'number' ELSE 'text' END AS column_types,
+       CASE WHEN l_partkey % 13 % 3 = 0 THEN concat('note ', CAST(l_partkey % 13 AS STRING)) ELSE '' END AS column_descriptions,
+       l_partkey % 13 = 0 AS primary_key,
+       CASE WHEN l_partkey % 13 = 1 AND l_linenumber > 1 THEN concat('[t', CAST(l_linenumber - 1 AS STRING), '(col_0)]')
+            WHEN l_partkey % 13 = 2 AND l_linenumber > 3 THEN concat('[t', CAST(l_linenumber - 3 AS STRING), '.col_0]')
+            WHEN l_partkey % 13 = 3 AND l_linenumber = 7 THEN 't7.col_3 = t2.col_4' ELSE '' END AS foreign_key
+FROM lineitem"""
+
+VIEWS["link_rows"] = """
+SELECT DISTINCT l_orderkey AS instance_id, concat('db', CAST(l_orderkey % 50 AS STRING)) AS db_id,
+       concat('T', CAST(l_linenumber AS STRING), '.col_', CAST(l_partkey % 17 AS STRING)) AS link
+FROM lineitem"""

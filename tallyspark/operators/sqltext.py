@@ -287,9 +287,9 @@ def _frozen_clock(sql: Column, ranges: dict[str, tuple[float, float]]) -> Column
     for name, (low, high) in ranges.items():
         key = name.replace(" ", "_")
 
-        def bounded(t: Column, key: str = key, low: float = low, high: float = high) -> Column:
-            both = t.rlike(rf"\s{key}_lower\b") & t.rlike(rf"\s{key}_upper\b")
-            bound = F.regexp_replace(F.regexp_replace(t, rf"\b{key}_lower\b", str(low)), rf"\b{key}_upper\b", str(high))
+        def bounded(t: Column) -> Column:
+            both = t.rlike(rf"\s{key}_lower\b") & t.rlike(rf"\s{key}_upper\b")  # noqa: B023 - used at once
+            bound = F.regexp_replace(F.regexp_replace(t, rf"\b{key}_lower\b", str(low)), rf"\b{key}_upper\b", str(high))  # noqa: B023
             return F.when(both, bound).otherwise(t)
 
         text = _bind(text, bounded)
