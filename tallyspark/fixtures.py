@@ -163,3 +163,9 @@ VIEWS["link_rows"] = """
 SELECT DISTINCT l_orderkey AS instance_id, concat('db', CAST(l_orderkey % 50 AS STRING)) AS db_id,
        concat('T', CAST(l_linenumber AS STRING), '.col_', CAST(l_partkey % 17 AS STRING)) AS link
 FROM lineitem"""
+
+VIEWS["asked"] = """
+SELECT c_custkey AS query_id, concat('db', CAST(c_custkey % 10 AS STRING)) AS db_id,
+       concat('Show col ', CAST(c_custkey % 13 AS STRING), ' of t', CAST(c_nationkey % 9 AS STRING), ' where Col ', CAST(c_nationkey % 13 AS STRING),
+              ' is ', CAST(c_nationkey AS STRING), ' for Brand#', CAST(c_custkey % 25 + 1 AS STRING), ' ', c_mktsegment, ' in NATION_', CAST(c_nationkey AS STRING)) AS question
+FROM customer"""
