@@ -413,7 +413,7 @@ def vector_few_shot_skeleton(targets: DataFrame, pool: DataFrame, k: int, thresh
         targets.select("query_id", *columns), pool.select("item_id", *columns), skeleton_scorer(threshold, ["question"]), k, digits=5)
     passed = F.col("score") > -SKELETON_PENALTY / 2
     distance = -F.when(passed, F.col("score")).otherwise(F.col("score") + SKELETON_PENALTY)
-    return hits.select("query_id", "item_id", "rank", passed.alias("near"), F.round(distance, 4).alias("distance"))
+    return hits.select("query_id", "item_id", "rank", passed.alias("near"), F.round(distance, 5).alias("distance"))
 
 
 def vector_threshold_match(queries: DataFrame, index: DataFrame, k: int, min_sim: float, keep: DataFrame | None = None) -> DataFrame:

@@ -277,7 +277,7 @@ def vector_few_shot_euclidean(spark, sf):
 
 @query("vector_few_shot_skeleton", f"""WITH {EMB},
 x AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.vec_id % 3 = b.vec_id % 3 AS near, round(list_distance(a.v, b.v), 5) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)
-SELECT query_id, item_id, rank, near, round(d, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, d, item_id) AS rank FROM x) WHERE rank <= 4""")
+SELECT query_id, item_id, rank, near, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY near DESC, d, item_id) AS rank FROM x) WHERE rank <= 4""")
 def vector_few_shot_skeleton(spark, sf):
     return R.vector_few_shot_skeleton(vectors(spark, sf, "query_id"), vectors(spark, sf, "item_id"), 4)
 

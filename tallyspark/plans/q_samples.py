@@ -8,7 +8,6 @@ from tallyspark.fixtures import table, view
 from tallyspark.operators import catalog as K
 from tallyspark.operators import joins as J
 from tallyspark.operators import sampling as S
-from tallyspark.plans.q_aggregate import rounded
 from tallyspark.plans.registry import query
 
 
@@ -486,4 +485,3 @@ def multiset_difference(spark, sf):
     return rows.where("l_quantity > 25").drop("l_quantity").exceptAll(rows.where("l_quantity <= 24").drop("l_quantity"))
 
 
-__all__ = ["rounded"]

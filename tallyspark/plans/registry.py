@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("q_aggregate", "q_compare", "q_sqltext", "q_samples", "q_retrieval")
+MODULES = ("q_aggregate", "q_compare", "q_sqltext", "q_samples", "q_retrieval", "q_safety", "q_io")
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Query], Query]:
