@@ -26,9 +26,10 @@ def _named(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> bool:
     """Does any key own more than ``hot_rows`` rows?  Only the key columns are read."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     return bool(sizes.select("_n").take(1))
 
 
@@ -36,15 +37,16 @@ def cut_hot_keys(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Add ``_piece`` (0 for ordinary keys) and ``_hot``.  ``order`` should be unique per key."""
+    limit = HOT_ROWS if hot_rows is None else hot_rows
     position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     sizes = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .withColumn("_edges", F.least(F.lit(MAX_PIECES), F.ceil(F.col("_n") * 4 / hot_rows)))
+        .where(F.col("_n") > limit)
+        .withColumn("_edges", F.least(F.lit(MAX_PIECES), F.ceil(F.col("_n") * 4 / limit)))
         .drop("_n")
     )
     by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("_o"), "_o")
@@ -74,7 +76,7 @@ def numbered(
     order: Sequence[Column],
     out: str = "row_no",
     start: int = 0,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Position of each row inside its key, counted from ``start``."""
     named, keys_ = _named(df, keys)
@@ -108,7 +110,7 @@ def with_previous(
     order: Sequence[Column],
     column: str,
     out: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Value of ``column`` in the row before, per key."""
     named, keys_ = _named(df, keys)
@@ -139,7 +141,7 @@ def running(
     order: Sequence[Column],
     sums: dict[str, str] | None = None,
     maxima: dict[str, str] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Running sums / maxima up to and including each row: ``{out: column}``."""
     sums, maxima = sums or {}, maxima or {}
@@ -179,7 +181,7 @@ def percentiles(
     value: str,
     points: dict[str, float],
     nearest: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Exact percentiles per key: ``{out: p in 0..100}``.
 
