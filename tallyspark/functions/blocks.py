@@ -53,6 +53,8 @@ def block_topk(
         return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("bigint").alias(out))
 
     layout = blocks(queries, "_nq").join(blocks(items, "_ni"), keys)
+    if not group:
+        layout = F.broadcast(layout)  # exactly one row
     left = (
         queries.join(layout, keys)
         .withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.col("_nq")))

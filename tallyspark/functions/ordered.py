@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
 MAX_PIECES = 1024
+PERCENTILE_ROWS = 200_000  # up to here a key's values fit one aggregation buffer
 
 
 def _named(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -186,10 +187,21 @@ def percentiles(
     """Exact percentiles per key: ``{out: p in 0..100}``.
 
     Linear interpolation between closest ranks, except for names in ``nearest``
-    (value at 1-based rank ceil(p/100*n)).  Equal values are pre-aggregated
-    before the ordered pass.
+    (value at 1-based rank ceil(p/100*n)).  Keys of moderate size use the
+    built-in exact aggregates; otherwise equal values are pre-aggregated and
+    ranked in an ordered pass that a large key shares among many tasks.
     """
     named, keys_ = _named(df, keys)
+    limit = min(PERCENTILE_ROWS, HOT_ROWS) if hot_rows is None else hot_rows
+    if not has_hot_key(named, keys_, limit):
+        values = named.where(F.col(value).isNotNull()).select(*keys_, F.col(value).cast("double").alias("_v"))
+        folds = [
+            F.expr(f"percentile_disc({p / 100!r}D) WITHIN GROUP (ORDER BY _v)").alias(out) if out in nearest
+            else F.percentile("_v", F.lit(p / 100)).alias(out)
+            for out, p in points.items()
+        ]
+        return values.groupBy(*keys_).agg(F.count(F.lit(1)).alias("value_count"), *folds).select(
+            *keys, "value_count", *points)
     counted = (
         named.where(F.col(value).isNotNull())
         .groupBy(*keys_, F.col(value).cast("double").alias("_v"))

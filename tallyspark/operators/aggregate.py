@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from tallyspark.functions.hashing import draw_pair
 from tallyspark.functions.ordered import percentiles
@@ -149,28 +152,34 @@ def bootstrap_interval(
     """Percentile-bootstrap bounds of the mean per key.
 
     Each row gets a Poisson(1) weight per resample, derived from a hash of its
-    unit id, so resampling needs no shuffle of rows: only (key, resample) sums
-    are exchanged.  A single value gives (value, value).
+    unit id.  Every task turns its Arrow batches into sums per (key, resample);
+    only those sums are exchanged.  A single value gives (value, value).
     """
     first, second = draw_pair(F.concat_ws("|", *[F.col(c).cast("string") for c in unit]), seed)
-    modulus = 268435399
-    uniform = F.pmod(F.col("_h1") + F.col("_b") * F.col("_h2"), F.lit(modulus)) / F.lit(float(modulus))
-    # Cumulative Poisson(1) probabilities.
-    cumulative = (0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532, 0.9994058152, 0.9999167589)
-    weight = F.lit(0)
-    for bound in cumulative:
-        weight = weight + F.when(uniform > bound, 1).otherwise(0)
     named = df if keys else df.withColumn("_all", F.lit(0))
     keys_ = list(keys) or ["_all"]
-    drawn = (
-        named.where(F.col(value).isNotNull())
-        .select(*keys_, F.col(value).cast("double").alias("_v"), first.alias("_h1"), second.alias("_h2"))
-        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .withColumn("_w", weight)
-    )
+    rows = named.where(F.col(value).isNotNull()).select(
+        *keys_, F.col(value).cast("double").alias("_v"), first.alias("_h1"), second.alias("_h2"))
+    schema = StructType([*[rows.schema[k] for k in keys_], *[StructField(n, t) for n, t in (
+        ("_b", IntegerType()), ("_s", DoubleType()), ("_n", LongType()), ("_rows", LongType()), ("_only", DoubleType()))]])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Resample sums of each batch: one row per (key, resample)."""
+        for batch in batches:
+            for key, part in batch.groupby(keys_, dropna=False, sort=False):
+                v, sums, weights = part["_v"].to_numpy(), np.zeros(resamples), np.zeros(resamples, dtype=np.int64)
+                for at in range(0, len(part), DRAW_ROWS):
+                    w = _poisson(part["_h1"].to_numpy()[at:at + DRAW_ROWS], part["_h2"].to_numpy()[at:at + DRAW_ROWS], resamples)
+                    sums += v[at:at + DRAW_ROWS] @ w
+                    weights += w.sum(axis=0)
+                out = pd.DataFrame({"_b": np.arange(resamples), "_s": sums, "_n": weights, "_rows": len(part), "_only": v.max()})
+                for name, item in zip(keys_, key if isinstance(key, tuple) else (key,), strict=True):
+                    out.insert(0, name, item)
+                yield out[[f.name for f in schema.fields]]
+
+    drawn = rows.mapInPandas(partial, schema)
     means = drawn.groupBy(*keys_, "_b").agg(
-        F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"), F.count("_v").alias("_rows"),
-        F.max("_v").alias("_only"),
+        F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.sum("_rows").alias("_rows"), F.max("_only").alias("_only"),
     ).select(
         *keys_,
         F.when(F.col("_rows") == 1, F.col("_only")).otherwise(F.col("_s") / F.nullif("_n", F.lit(0))).alias("_mean"),
@@ -180,6 +189,18 @@ def bootstrap_interval(
     return bounds.select(*keys, "low", "high")
 
 
+# Cumulative Poisson(1) probabilities; a prime below 2^28 for the draws.
+POISSON = (0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532, 0.9994058152, 0.9999167589)
+PRIME = 268435399
+DRAW_ROWS = 2048  # rows whose weights are drawn at once
+
+
+def _poisson(first: np.ndarray, second: np.ndarray, resamples: int) -> np.ndarray:
+    """Poisson(1) weights of each row in each resample, from its two hash draws."""
+    drawn = (first[:, None].astype(np.int64) + np.arange(resamples) * second[:, None].astype(np.int64)) % PRIME
+    return np.searchsorted(np.asarray(POISSON), drawn / float(PRIME), side="left")
+
+
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Label counts and shares of the non-NULL labels."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("label")).count()

@@ -313,17 +313,22 @@ def bm25_weights(corpus: DataFrame, asked: DataFrame, group: Sequence[str] = ())
     keys = list(group) or ["_g"]
     docs = corpus if group else corpus.withColumn("_g", F.lit(0))
     sized = docs.select(*keys, "item_id", F.size("tokens").alias("dl"), "tokens")
-    counted = sized.select(*keys, "item_id", "dl", F.explode("tokens").alias("term")).groupBy(*keys, "item_id", "dl", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
-    shape = sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    per_term = counted.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df")).join(shape, keys)
+    def one_per_group(summary: DataFrame) -> DataFrame:
+        return summary if group else F.broadcast(summary)  # without groups it is a single row
+
+    shape = one_per_group(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+    # A document is one row, so its distinct terms are found before any shuffle.
+    per_term = sized.select(*keys, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*keys, "term").agg(
+        F.count(F.lit(1)).alias("df")).join(shape, keys)
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     per_term = per_term.withColumn("raw", raw)
-    floor = per_term.groupBy(*keys).agg((F.avg("raw") * BM25_EPSILON).alias("floor"))
+    floor = one_per_group(per_term.groupBy(*keys).agg((F.avg("raw") * BM25_EPSILON).alias("floor")))
     wanted = per_term.join(asked.select("term").distinct(), "term", "left_semi").join(floor, keys).select(
         *keys, "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
     weight = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    weighted = counted.join(wanted, [*keys, "term"]).groupBy(*keys, "item_id").agg(
+    occurrences = sized.select(*keys, "item_id", "dl", F.explode("tokens").alias("term")).join(wanted, [*keys, "term"])
+    counted = occurrences.groupBy(*keys, "item_id", "dl", "term", "idf", "avgdl").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = counted.groupBy(*keys, "item_id").agg(
         F.collect_list(F.struct("term", weight.alias("w"))).alias("_t"))
     return weighted.select(*[k for k in keys if k != "_g"], "item_id", F.col("_t.term").alias("terms"), F.col("_t.w").alias("weights"))
 
