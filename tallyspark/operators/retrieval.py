@@ -110,13 +110,18 @@ def normalized_scores(questions: DataFrame, catalogs: DataFrame) -> DataFrame:
 
     ``catalogs``: ``db_id, columns array<struct<table_name, column_name, haystack>>``.
     """
-    asked = questions.select("query_id", "db_id", F.lower("question").alias("_t"), plain_tokens(F.col("question")).alias("_q")).join(catalogs, "db_id")
+    # Column tokens are cut once per database, before any question meets them.
+    cut = F.transform("columns", lambda c: F.struct(
+        c["table_name"].alias("table_name"), c["column_name"].alias("column_name"), F.lower(c["table_name"]).alias("t"),
+        F.lower(c["column_name"]).alias("c"), plain_tokens(c["haystack"]).alias("tokens")))
+    prepared = catalogs.select("db_id", cut.alias("columns"))
+    asked = questions.select("query_id", "db_id", F.lower("question").alias("_t"), plain_tokens(F.col("question")).alias("_q")).join(prepared, "db_id")
 
     def score(c: Column) -> Column:
         return (
-            BASE_SCORE + F.size(F.array_intersect(plain_tokens(c["haystack"]), F.col("_q")))
-            + F.when(F.instr(F.col("_t"), F.lower(c["column_name"])) > 0, COLUMN_HIT).otherwise(0.0)
-            + F.when(F.instr(F.col("_t"), F.lower(c["table_name"])) > 0, TABLE_HIT).otherwise(0.0))
+            BASE_SCORE + F.size(F.array_intersect(c["tokens"], F.col("_q")))
+            + F.when(F.instr(F.col("_t"), c["c"]) > 0, COLUMN_HIT).otherwise(0.0)
+            + F.when(F.instr(F.col("_t"), c["t"]) > 0, TABLE_HIT).otherwise(0.0))
 
     scored = F.transform("columns", lambda c: F.struct(c["table_name"].alias("table_name"), c["column_name"].alias("column_name"), score(c).alias("score")))
     rows = asked.select("query_id", scored.alias("s")).withColumn("top", F.array_max(F.transform("s", lambda x: x["score"])))

@@ -122,7 +122,7 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("score", (-F.col("candidate")).alias("neg"))).alias("b"))
         .select("instance_id", "sql", F.col("b.score").alias("score"), (-F.col("b.neg")).alias("candidate"))
     )
-    return numbered(distinct, ["instance_id"], [-F.col("score"), F.col("candidate")], out="rank", start=1)
+    return numbered(distinct, ["instance_id"], [-F.col("score"), F.col("candidate"), F.col("sql")], out="rank", start=1)
 
 
 def tournament_score(outcomes: DataFrame, candidates: DataFrame) -> DataFrame:

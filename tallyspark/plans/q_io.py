@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.fixtures import table, view
 from tallyspark.operators import hooks as H
+from tallyspark.operators.retrieval import build_vector_table
 from tallyspark.plans.q_aggregate import rounded, runs, scored
 from tallyspark.plans.registry import query
 from tallyspark.session import checkpoint_dir
@@ -110,6 +111,25 @@ def load_sample_metric(spark, sf):
     return cells.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("value").cast("bigint").alias("passed"))
 
 
+@query("build_vector_table", """
+SELECT doc_id AS item_id, label % 5 AS db_id, length(text) AS chars, len(embedding) AS width FROM documents JOIN embeddings ON vec_id = doc_id""")
+def build_vector_table_(spark, sf):
+    joined = table(spark, sf, "documents").join(table(spark, sf, "embeddings"), F.col("vec_id") == F.col("doc_id"))
+    texts = joined.select(F.col("doc_id").alias("item_id"), (F.col("label") % 5).alias("db_id"), "text")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    path = scratch(spark, "vectors")
+    build_vector_table(texts, vectors, path)
+    again = build_vector_table(texts, vectors, path)  # the second call finds the table and reads it
+    return again.select("item_id", "db_id", F.length("text").alias("chars"), F.size("vector").alias("width"))
+
+
+@query("missing_files", "SELECT DISTINCT 'f' || o_custkey AS path FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
+def missing_files(spark, sf):
+    required = table(spark, sf, "orders").select(F.concat(F.lit("f"), "o_custkey").alias("path")).distinct()
+    present = table(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'").select(F.concat(F.lit("f"), "c_custkey").alias("path"))
+    return P.missing_files(present, required)
+
+
 @query("append_predictions", "SELECT o_orderkey AS instance_id, o_orderstatus AS pred_sql FROM orders")
 def append_predictions(spark, sf):
     path = scratch(spark, "predictions")
