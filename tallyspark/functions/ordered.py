@@ -24,14 +24,14 @@ PERCENTILE_ROWS = 200_000  # up to here a key's values fit one aggregation buffe
 def _named(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     if keys:
         return df, list(keys)
-    return df.withColumn("_all", F.lit(0)), ["_all"]
+    return df.withColumn("_ord_all", F.lit(0)), ["_ord_all"]
 
 
 def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> bool:
     """Does any key own more than ``hot_rows`` rows?  Only the key columns are read."""
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    return bool(sizes.select("_n").take(1))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ord_n")).where(F.col("_ord_n") > limit)
+    return bool(sizes.select("_ord_n").take(1))
 
 
 def cut_hot_keys(
@@ -40,34 +40,34 @@ def cut_hot_keys(
     order: Sequence[Column],
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Add ``_piece`` (0 for ordinary keys) and ``_hot``.  ``order`` should be unique per key."""
+    """Add ``_ord_piece`` (0 for ordinary keys) and ``_ord_hot``.  ``order`` should be unique per key."""
     limit = HOT_ROWS if hot_rows is None else hot_rows
     position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     sizes = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit)
-        .withColumn("_edges", F.least(F.lit(MAX_PIECES), F.ceil(F.col("_n") * 4 / limit)))
-        .drop("_n")
+        .agg(F.count(F.lit(1)).alias("_ord_n"))
+        .where(F.col("_ord_n") > limit)
+        .withColumn("_ord_edges", F.least(F.lit(MAX_PIECES), F.ceil(F.col("_ord_n") * 4 / limit)))
+        .drop("_ord_n")
     )
-    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("_o"), "_o")
+    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("_ord_o"), "_ord_o")
     edges = (
-        df.select(*keys, position.alias("_o"))
+        df.select(*keys, position.alias("_ord_o"))
         .join(sizes, list(keys))
-        .withColumn("_r", F.row_number().over(by_hash))
-        .where((F.col("_r") <= MAX_PIECES) & (F.col("_r") <= F.col("_edges")))
+        .withColumn("_ord_r", F.row_number().over(by_hash))
+        .where((F.col("_ord_r") <= MAX_PIECES) & (F.col("_ord_r") <= F.col("_ord_edges")))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set("_o")).alias("_edges"))
+        .agg(F.array_sort(F.collect_set("_ord_o")).alias("_ord_edges"))
     )
     return (
-        df.withColumn("_o", position)
+        df.withColumn("_ord_o", position)
         .join(edges, list(keys), "left")
-        .withColumn("_hot", F.col("_edges").isNotNull())
+        .withColumn("_ord_hot", F.col("_ord_edges").isNotNull())
         .withColumn(
-            "_piece",
-            F.when(F.col("_hot"), F.expr("size(filter(_edges, e -> e < _o))")).otherwise(F.lit(0)),
+            "_ord_piece",
+            F.when(F.col("_ord_hot"), F.expr("size(filter(_ord_edges, e -> e < _ord_o))")).otherwise(F.lit(0)),
         )
-        .drop("_edges", "_o")
+        .drop("_ord_edges", "_ord_o")
     )
 
 
@@ -86,23 +86,23 @@ def numbered(
         return named.withColumn(out, F.row_number().over(inside).cast("bigint") + (start - 1)).select(*df.columns, out)
     cut = cut_hot_keys(named, keys_, order, hot_rows)
     before = (
-        cut.where("_hot")
-        .groupBy(*keys_, "_piece")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_before", F.sum("_c").over(_earlier(keys_)))
-        .drop("_c")
+        cut.where("_ord_hot")
+        .groupBy(*keys_, "_ord_piece")
+        .agg(F.count(F.lit(1)).alias("_ord_c"))
+        .withColumn("_ord_before", F.sum("_ord_c").over(_earlier(keys_)))
+        .drop("_ord_c")
     )
-    inside = Window.partitionBy(*keys_, "_piece").orderBy(*order)
+    inside = Window.partitionBy(*keys_, "_ord_piece").orderBy(*order)
     return (
-        cut.withColumn("_r", F.row_number().over(inside))
-        .join(before, [*keys_, "_piece"], "left")
-        .withColumn(out, F.col("_r") - 1 + start + F.coalesce("_before", F.lit(0)))
+        cut.withColumn("_ord_r", F.row_number().over(inside))
+        .join(before, [*keys_, "_ord_piece"], "left")
+        .withColumn(out, F.col("_ord_r") - 1 + start + F.coalesce("_ord_before", F.lit(0)))
         .select(*df.columns, out)
     )
 
 
 def _earlier(keys: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*keys).orderBy("_ord_piece").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_previous(
@@ -121,17 +121,17 @@ def with_previous(
     cut = cut_hot_keys(named, keys_, order, hot_rows)
     position = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     carry = (
-        cut.where("_hot")
-        .groupBy(*keys_, "_piece")
-        .agg(F.max_by(F.struct(F.col(column).alias("v")), position).alias("_last"))
-        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys_).orderBy("_piece")))
-        .drop("_last")
+        cut.where("_ord_hot")
+        .groupBy(*keys_, "_ord_piece")
+        .agg(F.max_by(F.struct(F.col(column).alias("v")), position).alias("_ord_last"))
+        .withColumn("_ord_carry", F.lag("_ord_last").over(Window.partitionBy(*keys_).orderBy("_ord_piece")))
+        .drop("_ord_last")
     )
-    inside = Window.partitionBy(*keys_, "_piece").orderBy(*order)
+    inside = Window.partitionBy(*keys_, "_ord_piece").orderBy(*order)
     return (
-        cut.withColumn("_prev", F.lag(F.struct(F.col(column).alias("v"))).over(inside))
-        .join(carry, [*keys_, "_piece"], "left")
-        .withColumn(out, F.coalesce("_prev", "_carry")["v"])
+        cut.withColumn("_ord_prev", F.lag(F.struct(F.col(column).alias("v"))).over(inside))
+        .join(carry, [*keys_, "_ord_piece"], "left")
+        .withColumn(out, F.coalesce("_ord_prev", "_ord_carry")["v"])
         .select(*df.columns, out)
     )
 
@@ -153,7 +153,7 @@ def running(
     hot = has_hot_key(named, keys_, hot_rows)
     cut = cut_hot_keys(named, keys_, order, hot_rows) if hot else named
     inside = (
-        Window.partitionBy(*keys_, *(["_piece"] if hot else [])).orderBy(*order)
+        Window.partitionBy(*keys_, *(["_ord_piece"] if hot else [])).orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     result = cut
@@ -161,12 +161,12 @@ def running(
         result = result.withColumn(out, fold(col).over(inside))
     if not hot:
         return result.select(*df.columns, *outs)
-    carry = cut.where("_hot").groupBy(*keys_, "_piece").agg(
+    carry = cut.where("_ord_hot").groupBy(*keys_, "_ord_piece").agg(
         *[fold(col).alias(f"_t_{out}") for out, fold, col in folds]
     )
     for out, fold, _ in folds:
         carry = carry.withColumn(f"_c_{out}", fold(f"_t_{out}").over(_earlier(keys_))).drop(f"_t_{out}")
-    result = result.join(carry, [*keys_, "_piece"], "left")
+    result = result.join(carry, [*keys_, "_ord_piece"], "left")
     for out in sums:
         both_null = F.col(out).isNull() & F.col(f"_c_{out}").isNull()
         total = F.coalesce(F.col(out), F.lit(0)) + F.coalesce(F.col(f"_c_{out}"), F.lit(0))
@@ -194,33 +194,33 @@ def percentiles(
     named, keys_ = _named(df, keys)
     limit = min(PERCENTILE_ROWS, HOT_ROWS) if hot_rows is None else hot_rows
     if not has_hot_key(named, keys_, limit):
-        values = named.where(F.col(value).isNotNull()).select(*keys_, F.col(value).cast("double").alias("_v"))
+        values = named.where(F.col(value).isNotNull()).select(*keys_, F.col(value).cast("double").alias("_ord_v"))
         folds = [
-            F.expr(f"percentile_disc({p / 100!r}D) WITHIN GROUP (ORDER BY _v)").alias(out) if out in nearest
-            else F.percentile("_v", F.lit(p / 100)).alias(out)
+            F.expr(f"percentile_disc({p / 100!r}D) WITHIN GROUP (ORDER BY _ord_v)").alias(out) if out in nearest
+            else F.percentile("_ord_v", F.lit(p / 100)).alias(out)
             for out, p in points.items()
         ]
         return values.groupBy(*keys_).agg(F.count(F.lit(1)).alias("value_count"), *folds).select(
             *keys, "value_count", *points)
     counted = (
         named.where(F.col(value).isNotNull())
-        .groupBy(*keys_, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .groupBy(*keys_, F.col(value).cast("double").alias("_ord_v"))
+        .agg(F.count(F.lit(1)).alias("_ord_c"))
     )
-    totals = counted.groupBy(*keys_).agg(F.sum("_c").alias("_n"))
-    ordered = running(counted, keys_, [F.col("_v")], sums={"_cum": "_c"}, hot_rows=hot_rows)
+    totals = counted.groupBy(*keys_).agg(F.sum("_ord_c").alias("_ord_n"))
+    ordered = running(counted, keys_, [F.col("_ord_v")], sums={"_ord_cum": "_ord_c"}, hot_rows=hot_rows)
     ranked = ordered.join(totals, keys_)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_cum") - F.col("_c") <= rank) & (rank < F.col("_cum")), F.col("_v")))
+        return F.max(F.when((F.col("_ord_cum") - F.col("_ord_c") <= rank) & (rank < F.col("_ord_cum")), F.col("_ord_v")))
 
-    folds = [F.max("_n").alias("_n")]
+    folds = [F.max("_ord_n").alias("_ord_n")]
     for out, p in points.items():
         if out in nearest:
-            rank = F.greatest(F.lit(0), F.ceil(F.lit(p) / 100 * F.col("_n")) - 1)
+            rank = F.greatest(F.lit(0), F.ceil(F.lit(p) / 100 * F.col("_ord_n")) - 1)
             folds.append(at(rank).alias(out))
         else:
-            rank = F.lit(p / 100) * (F.col("_n") - 1)
+            rank = F.lit(p / 100) * (F.col("_ord_n") - 1)
             folds.append(at(F.floor(rank)).alias(f"_lo_{out}"))
             folds.append(at(F.ceil(rank)).alias(f"_hi_{out}"))
     result = ranked.groupBy(*keys_).agg(*folds)
@@ -229,11 +229,11 @@ def percentiles(
         if out in nearest:
             outs.append(F.col(out))
             continue
-        rank = F.lit(p / 100) * (F.col("_n") - 1)
+        rank = F.lit(p / 100) * (F.col("_ord_n") - 1)
         weight = rank - F.floor(rank)
         outs.append(
             F.when(weight == 0, F.col(f"_lo_{out}"))
             .otherwise(F.col(f"_lo_{out}") * (1 - weight) + F.col(f"_hi_{out}") * weight)
             .alias(out)
         )
-    return result.select(*keys, F.col("_n").alias("value_count"), *outs)
+    return result.select(*keys, F.col("_ord_n").alias("value_count"), *outs)

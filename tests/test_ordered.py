@@ -36,7 +36,7 @@ def test_hot_equals_plain(rows, keys):
 
 def test_hot_key_is_cut(rows):
     cut = O.cut_hot_keys(rows, ["k"], order(), hot_rows=50)
-    pieces = {r["k"]: r["n"] for r in cut.groupBy("k").agg(F.count_distinct("_piece").alias("n")).collect()}
+    pieces = {r["k"]: r["n"] for r in cut.groupBy("k").agg(F.count_distinct("_ord_piece").alias("n")).collect()}
     assert pieces["hot"] > 4
     assert all(n == 1 for k, n in pieces.items() if k != "hot")
 
@@ -48,3 +48,12 @@ def test_percentile_rules(spark):
     assert row["near"] == 1000
     one = O.percentiles(spark.createDataFrame([(7,)], "v int"), [], "v", {"p": 95.0}).first()
     assert one["p"] == 7
+
+
+def test_callers_may_use_short_names(spark):
+    """Helper columns must not clash with those of a caller."""
+    names = ("_o", "_n", "_r", "_c", "_v", "_last", "_before", "_piece", "_hot", "_edges")
+    df = spark.range(400).select(F.lit("k").alias("k"), *[(F.col("id") * 7 % 401).alias(n) for n in names])
+    for out in (O.numbered(df, ["k"], [F.col("_o")], hot_rows=30), O.with_previous(df, ["k"], [F.col("_o")], "_last", "p", hot_rows=30),
+                O.running(df, ["k"], [F.col("_o")], sums={"s": "_v"}, hot_rows=30)):
+        assert out.count() == 400 and set(names) <= set(out.columns)

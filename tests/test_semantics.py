@@ -92,7 +92,7 @@ def test_link_scores(spark):
     rows = [(1, ["t.ab", "t.c"], ["t.a", "x.y"]), (2, ["t.a"], []), (3, [], ["t.a"]), (4, ["t.a"], None)]
     df = spark.createDataFrame(rows, "instance_id int, gold_schemas array<string>, pred_schemas array<string>")
     got = {r["instance_id"]: (r["link_recall"], r["link_precision"], r["link_exact_ref"], r["link_exact"]) for r in S.linking_scores(df).collect()}
-    assert got[1] == (0.5, 0.5, True, False)  # the reference's exactness only compares the two rates
+    assert got[1] == (0.5, 0.5, True, False)  # this exactness only compares the two rates
     assert got[2] == (0.0, 0.0, True, False) and got[3] == got[4] == (None, None, None, None)
 
 
@@ -283,3 +283,12 @@ def test_transforms_by_name(spark):
     with pytest.raises(ValueError):
         H.register_transform("keep_even", lambda df: df)
     assert H.apply_transforms(spark.range(10), "keep_even").count() == 5
+
+
+def test_benchmark_split_is_read_in_order(spark, tmp_path):
+    folder = tmp_path / "bench" / "dev"
+    folder.mkdir(parents=True)
+    (folder / "dataset.json").write_text('[{"instance_id": "dev_10", "db_size": 5, "external_path": "a.md"}, {"instance_id": "dev_2", "db_size": 7, "external_path": ""}, {"instance_id": "dev_3", "db_size": 900, "external_path": ""}]')
+    schema = "instance_id string, db_size int, external_path string"
+    rows = readers.read_benchmark(spark, str(tmp_path), "bench:dev:db_size-l-100", schema, "/ext").collect()
+    assert [(r["instance_id"], r["external_path"]) for r in rows] == [("dev_2", ""), ("dev_10", "/ext/a.md")]
