@@ -27,6 +27,12 @@ def _named(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_ord_all", F.lit(0)), ["_ord_all"]
 
 
+def _lookup(small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Side of a lookup join.  Without keys it holds at most ``MAX_PIECES`` rows, so it
+    is broadcast; with keys its size depends on the data and the planner decides."""
+    return F.broadcast(small) if list(keys) == ["_ord_all"] else small
+
+
 def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> bool:
     """Does any key own more than ``hot_rows`` rows?  Only the key columns are read."""
     limit = HOT_ROWS if hot_rows is None else hot_rows
@@ -53,7 +59,7 @@ def cut_hot_keys(
     by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("_ord_o"), "_ord_o")
     edges = (
         df.select(*keys, position.alias("_ord_o"))
-        .join(sizes, list(keys))
+        .join(_lookup(sizes, keys), list(keys))
         .withColumn("_ord_r", F.row_number().over(by_hash))
         .where((F.col("_ord_r") <= MAX_PIECES) & (F.col("_ord_r") <= F.col("_ord_edges")))
         .groupBy(*keys)
@@ -61,7 +67,7 @@ def cut_hot_keys(
     )
     return (
         df.withColumn("_ord_o", position)
-        .join(edges, list(keys), "left")
+        .join(_lookup(edges, keys), list(keys), "left")
         .withColumn("_ord_hot", F.col("_ord_edges").isNotNull())
         .withColumn(
             "_ord_piece",
@@ -95,7 +101,7 @@ def numbered(
     inside = Window.partitionBy(*keys_, "_ord_piece").orderBy(*order)
     return (
         cut.withColumn("_ord_r", F.row_number().over(inside))
-        .join(before, [*keys_, "_ord_piece"], "left")
+        .join(_lookup(before, keys_), [*keys_, "_ord_piece"], "left")
         .withColumn(out, F.col("_ord_r") - 1 + start + F.coalesce("_ord_before", F.lit(0)))
         .select(*df.columns, out)
     )
@@ -130,7 +136,7 @@ def with_previous(
     inside = Window.partitionBy(*keys_, "_ord_piece").orderBy(*order)
     return (
         cut.withColumn("_ord_prev", F.lag(F.struct(F.col(column).alias("v"))).over(inside))
-        .join(carry, [*keys_, "_ord_piece"], "left")
+        .join(_lookup(carry, keys_), [*keys_, "_ord_piece"], "left")
         .withColumn(out, F.coalesce("_ord_prev", "_ord_carry")["v"])
         .select(*df.columns, out)
     )
@@ -166,7 +172,7 @@ def running(
     )
     for out, fold, _ in folds:
         carry = carry.withColumn(f"_c_{out}", fold(f"_t_{out}").over(_earlier(keys_))).drop(f"_t_{out}")
-    result = result.join(carry, [*keys_, "_ord_piece"], "left")
+    result = result.join(_lookup(carry, keys_), [*keys_, "_ord_piece"], "left")
     for out in sums:
         both_null = F.col(out).isNull() & F.col(f"_c_{out}").isNull()
         total = F.coalesce(F.col(out), F.lit(0)) + F.coalesce(F.col(f"_c_{out}"), F.lit(0))
@@ -209,7 +215,7 @@ def percentiles(
     )
     totals = counted.groupBy(*keys_).agg(F.sum("_ord_c").alias("_ord_n"))
     ordered = running(counted, keys_, [F.col("_ord_v")], sums={"_ord_cum": "_ord_c"}, hot_rows=hot_rows)
-    ranked = ordered.join(totals, keys_)
+    ranked = ordered.join(_lookup(totals, keys_), keys_)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_ord_cum") - F.col("_ord_c") <= rank) & (rank < F.col("_ord_cum")), F.col("_ord_v")))

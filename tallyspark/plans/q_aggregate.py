@@ -384,6 +384,15 @@ def sample_step_tokens(spark, sf):
     return A.sample_step_tokens(view(spark, sf, "stage_log"))
 
 
+@query("sample_token_map", """
+WITH t AS (SELECT instance_id, split_part(tag, '|', 2) AS step, CAST(sum(total_tokens) AS BIGINT) AS n FROM stage_log GROUP BY 1, 2)
+SELECT instance_id, string_agg(step || '=' || n, ',' ORDER BY step) AS tokens FROM t GROUP BY 1""", ("stage_log",))
+def sample_token_map(spark, sf):
+    maps = A.sample_token_map(view(spark, sf, "stage_log"))
+    pairs = F.transform(F.map_entries("tokens"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return maps.select("instance_id", F.array_join(pairs, ",").alias("tokens"))
+
+
 @query("token_by_tag", """
 SELECT tag, count(*) AS calls, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
  CAST(sum(total_tokens) AS BIGINT) AS total_tokens, round(avg(total_tokens), 6) AS mean, round(quantile_cont(total_tokens, 0.5), 6) AS median,

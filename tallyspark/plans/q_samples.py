@@ -175,6 +175,21 @@ def link_shapes(spark, sf):
         F.array_join(S.links_from_pairs(pairs), ",").alias("t2"), F.array_join(S.links_from_records(records), ",").alias("t3"))
 
 
+@query("links_from_frame", """
+SELECT db_id AS instance_id, string_agg(table_name || '.' || column_name, ',' ORDER BY table_name || '.' || column_name) AS links FROM catalog_columns GROUP BY 1""", ("catalog_columns",))
+def links_from_frame(spark, sf):
+    frame = view(spark, sf, "catalog_columns").withColumnRenamed("db_id", "instance_id")
+    return S.links_from_frame(frame).withColumn("links", F.array_join("links", ","))
+
+
+@query("format_sub_questions", """
+SELECT p_partkey AS instance_id, 'Sub question: b' || chr(10) || 'SQL:' || chr(10) || '```sql' || chr(10) || 'SELECT 2' || chr(10) || '```' || chr(10) || chr(10)
+ || 'Sub question: a ' || p_name || chr(10) || 'SQL:' || chr(10) || '```sql' || chr(10) || 'SELECT 1' || chr(10) || '```' AS text FROM part""")
+def format_sub_questions(spark, sf):
+    text = F.concat(F.lit('[["a '), "p_name", F.lit('", "SELECT 1"], ["b", "SELECT 2"]]'))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("instance_id"), S.format_sub_questions(S.normalize_sub_questions(text)).alias("text"))
+
+
 @query("params_by_size", """
 SELECT instance_id, CASE WHEN db_size <= 200 THEN 40 WHEN db_size <= 400 THEN 50 ELSE 60 END AS top_k, CASE WHEN db_size <= 200 THEN 2 WHEN db_size <= 350 THEN 3 ELSE 6 END AS turn_n,
  CASE WHEN db_size <= 200 THEN 5 WHEN db_size <= 500 THEN 10 ELSE 15 END AS post_k, 1 AS post_turn_n FROM samples""", ("samples",))
