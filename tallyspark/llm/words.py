@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 CHUNK_BYTES = 2 << 20
@@ -108,7 +109,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         out[slots] = every[np.flatnonzero(slots) + taken]
     for k in np.flatnonzero((counts > 0) & (counts < SHINGLE)):
         own = words[offsets[k] : offsets[k + 1]]
-        out[at[k]] = mix(np.array([np.sum(own * WEIGHTS[: len(own)]) + SHORT[len(own)]], dtype=np.uint64))[0]
+        out[at[k]] = mix(np.sum(own * WEIGHTS[: len(own)], keepdims=True) + SHORT[len(own) : len(own) + 1])[0]
     return out, at
 
 
@@ -121,7 +122,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about ``limit`` bytes of text; a longer text is a piece of its own."""
-    sizes = np.array(batch.column(column).cast(pa.large_string()).fill_null("").buffers()[1] and _lengths(batch.column(column)))
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     filled = np.concatenate(([0], np.cumsum(sizes)))
     at, rows = 0, batch.num_rows
     while at < rows:
@@ -129,9 +130,3 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         to = min(to, rows)
         yield batch.slice(at, to - at)
         at = to
-
-
-def _lengths(texts: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.binary_length(texts.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
