@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, line_dedup, ngram_join, quality_rules, token_store
+from tallyspark.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, token_store
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_quality_rules": quality_rules.query,
+    "op3_decontaminate": decontaminate.query,
     "op4_token_store": token_store.query,
     "op6_ngram_join": ngram_join.query,
     "op8_byte_pairs": bpe.query,
