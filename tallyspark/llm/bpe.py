@@ -2,7 +2,8 @@
 
 A pre-token starts as bytes.  Leaf i of the tree holds (rank, i) of the pair that begins at i; the root is then the
 leftmost pair of the lowest rank.  Merging it changes three leaves, each update is logarithmic, and a pre-token of n bytes
-takes O(n log n) steps however long it is.  Vocabulary and merges are read from a tokenizer file; nothing is trained.
+takes O(n log n) steps however long it is.  The trees of many distinct pre-tokens are rows of one array and are worked on
+together.  Vocabulary and merges are read from a tokenizer file; nothing is trained.
 """
 
 from __future__ import annotations
@@ -19,6 +20,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm import words as W
+from tallyspark.llm.pieces import PieceEncoder
+
 #: Fixed value: how byte-level tokenizers of this family cut a text before merging; white space by its Unicode property.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -26,9 +30,8 @@ PATTERN = (
 )
 NONE = 1 << 62
 POSITION_BITS = 32
-CACHE_PIECES = 200_000
-CACHE_BYTES = 64
-OUT_BYTES = 8 << 20
+TREE_NODES = 1 << 20
+LONG_PIECE = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,7 +42,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class PairTree:
-    """Tournament tree of pair keys; the root is the smallest."""
+    """Segment tree over the pair keys of one long pre-token; the root is the smallest."""
 
     def __init__(self, keys: list[int]):
         size = 1
@@ -48,12 +51,10 @@ class PairTree:
         self.size = size
         self.nodes = nodes = [NONE] * size + keys + [NONE] * (size - len(keys))
         for k in range(size - 1, 0, -1):
-            left, right = nodes[2 * k], nodes[2 * k + 1]
-            nodes[k] = left if left < right else right
+            nodes[k] = min(nodes[2 * k], nodes[2 * k + 1])
 
     def put(self, at: int, key: int) -> None:
-        nodes = self.nodes
-        k = at + self.size
+        nodes, k = self.nodes, at + self.size
         nodes[k] = key
         while k > 1:
             left, right = nodes[k & ~1], nodes[k | 1]
@@ -73,58 +74,122 @@ class BytePairCodec:
         vocabulary = spec["model"]["vocab"]
         letters = byte_letters()
         self.pieces = {i: bytes(letters[c] for c in token) for token, i in vocabulary.items()}
-        self.byte_ids = [vocabulary[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            first, second = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs.setdefault((vocabulary[first], vocabulary[second]), (rank << POSITION_BITS, vocabulary[first + second]))
+        self.byte_ids = np.array([vocabulary[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], dtype=np.int64)
+        merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in spec["model"]["merges"]]
+        self.merged = np.array([vocabulary[a + b] for a, b in merges], dtype=np.int64)
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.pieces |= {i: content.encode() for content, i in self.added.items()}
         contents = sorted(self.added, key=lambda c: (-len(c), c))
         self.cut = re.compile("|".join(map(re.escape, contents))) if contents else None
         self.size = max(self.pieces) + 1
+        codes = np.array([vocabulary[a] * self.size + vocabulary[b] for a, b in merges], dtype=np.int64)
+        self.pair_codes, self.pair_ranks = np.unique(codes, return_index=True)  # of equal pairs the first
+        self.pair_table = dict(zip(self.pair_codes.tolist(), self.pair_ranks.tolist(), strict=True))
         self.by_id = [self.pieces.get(i, b"") for i in range(self.size)]
         self.split = regex.compile(PATTERN).findall
-        self.cache = PieceCache(self.merge)
+        self.batches = PieceEncoder(self.merge_all, self.encode, list(self.added))
 
     def merge(self, piece: str) -> bytes:
         """Ids of one pre-token, as little-endian unsigned 32-bit integers."""
-        ids = [self.byte_ids[b] for b in piece.encode()]
-        count = len(ids)
-        pairs, none = self.pairs, (NONE, -1)
-        before, after = list(range(-1, count - 1)), list(range(1, count + 1))
-        keys = [pairs.get((ids[k], ids[k + 1]), none)[0] + k for k in range(count - 1)]
-        if keys and min(keys) < NONE:
-            tree = PairTree(keys)
-            nodes, mask = tree.nodes, (1 << POSITION_BITS) - 1
-            while nodes[1] < NONE:
-                at = nodes[1] & mask
-                gone = after[at]
-                ids[at] = pairs[ids[at], ids[gone]][1]
-                ids[gone] = -1
-                behind = after[at] = after[gone]
-                if gone < count - 1:
-                    tree.put(gone, NONE)
-                if behind < count:
-                    before[behind] = at
-                    tree.put(at, pairs.get((ids[at], ids[behind]), none)[0] + at)
-                else:
-                    tree.put(at, NONE)
-                if (left := before[at]) >= 0:
-                    tree.put(left, pairs.get((ids[left], ids[at]), none)[0] + left)
+        return self.merge_all([piece])[0]
+
+    def merge_all(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of each pre-token; trees of the same size are worked on together, a long pre-token alone."""
+        raw = [piece.encode() for piece in pieces]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        out: list[bytes] = [b""] * len(raw)
+        size, done = 4, sizes == 0
+        for k in np.flatnonzero(sizes > LONG_PIECE).tolist():
+            out[k], done[k] = self._merge_long(raw[k]), True
+        while not done.all():
+            fits = np.flatnonzero(~done & (sizes <= size))
+            for at in range(0, len(fits), step := max(1, TREE_NODES // size)):
+                taken = fits[at : at + step]
+                for k, ids in zip(taken.tolist(), self._merge_trees([raw[k] for k in taken], sizes[taken], size), strict=True):
+                    out[k] = ids
+            done[fits] = True
+            size *= 2
+        return out
+
+    def _merge_long(self, raw: bytes) -> bytes:
+        """A long pre-token by itself, with a tree in plain Python."""
+        ids = self.byte_ids[np.frombuffer(raw, dtype=np.uint8)].tolist()
+        count, mask = len(ids), (1 << POSITION_BITS) - 1
+        after, before = list(range(1, count + 1)), list(range(-1, count - 1))
+        pairs, size = self.pair_table, self.size
+
+        def key(at: int, behind: int) -> int:
+            rank = pairs.get(ids[at] * size + ids[behind])
+            return NONE if rank is None else (rank << POSITION_BITS) + at
+
+        tree = PairTree([key(k, k + 1) for k in range(count - 1)])
+        while tree.nodes[1] < NONE:
+            at = tree.nodes[1] & mask
+            gone = after[at]
+            behind = after[at] = after[gone]
+            ids[at], ids[gone] = int(self.merged[tree.nodes[1] >> POSITION_BITS]), -1
+            if gone < count - 1:
+                tree.put(gone, NONE)
+            if behind < count:
+                before[behind] = at
+            tree.put(at, key(at, behind) if behind < count else NONE)
+            if before[at] >= 0:
+                tree.put(before[at], key(before[at], at))
         return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
 
+    def _merge_trees(self, raw: list[bytes], sizes: np.ndarray, size: int) -> list[bytes]:
+        """One segment tree of ``size`` leaves per row; each round merges the pair at the root of every row that has one."""
+        rows = len(raw)
+        own = np.arange(size)[None] < sizes[:, None]
+        ids = np.full((rows, size), -1, dtype=np.int64)
+        ids[own] = self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        after, before = np.tile(np.arange(1, size + 1), (rows, 1)), np.tile(np.arange(-1, size - 1), (rows, 1))
+        tree = np.full((rows, 2 * size), NONE, dtype=np.int64)
+        tree[:, size:-1] = self._keys(ids[:, :-1], ids[:, 1:], np.arange(size - 1)[None])
+        width = size
+        while width > 1:
+            tree[:, width // 2 : width] = np.minimum(tree[:, width : 2 * width : 2], tree[:, width + 1 : 2 * width : 2])
+            width //= 2
+        live = np.arange(rows)
+        while len(live := live[tree[live, 1] < NONE]):
+            root = tree[live, 1]
+            at = root & ((1 << POSITION_BITS) - 1)
+            gone = after[live, at]
+            behind = after[live, gone]
+            ids[live, at], ids[live, gone] = self.merged[root >> POSITION_BITS], -1
+            after[live, at] = behind
+            more, left = behind < sizes[live], before[live, at]
+            before[live[more], behind[more]] = at[more]
+            tree[live, size + gone] = NONE
+            tree[live, size + at] = NONE
+            tree[live[more], size + at[more]] = self._keys(ids[live[more], at[more]], ids[live[more], behind[more]], at[more])
+            held = left >= 0
+            tree[live[held], size + left[held]] = self._keys(ids[live[held], left[held]], ids[live[held], at[held]], left[held])
+            row = np.concatenate((live, live, live[held]))
+            node = size + np.concatenate((gone, at, left[held]))
+            while node[0] > 1:
+                node >>= 1
+                tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+        kept = ids >= 0
+        flat = ids[kept].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(kept.sum(axis=1))
+        return [flat[to - n : to] for to, n in zip(ends.tolist(), (4 * kept.sum(axis=1)).tolist(), strict=True)]
+
+    def _keys(self, first: np.ndarray, second: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Keys of pairs at their places, ``NONE`` where they never merge."""
+        pair = first * self.size + second
+        place = np.minimum(np.searchsorted(self.pair_codes, pair), len(self.pair_codes) - 1)
+        fits = (self.pair_codes[place] == pair) & (first >= 0) & (second >= 0)
+        return np.where(fits, (self.pair_ranks[place] << POSITION_BITS) + at, NONE)
+
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit integers."""
-        look_up, split = self.cache.__getitem__, self.split
-        if self.cut is None or not self.cut.search(text):
-            return b"".join(map(look_up, split(text)))
         parts, at = [], 0
-        for found in self.cut.finditer(text):
-            parts += map(look_up, split(text[at : found.start()]))
+        for found in self.cut.finditer(text) if self.cut else ():
+            parts += map(self.merge, self.split(text[at : found.start()]))
             parts.append(self.added[found.group()].to_bytes(4, "little"))
             at = found.end()
-        parts += map(look_up, split(text[at:]))
+        parts += map(self.merge, self.split(text[at:]))
         return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:
@@ -136,21 +201,6 @@ class BytePairCodec:
         return b"".join(map(by_id.__getitem__, numbers.tolist())).decode("utf-8", "replace")
 
 
-class PieceCache(dict):
-    """Remembers the ids of short pre-tokens; starts afresh when full, so memory is bounded."""
-
-    def __init__(self, merge: Callable[[str], bytes]):
-        self.merge = merge
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.merge(piece)
-        if len(piece) <= CACHE_BYTES:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
     """One object per Python worker and key; a worker runs many tasks."""
     holder = sys.modules.setdefault("_llm_worker_objects", types.ModuleType("_llm_worker_objects"))
@@ -169,21 +219,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _mapped(batch: pa.RecordBatch, source: str, target: str, kind: pa.DataType, work: Callable) -> Iterator[pa.RecordBatch]:
-    """The batch with ``target`` worked out from ``source`` for each row, in pieces of bounded size."""
-    names = batch.schema.names
-    at, made, held = 0, [], 0
-    values = batch.column(names.index(source))
-    for k in range(batch.num_rows):
-        value = values[k].as_py()
-        made.append(work(value))
-        held += len(made[-1] or b"") + len(value or b"")
-        if held >= OUT_BYTES or k == batch.num_rows - 1:
-            piece = batch.slice(at, k + 1 - at)
-            columns = [piece.column(i) for i, name in enumerate(names) if name != target]
-            fields = [f for f in batch.schema if f.name != target]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, kind)], schema=pa.schema([*fields, pa.field(target, kind)]))
-            at, made, held = k + 1, [], 0
+def _with(piece: pa.RecordBatch, target: str, values: pa.Array) -> pa.RecordBatch:
+    """The rows with ``target`` as last column, in place of a column of that name."""
+    kept = [i for i, name in enumerate(piece.schema.names) if name != target]
+    fields = [*(piece.schema.field(i) for i in kept), pa.field(target, values.type)]
+    return pa.RecordBatch.from_arrays([*map(piece.column, kept), values], schema=pa.schema(fields))
 
 
 def _plain(df: DataFrame, target: str, kind: str) -> str:
@@ -200,9 +240,12 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     path = path or vocabulary_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path).batches
         for batch in batches:
-            yield from _mapped(batch, text_col, ids_col, pa.binary(), lambda text: own.encode(text or ""))
+            for piece in W.slices(batch, text_col):
+                ids, offsets = own.encode_batch(piece.column(text_col))
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids)])
+                yield _with(piece, ids_col, packed.cast(pa.binary()))
 
     return docs.mapInArrow(work, _plain(docs, ids_col, "binary"))
 
@@ -214,7 +257,8 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", pat
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            yield from _mapped(batch, ids_col, text_col, pa.string(), lambda ids: own.decode(ids or b""))
+            for piece in W.slices(batch, ids_col):
+                yield _with(piece, text_col, pa.array([own.decode(ids or b"") for ids in piece.column(ids_col).to_pylist()], pa.string()))
 
     return rows.mapInArrow(work, _plain(rows, text_col, "string"))
 

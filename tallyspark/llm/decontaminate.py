@@ -63,7 +63,7 @@ class Tokens:
             starts, ends, number, text = starts[first], ends[last], number[first], text[first]
         self.starts, self.ends, self.text = starts, ends, text
         self.offsets = np.searchsorted(text, np.arange(len(offsets)))
-        self.hashes = W._hash_spans(W.LOWER[data], starts, ends)
+        self.hashes = W.hash_spans(W.LOWER[data], starts, ends)
         same = np.concatenate(([False], text[1:] == text[:-1]))[: len(starts)]
         after = same & np.concatenate(([False], number[:-1]))[: len(starts)]
         unit = after.copy()

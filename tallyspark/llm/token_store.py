@@ -20,7 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.llm import words as W
 from tallyspark.llm.bpe import per_worker, vocabulary_path
+from tallyspark.llm.pieces import PieceEncoder
 from tallyspark.llm.shared import shared_folder
 
 MAGIC = b"TOKSHRD1"
@@ -29,7 +31,6 @@ BLOCK_IDS = 1 << 16
 SHARD_IDS = 4 << 20
 END_ID = 0
 NULL_ID = -(1 << 63)  # stands for a null document id
-ENCODE_CHARS = 1 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -120,11 +121,24 @@ def _put(folder: str, name: str, data: bytes) -> None:
     system.move(own, f"{path}/{name}")
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple[PieceEncoder, int]:
+    """An encoder of batches that gives each distinct pre-token to the tokenizers library once, and the vocabulary's size."""
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return per_worker(("tokenizers", path), lambda: Tokenizer.from_file(path))
+
+    def make() -> tuple[PieceEncoder, int]:
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+
+        def packed(texts: list[str]) -> list[bytes]:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+        added = [token.content for token in library.get_added_tokens_decoder().values()]
+        return PieceEncoder(packed, lambda text: packed([text])[0], added), library.get_vocab_size(with_added_tokens=True)
+
+    return per_worker(("tokenizers", path), make)
 
 
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID,
@@ -140,8 +154,8 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        bits = bits_for(tokenizer.get_vocab_size(with_added_tokens=True))
+        encoder, vocabulary = _tokenizer(path)
+        bits = bits_for(vocabulary)
         partition, made = TaskContext.get().partitionId(), 0
         names, sizes, parts, held = [], [], [], 0
 
@@ -154,22 +168,16 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             return row
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            at = 0
-            while at < len(doc_ids):
-                taken, chars = [], 0
-                while at + len(taken) < len(doc_ids) and (not taken or chars < ENCODE_CHARS):
-                    taken.append(texts[at + len(taken)].as_py())
-                    chars += len(taken[-1])
-                for doc_id, found in zip(doc_ids[at:], tokenizer.encode_batch_fast(taken, add_special_tokens=False), strict=False):
-                    ids = np.array([*found.ids, end_id], dtype="<u4")
+            for piece in W.slices(batch, "text"):
+                ids, offsets = encoder.encode_batch(piece.column(1))
+                for k, doc_id in enumerate(piece.column(0).to_pylist()):
+                    own = np.append(ids[offsets[k] : offsets[k + 1]], np.uint32(end_id))
                     names.append(doc_id)
-                    sizes.append(len(ids))
-                    parts.append(ids)
-                    held += len(ids)
+                    sizes.append(len(own))
+                    parts.append(own)
+                    held += len(own)
                     if held >= shard_ids:
                         yield flush()
-                at += len(taken)
         if names:
             yield flush()
 

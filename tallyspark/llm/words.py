@@ -60,8 +60,8 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends
 
 
-def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each span; spans are handled in chunks of some megabytes, so memory stays small."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes or code points; spans are handled in chunks of some megabytes, so memory stays small."""
     out = np.empty(len(starts), dtype=np.uint64)
     lengths = ends - starts
     if not len(starts):
@@ -84,7 +84,7 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     data, offsets = flat(texts)
     starts, ends = spans(data, offsets)
     data = (LOWER if lower else KEEP_CASE)[data]
-    return _hash_spans(data, starts, ends), np.searchsorted(starts, offsets).astype(np.int64)
+    return hash_spans(data, starts, ends), np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def one_hash(word: str) -> int:
