@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, token_store
+from tallyspark.llm import bpe, decontaminate, line_dedup, ngram_join, quality_model, quality_rules, token_store, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_token_store": token_store.query,
     "op6_ngram_join": ngram_join.query,
     "op8_byte_pairs": bpe.query,
+    "op9_toxicity": toxicity.query,
+    "op10_quality_model": quality_model.query,
 }
 
 ORACLES = {
