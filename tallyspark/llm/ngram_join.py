@@ -2,7 +2,9 @@
 
 A document's shingles are hashed into ``GROUPS`` groups; the counts per group are a point.  The overlap of two documents is
 at most the sum, over the groups, of the smaller count, and for boxes of points at most the sum of the smaller upper edges.
-R-trees over the points are joined under that bound; what survives is verified on the whole shingle sets.
+R-trees over the points are joined under that bound.  A surviving pair is also held against the parities of its counts in
+``FINE_GROUPS`` finer groups: sets differ in at least as many shingles as parities.  What is left is verified on the whole
+shingle sets.
 
 Points of unrelated documents lie too close together for one tree over all of them to prune, so the trees stand over
 blocks: documents that share one of the rarest quarter of their shingles.  Two documents with a similarity of 0.75 or more
@@ -28,6 +30,7 @@ from tallyspark.llm.components import connected_components
 from tallyspark.llm.shared import shared_table
 
 GROUPS = 128
+FINE_GROUPS = 2048
 FULL = 255  # a count from which on a coordinate bounds nothing
 PERCENT = 75
 COMMON_SHINGLES = 1 << 18  # bound of the broadcast list of common shingles
@@ -36,6 +39,8 @@ PIECE = 2048  # documents of a block that meet in one task
 LEAF = 32
 FANOUT = 16
 OUT_ROWS = 50_000
+RUN_ROWS = 100_000
+LONG_RUN = 1_000_000
 NO_ID = 1 << 62
 
 
@@ -65,9 +70,13 @@ def _profile_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = np.repeat(np.arange(len(sets)), sizes)
         counts = np.bincount(own * GROUPS + (every >> np.uint64(57)).astype(np.int64), minlength=len(sets) * GROUPS)
         vectors = np.minimum(counts, FULL).astype(np.uint8).tobytes()
+        parity = np.bincount(own * FINE_GROUPS + (every % np.uint64(FINE_GROUPS)).astype(np.int64), minlength=len(sets) * FINE_GROUPS) % 2
+        parity = np.packbits(parity.astype(np.uint8)).tobytes()
+        width = FINE_GROUPS // 8
         prints = [_sums(W.mix(every ^ np.uint64(seed)), sizes) for seed in (0x1234567, 0x89ABCDE)]
         yield pa.RecordBatch.from_arrays(
             [piece.column(0), pa.array(sizes), *map(pa.array, prints), pa.array([vectors[k : k + GROUPS] for k in range(0, len(vectors), GROUPS)], pa.binary()),
+             pa.array([parity[k : k + width] for k in range(0, len(parity), width)], pa.binary()),
              pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], schema=_PROFILE)
     shingles, seen = np.unique(np.concatenate(gathered), return_counts=True)
     common = seen >= COMMON_IN_BATCH
@@ -76,7 +85,7 @@ def _profile_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         part = slice(at, at + OUT_ROWS)
         size = len(seen[part])
         yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(size, f.type) for f in list(_PROFILE)[:5]), pa.array(shingles[part]), pa.array(seen[part].astype(np.int64))], schema=_PROFILE)
+            [*(pa.nulls(size, f.type) for f in list(_PROFILE)[:6]), pa.array(shingles[part]), pa.array(seen[part].astype(np.int64))], schema=_PROFILE)
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -87,21 +96,21 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 _PROFILE = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("vector", pa.binary()),
-                      ("shingle", pa.int64()), ("seen", pa.int64())])
+                      ("parity", pa.binary()), ("shingle", pa.int64()), ("seen", pa.int64())])
 _KEYS = pa.schema([("key", pa.int64()), ("node", pa.int64())])
 _BLOCKS = pa.schema([("s1", pa.int64()), ("s2", pa.int64()), ("node", pa.int64())])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """node, n, k1, k2, vector: size, 128-bit print and count vector of each document's shingle set; then shingle, seen."""
+    """node, n, k1, k2, vector, parity: size, 128-bit print and count vectors of each document's shingle set; then shingle, seen."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from _profile_rows(batch)
 
-    return docs.mapInArrow(work, "node bigint, n bigint, k1 bigint, k2 bigint, vector binary, shingle bigint, seen bigint")
+    return docs.mapInArrow(work, "node bigint, n bigint, k1 bigint, k2 bigint, vector binary, parity binary, shingle bigint, seen bigint")
 
 
 def common_shingles(profiles: DataFrame, most: int = COMMON_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
@@ -156,66 +165,71 @@ def blocks_of(keys: DataFrame) -> DataFrame:
     """s1, s2, node: documents that share a key; blocks with the same documents come once, named by a print of the documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[bytes] = set()
-        out: list[tuple[bytes, np.ndarray]] = []
-        held = 0
-
-        def rows() -> pa.RecordBatch:
-            nonlocal out, held
-            marks = np.concatenate([np.tile(np.frombuffer(m, dtype=np.int64), (len(n), 1)) for m, n in out])
-            nodes = np.concatenate([n for _, n in out])
-            out, held = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(marks[:, 0]), pa.array(marks[:, 1]), pa.array(nodes)], schema=_BLOCKS)
-
-        for nodes in _runs(batches):
-            nodes = np.unique(nodes)
-            if len(nodes) < 2:
-                continue
-            mark = _mark(nodes.view(np.uint64))
-            if mark in told:
+        told: set[int] = set()
+        for keys, nodes, long in _whole_runs(batches):
+            if long:  # named by its key instead, so all its parts are one block
+                name = np.full(len(keys), W.mix(keys[:1].view(np.uint64)).view(np.int64)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(keys), -1)), pa.array(nodes)], schema=_BLOCKS)
                 continue
+            fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])))
+            keys, nodes = keys[fresh], nodes[fresh]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.append(starts, len(keys)))
+            own = nodes.view(np.uint64)
+            marks = [np.add.reduceat(W.mix(own ^ np.uint64(seed)), starts).view(np.int64) for seed in (0, 0x1234567)]
+            taken = []
+            for k in np.flatnonzero(sizes > 1).tolist():
+                if (mark := int(marks[0][k])) not in told:
+                    told.add(mark)
+                    taken.append(k)
             if len(told) >= 1_000_000:
                 told.clear()  # a block told twice is no harm
-            told.add(mark)
-            out.append((mark, nodes))
-            held += len(nodes)
-            if held >= OUT_ROWS:
-                yield rows()
-        if out:
-            yield rows()
-
-    dealt = keys.repartition("key").sortWithinPartitions("key")
+            if taken:
+                chosen = np.zeros(len(starts), dtype=bool)
+                chosen[taken] = True
+                rows = np.repeat(chosen, sizes)
+                named = [np.repeat(mark, sizes)[rows] for mark in marks]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, named), pa.array(nodes[rows])], schema=_BLOCKS)
+
+    dealt = keys.repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(work, "s1 bigint, s2 bigint, node bigint").distinct()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The nodes of each run of equal keys of the sorted rows."""
-    rest_key, rest = None, []
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The sorted rows (keys, nodes), cut between runs of equal keys.
+
+    A run of more than ``LONG_RUN`` rows does not fit memory as a whole: its rows come in parts, marked with True.
+    """
+    keys, nodes, long_key = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
     for batch in batches:
-        if not batch.num_rows:
+        keys, nodes = np.concatenate((keys, batch.column(0).to_numpy())), np.concatenate((nodes, batch.column(1).to_numpy()))
+        if long_key is not None and len(keys):
+            cut = int(np.searchsorted(keys, long_key, side="right"))
+            if cut:
+                yield keys[:cut], nodes[:cut], True
+            if cut < len(keys):
+                long_key = None
+            keys, nodes = keys[cut:], nodes[cut:]
+        if len(keys) < RUN_ROWS:
             continue
-        keys, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(keys)]))
-        if rest and keys[0] != rest_key:
-            yield np.concatenate(rest)
-            rest = []
-        if len(starts) > 1:
-            yield np.concatenate([*rest, nodes[: ends[0]]])
-            rest = []
-            for k in np.flatnonzero(ends[1:-1] - starts[1:-1] > 1) + 1:
-                yield nodes[starts[k] : ends[k]]
-        rest.append(nodes[starts[-1] :].copy())
-        rest_key = keys[-1]
-    if rest:
-        yield np.concatenate(rest)
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield keys[:cut], nodes[:cut], False
+            keys, nodes = keys[cut:], nodes[cut:]
+        if len(keys) > LONG_RUN:
+            long_key = keys[0]
+            yield keys, nodes, True
+            keys, nodes = keys[:0], nodes[:0]
+    if len(keys):
+        yield keys, nodes, False
 
 
 class CountTree:
     """R-tree over count vectors: a node has the upper edges of its points' box and the range of their sizes."""
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, parities: np.ndarray | None = None):
         self.vectors, self.sizes = vectors, sizes
+        self.parities = np.zeros((len(sizes), 1), dtype=np.uint64) if parities is None else parities
         spread = vectors.astype(np.int32).var(axis=0) if len(sizes) > LEAF else np.zeros(1)
         axes = np.argsort(-spread)[:4]
         self.order = np.lexsort((*vectors[:, axes].T, sizes)) if len(sizes) > LEAF else np.arange(len(sizes))
@@ -246,8 +260,12 @@ def tree_join(first: CountTree, second: CountTree) -> Iterator[tuple[np.ndarray,
         if level == 0:
             p, q = first.leaves[i], second.leaves[j]
             a, b = np.nonzero(_surviving(first.vectors[p], first.sizes[p], first.sizes[p], second.vectors[q], second.sizes[q], second.sizes[q]))
+            a, b = p[a], q[b]
             if len(a):
-                yield p[a], q[b]
+                differ = np.bitwise_count(first.parities[a] ^ second.parities[b]).sum(axis=1, dtype=np.int64)
+                n, m = first.sizes[a], second.sizes[b]
+                close = differ <= n + m - 2 * least_overlap(n, m)
+                yield a[close], b[close]
             continue
         x, y = first.levels[min(level - 1, len(first.levels) - 1)], second.levels[min(level - 1, len(second.levels) - 1)]
         a, b = np.nonzero(_surviving(*(v[rows] for v in x), *(v[cols] for v in y)))
@@ -277,7 +295,7 @@ def candidate_pairs(rows: DataFrame, between: bool) -> DataFrame:
         dealt = dealt.withColumn("p", F.least("piece", "other")).withColumn("q", F.greatest("piece", "other"))
     else:
         dealt = rows.withColumn("piece", own).withColumn("p", F.col("piece")).withColumn("q", F.col("piece"))
-    dealt = dealt.select("s1", "s2", "p", "q", "piece", "node", "n", "component", "vector")
+    dealt = dealt.select("s1", "s2", "p", "q", "piece", "node", "n", "component", "vector", "parity")
     dealt = dealt.repartition("s1", "s2", "p", "q").sortWithinPartitions("s1", "s2", "p", "q", "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,8 +349,9 @@ def _pairs_of(block: pa.Table, between: bool) -> Iterator[tuple[np.ndarray, np.n
     left, right = np.flatnonzero(piece == p), np.flatnonzero(piece == q)
     if not len(left) or not len(right):
         return
-    first = CountTree(vectors[left], n[left])
-    second = first if p == q else CountTree(vectors[right], n[right])
+    parities = np.frombuffer(b"".join(block.column(9).to_pylist()), dtype=np.uint64).reshape(len(n), FINE_GROUPS // 64)
+    first = CountTree(vectors[left], n[left], parities[left])
+    second = first if p == q else CountTree(vectors[right], n[right], parities[right])
     best = np.full(len(n), -1, dtype=np.int64)
     slack = np.full(len(n), -1, dtype=np.int64)
     for i, j in tree_join(first, second):
@@ -344,7 +363,8 @@ def _pairs_of(block: pa.Table, between: bool) -> Iterator[tuple[np.ndarray, np.n
                 yield node[i[apart]], node[j[apart]]
             continue
         i, j = i[node[i] < node[j]], j[node[i] < node[j]]
-        room = np.minimum(vectors[i], vectors[j]).sum(axis=1, dtype=np.int64) * 1000 // (n[i] + n[j])
+        differ = np.bitwise_count(parities[i] ^ parities[j]).sum(axis=1, dtype=np.int64)
+        room = 1000 - 1000 * differ // (n[i] + n[j])
         for x, y, r in zip(i.tolist(), j.tolist(), room.tolist(), strict=True):
             if r > slack[y]:
                 best[y], slack[y] = x, r
@@ -387,7 +407,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     nodes = docs.select(node_of(F.col(id_col), F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
     profiles = shared_table(profile(nodes), "profiles")
-    rows = profiles.where("shingle IS NULL").select("node", "n", "k1", "k2", "vector")
+    rows = profiles.where("shingle IS NULL").select("node", "n", "k1", "k2", "vector", "parity")
     copies = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("node").alias("first"))
     first_of = rows.where("n > 0").join(copies, ["n", "k1", "k2"]).select("node", "first").distinct()
     firsts = shared_table(first_of, "copies")
@@ -397,7 +417,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = shared_table(blocks.join(firsts, "node").select("s1", "s2", F.col("first").alias("node")).distinct(), "blocks")
     sizes = blocks.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     sizes = sizes.select("s1", "s2", F.ceil(F.col("held") / PIECE).cast("bigint").alias("pieces"))
-    points = rows.join(copies, ["n", "k1", "k2"]).where("node = first").select("node", "n", "vector").dropDuplicates(["node"])
+    points = rows.join(copies, ["n", "k1", "k2"]).where("node = first").select("node", "n", "vector", "parity").dropDuplicates(["node"])
     placed = blocks.join(sizes, ["s1", "s2"]).join(points, "node")
 
     near = shared_table(candidate_pairs(placed.withColumn("component", F.col("node")), between=False), "near")
