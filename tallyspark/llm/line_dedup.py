@@ -15,6 +15,7 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 1
 MIN_DOCUMENTS = 10
+PARTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -63,8 +64,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and different texts are different documents.  A null text is an empty one; an empty table gives no rows.
     """
     occurrences = line_occurrences(docs, id_col, text_col, min_chars)
-    common = line_counts(occurrences).where(F.col("n_documents") >= min_documents).select("h1", "h2")
-    lost = occurrences.join(common, ["h1", "h2"])
+    # Common lines meet their occurrences in ``PARTS`` parts by document, so one line's occurrences are never one task's.
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    common = line_counts(occurrences).where(F.col("n_documents") >= min_documents).select("h1", "h2", parts)
+    dealt = occurrences.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_hash"), F.lit(PARTS)).cast("int"))
+    lost = dealt.join(common, ["h1", "h2", "part"]).drop("part")
     if keep_first:
         first = lost.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "doc_hash", "pos")).alias("first"))
         lost = lost.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "doc_hash", "pos").eqNullSafe(F.col("first")))
