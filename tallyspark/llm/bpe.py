@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
-from tallyspark.llm.pieces import PieceEncoder
+from tallyspark.llm.pieces import SLICE_BYTES, PieceEncoder
 
 #: Fixed value: how byte-level tokenizers of this family cut a text before merging; white space by its Unicode property.
 PATTERN = (
@@ -30,7 +30,7 @@ PATTERN = (
 )
 NONE = 1 << 62
 POSITION_BITS = 32
-TREE_NODES = 1 << 20
+TREE_NODES = 1 << 18
 LONG_PIECE = 256
 
 
@@ -242,7 +242,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path).batches
         for batch in batches:
-            for piece in W.slices(batch, text_col):
+            for piece in W.slices(batch, text_col, SLICE_BYTES):
                 ids, offsets = own.encode_batch(piece.column(text_col))
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), piece.num_rows, [None, pa.py_buffer(offsets * 4), pa.py_buffer(ids)])
                 yield _with(piece, ids_col, packed.cast(pa.binary()))
@@ -257,7 +257,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", text_col: str = "decoded", pat
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for piece in W.slices(batch, ids_col):
+            for piece in W.slices(batch, ids_col, SLICE_BYTES):
                 yield _with(piece, text_col, pa.array([own.decode(ids or b"") for ids in piece.column(ids_col).to_pylist()], pa.string()))
 
     return rows.mapInArrow(work, _plain(rows, text_col, "string"))

@@ -20,8 +20,9 @@ import regex
 from tallyspark.llm import words as W
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-KNOWN_PIECES = 600_000
+KNOWN_PIECES = 300_000
 KNOWN_CHARS = 64
+SLICE_BYTES = 1 << 20
 
 
 def code_classes() -> np.ndarray:

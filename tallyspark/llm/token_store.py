@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
 from tallyspark.llm.bpe import per_worker, vocabulary_path
-from tallyspark.llm.pieces import PieceEncoder
+from tallyspark.llm.pieces import SLICE_BYTES, PieceEncoder
 from tallyspark.llm.shared import shared_folder
 
 MAGIC = b"TOKSHRD1"
@@ -168,7 +168,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             return row
 
         for batch in batches:
-            for piece in W.slices(batch, "text"):
+            for piece in W.slices(batch, "text", SLICE_BYTES):
                 ids, offsets = encoder.encode_batch(piece.column(1))
                 for k, doc_id in enumerate(piece.column(0).to_pylist()):
                     own = np.append(ids[offsets[k] : offsets[k + 1]], np.uint32(end_id))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 SHINGLE = 5
 
 SPACE = np.zeros(256, dtype=bool)
