@@ -149,7 +149,8 @@ def run_query_pairs(spark, sf):
     table(spark, sf, "lineitem").createOrReplaceTempView(name)
     pairs = [("s1", 0, f"SELECT l_returnflag, count(*) FROM {name} GROUP BY 1 ORDER BY 1"),
              ("s1", 1, f"SELECT l_returnflag, sum(l_quantity) FROM {name} GROUP BY 1 ORDER BY 1"), ("s1", 2, f"SELECT missing FROM {name}")]
-    return X.run_query_pairs(spark, pairs, scratch(spark, "cells"))[0]
+    queries = spark.createDataFrame(pairs, "instance_id string, candidate int, sql string")
+    return X.run_query_pairs(spark, queries, scratch(spark, "cells"))[0]
 
 
 @query("verify_benchmark", """
@@ -171,9 +172,13 @@ def public_diagnostics(spark, sf):
     return records.select(F.col("instance_id").alias("event_id"), F.size("metrics").alias("metrics"), "stage_status", "latency_ms")
 
 
-@query("dataset_fingerprint", "SELECT left(sha256(string_agg(instance_id, chr(10) ORDER BY pos)), 16) AS fingerprint FROM samples", ("samples",))
+@query("dataset_fingerprint", """
+WITH i AS (SELECT instance_id AS id, row_number() OVER (ORDER BY pos) - 1 AS pos FROM samples),
+l AS (SELECT pos // 50 AS pos, sha256(string_agg(id, chr(10) ORDER BY pos)) AS id FROM i GROUP BY pos // 50),
+b AS (SELECT pos // 50 AS pos, sha256(string_agg(id, chr(10) ORDER BY pos)) AS id FROM l GROUP BY pos // 50)
+SELECT left(sha256(string_agg(id, chr(10) ORDER BY pos)), 16) AS fingerprint FROM b""", ("samples",))
 def dataset_fingerprint(spark, sf):
-    return P.dataset_fingerprint(view(spark, sf, "samples"), F.col("pos"))
+    return P.dataset_fingerprint(view(spark, sf, "samples"), F.col("pos"), chunk=50)
 
 
 @query("file_digests", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -257,6 +262,18 @@ def progress(spark, sf):
     return I.progress(log_lines(spark, sf), target=5000)
 
 
+@query("progress_reported", """
+WITH x AS (SELECT count(DISTINCT CASE WHEN event_id % 3 <> 1 THEN user_id END) AS begun, count(*) AS total FROM events)
+SELECT '评估完成' AS current_stage, greatest(begun, total) AS started, total AS completed, total, 100 AS percent FROM x""")
+def progress_reported(spark, sf):
+    lines = log_lines(spark, sf).select(F.col("line_no").cast("bigint").alias("line_no"), "line")
+    last = lines.agg(F.max("line_no").alias("n"), F.count(F.lit(1)).alias("k"))
+    report = last.select(F.explode(F.array(
+        F.struct((F.col("n") + 1).alias("line_no"), F.lit("评估结果 dev").alias("line")),
+        F.struct((F.col("n") + 2).alias("line_no"), F.concat(F.lit("  样本 "), "k", F.lit(" 条")).alias("line")))).alias("r")).select("r.*")
+    return I.progress(lines.unionByName(report))
+
+
 def token_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The token log as a file-source stream."""
     schema = table(spark, sf, "lineitem").schema
@@ -288,10 +305,13 @@ def token_usage_stream(spark, sf):
 
 
 @query("token_usage_windows", """
-SELECT strftime(time_bucket(INTERVAL '28 days', l_shipdate, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS window_start, 'step' || l_linenumber AS step, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT) * 11) AS BIGINT) AS total_tokens
-FROM lineitem WHERE l_quantity >= 1 GROUP BY 1, 2""")
+WITH w AS (SELECT time_bucket(INTERVAL '28 days', l_shipdate, TIMESTAMP '1970-01-01') AS start, 'step' || l_linenumber AS step, count(*) AS calls, CAST(sum(q * 11) AS BIGINT) AS total_tokens
+ FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_shipdate, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_quantity >= 1) GROUP BY 1, 2)
+SELECT strftime(start, '%Y-%m-%d') AS window_start, step, calls, total_tokens FROM w
+WHERE start + INTERVAL '28 days' <= (SELECT max(l_shipdate) - INTERVAL '1 hour' FROM lineitem WHERE l_quantity >= 1)""")
 def token_usage_windows(spark, sf):
-    windows = run_available(I.token_usage_windows(token_stream(spark, sf), "ts", "28 days"), spark, "complete")
+    """Windows come out once the watermark has passed them, so their state goes; a window still open gives no row yet."""
+    windows = run_available(I.token_usage_windows(token_stream(spark, sf), "ts", "28 days", unique=["tag", "ts", "total_tokens"]), spark, "append")
     return windows.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "step", "calls", "total_tokens")
 
 

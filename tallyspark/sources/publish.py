@@ -42,20 +42,18 @@ def public_diagnostics(samples: DataFrame) -> DataFrame:
 
 
 def dataset_fingerprint(df: DataFrame, order: Column, key: str = "instance_id", chunk: int = CHUNK) -> DataFrame:
-    """Short sha256 of the ids in order, joined by line breaks.
+    """Short sha256 tree over the ids in order, the same definition for every number of ids.
 
-    More ids than one chunk are hashed as a tree: chunk digests are joined and
-    hashed again, so no task ever holds all ids.
+    The ids are cut into leaves of ``chunk``, each the sha256 of its ids joined by
+    line breaks; branches hash ``chunk`` leaf digests the same way, and the root
+    hashes the branches, so no task holds all ids.  The leaf size is part of the
+    format: fingerprints compare only at the same ``chunk``.
     """
     level = numbered(df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("id"), order.alias("_o")), [], [F.col("_o")], out="pos").select("pos", "id")
-    size = level.count()
-    while True:
-        packed = level.groupBy(F.floor(F.col("pos") / chunk).alias("pos")).agg(
-            F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "id")))["id"], "\n"), 256).alias("id"))
-        size = -(-size // chunk)
-        if size <= 1:
-            return packed.select(F.substring("id", 1, DIGEST).alias("fingerprint"))
-        level = packed
+    joined = F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "id")))["id"], "\n"), 256)
+    for _ in range(2):
+        level = level.groupBy(F.floor(F.col("pos") / chunk).alias("pos")).agg(joined.alias("id"))
+    return level.agg(joined.alias("id")).select(F.substring("id", 1, DIGEST).alias("fingerprint"))
 
 
 def file_digests(files: DataFrame) -> DataFrame:

@@ -18,6 +18,9 @@ from tallyspark.sources.readers import path_exists
 STARTED = r"开始处理样本\s+(\S+)"
 FINISHED = r"样本\s+(\S+)\s+处理完成"
 ENTERED = r"样本\s+(\S+)\s+@\s+(\S+)"
+REPORT, REPORTED = "评估结果", r"^\s*样本\s+(\d+)\s*条"
+FIRST_STAGE, LAST_STAGE = "准备中", "评估完成"
+BUCKETS = 64  # parts of the sample store by hash of the key
 
 
 def pending(df: DataFrame, completed: DataFrame, stage: str) -> DataFrame:
@@ -60,23 +63,30 @@ def is_converged(history: DataFrame, value: str, delta: float, patience: int, st
     return changed.withColumn("converged", F.coalesce(stable, F.lit(False)) if patience > 0 else F.lit(False))
 
 
-def incremental_score(stream: DataFrame, store: str, checkpoint: str, metrics: Sequence[str], key: str = "instance_id"):
+def incremental_score(
+    stream: DataFrame, store: str, checkpoint: str, metrics: Sequence[str], key: str = "instance_id", buckets: int = BUCKETS
+):
     """Score a stream: each micro-batch is appended once and its totals are kept by batch id.
 
     Both writes are keyed by the batch id, so a batch that is replayed after a
-    failure replaces itself.  Returns the started query.
+    failure replaces itself.  Samples are stored by hash bucket of their key: a
+    batch is held against the keys of its own buckets, not against the whole
+    store, and is computed once.  Returns the started query.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        kept = batch
-        if path_exists(spark, f"{store}/samples/_SUCCESS"):
-            earlier = spark.read.parquet(f"{store}/samples").where(F.col("batch") != batch_id)
-            clash = batch.join(earlier.select(key), key, "left_semi").take(1)
-            if clash:
-                raise ValueError(f"sample already present: {clash[0][key]}")
-        for name, rows in (("samples", kept.withColumn("batch", F.lit(batch_id))),
-                           ("totals", batch_totals(kept.withColumn("batch", F.lit(batch_id)), metrics))):
-            rows.write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{store}/{name}")
+        kept = batch.withColumn("batch", F.lit(batch_id)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        try:
+            if path_exists(spark, f"{store}/samples/_SUCCESS"):
+                touched = [r["bucket"] for r in kept.select("bucket").distinct().collect()]  # at most ``buckets``
+                earlier = spark.read.parquet(f"{store}/samples").where(F.col("bucket").isin(touched) & (F.col("batch") != batch_id))
+                clash = kept.join(earlier.select("bucket", key), ["bucket", key], "left_semi").take(1)
+                if clash:
+                    raise ValueError(f"sample already present: {clash[0][key]}")
+            for name, rows, parts in (("samples", kept, ["bucket", "batch"]), ("totals", batch_totals(kept.drop("bucket"), metrics), ["batch"])):
+                rows.write.partitionBy(*parts).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{store}/{name}")
+        finally:
+            kept.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -86,8 +96,13 @@ def incremental_score(stream: DataFrame, store: str, checkpoint: str, metrics: S
 def progress(lines: DataFrame, target: int = 0, finished_job: bool = False) -> DataFrame:
     """Started and finished samples, latest stage, total and percent from log lines ``(line_no, line)``.
 
-    Entering a stage starts a sample but does not finish it.
+    Entering a stage starts a sample but does not finish it.  A result line
+    followed by the line with its number of samples gives the total, unless a
+    target is given, and means that all of them are done.
     """
+    counts = lines.select((F.col("line_no") - 1).alias("line_no"), F.regexp_extract("line", REPORTED, 1).alias("n")).where("n <> ''")
+    titles = lines.where(F.col("line").contains(REPORT)).select("line_no")
+    reported = titles.join(counts, "line_no").agg(F.min_by(F.col("n").cast("bigint"), "line_no").alias("reported"))
     entered = F.regexp_extract("line", ENTERED, 1)
     cells = F.array_compact(F.array(*[
         F.when(F.regexp_extract("line", p, 1) != "", F.struct(F.lit(k).alias("kind"), F.regexp_extract("line", p, 1).alias("id")))
@@ -97,12 +112,14 @@ def progress(lines: DataFrame, target: int = 0, finished_job: bool = False) -> D
         F.count_distinct(F.when(F.col("c.kind") == "started", F.col("c.id"))).alias("begun"),
         F.count_distinct(F.when(F.col("c.kind") == "finished", F.col("c.id"))).alias("done"),
         F.max_by(F.when(F.col("stage").isNotNull(), F.col("stage")), F.when(F.col("stage").isNotNull(), F.col("line_no"))).alias("current_stage"))
-    total = F.lit(target) if target else F.greatest("begun", "done", F.lit(1))
-    done = F.greatest(F.col("done"), total) if finished_job else F.col("done")
+    folded = folded.crossJoin(F.broadcast(reported))  # one row with one row
+    total = F.lit(target) if target else F.coalesce("reported", F.greatest("begun", "done", F.lit(1)))
+    told = F.lit(finished_job) | F.col("reported").isNotNull()
+    done = F.when(told, F.greatest(F.col("done"), F.coalesce("reported", total))).otherwise(F.col("done"))
     completed = F.least(done, total)
     percent = F.lit(100) if finished_job else F.least(F.lit(100), F.bround(100 * completed / total).cast("int"))
     return folded.select(
-        F.coalesce("current_stage", F.lit("")).alias("current_stage"), F.greatest(F.col("begun"), completed).cast("bigint").alias("started"),
+        F.when(told, LAST_STAGE).otherwise(F.coalesce("current_stage", F.lit(FIRST_STAGE))).alias("current_stage"), F.greatest(F.col("begun"), completed).cast("bigint").alias("started"),
         completed.cast("bigint").alias("completed"), total.cast("bigint").alias("total"), percent.cast("int").alias("percent"))
 
 
