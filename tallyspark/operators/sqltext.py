@@ -1,8 +1,9 @@
 """Lexical facts about SQL text, computed with regular expressions over columns.
 
 The grammar covered is the flat statement ``SELECT … FROM … [WHERE] [GROUP BY]
-[HAVING] [ORDER BY] [LIMIT]`` with joins.  Text inside quotes never counts as a
-keyword.  Nested queries are counted but not decomposed.
+[HAVING] [ORDER BY] [LIMIT]`` with joins.  Strings and comments never count as
+keywords, whatever they hold; parentheses nest to any depth.  Nested queries are
+counted but not decomposed.
 """
 
 from __future__ import annotations
@@ -40,26 +41,58 @@ KEYWORDS = {
 }
 
 
+TOKEN = r"""'[^']*(?:''[^']*)*'|"[^"]*(?:""[^"]*)*"|--[^\n]*|/\*[\s\S]*?\*/|[^'"/-]+|[\s\S]"""
+INNER_BLANK, INNER_COMMA = "\u0001", "\u0002"
+
+
 def _quiet(sql: Column) -> Column:
-    """Lower-case text without comments, literals replaced by their number in quotes."""
-    plain = F.regexp_replace(sql, r"--[^\n]*|/\*[\s\S]*?\*/", " ")
-    plain = F.regexp_replace(F.trim(F.regexp_replace(plain, r"\s+", " ")), r"[;\s]+$", "")
-    parts = F.split(F.regexp_replace(plain, '"', "'"), "'")
-    numbered = F.transform(
-        parts, lambda x, i: F.when(i % 2 == 0, F.lower(x)).otherwise(((i - 1) / 2).cast("int").cast("string"))
-    )
-    return F.array_join(numbered, "'")
+    """Lower-case text without comments; a string literal is its value as hexadecimal digits in single quotes.
+
+    Strings and comments are found in one pass, so neither is looked for inside the other; a doubled quote is one quote.
+    """
+    def token(t: Column) -> Column:
+        quote = F.substring(t, 1, 1)
+        value = F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.concat(quote, quote), quote)
+        literal = F.concat(F.lit("'"), F.hex(F.encode(value, "UTF-8")), F.lit("'"))
+        string = quote.isin("'", '"') & (F.length(t) > 1)
+        return F.when(string, literal).when(t.startswith("--") | t.startswith("/*"), " ").otherwise(F.lower(t))
+
+    plain = F.array_join(F.transform(F.regexp_extract_all(sql, F.lit(TOKEN), 0), token), "")
+    return F.regexp_replace(F.trim(F.regexp_replace(plain, r"\s+", " ")), r"[;\s]+$", "")
+
+
+def _value(digits: Column) -> Column:
+    return F.decode(F.unhex(digits), "UTF-8")
+
+
+def _restored(text: Column) -> Column:
+    """Text with the values of its literals, and with what stands in parentheses readable again."""
+    quote = F.lit("'")
+    parts = F.transform(F.split(text, "'"), lambda x, i: F.when(i % 2 == 1, F.concat(quote, F.replace(_value(x), quote, F.lit("''")), quote)).otherwise(x))
+    return _readable(F.array_join(parts, ""))
 
 
-def _literals(sql: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(sql, '"', "'"), F.lit("'([^']*)'"), 1)
+def _readable(text: Column) -> Column:
+    return F.translate(text, INNER_BLANK + INNER_COMMA, " ,")
 
 
-def _flat(text: Column) -> Column:
-    """Drop parenthesised parts, innermost first, so that only top-level commas are left."""
-    for _ in range(6):
-        text = F.regexp_replace(text, r"\([^()]*\)", "")
-    return text
+def _levels(text: Column) -> Column:
+    """Struct of two texts whose blanks and commas inside parentheses are replaced, to any depth: ``all``, and ``top`` without subqueries.
+
+    What splits at blanks, commas and keywords between blanks then sees the outermost level only.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("sub"), F.lit("").alias("all"), F.lit("").alias("top"))
+
+    def step(acc: Column, t: Column) -> Column:
+        depth, opens, closes = acc["depth"], t == "(", t == ")"
+        sub = F.when((acc["sub"] == 0) & (depth > 0) & t.rlike(r"^\s*select\b"), depth).otherwise(acc["sub"])
+        shown = F.when(depth > 0, F.translate(t, " ,", INNER_BLANK + INNER_COMMA)).otherwise(t)
+        ends = closes & (depth == sub)
+        return F.struct(
+            F.greatest(depth + opens.cast("int") - closes.cast("int"), F.lit(0)).alias("depth"), F.when(ends, 0).otherwise(sub).alias("sub"),
+            F.concat(acc["all"], shown).alias("all"), F.when((sub == 0) | ends, F.concat(acc["top"], shown)).otherwise(acc["top"]).alias("top"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), 0), start, step)
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -70,13 +103,14 @@ def sql_text_features(df: DataFrame, column: str, out: str = "features") -> Data
     """Add the sixteen counts as a struct; all −1 when there is no SQL."""
     text = F.col("_q")
     bare = F.regexp_replace(text, r"\bselect\s+(?:distinct\s+)?\*", "select")
-    fields = F.regexp_extract(text, r"^\s*\(?\s*select\s+(.*?)(?:\sfrom\s|$)", 1)
+    fields = F.regexp_extract(F.col("_top"), r"^\s*select\s+(.*?)(?:\sfrom\s|$)", 1)
     counts = {name: _count(bare if name == "math_compute" else text, p) for name, p in FEATURE_PATTERNS.items()}
-    counts["query_fields"] = F.when(F.trim(fields) != "", F.size(F.split(_flat(fields), ","))).otherwise(0)
+    counts["query_fields"] = F.when(F.trim(fields) != "", F.size(F.split(fields, ","))).otherwise(0)
     counts["logical_connector"] = _count(text, r"\b(?:and|or)\b") - _count(text, r"\bbetween\b")
     missing = F.col("_q").isNull() | (F.col("_q") == "")
     struct = F.struct(*[F.when(missing, -1).otherwise(counts[f]).cast("int").alias(f) for f in FEATURES])
-    return df.withColumn("_q", _quiet(F.col(column))).withColumn(out, struct).drop("_q")
+    outer = F.regexp_replace("_q", r"^[\s(]+(?=select\b)", "")
+    return df.withColumn("_q", _quiet(F.col(column))).withColumn("_top", _levels(outer)["all"]).withColumn(out, struct).drop("_q", "_top")
 
 
 def hardness(features: str) -> Column:
@@ -115,15 +149,22 @@ _STOPS = ("where", r"group\s+by", "having", r"order\s+by", "limit")
 
 def _list(text: Column) -> Column:
     """Split at top-level commas, dropping empty entries."""
-    return F.filter(F.transform(F.split(text, r",(?![^()]*\))"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _cut(text: Column, limit: int) -> Column:
+    """A long text as its beginning and a digest of the whole, so that texts that differ later stay different."""
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("#"), F.substring(F.md5(text), 1, 8))).otherwise(text)
+
+
+def _bare(reference: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(reference, "`", ""), r"^.*\.", "")
 
 
 def _name(expr: Column) -> Column:
-    """Column name of a plain reference; the text (cut at 80) of anything else."""
-    plain = expr.rlike(r"^[\w`.]+$")
-    bare = F.regexp_replace(F.regexp_replace(expr, "`", ""), r"^.*\.", "")
-    literal = expr.rlike(r"^'\d+'$|^-?\d+(?:\.\d+)?$")
-    return F.when(literal, F.lit(None)).when(plain, bare).otherwise(F.substring(expr, 1, 80))
+    """Column name of a plain reference; NULL for a literal; the text (cut at 80) of anything else."""
+    literal = expr.rlike(r"^'[0-9A-F]*'$|^-?\d+(?:\.\d+)?$")
+    return F.when(literal, F.lit(None)).when(expr.rlike(r"^[\w`.]+$"), _bare(expr)).otherwise(_cut(F.lower(_restored(expr)), 80))
 
 
 def _names(items: Column) -> Column:
@@ -131,58 +172,63 @@ def _names(items: Column) -> Column:
 
 
 def _conditions(text: Column) -> Column:
+    """The conditions of an AND chain; with an OR on the same level the whole text is one condition."""
     joined = F.regexp_replace(text, r"(\bbetween\s+\S+)\s+and\s+", "$1 ~ ")
-    return F.filter(F.transform(F.split(joined, r"\s+and\s+"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.when(text.rlike(r"\sor\s"), F.array(text)).otherwise(F.split(joined, r"\s+and\s+"))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _repr(c: Column) -> Column:
-    """Comparable text of one condition; literal values are kept behind ``VAL:``."""
-    comparison = r"^([\w`.]+)\s*(<=|>=|<>|!=|=|<|>)\s*(.+)$"
-    left = F.regexp_replace(F.regexp_replace(F.regexp_extract(c, comparison, 1), "`", ""), r"^.*\.", "")
+    """Comparable text of one condition; literal values are kept behind ``VAL:``.
+
+    A comparison needs a column or a function call on its left; OR, NOT and everything else is its own text.
+    """
+    comparison = r"^([\w`.]+|\w+\(.*?\))\s*(<=|>=|<>|!=|=|<|>)\s*(.+)$"
     op = F.regexp_replace(F.regexp_extract(c, comparison, 2), "<>", "!=")
     right = F.regexp_extract(c, comparison, 3)
-    quoted = F.regexp_extract(right, r"^'(\d+)'$", 1)
-    value = F.when(quoted != "", F.get(F.col("_lits"), F.when(quoted != "", quoted).cast("int"))).when(
-        right.rlike(r"^\d+(?:\.\d+)?$"), right)
-    compared = F.concat_ws(" ", left, op, F.when(value.isNotNull(), F.concat(F.lit("VAL:"), value)).otherwise("COL"))
-    subject = F.regexp_replace(F.regexp_replace(F.regexp_extract(c, r"^([\w`.]+)\s", 1), "`", ""), r"^.*\.", "")
-    shaped = F.lit(None).cast("string")
-    result = F.when(c.rlike(r"^exists\b"), F.lit("EXISTS"))
+    value = F.when(right.rlike(r"^'[0-9A-F]*'$"), _value(F.replace(right, F.lit("'"), F.lit("")))).when(right.rlike(r"^\d+(?:\.\d+)?$"), right)
+    compared = F.concat_ws(" ", _name(F.regexp_extract(c, comparison, 1)), op, F.when(value.isNotNull(), F.concat(F.lit("VAL:"), value)).otherwise("COL"))
+    subject = _bare(F.regexp_extract(c, r"^([\w`.]+)\s", 1))
+    whole = _cut(F.lower(_restored(F.regexp_replace(c, r" ~ ", " and "))), 60)
+    result = F.when(c.rlike(r"\s(?:or|and)\s|^not\s"), whole).when(c.rlike(r"^exists\b"), F.lit("EXISTS"))
     for word, pattern in (("IN", r"^[\w`.]+\s+in\s*\("), ("LIKE", r"^[\w`.]+\s+like\s"),
-                          ("BETWEEN", r"^[\w`.]+\s+between\s"), ("IS", r"^[\w`.]+\s+is\s")):
+                          ("BETWEEN", r"^[\w`.]+\s+between\s"), ("IS", r"^[\w`.]+\s+is\s+(?!not\s)")):
         result = result.when(c.rlike(pattern), F.concat(subject, F.lit(f" {word}")))
-    return result.when(c.rlike(comparison), compared).otherwise(F.coalesce(shaped, F.substring(c, 1, 60)))
+    return result.when(c.rlike(comparison), compared).otherwise(whole)
 
 
 def sql_components(df: DataFrame, column: str, prefix: str = "c_") -> DataFrame:
     """Add the seven component sets as arrays ``<prefix>select`` … ``<prefix>keywords``."""
-    work = df.withColumn("_q", F.concat(F.lit(" "), _quiet(F.col(column)))).withColumn("_lits", _literals(F.col(column)))
+    work = df.withColumn("_raw", F.concat(F.lit(" "), _quiet(F.col(column)))).withColumn("_level", _levels(F.col("_raw")))
+    work = work.withColumn("_q", F.col("_level.all"))
     select = F.regexp_extract("_q", r"^\s*select\s+(?:distinct\s+)?(.*?)(?:\sfrom\s|$)", 1)
     source = _clause("from", _STOPS)
     where, having = _clause("where", _STOPS[1:]), _clause("having", _STOPS[3:])
     group, order = _clause(r"group\s+by", _STOPS[2:]), _clause(r"order\s+by", _STOPS[4:])
     tables = F.transform(
         F.split(source, r"\s+(?:(?:inner|left|right|full|outer|cross)\s+)*join\s+|\s*,\s*"),
-        lambda x: F.regexp_replace(F.regexp_extract(x, r"^\s*([\w`.]+)", 1), "`", ""),
+        lambda x: F.when(x.rlike(r"^\s*\("), F.concat(F.lit("SUBQ:"), F.regexp_replace(F.regexp_extract(x, r"\)\s*(?:as\s+)?(\w*)\s*(?:on\s.*)?$", 1), "^$", "anon")))
+        .otherwise(F.regexp_replace(F.regexp_extract(x, r"^\s*([\w`.]+)", 1), "`", "")),
     )
     on = F.flatten(F.transform(
         F.regexp_extract_all(source, F.lit(r"\son\s+(.*?)(?=\s(?:inner|left|right|full|outer|cross|join)\s|$)"), 1), _conditions))
     checks = F.concat(_conditions(where), _conditions(having), on)
-    nested = F.transform(F.regexp_extract_all("_q", F.lit(r"\(\s*select\s+([\w`.*]+)"), 1), lambda x: F.concat(F.lit("SUBQ:"), _name(x)))
-    sets = F.transform(F.regexp_extract_all("_q", F.lit(r"\b(union|intersect|except)\b"), 1), lambda x: F.concat(F.lit("SETOP:"), F.initcap(x)))
+    nested = F.transform(F.regexp_extract_all("_raw", F.lit(r"\(\s*select\s+([\w`.*]+)"), 1), lambda x: F.concat(F.lit("SUBQ:"), _name(x)))
+    sets = F.transform(F.regexp_extract_all("_raw", F.lit(r"\b(union|intersect|except)\b"), 1), lambda x: F.concat(F.lit("SETOP:"), F.initcap(x)))
     order_cols = F.transform(_list(order), lambda x: F.regexp_replace(x, r"\s+(?:asc|desc)$", ""))
     parts = {
         "select": F.filter(_names(_list(select)), lambda x: x != "*"),
         "where": F.transform(checks, _repr),
-        "group": F.concat(_names(_list(group)), F.transform(_conditions(having), lambda c: F.concat(F.lit("HAVING:"), _repr(c)))),
-        "order": F.concat(_names(order_cols), F.when(F.col("_q").rlike(r"\slimit\s"), F.array(F.lit("__LIMIT__"))).otherwise(F.array().cast("array<string>"))),
+        "group": F.concat(_names(_list(group)), F.when(F.trim(having) != "", F.array(F.concat(F.lit("HAVING:"), _repr(F.regexp_replace(
+            F.trim(having), r"(\bbetween\s+\S+)\s+and\s+", "$1 ~ "))))).otherwise(F.array().cast("array<string>"))),
+        "order": F.concat(_names(order_cols), F.when(F.col("_raw").rlike(r"\slimit\s"), F.array(F.lit("__LIMIT__"))).otherwise(F.array().cast("array<string>"))),
         "join": F.filter(tables, lambda x: x != ""),
         "iuen": F.concat(nested, sets),
-        "keywords": F.array_compact(F.array(*[F.when(F.col("_q").rlike(p), k) for k, p in KEYWORDS.items()])),
+        "keywords": F.array_compact(F.array(*[F.when(_readable(F.col("_level.top")).rlike(p), k) for k, p in KEYWORDS.items()])),
     }
     for name in COMPONENTS:
         work = work.withColumn(f"{prefix}{name}", F.array_sort(F.array_distinct(parts[name])))
-    return work.drop("_q", "_lits")
+    return work.drop("_q", "_raw", "_level")
 
 
 def exact_match(gold: str = "g_", pred: str = "p_") -> Column:
@@ -214,13 +260,12 @@ def component_f1(gold: str = "g_", pred: str = "p_") -> Column:
 
 def where_conditions(df: DataFrame, column: str, key: str = "instance_id") -> DataFrame:
     """One row per comparison of a column in WHERE: table, column, operator, value."""
-    work = df.withColumn("_q", F.concat(F.lit(" "), _quiet(F.col(column)))).withColumn("_lits", _literals(F.col(column)))
+    work = df.withColumn("_q", _levels(F.concat(F.lit(" "), _quiet(F.col(column))))["all"])
     items = F.split(F.regexp_replace(_clause("where", _STOPS[1:]), r"(\bbetween\s+\S+)\s+and\s+", "$1 ~ "), r"\s+(?:and|or)\s+")
     pattern = r"^\s*(?:([\w`]+)\.)?([\w`]+)\s*(<=|>=|<>|!=|=|<|>)\s*(.+?)\s*$"
-    rows = work.select(key, "_lits", F.explode(items).alias("_c")).where(F.col("_c").rlike(pattern))
+    rows = work.select(key, F.explode(items).alias("_c")).where(F.col("_c").rlike(pattern))
     right = F.regexp_extract("_c", pattern, 4)
-    quoted = F.regexp_extract(right, r"^'(\d+)'$", 1)
-    value = F.when(quoted != "", F.get(F.col("_lits"), F.when(quoted != "", quoted).cast("int"))).otherwise(right)
+    value = F.when(right.rlike(r"^'[0-9A-F]*'$"), _value(F.replace(right, F.lit("'"), F.lit("")))).otherwise(_restored(right))
     return rows.select(
         key, F.regexp_replace(F.regexp_extract("_c", pattern, 1), "`", "").alias("table_name"),
         F.regexp_replace(F.regexp_extract("_c", pattern, 2), "`", "").alias("column_name"),

@@ -44,6 +44,12 @@ def sql_text_features(spark, sf):
     return Q.sql_text_features(view(spark, sf, "query_log"), "pred_sql").select("instance_id", "features.*")
 
 
+@query("sql_shapes", "SELECT instance_id, shape, conditions FROM shape_log", ("shape_log",))
+def sql_shapes(spark, sf):
+    log = Q.sql_components(view(spark, sf, "shape_log").drop("conditions"), "pred_sql")
+    return log.select("instance_id", "shape", F.array_join("c_where", "|").alias("conditions"))
+
+
 @query("sql_hardness", """
 SELECT p_partkey AS instance_id, CASE WHEN 1 + (k3 AND TRUE)::INT * 2 + k5::INT * 2 <= 2 THEN 'easy'
   WHEN k3 AND NOT k5 THEN 'hard' ELSE CASE WHEN 1 + k3::INT * 2 + k5::INT * 2 <= 3 THEN 'hard' ELSE 'hard' END END AS hardness
