@@ -56,10 +56,13 @@ SELECT p_partkey AS instance_id,
               CASE WHEN p_partkey % 5 = 0 THEN ' ORDER BY p_name LIMIT 5' ELSE '' END) AS pred_sql
 FROM part""",
     "cell_values": """
-SELECT 'part' AS table_name, 'p_brand' AS column_name, p_brand AS value FROM part GROUP BY p_brand
-UNION ALL SELECT 'part', 'p_type', p_type FROM part GROUP BY p_type
-UNION ALL SELECT 'nation', 'n_name', n_name FROM nation GROUP BY n_name
-UNION ALL SELECT 'customer', 'c_mktsegment', c_mktsegment FROM customer GROUP BY c_mktsegment""",
+SELECT d.db_id, b.table_name, b.column_name, b.value
+FROM (SELECT 'part' AS table_name, 'p_brand' AS column_name, p_brand AS value FROM part GROUP BY p_brand
+      UNION ALL SELECT 'part', 'p_type', p_type FROM part GROUP BY p_type
+      UNION ALL SELECT 'nation', 'n_name', n_name FROM nation GROUP BY n_name
+      UNION ALL SELECT 'customer', 'c_mktsegment', c_mktsegment FROM customer GROUP BY c_mktsegment) b
+     JOIN (SELECT 'db0' AS db_id, 0 AS k UNION ALL SELECT 'db1', 1 UNION ALL SELECT 'db2', 2 UNION ALL SELECT 'db3', 3 UNION ALL SELECT 'db4', 4) d
+     ON d.k = 0 OR length(b.value) % 4 <> d.k - 1""",
 }
 
 
@@ -164,6 +167,35 @@ SELECT DISTINCT l_orderkey AS instance_id, concat('db', CAST(l_orderkey % 50 AS
        concat('T', CAST(l_linenumber AS STRING), '.col_', CAST(l_partkey % 17 AS STRING)) AS link
 FROM lineitem"""
 
+# Statement shapes with the WHERE set of each; @n is a number and @v a word of the part.
+SHAPES = (
+    ("select a from t where x = 1 or y = @n", "x = 1 or y = @n"),
+    ("SELECT a FROM t WHERE x = @n AND y > 2", "x = VAL:@n|y > VAL:2"),
+    ("select a from t where n not like '@vA%'", "n not like '@va%'"),
+    ("select a from t where n = 'O''Brien @n'", "n = VAL:O'Brien @n"),
+    ("select a from t where n = 'x--y @n' and b > 1 order by a", "b > VAL:1|n = VAL:x--y @n"),
+    ("select a /* , z */ from t where n /* = 3 */ = '@v'", "n = VAL:@v"),
+    ("select a from t where x in (select y from u where z = @n and w = 1) and k = @n", "k = VAL:@n|x IN"),
+    ("select a from t where x between @n and 9 and y = @n", "x BETWEEN|y = VAL:@n"),
+    ("select a from t where (x = @n or y = 2) and z is not null", "(x = @n or y = 2)|z is not null"),
+    ("select a, count(*) from t group by a having count(*) > @n and max(b) < 3", "count(*) > VAL:@n|max(b) < VAL:3"),
+    ("select a from t join u on t.id = u.id and u.k = @n", "id = COL|k = VAL:@n"),
+    ("select f(g(h(k(((a, @n))))), 1), b from t where not x = @n", "not x = @n"),
+    ("select a from t where exists (select 1 from u where u.k = 3) and w >= @n.5", "EXISTS|w >= VAL:@n.5"),
+    ("select a from t where x is null and y <> \"@v and @n\"", "x IS|y != VAL:@v and @n"),
+    ("select a from t where x like 'where%' and y != '/* @n */' limit 3", "x LIKE|y != VAL:/* @n */"),
+    ("select a from t where b = ';' and c = @n;", "b = VAL:;|c = VAL:@n"),
+    ("select count(distinct a) from (select a from u where q = 1) as s where s.a = @n union select 2 from t where v = @n", "a = VAL:@n"),
+    ("select a from t where lower(n) = '@v' and a.b = c.d", "b = COL|lower(n) = VAL:@v"),
+    ("select a from t where x not in (@n, 2) or x not between 1 and @n", "x not in (@n, 2) or x not between 1 and @n"),
+    ("select a from t where x = '' and y = ' @n '", "x = VAL:|y = VAL: @n "),
+)
+_quoted = "'{}'".format
+VIEWS["shape_log"] = "SELECT p_partkey AS instance_id, s.shape, " + ", ".join(
+    f"replace(replace(s.{c}, '@n', CAST(p_size AS STRING)), '@v', lower(p_brand)) AS {c}" for c in ("pred_sql", "conditions")) + " FROM part JOIN (" + " UNION ALL ".join(
+    f"SELECT {k} AS shape, {_quoted(sql.replace(chr(39), chr(39) * 2))} AS pred_sql, {_quoted(want.replace(chr(39), chr(39) * 2))} AS conditions"
+    for k, (sql, want) in enumerate(SHAPES)) + f") s ON p_partkey % {len(SHAPES)} = s.shape"
+
 VIEWS["asked"] = """
 SELECT c_custkey AS query_id, concat('db', CAST(c_custkey % 10 AS STRING)) AS db_id,
        concat('Show col ', CAST(c_custkey % 13 AS STRING), ' of t', CAST(c_nationkey % 9 AS STRING), ' where Col ', CAST(c_nationkey % 13 AS STRING),

@@ -7,6 +7,7 @@ Per-database arrays are as wide as one database has columns.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,17 +129,18 @@ def fk_neighbors(selected: DataFrame, edges: DataFrame) -> DataFrame:
     return near.join(taken, ["instance_id", "_l"], "left_anti").drop("_l")
 
 
-def join_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
+def join_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Shortest foreign-key path between table pairs with its ON conditions.
 
     Breadth-first frontier joins from the sources asked for; each round is cut
-    from its lineage and the loop ends when no new table is reached.
+    from its lineage and the loop ends when no new table is reached, or after
+    ``max_hops`` rounds if that is given.
     """
     ways = cut_lineage(both_ways(edges))
     reached = pairs.select("db_id", "source", F.col("source").alias("node"), F.lit(0).alias("hops"),
                            F.array().cast("array<string>").alias("path")).distinct()
     frontier = reached
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         step = frontier.join(ways.withColumnRenamed("a", "node"), ["db_id", "node"]).select(
             "db_id", "source", F.col("b").alias("node"), F.lit(hop).alias("hops"), F.concat("path", F.array("on")).alias("path"))
         best = step.groupBy("db_id", "source", "node").agg(F.min(F.struct("hops", "path")).alias("m"))

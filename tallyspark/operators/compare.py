@@ -109,7 +109,9 @@ def execution_match(
         wanted = F.lit(len(set(condition_cols))).cast("bigint")
     else:
         wanted = F.col("g_cols")
-    pred = body.where(F.col("candidate") != 0).withColumnRenamed("candidate", "left_id")
+    # Results of another length cannot agree, so their cells are not compared.
+    alike = pairs.where(F.col("n_rows") == F.col("g_rows")).select(*ID)
+    pred = body.where(F.col("candidate") != 0).join(alike, ID, "left_semi").withColumnRenamed("candidate", "left_id")
     same = column_matches(pred, gold, ["instance_id"]).withColumnRenamed("left_id", "candidate")
     options = (
         same.join(pairs, ID)
@@ -194,25 +196,28 @@ def multiset_equal_any_column_order(
     """1 when the rows agree as a multiset (or in order) under some column permutation.
 
     Only columns with equal value multisets may map to each other; each
-    remaining permutation is verified exactly by counting rows.
+    remaining permutation is verified exactly by counting rows.  Candidate
+    columns with the same values row by row are interchangeable, so they are
+    taken in their order only.
     """
     pairs = _pairs(result_shapes(cells) if shapes is None else shapes)
     exact = encode(None)
     columns = cells.groupBy(*ID, "col_no").agg(
         F.bit_xor(F.xxhash64(exact, F.lit(1))).alias("_x"), F.sum(F.xxhash64(exact).cast("decimal(38,0)")).alias("_s"),
-        F.count(F.lit(1)).alias("_n"),
+        F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64("row_no", exact).cast("decimal(38,0)")).alias("_same"),
     )
     gold_cols = columns.where(F.col("candidate") == 0).select(
         "instance_id", F.col("col_no").alias("g_col"), "_x", "_s", "_n"
     )
     options = (
         columns.where(F.col("candidate") != 0).join(gold_cols, ["instance_id", "_x", "_s", "_n"])
-        .groupBy(*ID, "g_col").agg(F.array_sort(F.collect_list(F.col("col_no").cast("int"))).alias("o"))
+        .groupBy(*ID, "g_col").agg(F.array_sort(F.collect_list(F.struct(F.col("col_no").cast("int").alias("c"), "_same"))).alias("o"))
         .groupBy(*ID).agg(F.array_sort(F.collect_list(F.struct("g_col", "o"))).alias("options"))
     )
     permutations = F.expr(
         "aggregate(options, array(CAST(array() AS array<int>)), (done, x) -> flatten(transform(done, p -> "
-        "transform(array_except(x.o, p), c -> concat(p, array(c))))))"
+        "transform(filter(x.o, a -> NOT array_contains(p, a.c) AND NOT exists(x.o, b -> b._same = a._same AND b.c < a.c AND NOT array_contains(p, b.c))), "
+        "a -> concat(p, array(a.c))))))"
     )
     perms = (
         pairs.where((F.col("n_rows") == F.col("g_rows")) & (F.col("n_cols") == F.col("g_cols"))).join(options, ID)

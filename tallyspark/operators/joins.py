@@ -81,21 +81,23 @@ def containment_join(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return g.join(p, "instance_id").select("instance_id", F.explode(covered).alias("link"))
 
 
-def find_similar_values(values: DataFrame, literals: DataFrame, limit: int = SHOWN) -> DataFrame:
+def find_similar_values(values: DataFrame, literals: DataFrame, limit: int = SHOWN, max_value: int = MAX_VALUE) -> DataFrame:
     """Distinct short cells that contain a literal, at most ``limit`` per column.
 
     Every substring of a cell whose length some literal has is looked up by
-    equality; cells are shorter than fifty characters, so the fan-out is bounded.
+    equality within its database; cells are shorter than ``max_value``
+    characters, so the fan-out is bounded.  ``values`` and ``literals`` carry
+    ``db_id``.
     """
-    asked = literals.select(F.lower("literal").alias("_s"), "literal").where(F.length("literal") > 1).distinct()
-    # Literals as long as the longest shown cell can match: fewer than fifty distinct lengths exist.
-    lengths = asked.select(F.length("_s").alias("n")).where(F.col("n") < MAX_VALUE).distinct().agg(F.collect_set("n")).scalar()
-    cells = values.select("table_name", "column_name", "value").where(F.length("value") < MAX_VALUE).distinct()
+    asked = literals.select("db_id", F.lower("literal").alias("_s"), "literal").where(F.length("literal") > 1).distinct()
+    # Literals as long as the longest shown cell can match: fewer than ``max_value`` distinct lengths exist.
+    lengths = asked.select(F.length("_s").alias("n")).where(F.col("n") < max_value).distinct().agg(F.collect_set("n")).scalar()
+    cells = values.select("db_id", "table_name", "column_name", "value").where(F.length("value") < max_value).distinct()
     pieces = F.expr(
         "array_distinct(flatten(transform(filter(_n, n -> n <= length(value)), n -> transform(sequence(1, length(value) - n + 1), i -> substring(lower(value), i, n)))))"
     )
-    hits = cells.withColumn("_n", lengths).select("table_name", "column_name", "value", F.explode(pieces).alias("_s")).join(asked, "_s")
-    order = Window.partitionBy("literal", "table_name", "column_name").orderBy("value")
+    hits = cells.withColumn("_n", lengths).select("db_id", "table_name", "column_name", "value", F.explode(pieces).alias("_s")).join(asked, ["db_id", "_s"])
+    order = Window.partitionBy("literal", "db_id", "table_name", "column_name").orderBy("value")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("_s")
 
 

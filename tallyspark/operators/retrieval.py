@@ -140,10 +140,10 @@ def ranked_schema(questions: DataFrame, catalogs: DataFrame, top_tables: int, to
     return columns.join(tables, ["query_id", "table_name"]).select("query_id", "table_name", "column_name", "table_rank", "column_rank")
 
 
-def question_grams(questions: DataFrame, max_n: int = MAX_GRAM) -> DataFrame:
-    """Word n-grams with their positions: ``query_id, db_id, pos, n, gram``."""
+def question_grams(questions: DataFrame, max_n: int | str = MAX_GRAM) -> DataFrame:
+    """Word n-grams with their positions: ``query_id, db_id, pos, n, gram``.  ``max_n`` is a number or a column of ``questions``."""
     grams = F.expr(
-        f"flatten(transform(sequence(1, least({int(max_n)}, size(_w))), n -> transform(sequence(0, size(_w) - n), i -> "
+        f"flatten(transform(sequence(1, least({max_n}, size(_w))), n -> transform(sequence(0, size(_w) - n), i -> "
         "struct(i AS pos, n AS n, array_join(slice(_w, i + 1, n), ' ') AS gram))))")
     keep = [c for c in ("query_id", "db_id") if c in questions.columns]
     return questions.withColumn("_w", words(F.col("question"))).where(F.size("_w") > 0).select(*keep, F.explode(grams).alias("g")).select(*keep, "g.*")
@@ -240,23 +240,24 @@ def cell_value_link(questions: DataFrame, values: DataFrame) -> DataFrame:
     """Runs of question words that appear as whole words of a column's cells.
 
     A run is exact when its words joined equal a cell, else partial; one row per
-    word of the run.  ``values``: ``table_name, column_name, value``.
+    word of the run.  ``values``: ``db_id, table_name, column_name, value``; a
+    question meets the cells of its own database only.
     """
     noise = (*STOPWORDS, *PUNCTUATION)
-    tokens = questions.select("query_id", F.posexplode(words(F.col("question"))).alias("pos", "word")).where(
+    tokens = questions.select("query_id", "db_id", F.posexplode(words(F.col("question"))).alias("pos", "word")).where(
         ~F.col("word").isin(*noise) & F.col("word").try_cast("double").isNull())
-    distinct = values.select("table_name", "column_name", F.lower(F.trim("value")).alias("cell")).distinct()
-    cell_words = distinct.select("table_name", "column_name", F.explode(F.split("cell", r"\s+")).alias("word")).distinct()
-    hits = tokens.join(cell_words, "word")
-    keys = ["query_id", "table_name", "column_name"]
+    distinct = values.select("db_id", "table_name", "column_name", F.lower(F.trim("value")).alias("cell")).distinct()
+    cell_words = distinct.select("db_id", "table_name", "column_name", F.explode(F.split("cell", r"\s+")).alias("word")).distinct()
+    hits = tokens.join(cell_words, ["db_id", "word"])
+    keys = ["query_id", "db_id", "table_name", "column_name"]
     islands = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*keys).orderBy("pos")))
     runs = islands.groupBy(*keys, "run").agg(
         F.min("pos").alias("start"), F.max("pos").alias("stop"),
         F.array_join(F.array_sort(F.collect_list(F.struct("pos", "word")))["word"], " ").alias("cell"))
     known = distinct.withColumn("exact", F.lit(True))
-    flagged = runs.join(known, ["table_name", "column_name", "cell"], "left")
+    flagged = runs.join(known, ["db_id", "table_name", "column_name", "cell"], "left")
     flag = F.when(F.col("exact"), "EXACTMATCH").otherwise("PARTIALMATCH")
-    return flagged.select(*keys, flag.alias("flag"), F.explode(F.sequence("start", "stop")).alias("pos"))
+    return flagged.select("query_id", "table_name", "column_name", flag.alias("flag"), F.explode(F.sequence("start", "stop")).alias("pos"))
 
 
 def numeric_tokens(questions: DataFrame, catalogs: DataFrame) -> DataFrame:
@@ -270,24 +271,31 @@ def numeric_tokens(questions: DataFrame, catalogs: DataFrame) -> DataFrame:
 
 
 def fuzzy_value_match(questions: DataFrame, values: DataFrame, theta: float = VALUE_THETA, top_k: int = VALUE_TOP_K) -> DataFrame:
-    """Cells close to a span of question words, best ``top_k`` per question and column.
+    """Cells of the question's database close to a span of its words, best ``top_k`` per question and column.
 
-    Spans are word n-grams; stopwords, numbers and common terms never match, and
-    common words or upper-case cells only when equal.
+    Spans are word n-grams as long as the longest cell of the database; a span
+    may drop a possessive ending, and then has to equal the cell.  Stopwords,
+    numbers and common terms never match; common words, upper-case cells and
+    columns of names only when equal.  ``values``: ``db_id, table_name,
+    column_name, value``.
     """
-    spans = question_grams(questions.select("query_id", "question")).select("query_id", "gram").distinct()
-    cells = values.select("table_name", "column_name", "value", F.lower(F.trim("value")).alias("cell")).distinct()
+    cells = values.select("db_id", "table_name", "column_name", "value", F.lower(F.trim("value")).alias("cell")).distinct()
+    longest = cells.groupBy("db_id").agg(F.max(F.size(F.split("cell", r"\s+"))).alias("_longest"))
+    grams = question_grams(questions.select("query_id", "db_id", "question").join(longest, "db_id"), "_longest").select("query_id", "db_id", "gram")
+    owned = grams.where(F.col("gram").endswith("'s")).select("query_id", "db_id", F.regexp_replace("gram", "'s$", "").alias("gram"), F.lit(True).alias("owner"))
+    spans = grams.withColumn("owner", F.lit(False)).unionByName(owned).groupBy("query_id", "db_id", "gram").agg(F.min("owner").alias("owner"))
     blocked = (*STOPWORDS, *COMMON_TERMS)
     usable = cells.where(~F.col("cell").isin(*blocked) & F.regexp_replace("cell", ",", "").try_cast("double").isNull())
     pairs = edit_join(
-        spans.select(F.col("gram").alias("left_text")).where(~F.col("left_text").isin(*blocked)),
-        usable.select(F.col("cell").alias("right_text")), theta)
+        spans.select(F.col("gram").alias("left_text")).distinct().where(~F.col("left_text").isin(*blocked)),
+        usable.select(F.col("cell").alias("right_text")).distinct(), theta)
     same_start = F.substring("left_text", 1, 1) == F.substring("right_text", 1, 1)
     exact_only = F.col("left_text").isin(*COMMON_WORDS) | F.col("right_text").isin(*COMMON_WORDS)
     pairs = pairs.where(same_start & ((F.col("ratio") == 1) | ~exact_only))
     hits = (
         spans.join(pairs.select(F.col("left_text").alias("gram"), F.col("right_text").alias("cell"), "ratio"), "gram")
-        .join(usable, "cell").where((F.col("ratio") == 1) | (F.upper("value") != F.col("value")))
+        .join(usable, ["db_id", "cell"])
+        .where((F.col("ratio") == 1) | ((F.upper("value") != F.col("value")) & ~F.col("owner") & ~F.col("column_name").contains("name")))
         .groupBy("query_id", "table_name", "column_name", "value").agg(F.max("ratio").alias("score")))
     order = Window.partitionBy("query_id", "table_name", "column_name").orderBy(F.desc("score"), "value")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
@@ -357,7 +365,7 @@ def bm25_top_n(queries: DataFrame, corpus: DataFrame, n: int, group: Sequence[st
 
 
 def _column_sizes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    keys = ["table_name", "column_name"]
+    keys = ["db_id", "table_name", "column_name"]
     distinct = values.select(*keys, "value").where(F.col("value").isNotNull()).distinct()
     return distinct, distinct.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.length("value")).alias("len"), F.min("value").alias("first"))
@@ -366,29 +374,45 @@ def _column_sizes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
 def static_column_samples(values: DataFrame, limit: int) -> DataFrame:
     """Values that every question is shown: all of a small column, the first of a column of very long values."""
     distinct, sizes = _column_sizes(values)
-    keys = ["table_name", "column_name"]
+    keys = ["db_id", "table_name", "column_name"]
     long_ones = sizes.where(F.col("len") > LONG_VALUES).select(*keys, F.col("first").alias("value"))
     small = sizes.where((F.col("len") <= LONG_VALUES) & (F.col("n") <= limit)).select(*keys)
     return long_ones.unionByName(distinct.join(small, keys, "left_semi"))
 
 
 def bm25_column_samples(questions: DataFrame, values: DataFrame, limit: int) -> DataFrame:
-    """Best ``limit`` values per question and column, for columns with more values than that.
+    """Best ``limit`` values per question and column of its database, for columns with more values than that.
 
-    BM25 ranks the text '<table> <column> <value>'.  Other columns:
+    BM25 ranks the text '<table> <column> <value>'; when fewer values share a
+    term with the question, the first of the others by value fill up with score
+    0, so a column always gives ``limit`` rows.  Other columns:
     ``static_column_samples``.
     """
     distinct, sizes = _column_sizes(values)
-    keys = ["table_name", "column_name"]
+    keys = ["db_id", "table_name", "column_name"]
     many = distinct.join(sizes.where((F.col("len") <= LONG_VALUES) & (F.col("n") > limit)).select(*keys), keys, "left_semi")
-    column = F.concat_ws(".", *keys)
-    corpus = many.select(column.alias("col"), F.col("value").alias("item_id"), F.split(F.concat_ws(" ", *keys, "value"), r"\s+").alias("tokens"))
-    asked = questions.select("query_id", F.split(F.regexp_replace("question", "[\"'`]", ""), r"\s+").alias("tokens"))
-    columns = many.select(column.alias("col")).distinct().agg(F.collect_list("col")).scalar()  # as many as the catalog has columns
-    scoped = asked.withColumn("col", F.explode(columns)).select(F.struct("query_id", "col").alias("query_id"), "col", "tokens")
-    weights = bm25_weights(corpus, asked.select(F.explode("tokens").alias("term")), ["col"])
-    hits = block_topk(query_terms(scoped).select("query_id", "col", "terms", "weights"), weights, weighted_term_scorer(), limit, ["col"])
-    return hits.select("query_id.query_id", "query_id.col", F.col("item_id").alias("value"), "rank", "score")
+    column = F.concat_ws(".", "table_name", "column_name")
+    corpus = many.select("db_id", column.alias("col"), F.col("value").alias("item_id"), F.split(F.concat_ws(" ", "table_name", "column_name", "value"), r"\s+").alias("tokens"))
+    asked = questions.select("query_id", "db_id", F.split(F.regexp_replace("question", "[\"'`]", ""), r"\s+").alias("tokens"))
+    columns = corpus.select(F.col("db_id").alias("_db"), F.col("col").alias("_col")).distinct()
+    scoped = asked.join(columns, F.col("db_id") == F.col("_db")).select("query_id", "db_id", F.col("_col").alias("col"), "tokens")
+    weights = bm25_weights(corpus, asked.select(F.explode("tokens").alias("term")), ["db_id", "col"])
+    named = scoped.select(F.struct("query_id", "col").alias("query_id"), "db_id", "col", "tokens")
+    hits = block_topk(query_terms(named).select("query_id", "db_id", "col", "terms", "weights"), weights, weighted_term_scorer(), limit, ["db_id", "col"])
+    hits = hits.select("query_id.query_id", "query_id.col", F.col("item_id").alias("value"), "score")
+    # At most ``limit`` of the first 2 * limit values can be among the hits, so the rest are enough to fill up.
+    by_value = Window.partitionBy("db_id", "col").orderBy("item_id")
+    first = corpus.withColumn("_r", F.row_number().over(by_value)).where(F.col("_r") <= 2 * limit).select(
+        F.col("db_id").alias("_db"), F.col("col").alias("_col"), F.col("item_id").alias("_value"))
+    every_pair = scoped.select("query_id", "db_id", F.col("col").alias("_asked"))
+    offered = every_pair.join(first, (F.col("db_id") == F.col("_db")) & (F.col("_asked") == F.col("_col"))).select(
+        "query_id", F.col("_asked").alias("col"), F.col("_value").alias("value"), F.lit(None).cast("double").alias("score"))
+    # A value that was hit keeps its score; the others of a column with fewer than ``limit`` hits have none, so 0.
+    scored = hits.unionByName(offered).groupBy("query_id", "col", "value").agg(F.max("score").alias("score"))
+    counted = scored.withColumn("_n", F.count("score").over(Window.partitionBy("query_id", "col")))  # at most 3 * limit rows
+    every = counted.where(F.col("score").isNotNull() | (F.col("_n") < limit)).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    order = Window.partitionBy("query_id", "col").orderBy(F.desc("score"), "value")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "col", "value", "rank", "score")
 
 
 def overlap_few_shot(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:

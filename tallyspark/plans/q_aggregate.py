@@ -410,19 +410,19 @@ def token_by_step_and_sample(spark, sf):
 
 
 @query("stage_iterations", """
-WITH r AS (SELECT stage_id AS metric, supp_no % 3 AS iteration, instance_id, link_precision AS value FROM stage_rows WHERE stage_no <= 2),
+WITH r AS (SELECT stage_id AS metric, supp_no % 3 AS iteration, instance_id, link_precision AS value FROM stage_rows),
 p AS (SELECT metric, iteration, avg(value) AS a, count(value) AS v, count(*) AS t FROM r GROUP BY 1, 2)
-SELECT metric, round(avg(a), 6) AS avg, max(v) AS valid_num, max(t) AS total_items, count(a) AS iterations FROM p GROUP BY metric""", ("stage_rows",))
+SELECT metric, round(avg(a), 6) AS avg, max(v) AS valid_num, max(t) AS total_items, count(a) AS iterations FROM p GROUP BY metric HAVING count(a) > 0""", ("stage_rows",))
 def stage_iterations(spark, sf):
-    rows = view(spark, sf, "stage_rows").where("stage_no <= 2").select(
+    rows = view(spark, sf, "stage_rows").select(
         F.col("stage_id").alias("metric"), (F.col("supp_no") % 3).alias("iteration"), "instance_id", F.col("link_precision").alias("value"))
     return rounded(A.iteration_summary(rows))
 
 
 @query("iteration_samples", """
-SELECT instance_id, stage_id AS metric, round(avg(link_precision), 6) AS avg FROM stage_rows WHERE stage_no <= 2 GROUP BY 1, 2""", ("stage_rows",))
+SELECT instance_id, stage_id AS metric, round(avg(link_precision), 6) AS avg FROM stage_rows GROUP BY 1, 2""", ("stage_rows",))
 def iteration_samples(spark, sf):
-    rows = view(spark, sf, "stage_rows").where("stage_no <= 2").select(
+    rows = view(spark, sf, "stage_rows").select(
         "instance_id", F.col("stage_id").alias("metric"), F.col("link_precision").alias("value"))
     return rounded(A.iteration_samples(rows))
 

@@ -102,6 +102,19 @@ def multiset_equal(spark, sf):
     return C.multiset_equal_any_column_order(swapped)
 
 
+@query("multiset_equal_wide", f"""WITH {BASE},
+raw AS (SELECT instance_id, candidate, row_no, CAST(max(num_value) AS VARCHAR) AS r FROM cells GROUP BY 1, 2, 3),
+l AS (SELECT instance_id, candidate, list(r ORDER BY r) AS x, list(r ORDER BY row_no) AS y FROM raw GROUP BY 1, 2)
+SELECT p.instance_id, p.candidate, (a.x = b.x)::INT AS score, (a.y = b.y)::INT AS ordered
+FROM prs p JOIN l a USING (instance_id, candidate) JOIN l b ON b.instance_id = p.instance_id AND b.candidate = 0""", V)
+def multiset_equal_wide(spark, sf):
+    """Ten equal columns per result: one permutation is tried, not 3.6 million."""
+    wide = cells(spark, sf).where("col_no = 1").drop("col_no").withColumn("col_no", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    plain = C.multiset_equal_any_column_order(wide)
+    ordered = C.multiset_equal_any_column_order(wide, ordered=True).withColumnRenamed("score", "ordered")
+    return plain.join(ordered, ["instance_id", "candidate"])
+
+
 @query("canonical_answer_equal", f"""WITH {BASE},
 raw AS (SELECT instance_id, candidate, row_no, max(str_value) AS s, CAST(round(max(num_value), 3) AS VARCHAR) AS n FROM cells GROUP BY 1, 2, 3),
 l AS (SELECT instance_id, candidate, list([s, n] ORDER BY [s, n])[1:100] AS x FROM raw GROUP BY 1, 2)

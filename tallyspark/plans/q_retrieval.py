@@ -149,16 +149,19 @@ def tag_links(spark, sf):
     return R.tag_links(asked(spark, sf), catalogs)
 
 
+# Questions that also name a nation with a possessive ending.
+OWNED = "concat(question, ' like ', CASE WHEN query_id % 3 = 0 THEN 'germany''s' WHEN query_id % 3 = 1 THEN 'United Kingdoms' ELSE 'chinas' END, ' shops')"
+
 VALUES = """
-v AS (SELECT table_name, column_name, lower(trim(value)) AS cell FROM cell_values GROUP BY ALL)"""
+v AS (SELECT db_id, table_name, column_name, lower(trim(value)) AS cell FROM cell_values GROUP BY ALL)"""
 
 
 @query("cell_value_link", f"""WITH {VALUES},
-t AS (SELECT query_id, unnest(string_split(lower(question), ' ')) AS word, generate_subscripts(string_split(lower(question), ' '), 1) - 1 AS pos FROM asked),
-cw AS (SELECT DISTINCT table_name, column_name, unnest(string_split_regex(cell, '\\s+')) AS word FROM v),
-h AS (SELECT query_id, table_name, column_name, pos, word, pos - row_number() OVER (PARTITION BY query_id, table_name, column_name ORDER BY pos) AS run FROM t JOIN cw USING (word) WHERE word NOT IN ({STOP_SQL}) AND try_cast(word AS DOUBLE) IS NULL),
+t AS (SELECT query_id, db_id, unnest(string_split(lower(question), ' ')) AS word, generate_subscripts(string_split(lower(question), ' '), 1) - 1 AS pos FROM asked),
+cw AS (SELECT DISTINCT db_id, table_name, column_name, unnest(string_split_regex(cell, '\\s+')) AS word FROM v),
+h AS (SELECT query_id, db_id, table_name, column_name, pos, word, pos - row_number() OVER (PARTITION BY query_id, table_name, column_name ORDER BY pos) AS run FROM t JOIN cw USING (db_id, word) WHERE word NOT IN ({STOP_SQL}) AND try_cast(word AS DOUBLE) IS NULL),
 r AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY query_id, table_name, column_name, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS span FROM h)
-SELECT query_id, table_name, column_name, CASE WHEN EXISTS (SELECT 1 FROM v WHERE v.table_name = r.table_name AND v.column_name = r.column_name AND v.cell = r.span) THEN 'EXACTMATCH' ELSE 'PARTIALMATCH' END AS flag, CAST(pos AS INT) AS pos FROM r""",
+SELECT query_id, table_name, column_name, CASE WHEN EXISTS (SELECT 1 FROM v WHERE v.db_id = r.db_id AND v.table_name = r.table_name AND v.column_name = r.column_name AND v.cell = r.span) THEN 'EXACTMATCH' ELSE 'PARTIALMATCH' END AS flag, CAST(pos AS INT) AS pos FROM r""",
        ("asked", "cell_values"))
 def cell_value_link(spark, sf):
     return R.cell_value_link(asked(spark, sf), view(spark, sf, "cell_values"))
@@ -175,15 +178,18 @@ def numeric_tokens(spark, sf):
     return R.numeric_tokens(asked(spark, sf), catalogs).select("query_id", "pos", "word", F.size("number_columns").cast("bigint").alias("number_columns"))
 
 
-@query("fuzzy_value_match", f"""WITH v AS (SELECT table_name, column_name, value, lower(trim(value)) AS cell FROM cell_values GROUP BY ALL),
-w AS (SELECT query_id, string_split(lower(question), ' ') AS w FROM asked),
-g AS (SELECT DISTINCT query_id, array_to_string(w[i + 1:i + n], ' ') AS gram FROM w, range(0, 20) r(i), range(1, 6) s(n) WHERE i + n <= len(w)),
+@query("fuzzy_value_match", f"""WITH v AS (SELECT db_id, table_name, column_name, value, lower(trim(value)) AS cell FROM cell_values GROUP BY ALL),
+w AS (SELECT query_id, db_id, string_split(lower({OWNED}), ' ') AS w FROM asked),
+b AS (SELECT DISTINCT query_id, db_id, array_to_string(w[i + 1:i + n], ' ') AS gram FROM w, range(0, 30) r(i), range(1, 30) s(n) WHERE i + n <= len(w)),
+g AS (SELECT query_id, db_id, gram, min(owner) AS owner FROM (SELECT *, 0 AS owner FROM b UNION ALL SELECT query_id, db_id, left(gram, length(gram) - 2), 1 FROM b WHERE gram LIKE '%''s') GROUP BY 1, 2, 3),
 d AS (SELECT DISTINCT gram FROM g WHERE gram NOT IN ({STOP_SQL}, 'id')), e AS (SELECT DISTINCT cell FROM v WHERE cell NOT IN ({STOP_SQL}, 'id') AND try_cast(replace(cell, ',', '') AS DOUBLE) IS NULL),
 p AS (SELECT gram, cell, 1 - levenshtein(gram, cell) / greatest(length(gram), length(cell)) AS ratio FROM d, e WHERE left(gram, 1) = left(cell, 1) AND levenshtein(gram, cell) <= floor(0.15 * greatest(length(gram), length(cell)) + 1e-9)),
-h AS (SELECT query_id, table_name, column_name, value, round(max(ratio), 6) AS score FROM g JOIN p USING (gram) JOIN v USING (cell) WHERE ratio = 1 OR upper(value) <> value GROUP BY 1, 2, 3, 4)
+h AS (SELECT query_id, table_name, column_name, value, round(max(ratio), 6) AS score FROM g JOIN p USING (gram) JOIN v USING (db_id, cell)
+ WHERE ratio = 1 OR (upper(value) <> value AND owner = 0 AND NOT contains(column_name, 'name')) GROUP BY 1, 2, 3, 4)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, table_name, column_name ORDER BY score DESC, value) AS rank FROM h) WHERE rank <= 2""", ("asked", "cell_values"))
 def fuzzy_value_match(spark, sf):
-    return rounded(R.fuzzy_value_match(asked(spark, sf), view(spark, sf, "cell_values")))
+    questions = asked(spark, sf).withColumn("question", F.expr(OWNED))
+    return rounded(R.fuzzy_value_match(questions, view(spark, sf, "cell_values")))
 
 
 @query("nearest_name", """
@@ -226,20 +232,21 @@ def bm25_top_n(spark, sf):
 
 
 @query("bm25_column_samples", """
-WITH v AS (SELECT table_name || '.' || column_name AS col, value, string_split_regex(table_name || ' ' || column_name || ' ' || value, '\\s+') AS w, count(*) OVER (PARTITION BY table_name, column_name) AS k FROM cell_values),
-m AS (SELECT * FROM v WHERE k > 6), s AS (SELECT col, count(*) AS n, avg(len(w)) AS avgdl FROM m GROUP BY 1),
-tf AS (SELECT col, value, len(w) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(w) AS term FROM m) GROUP BY 1, 2, 3, 4),
-i AS (SELECT col, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN s USING (col) GROUP BY col, term, n), f AS (SELECT col, avg(idf) * 0.25 AS floor FROM i GROUP BY 1),
-q AS (SELECT query_id, term, count(*) AS c FROM (SELECT query_id, unnest(string_split_regex(question, '\\s+')) AS term FROM asked) GROUP BY 1, 2),
+WITH v AS (SELECT db_id, table_name || '.' || column_name AS col, value, string_split_regex(table_name || ' ' || column_name || ' ' || value, '\\s+') AS w, count(*) OVER (PARTITION BY db_id, table_name, column_name) AS k FROM cell_values),
+m AS (SELECT * FROM v WHERE k > 6), s AS (SELECT db_id, col, count(*) AS n, avg(len(w)) AS avgdl FROM m GROUP BY 1, 2),
+tf AS (SELECT db_id, col, value, len(w) AS dl, term, count(*) AS tf FROM (SELECT *, unnest(w) AS term FROM m) GROUP BY 1, 2, 3, 4, 5),
+i AS (SELECT db_id, col, term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf JOIN s USING (db_id, col) GROUP BY db_id, col, term, n), f AS (SELECT db_id, col, avg(idf) * 0.25 AS floor FROM i GROUP BY 1, 2),
+q AS (SELECT query_id, db_id, term, count(*) AS c FROM (SELECT query_id, db_id, unnest(string_split_regex(question, '\\s+')) AS term FROM asked) GROUP BY 1, 2, 3),
 x AS (SELECT query_id, col, value, round(sum(c * CASE WHEN idf < 0 THEN floor ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
- FROM q JOIN tf USING (term) JOIN i USING (col, term) JOIN f USING (col) JOIN s USING (col) GROUP BY 1, 2, 3)
-SELECT query_id, col, value, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, col ORDER BY score DESC, value) AS rank FROM x) WHERE rank <= 6""", ("asked", "cell_values"))
+ FROM q JOIN tf USING (db_id, term) JOIN i USING (db_id, col, term) JOIN f USING (db_id, col) JOIN s USING (db_id, col) GROUP BY 1, 2, 3),
+y AS (SELECT a.query_id, m.col, m.value, coalesce(x.score, 0) AS score FROM asked a JOIN m USING (db_id) LEFT JOIN x ON x.query_id = a.query_id AND x.col = m.col AND x.value = m.value)
+SELECT query_id, col, value, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, col ORDER BY score DESC, value) AS rank FROM y) WHERE rank <= 6""", ("asked", "cell_values"))
 def bm25_column_samples(spark, sf):
     return R.bm25_column_samples(asked(spark, sf), view(spark, sf, "cell_values"), 6)
 
 
 @query("static_column_samples", """
-SELECT table_name, column_name, value FROM (SELECT *, count(*) OVER (PARTITION BY table_name, column_name) AS k FROM cell_values) WHERE k <= 6""", ("cell_values",))
+SELECT db_id, table_name, column_name, value FROM (SELECT *, count(*) OVER (PARTITION BY db_id, table_name, column_name) AS k FROM cell_values) WHERE k <= 6""", ("cell_values",))
 def static_column_samples(spark, sf):
     return R.static_column_samples(view(spark, sf, "cell_values"), 6)
 

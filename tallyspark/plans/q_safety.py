@@ -129,11 +129,13 @@ def unsafe_structure(spark, sf):
     return S.unsafe_structure(rows, "body", S.DIAGNOSTIC_FIELDS).select("event_id", F.array_join("problems", ",").alias("problems"))
 
 
-@query("strip_records", "SELECT event_id, 'ex,n' AS keys FROM events")
+@query("strip_records", """
+SELECT event_id, '{"ex": 0.5, "by": {"easy": {"n": ' || event_id || ', "list": [{"score": 1}, [{"k": 2}], "text"]}}, "n": ' || user_id || '}' AS body FROM events""")
 def strip_records(spark, sf):
-    body = F.concat(F.lit('{"ex": 0.5, "per_sample": [1], "config_path": "x", "Path": 1, "n": '), F.col("event_id"), F.lit("}"))
-    kept = S.strip_records(body)
-    return table(spark, sf, "events").select("event_id", F.array_join(F.array_sort(F.json_object_keys(kept)), ",").alias("keys"))
+    body = F.concat(
+        F.lit('{"ex": 0.5, "per_sample": [1], "by": {"easy": {"n": '), F.col("event_id"),
+        F.lit(', "Config-Path": "x", "list": [{"path": "/a", "score": 1}, [{"Records": [{"a": 1}], "k": 2}], "text"]}}, "Path": 1, "n": '), F.col("user_id"), F.lit("}"))
+    return table(spark, sf, "events").select("event_id", S.strip_records(body).alias("body"))
 
 
 @query("redact", """
@@ -141,13 +143,15 @@ SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'The configured API key was rejec
  WHEN 3 THEN 'auth [redacted] at [redacted]' ELSE 'plain ' || event_type END AS message, CASE WHEN event_id % 2 = 0 THEN 'run-' || event_id ELSE '[redacted]' END AS run_id FROM events""")
 def redact(spark, sf):
     k = F.col("event_id") % 5
-    message = (F.when(k == 0, "Error: invalid_api_key").when(k == 1, "  ").when(k == 2, "call https://host/x?y=1 failed")
+    message = (F.when(k == 0, "Error: invalid_api_key").when(k == 1, " \n\t ").when(k == 2, "call https://host/x?y=1 failed")
                .when(k == 3, "auth token=abc at /home/me/x.log").otherwise(F.concat(F.lit("plain "), "event_type")))
     run_id = F.concat(F.when(F.col("event_id") % 2 == 0, "run-").otherwise("run "), "event_id")
     return table(spark, sf, "events").select("event_id", S.redact(message).alias("message"), S.public_value(run_id).alias("run_id"))
 
 
-@query("numeric_fields", "SELECT event_id, 1 AS n, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
+@query("numeric_fields", """
+SELECT event_id, '{"k": ' || json_extract_string(props, '$.k') || ', "deep": {"on": true, "list": [1, [2.5], {"n": ' || event_id || '}]}}' AS kept FROM events""")
 def numeric_fields(spark, sf):
-    kept = S.numeric_fields(F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(', "bad key": 1, "text": "x"}')))
-    return table(spark, sf, "events").select("event_id", F.size(kept).alias("n"), kept["k"].alias("k"))
+    deep = F.concat(F.lit(', "bad key": 1, "text": "x", "deep": {"on": true, "off": null, "list": [1, "y", [2.5, []], {"n": '), F.col("event_id"), F.lit(', "s": "z"}], "none": {"a": "b"}}}'))
+    kept = S.numeric_fields(F.concat(F.expr("substring(props, 1, length(props) - 1)"), deep))
+    return table(spark, sf, "events").select("event_id", kept.alias("kept"))

@@ -289,15 +289,16 @@ def containment_join(spark, sf):
 
 
 @query("find_similar_values", """
-WITH l AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS literal FROM part UNION SELECT DISTINCT lower(substr(p_brand, 1, 7)) FROM part),
-h AS (SELECT v.table_name, v.column_name, v.value, l.literal, row_number() OVER (PARTITION BY l.literal, v.table_name, v.column_name ORDER BY v.value) AS rank
- FROM (SELECT * FROM cell_values UNION ALL SELECT 'part', 'p_name', p_name FROM part GROUP BY p_name) v JOIN l ON contains(lower(v.value), l.literal) WHERE length(v.value) < 50)
+WITH l AS (SELECT DISTINCT 'db' || p_size % 5 AS db_id, lower(split_part(p_name, ' ', 1)) AS literal FROM part UNION SELECT DISTINCT 'db' || p_size % 5, lower(substr(p_brand, 1, 7)) FROM part),
+h AS (SELECT v.db_id, v.table_name, v.column_name, v.value, l.literal, row_number() OVER (PARTITION BY l.literal, v.db_id, v.table_name, v.column_name ORDER BY v.value) AS rank
+ FROM (SELECT * FROM cell_values UNION ALL SELECT 'db' || p_size % 5, 'part', 'p_name', p_name FROM part GROUP BY 1, p_name) v JOIN l ON l.db_id = v.db_id AND contains(lower(v.value), l.literal) WHERE length(v.value) < 50)
 SELECT * FROM h WHERE rank <= 5""", ("cell_values",))
 def find_similar_values(spark, sf):
     part = table(spark, sf, "part")
-    literals = part.select(F.lower(F.substring_index("p_name", " ", 1)).alias("literal")).unionByName(
-        part.select(F.lower(F.substring("p_brand", 1, 7)).alias("literal")))
-    names = part.select(F.lit("part").alias("table_name"), F.lit("p_name").alias("column_name"), F.col("p_name").alias("value"))
+    db = F.concat(F.lit("db"), F.col("p_size") % 5).alias("db_id")
+    literals = part.select(db, F.lower(F.substring_index("p_name", " ", 1)).alias("literal")).unionByName(
+        part.select(db, F.lower(F.substring("p_brand", 1, 7)).alias("literal")))
+    names = part.select(db, F.lit("part").alias("table_name"), F.lit("p_name").alias("column_name"), F.col("p_name").alias("value"))
     return J.find_similar_values(view(spark, sf, "cell_values").unionByName(names), literals).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -355,6 +356,26 @@ def flatten_catalog(spark, sf):
     return K.flatten_catalog(central).select("db_id", "table_name", "column_name", "column_types")
 
 
+@query("catalog_of", """
+WITH c(table_name, column_no, column_name, column_types, primary_key, foreign_key) AS (VALUES
+ ('region', 0, 'r_regionkey', 'number', true, ''), ('region', 1, 'r_name', 'text', false, ''),
+ ('nation', 0, 'n_nationkey', 'number', true, ''), ('nation', 1, 'n_name', 'text', false, ''), ('nation', 2, 'n_regionkey', 'number', false, '[region(r_regionkey)]'),
+ ('supplier', 0, 's_suppkey', 'number', true, ''), ('supplier', 1, 's_name', 'text', false, ''), ('supplier', 2, 's_nationkey', 'number', false, '[nation(n_nationkey)]'),
+ ('supplier', 3, 's_acctbal', 'number', false, '')),
+n AS (SELECT 'region' AS table_name, count(*) AS n_rows FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier)
+SELECT 'shop' AS db_id, c.*, n.n_rows FROM c JOIN n USING (table_name)""")
+def catalog_of(spark, sf):
+    live = {"region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")}
+    tables = {name: table(spark, sf, name).select(*columns) for name, columns in live.items()}
+    rows = K.catalog_of(tables, "shop", {"region": ["r_regionkey"], "nation": ["n_nationkey"], "supplier": ["s_suppkey"]},
+                        [("nation", "n_regionkey", "region", "r_regionkey"), ("supplier", "s_nationkey", "nation", "n_nationkey")])
+    counts = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return rows.join(counts, "table_name").select("db_id", "table_name", "column_no", "column_name", "column_types", "primary_key", "foreign_key", "n_rows")
+
+
 @query("flatten_catalog_keys", """
 WITH r AS (SELECT db_id, table_name, column_name, row_number() OVER (PARTITION BY db_id ORDER BY table_name, column_no) AS i FROM catalog_columns),
 f AS (SELECT db_id, table_name, column_name FROM r WHERE i = 1)
@@ -387,11 +408,11 @@ def fk_columns(spark, sf):
     return K.fk_columns(K.fk_edges(catalog(spark, sf)))
 
 
-SELECTED = "s AS (SELECT DISTINCT l_orderkey AS instance_id, 'db' || l_suppkey AS db_id, 'T' || l_linenumber AS table_name FROM lineitem WHERE l_tax < 0.04)"
+SELECTED = "s AS (SELECT DISTINCT l_orderkey AS instance_id, 'db' || l_suppkey AS db_id, 'T' || l_linenumber AS table_name FROM lineitem)"
 
 
 def selected(spark, sf):
-    return table(spark, sf, "lineitem").where("l_tax < 0.04").select(
+    return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("instance_id"), F.concat(F.lit("db"), "l_suppkey").alias("db_id"), F.concat(F.lit("T"), "l_linenumber").alias("table_name")).distinct()
 
 
@@ -406,7 +427,7 @@ def fk_neighbors(spark, sf):
 @query("join_paths", f"""WITH RECURSIVE {EDGES},
 w AS (SELECT db_id, src_table AS a, ref_table AS b FROM e WHERE src_table <> ref_table UNION SELECT db_id, ref_table, src_table FROM e WHERE src_table <> ref_table),
 p AS (SELECT DISTINCT db_id, 't1' AS source, table_name AS target FROM catalog_columns),
-r AS (SELECT DISTINCT db_id, source, source AS node, 0 AS hops FROM p UNION SELECT r.db_id, r.source, w.b, r.hops + 1 FROM r JOIN w ON w.db_id = r.db_id AND w.a = r.node WHERE r.hops < 4)
+r AS (SELECT DISTINCT db_id, source, source AS node, 0 AS hops FROM p UNION SELECT r.db_id, r.source, w.b, r.hops + 1 FROM r JOIN w ON w.db_id = r.db_id AND w.a = r.node WHERE r.hops < 12)
 SELECT p.db_id, p.source, p.target, min(r.hops) AS hops FROM p JOIN r ON r.db_id = p.db_id AND r.source = p.source AND r.node = p.target GROUP BY 1, 2, 3""", ("catalog_columns",))
 def join_paths(spark, sf):
     columns = catalog(spark, sf)
@@ -488,15 +509,15 @@ def union_distinct(spark, sf):
     return view(spark, sf, "link_rows").select("instance_id", "link").unionByName(extra).distinct()
 
 
-@query("set_difference", "SELECT instance_id, link FROM link_rows WHERE instance_id % 2 = 0 EXCEPT SELECT instance_id, link FROM link_rows WHERE link LIKE '%col_1%'", ("link_rows",))
+@query("set_difference", "SELECT instance_id, link FROM link_rows EXCEPT SELECT instance_id, link FROM link_rows WHERE link LIKE '%col_1%'", ("link_rows",))
 def set_difference(spark, sf):
     links = view(spark, sf, "link_rows").select("instance_id", "link")
-    return links.where("instance_id % 2 = 0").subtract(links.where(F.col("link").like("%col_1%")))
+    return links.subtract(links.where(F.col("link").like("%col_1%")))
 
 
-@query("multiset_difference", "SELECT l_returnflag AS a, l_linenumber AS b FROM lineitem WHERE l_quantity > 25 EXCEPT ALL SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_quantity <= 24")
+@query("multiset_difference", "SELECT l_returnflag AS a, l_linenumber AS b FROM lineitem WHERE l_quantity > 25 EXCEPT ALL SELECT l_returnflag, l_linenumber FROM lineitem WHERE l_quantity <= 25")
 def multiset_difference(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("a"), F.col("l_linenumber").alias("b"), "l_quantity")
-    return rows.where("l_quantity > 25").drop("l_quantity").exceptAll(rows.where("l_quantity <= 24").drop("l_quantity"))
+    return rows.where("l_quantity > 25").drop("l_quantity").exceptAll(rows.where("l_quantity <= 25").drop("l_quantity"))
 
 

@@ -67,8 +67,9 @@ def test_block_topk_stays_inside_groups(spark):
 
 
 def test_similar_values_by_substring(spark):
-    values = spark.createDataFrame([("t", "c", v) for v in ("New York", "york", "Yorkshire", "Paris", "x" * 60 + "york")], "table_name string, column_name string, value string")
-    literals = spark.createDataFrame([("york",), ("a",)], "literal string")
+    rows = [("d", "t", "c", v) for v in ("New York", "york", "Yorkshire", "Paris", "x" * 60 + "york")] + [("e", "t", "c", "Yorktown")]
+    values = spark.createDataFrame(rows, "db_id string, table_name string, column_name string, value string")
+    literals = spark.createDataFrame([("d", "york"), ("d", "a"), ("f", "york")], "db_id string, literal string")
     got = {(r["literal"], r["value"]) for r in J.find_similar_values(values, literals).collect()}
     assert got == {("york", "New York"), ("york", "york"), ("york", "Yorkshire")}
 
@@ -88,8 +89,9 @@ def test_resolve_overlaps_reuses_choices(spark):
 
 
 def test_cell_runs(spark):
-    q = spark.createDataFrame([(1, "songs from new york by york")], "query_id int, question string")
-    values = spark.createDataFrame([("t", "city", "New York"), ("t", "city", "Paris")], "table_name string, column_name string, value string")
+    q = spark.createDataFrame([(1, "d", "songs from new york by york")], "query_id int, db_id string, question string")
+    values = spark.createDataFrame([("d", "t", "city", "New York"), ("d", "t", "city", "Paris"), ("e", "t", "city", "songs")],
+                                   "db_id string, table_name string, column_name string, value string")
     got = {(r["pos"], r["flag"]) for r in R.cell_value_link(q, values).collect()}
     assert got == {(2, "EXACTMATCH"), (3, "EXACTMATCH"), (5, "PARTIALMATCH")}
 
@@ -105,3 +107,23 @@ def test_random_few_shot_draws_distinct_foreign_rows(spark):
         assert r["pool_id"] % 5 != r["db_id"]
         by_target.setdefault(r["instance_id"], set()).add(r["pool_id"])
     assert len(by_target) == 40 and all(len(v) == 6 for v in by_target.values())
+
+
+def test_fuzzy_values_of_the_own_database(spark):
+    schema = "db_id string, table_name string, column_name string, value string"
+    values = spark.createDataFrame([
+        ("d", "t", "film", "The Lord of the Rings Return"), ("d", "t", "country", "Germany"), ("d", "t", "season_name", "Summertimes"), ("d", "t", "season", "Summertimes"),
+        ("d", "t", "code", "SUMMERTIMES"), ("e", "t", "country", "summertime")], schema)
+    q = spark.createDataFrame([(1, "d", "show the lord of the rings return"), (2, "d", "germany's cup"), (3, "d", "in summertime"), (4, "d", "germanys's cup")],
+                              "query_id int, db_id string, question string")
+    got = {(r["query_id"], r["column_name"], r["value"], round(r["score"], 3)) for r in R.fuzzy_value_match(q, values).collect()}
+    assert got == {(1, "film", "The Lord of the Rings Return", 1.0), (2, "country", "Germany", 1.0), (3, "season", "Summertimes", 0.909)}
+
+
+def test_column_samples_fill_up(spark):
+    values = spark.createDataFrame([("d", "t", "c", f"value{k}") for k in range(10)] + [("e", "t", "c", f"other{k}") for k in range(10)],
+                                   "db_id string, table_name string, column_name string, value string")
+    q = spark.createDataFrame([(1, "d", "nothing in common"), (2, "d", "about value7")], "query_id int, db_id string, question string")
+    rows = R.bm25_column_samples(q, values, 3).collect()
+    got = {n: [r["value"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == n] for n in (1, 2)}
+    assert got == {1: ["value0", "value1", "value2"], 2: ["value7", "value0", "value1"]}

@@ -231,18 +231,26 @@ def test_fingerprint_tree(spark):
     import hashlib
 
     df = spark.createDataFrame([(f"s{i}", i) for i in range(10)], "instance_id string, pos int")
-    plain = hashlib.sha256("\n".join(f"s{i}" for i in range(10)).encode()).hexdigest()[:16]
-    assert publish.dataset_fingerprint(df, F.col("pos")).first()[0] == plain
-    parts = [hashlib.sha256("\n".join(f"s{i}" for i in range(a, min(a + 4, 10))).encode()).hexdigest() for a in (0, 4, 8)]
-    tree = hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
-    assert publish.dataset_fingerprint(df, F.col("pos"), chunk=4).first()[0] == tree
+    def tree(chunk):
+        level = [f"s{i}" for i in range(10)]
+        for size in (chunk, chunk, len(level)):
+            level = [hashlib.sha256("\n".join(level[a : a + size]).encode()).hexdigest() for a in range(0, len(level), size)]
+        return level[0][:16]
+
+    for chunk in (2, 4, 10, 200_000):
+        assert publish.dataset_fingerprint(df, F.col("pos"), chunk=chunk).first()[0] == tree(chunk)
 
 
 def test_secret_lines(spark):
     key = "AKIA" + "A" * 16
     text = f"one\n{key}\n{key} example\npassword =\n\n 'long enough'\napi_key: \"your_value_here\"\nsk-{'a' * 15}\n"
     docs = spark.createDataFrame([("f", text), ("g", key + "\x00"), ("h", "x" * 2_000_001 + key)], "path string, text string")
-    assert sorted(map(tuple, N.scan_secrets(docs).collect())) == [("f", 2, "aws-access-key"), ("f", 4, "literal-credential-assignment")]
+    everything = [("f", 2, "aws-access-key"), ("f", 4, "literal-credential-assignment"), ("g", 1, "aws-access-key")]
+    assert sorted(map(tuple, N.scan_secrets(docs.where("path <> 'h'")).collect())) == everything
+    long = spark.createDataFrame([("h", "x " * 1_500_000 + key)], "path string, text string")
+    assert sorted(map(tuple, N.scan_secrets(long).collect())) == [("h", 1, "aws-access-key")]
+    bounded = N.scan_secrets(docs.unionByName(long.withColumn("path", F.lit("i"))), max_bytes=2_000_000)
+    assert sorted(map(tuple, bounded.collect())) == [*everything, ("h", 0, "not-scanned"), ("i", 0, "not-scanned")]
 
 
 def test_identity_lines(spark):
@@ -292,3 +300,59 @@ def test_benchmark_split_is_read_in_order(spark, tmp_path):
     schema = "instance_id string, db_size int, external_path string"
     rows = readers.read_benchmark(spark, str(tmp_path), "bench:dev:db_size-l-100", schema, "/ext").collect()
     assert [(r["instance_id"], r["external_path"]) for r in rows] == [("dev_2", ""), ("dev_10", "/ext/a.md")]
+
+
+def test_records_go_at_any_depth(spark):
+    text = '{"ex": 1, "deep": [{"config_path": "x", "list": [{"per_sample": [1], "n": {"Path": 1, "k": "v"}}]}], "Records": []}'
+    df = spark.createDataFrame([(text,), (None,), ("no json",), ("[]",)], "t string")
+    assert [r[0] for r in df.select(N.strip_records(F.col("t"))).collect()] == ['{"ex": 1, "deep": [{"list": [{"n": {"k": "v"}}]}]}', None, None, "[]"]
+    numbers = spark.createDataFrame([('{"a b": 1, "x": {"y": [1, "s", [true, null]], "z": {"t": "u"}}}',), ('{"a": "b"}',)], "t string")
+    assert [r[0] for r in numbers.select(N.numeric_fields(F.col("t"))).collect()] == ['{"x": {"y": [1, [true]]}}', None]
+
+
+def test_blank_errors_fall_back(spark):
+    df = spark.createDataFrame([(" \n\t ",), ("\n plain \t",)], "t string")
+    assert [r[0] for r in df.select(N.redact(F.col("t"))).collect()] == ["The provider request failed.", "plain"]
+
+
+def test_join_path_of_seven_hops(spark):
+    from tallyspark.operators import catalog as K
+
+    edges = spark.createDataFrame([("d", f"t{k}", "r", f"t{k + 1}", "c") for k in range(8)], "db_id string, src_table string, src_column string, ref_table string, ref_column string")
+    pairs = spark.createDataFrame([("d", "t0", "t7")], "db_id string, source string, target string")
+    row = K.join_paths(edges, pairs).first()
+    assert (row["hops"], len(row["path"])) == (7, 7)
+    assert K.join_paths(edges, pairs, max_hops=4).count() == 0
+
+
+def test_statement_shapes(spark):
+    from tallyspark.fixtures import SHAPES
+    from tallyspark.operators import sqltext as Q
+
+    rows = [(k, sql.replace("@n", "5").replace("@v", "word")) for k, (sql, _) in enumerate(SHAPES)]
+    parts = Q.sql_components(spark.createDataFrame(rows, "k int, sql string"), "sql").collect()
+    found = {r["k"]: r for r in parts}
+    for k, (_, want) in enumerate(SHAPES):
+        assert "|".join(found[k]["c_where"]) == want.replace("@n", "5").replace("@v", "word"), rows[k]
+    assert found[9]["c_group"] == ["HAVING:count(*) > 5 and max(b) < 3", "a"]
+    assert found[11]["c_select"] == ["b", "f(g(h(k(((a, 5))))), 1)"]
+    assert found[16]["c_join"] == ["SUBQ:s"] and found[16]["c_iuen"] == ["SETOP:Union", "SUBQ:a"]
+    assert found[6]["c_keywords"] == ["IN"] and found[12]["c_keywords"] == ["EXISTS"] and found[16]["c_keywords"] == ["DISTINCT"]
+    features = {r["k"]: r["features"] for r in Q.sql_text_features(spark.createDataFrame(rows, "k int, sql string"), "sql").collect()}
+    assert features[11]["query_fields"] == 2 and features[4]["predicate"] == 2 and features[4]["order_by"] == 1
+
+
+def test_query_pairs_run_once_and_time_out(spark, tmp_path):
+    from tallyspark.sources import execution as X
+
+    spark.range(0, 100, 1, 5).createOrReplaceTempView("hundred")
+    slow = "SELECT count(*) FROM range(0, 100000000000, 1, 4) WHERE id % 7 = rand()"
+    rows = [("a", 0, "SELECT id FROM hundred ORDER BY id DESC"), ("a", 1, "SELECT id, 'x' AS t FROM hundred WHERE id < 0"), ("b", 0, "SELECT nothing"), ("b", 1, slow)]
+    queries = spark.createDataFrame(rows, "instance_id string, candidate int, sql string")
+    cells, status = X.run_query_pairs(spark, queries, str(tmp_path / "out"), timeout_s=4.0)
+    got = {(r["instance_id"], r["candidate"]): r for r in status.collect()}
+    assert (got["a", 0]["n_rows"], got["a", 0]["n_cols"], got["a", 0]["error"]) == (100, 1, None)
+    assert (got["a", 1]["n_rows"], got["a", 1]["n_cols"]) == (0, 2)
+    assert got["b", 0]["error"] and got["b", 1]["error"] == "timed out"
+    values = [r["num_value"] for r in cells.where("instance_id = 'a'").orderBy("row_no").collect()]
+    assert values == [float(v) for v in range(99, -1, -1)]
