@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
 from tallyspark.llm.components import connected_components
-from tallyspark.llm.shared import shared_table
+from tallyspark.llm.shared import heaviest, shared_table
 
 GROUPS = 128
 FINE_GROUPS = 2048
@@ -116,14 +116,7 @@ def profile(docs: DataFrame) -> DataFrame:
 def common_shingles(profiles: DataFrame, most: int = COMMON_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
     """The commonest shingles, sorted by hash, and how often they were seen; at most ``most`` reach the driver."""
     seen = profiles.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    seen = seen.withColumn("level", F.floor(F.log2("seen")).cast("int"))
-    level, total = 64, 0
-    for row in seen.groupBy("level").count().orderBy(F.desc("level")).collect():
-        total += row["count"]
-        if total > most:
-            break
-        level = row["level"]
-    table = seen.where(F.col("level") >= level).select("shingle", "seen").toArrow()
+    table = heaviest(seen, F.col("seen"), most).select("shingle", "seen").toArrow()
     shingles, counts = table.column(0).to_numpy().astype(np.int64).view(np.uint64), table.column(1).to_numpy().astype(np.int64)
     order = np.argsort(shingles)
     return shingles[order], counts[order]

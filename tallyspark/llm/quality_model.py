@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
-from tallyspark.llm.shared import shared_table
+from tallyspark.llm.shared import bounded_sample, heaviest, shared_table
 from tallyspark.llm.toxicity import fold_of
 
 VOCABULARY = 8192  # bound of the broadcast vectors
@@ -83,7 +83,7 @@ def vocabulary_of(docs: DataFrame, most: int = VOCABULARY) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], schema=schema)
 
     counts = docs.select("text").mapInArrow(work, "token bigint, seen bigint").groupBy("token").agg(F.sum("seen").alias("seen"))
-    table = counts.orderBy(F.desc("seen"), "token").limit(most).select("token").toArrow()
+    table = heaviest(shared_table(counts, "words"), F.col("seen"), most).select("token").toArrow()
     return np.sort(table.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -230,10 +230,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     features = shared_table(pooled(texts, vocabulary, word_vectors(texts, vocabulary)), "features")
     fold = fold_of(F.col("doc_id"), FOLDS)
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    rows = features.join(marked.where(fold != HELD_OUT), "doc_id").withColumn("draw", F.xxhash64("doc_id"))
-    sample = rows.orderBy("draw", "doc_id").limit(most).select("features", "quality").toArrow()
-    x = sample.column(0).combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if sample.num_rows else np.zeros((0, FEATURES))
-    network = docs.sparkSession.sparkContext.broadcast(train(x, sample.column(1).to_numpy()))
+    rows = features.join(marked.where(fold != HELD_OUT), "doc_id")
+    sample = bounded_sample(rows, ["doc_id"], most).select("doc_id", "features", "quality").toArrow().sort_by("doc_id")
+    x = sample.column(1).combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if sample.num_rows else np.zeros((0, FEATURES))
+    network = docs.sparkSession.sparkContext.broadcast(train(x, sample.column(2).to_numpy()))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

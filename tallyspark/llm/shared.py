@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.session import checkpoint_dir
 
@@ -22,3 +23,26 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def heaviest(df: DataFrame, weight: Column, most: int) -> DataFrame:
+    """The rows of the greatest positive weights, at most ``most`` of them, without sorting them in one task.
+
+    Weights are counted by level (an eighth of a power of two), and the levels are taken from above while their rows fit.
+    """
+    levelled = df.withColumn("__level", F.floor(8 * F.log2(weight)).cast("int"))
+    taken, total = None, 0
+    for row in levelled.where("__level IS NOT NULL").groupBy("__level").count().orderBy(F.desc("__level")).collect():
+        total += row["count"]
+        if total > most:
+            break
+        taken = row["__level"]
+    chosen = F.lit(False) if taken is None else F.coalesce(F.col("__level") >= taken, F.lit(False))
+    return levelled.where(chosen).drop("__level")
+
+
+def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """All rows if they are at most ``most``, else the ``most`` or somewhat fewer with the smallest hash of their keys."""
+    draw = F.pmod(F.xxhash64(*keys), F.lit(1 << 31))
+    rows = df.count()
+    return df if rows <= most else df.where(draw < int((1 << 31) * 0.9 * most / rows)).orderBy(draw, *keys).limit(most)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
-from tallyspark.llm.shared import shared_table
+from tallyspark.llm.shared import bounded_sample, heaviest, shared_table
 
 STEMS = (4, 5, 6)  # bytes
 STRENGTH = 10.0  # pseudo-documents of a prior
@@ -109,7 +109,7 @@ def token_table(counts: DataFrame, share: float, most: int = MOST_TOKENS) -> tup
     odds = F.log(F.col("rate") / (1 - F.col("rate")))
     gain = F.abs(odds - F.log(F.col("prior") / (1 - F.col("prior"))))
     told = every.select("token", (odds - math.log(share / (1 - share))).alias("odds"), (gain * F.sqrt("documents")).alias("weight")).where("weight > 0.5")
-    table = told.orderBy(F.desc("weight"), "token").limit(most).select("token", "odds").toArrow()
+    table = heaviest(told, F.col("weight"), most).select("token", "odds").toArrow()
     tokens = table.column(0).to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], table.column(1).to_numpy().astype(np.float64)[order]
@@ -201,7 +201,7 @@ def calibrate(rows: DataFrame, most: int = CALIBRATION_ROWS) -> Calibration:
     At most ``most`` rows, those with the smallest hash, reach the driver; without rows of either kind the default stays.
     """
     best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
-    sample = rows.select("toxic", "n_tokens", best.alias("best"), "segments", F.xxhash64("doc_id", "n_tokens").alias("draw")).orderBy("draw").limit(most)
+    sample = bounded_sample(rows, ["doc_id", "n_tokens"], most).select("toxic", "n_tokens", best.alias("best"), "segments")
     sample = sample.select("toxic", "n_tokens", "best", F.transform("segments", lambda s: s["score"]).alias("scores")).toArrow()
     toxic, length = sample.column(0).to_numpy().astype(bool), np.maximum(sample.column(1).to_numpy(), 1).astype(float)
     if toxic.all() or not toxic.any():
