@@ -52,8 +52,15 @@ def _run_one(spark: SparkSession, instance_id: str, candidate: int, sql: str, ou
     """Status of one query; its cells are appended in one execution, whose time is taken."""
     tag = f"pair-{uuid.uuid4().hex}"
     error, width, start = None, None, time.monotonic()
-    timer = threading.Timer(timeout_s, spark.interruptTag, [tag])
-    spark.addTag(tag)
+    context = spark.sparkContext
+    late = threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(timeout_s, stop)
+    context.addJobTag(tag)
     timer.start()
     try:
         result = spark.sql(sql)
@@ -62,10 +69,10 @@ def _run_one(spark: SparkSession, instance_id: str, candidate: int, sql: str, ou
         start = time.monotonic()
         named.write.parquet(f"{out_path}/pair={tag}")  # a folder of its own: writers side by side share no temporary files
     except Exception as problem:  # noqa: BLE001 - one bad query must not stop the batch
-        error = "timed out" if time.monotonic() - start >= timeout_s else str(problem).splitlines()[0]
+        error = "timed out" if late.is_set() else str(problem).splitlines()[0]
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
     return instance_id, candidate, width, error, time.monotonic() - start
 
 
