@@ -82,7 +82,9 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         count(MARKS).alias("n_marks"),
         count(STOPS).alias("n_stops"),
     )
-    return step.withColumn("__measures", measures).drop("__words", "__windows", "__lines", "__sorted")
+    # One generated row per row: a filter on the measures is not moved below, where it would work them out again per use.
+    generated = step.withColumn("__measures", F.explode(F.array(measures)))
+    return generated.drop("__words", "__windows", "__lines", "__sorted")
 
 
 def base_failed(m: Column) -> Column:
