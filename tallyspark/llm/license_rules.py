@@ -1,12 +1,14 @@
 """Licence scan by sentence rules, as SQL expressions on each row.
 
-A text is cut into normalised sentences (ASCII letters and digits in lower case, single blanks).  A sentence that is known
-becomes its identifier; a licence is recognised when the identifiers of its rule come in that order, other sentences
-between them allowed.  Rules are tried in order, and one may yield to an earlier one that has matched.
+A text is cut into normalised sentences (ASCII letters and digits in lower case, single blanks).  A sentence is a line or
+several lines of one paragraph, as licences are wrapped.  A sentence that is known becomes its identifier; a licence is
+recognised when the identifiers of its rule come in that order, other sentences between them allowed.  Rules are tried in
+order, and one may yield to an earlier one that has matched.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 
 SENTENCE_END = r"[.!?;]+[\x20\x09-\x0D]+"
 NOT_WORD = r"[^A-Za-z0-9.\n]+"
+LINE_EDGES = r"(?m)^[ .]++|(?<![ .])[ .]++$"
+URL_BELOW = r"(?<=license at)\n+(?=http)"
+AFTER_COLON = r"(?<=free software) (?=you can redistribute)"
 
 # How notices name licences, and the sentences of licence texts.
 NAMES = {
@@ -57,6 +62,12 @@ TEXTS = {
     "isc:permission": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "unlicense:free": "this is free and unencumbered software released into the public domain",
 }
+# Longer sentences of real notices; the SQL text, which knows lines only, does without them.
+NOTICES = {
+    **{f"{grant} {name} the license": "grant:Apache-2.0" for grant in GRANTS for name in NAMES["Apache-2.0"]},
+    **{f"you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation {TEXTS[key]}": key
+       for key in ("gpl:2", "gpl:3")},
+}
 
 
 @dataclass(frozen=True)
@@ -88,18 +99,42 @@ RULES = (
 )
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text; a null or empty text has one empty sentence."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "\n")
+def lines(text: Column) -> Column:
+    """The normalised lines of a text; a sentence end or the end of a paragraph leaves an empty line."""
+    cut = F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "\n\n")
     plain = F.lower(F.regexp_replace(cut, NOT_WORD, " "))
-    return F.transform(F.split(plain, "\n", -1), lambda s: F.btrim(s, F.lit(" .")))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, LINE_EDGES, ""), URL_BELOW, " "), AFTER_COLON, "\n")
+
+
+def sentence_pattern(known: Iterable[str]) -> str:
+    """Matches known sentences that begin and end with a line, the longest first; blanks may be line breaks."""
+    tree: dict = {}
+    for sentence in known:
+        at = tree
+        for word in sentence.split(" "):
+            at = at.setdefault(word, {})
+        at[""] = {}
+
+    def branch(at: dict) -> str:
+        tails = []
+        for word, below in at.items():
+            if word:
+                part = word.replace(".", "[.]")
+                while len(below) == 1 and "" not in below:
+                    word, below = next(iter(below.items()))
+                    part += r"[ \n]" + word.replace(".", "[.]")
+                tails.append(part + (f"(?:[ \\n]{branch(below)})" + "?" * ("" in below) if set(below) - {""} else ""))
+        return f"(?:{'|'.join(tails)})"
+
+    return f"(?m)^{branch(tree)}$"
 
 
 def sentence_ids(text: Column, known: dict[str, str] | None = None) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    pairs = [F.lit(part) for item in (known or known_sentences()).items() for part in item]
-    looked_up = F.create_map(*pairs)
-    return F.filter(F.transform(sentences(text), lambda s: F.try_element_at(looked_up, s)), lambda i: i.isNotNull())
+    known = known or known_sentences() | NOTICES
+    looked_up = F.create_map(*[F.lit(part) for item in known.items() for part in item])
+    found = F.regexp_extract_all(lines(text), F.lit(sentence_pattern(known)), F.lit(0))
+    return F.transform(found, lambda s: F.element_at(looked_up, F.translate(s, "\n", " ")))
 
 
 def recognised(ids: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -93,6 +93,72 @@ def test_licences(make):
     assert sorted((r.doc_id or 0, r.licenses) for r in found) == sorted((i or 0, names) for i, _, names in LICENCES)
 
 
+WRAPPED_APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+WRAPPED_MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE."""
+WRAPPED_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+ENDORSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+WRAPPED_GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY."""
+WRAPPED_ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+WRAPPED = [
+    (WRAPPED_APACHE, ["Apache-2.0"]), (WRAPPED_APACHE.split("\n")[0], ["Apache-2.0"]), (WRAPPED_APACHE.split("\n", 1)[1], ["Apache-2.0"]), (WRAPPED_MIT, ["MIT"]),
+    (WRAPPED_BSD.format(""), ["BSD-2-Clause"]), (WRAPPED_BSD.format(ENDORSE), ["BSD-3-Clause"]), (WRAPPED_GPL, ["GPL-3.0"]),
+    (WRAPPED_GPL.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"), ["GPL-2.0"]), (WRAPPED_ISC, ["ISC"]),
+    ("This project is\nlicensed under the MIT\nLicense", ["MIT"]), ("Licensed under\n\nMIT", []), ("licensed under mit\nby nobody", ["MIT"]), ("we are licensed under mit", []),
+]
+
+
+def test_wrapped_licences(make):
+    marks = {"": "", "# ": "", " * ": "", "// ": "\r"}
+    texts = [(k, "".join(f"{mark}{line}{end}\n" for line in text.split("\n"))) for text, _ in WRAPPED for k, (mark, end) in enumerate(marks.items())]
+    found = license_rules.scan_licenses(make([(100 * n + k, t) for n, (k, t) in enumerate(texts)])).collect()
+    assert sorted((r.doc_id // 100, r.licenses) for r in found) == [(n, WRAPPED[n // len(marks)][1]) for n in range(len(texts))]
+
+
 def brute_segments(scores):
     """All maximal segments by their definition: recursively the best segment, then left and right of it."""
     totals = np.concatenate(([0], np.cumsum(scores)))
