@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows: questions are found again with other numbers, names or units.
 
 Texts are cut into tokens; numbers, units after numbers, and names become typed placeholders.  Windows of ``WINDOW`` template
-tokens of the benchmark are the build side of a hash join.  Every window of every whole document is looked up in a table of
+tokens of the benchmark are the build side of a hash join.  A window with as many slots as literals, and a question under
+``SHORTEST`` tokens, is looked for literally.  Every window of every whole document is looked up in a table of
 the benchmark's window hashes, which is broadcast in blocks of ``BLOCK_HASHES`` at most, one pass over the documents for
 each block; what is found is joined in Spark.  A match counts when its slots are consistent: within one alignment of a
 document with a question, each value of the question always stands for the same value of the document.
@@ -10,6 +11,7 @@ document with a question, each value of the question always stands for the same
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,8 @@ from tallyspark.llm import words as W
 from tallyspark.llm.shared import shared_table
 
 WINDOW = 8
-SHORTEST = 5  # a shorter question has no window
+SHORTEST = 5  # a shorter question is a literal window, with its case and the mark after it
+PLAIN, NAMED, LITERAL, EXACT, ENDED = range(5)  # forms of windows
 BLOCK_HASHES = 1 << 20
 TABLE_BITS = 22
 NUMBER, UNIT, NAME = (W.mix(np.array([k], dtype=np.uint64))[0] for k in (11, 12, 13))
@@ -78,81 +81,106 @@ class Tokens:
         plain[number], plain[unit] = NUMBER, UNIT
         named = plain.copy()
         named[name] = NAME
-        self.forms = (plain, named)
+        self.forms = {PLAIN: plain, NAMED: named, LITERAL: self.hashes}
+        self.ended = breaks[np.concatenate((np.where(same[1:], starts[1:], offsets[text[:-1] + 1]), offsets[-1:]))[: len(starts)]] > breaks[ends]
+
+    @cached_property
+    def exact(self) -> np.ndarray:
+        """Hashes of the tokens in their own case."""
+        return W.hash_spans(self.data, self.starts, self.ends)
 
     def windows(self, form: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and hashes of the windows of ``length`` tokens within a text, with more literals than slots."""
-        tokens = self.forms[form]
+        """First tokens and hashes of the windows of ``length`` tokens within a text.
+
+        Plain and named windows have more literals than slots; ended ones have a mark behind them.
+        """
+        tokens = self.forms[form] if form in self.forms else self.exact
         count = len(tokens) - length + 1
         if count <= 0:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
         out = np.full(count, length, dtype=np.uint64)
         for k in range(length):
             out += tokens[k : k + count] * WEIGHTS[k]
-        slot = self.kinds > 0 if form else (self.kinds == 1) | (self.kinds == 2)
-        slots = np.concatenate(([0], np.cumsum(slot)))
-        held = slots[length:] - slots[:-length]
-        good = (self.text[length - 1 :] == self.text[:count]) & (2 * held < length)
-        if form:  # the same as the plain form where no name is in it
+        good = self.text[length - 1 :] == self.text[:count]
+        if form in (PLAIN, NAMED):
+            good &= ~self.dense(form, length)
+        if form == NAMED:  # the same as the plain form where no name is in it
             names = np.concatenate(([0], np.cumsum(self.kinds == 3)))
             good &= names[length:] > names[:-length]
+        if form == ENDED:
+            good &= self.ended[length - 1 :]
         at = np.flatnonzero(good)
         return at, W.mix(out[at] + np.uint64(form))
 
+    def dense(self, form: int, length: int) -> np.ndarray:
+        """Whether the tokens from each one on have as many slots as literals, or more."""
+        slot = self.kinds > 0 if form == NAMED else (self.kinds == 1) | (self.kinds == 2)
+        slots = np.concatenate(([0], np.cumsum(slot)))
+        return 2 * (slots[length:] - slots[:-length]) >= length
+
+    def asked(self, form: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The windows that stand for a question: literal ones where the plain form has too many slots or too few tokens."""
+        at, hashes = self.windows(form, length)
+        size = np.diff(self.offsets)[self.text[at]]
+        good = (length == WINDOW) & (size >= WINDOW) | (size == length)
+        if form == LITERAL:
+            good &= self.dense(PLAIN, length)[at]
+        if form == EXACT:
+            good &= ~self.ended[at + length - 1]
+        return at[good], hashes[good]
+
     def slots(self, at: int, length: int, form: int) -> list[str]:
         """The values of the slots of a window, in lower case, with their kinds."""
-        kinds = (1, 2, 3) if form else (1, 2)
+        kinds = {PLAIN: (1, 2), NAMED: (1, 2, 3)}.get(form, ())
         found = (k for k in range(at, at + length) if self.kinds[k] in kinds)
         return [f"{self.kinds[k]}:{W.LOWER[self.data[self.starts[k] : self.ends[k]]].tobytes().decode('utf-8', 'replace')}" for k in found]
 
 
 UNIT_HASHES = W.word_hashes(pa.array(UNITS))[0]
-_HITS = "hash bigint, pos bigint, length int, slots array<string>"
+FORMS = {length: (PLAIN, NAMED, LITERAL) if length >= SHORTEST else (EXACT, ENDED) for length in range(1, WINDOW + 1)}
+_HITS = "hash bigint, pos bigint, length int, form int, slots array<string>"
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, hash, pos, length, slots: template windows of each question; one of 5 to 7 tokens is a window of its own."""
-    schema = pa.schema([("item_id", pa.int64()), ("hash", pa.int64()), ("pos", pa.int64()), ("length", pa.int32()), ("slots", pa.list_(pa.string()))])
+    """item_id, hash, pos, length, form, slots: windows of each question; one under 8 tokens is a window of its own."""
+    schema = pa.schema([("item_id", pa.int64()), ("hash", pa.int64()), ("pos", pa.int64()), ("length", pa.int32()), ("form", pa.int32()), ("slots", pa.list_(pa.string()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in W.slices(batch, "text"):
                 tokens, ids, rows = Tokens(piece.column(1)), piece.column(0).to_pylist(), []
-                sizes = np.diff(tokens.offsets)
-                for length in range(SHORTEST, WINDOW + 1):
-                    for form in (0, 1):
-                        for at, value in zip(*tokens.windows(form, length), strict=True):
+                for length, forms in FORMS.items():
+                    for form in forms:
+                        for at, value in zip(*tokens.asked(form, length), strict=True):
                             text = tokens.text[at]
-                            if length == WINDOW or sizes[text] == length:
-                                rows.append((ids[text], int(value.astype(np.int64)), int(at - tokens.offsets[text]), length, tokens.slots(at, length, form)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema, strict=True)], schema=schema)
+                            rows.append((ids[text], int(value.astype(np.int64)), int(at - tokens.offsets[text]), length, form, tokens.slots(at, length, form)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
 
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(work, f"item_id bigint, {_HITS}")
 
 
-def _found(docs: DataFrame, hashes: np.ndarray, lengths: list[int]) -> DataFrame:
-    """doc_id, doc_hash and the windows of the documents whose hash is among ``hashes``."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(hashes), lengths))
-    schema = pa.schema([("doc_id", pa.int64()), ("doc_hash", pa.int64()), ("hash", pa.int64()), ("pos", pa.int64()), ("length", pa.int32()), ("slots", pa.list_(pa.string()))])
+def _found(docs: DataFrame, hashes: np.ndarray, kinds: list[tuple[int, int]]) -> DataFrame:
+    """doc_id, doc_hash and the windows, of these lengths and forms, of the documents whose hash is among ``hashes``."""
+    shared = docs.sparkSession.sparkContext.broadcast((np.sort(hashes), kinds))
+    schema = pa.schema([("doc_id", pa.int64()), ("doc_hash", pa.int64()), ("hash", pa.int64()), ("pos", pa.int64()), ("length", pa.int32()), ("form", pa.int32()), ("slots", pa.list_(pa.string()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, lengths = shared.value
+        wanted, kinds = shared.value
         shift = np.uint64(64 - TABLE_BITS)
         table = np.zeros(1 << TABLE_BITS, dtype=bool)
         table[(wanted >> shift).astype(np.int64)] = True
         for batch in batches:
             for piece in W.slices(batch, "text"):
                 tokens, rows = Tokens(piece.column(2)), []
-                for length in lengths:
-                    for form in (0, 1):
-                        at, values = tokens.windows(form, length)
-                        near = table[(values >> shift).astype(np.int64)]
-                        at, values = at[near], values[near]
-                        place = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
-                        hit = wanted[place] == values
-                        rows += [(tokens.text[a], int(v), int(a - tokens.offsets[tokens.text[a]]), length, tokens.slots(a, length, form))
-                                 for a, v in zip(at[hit].tolist(), values[hit].view(np.int64), strict=True)]
+                for length, form in kinds:
+                    at, values = tokens.windows(form, length)
+                    near = table[(values >> shift).astype(np.int64)]
+                    at, values = at[near], values[near]
+                    place = np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)
+                    hit = wanted[place] == values
+                    rows += [(tokens.text[a], int(v), int(a - tokens.offsets[tokens.text[a]]), length, form, tokens.slots(a, length, form))
+                             for a, v in zip(at[hit].tolist(), values[hit].view(np.int64), strict=True)]
                 if rows:
                     text, *rest = zip(*rows, strict=True)
                     taken = [piece.column(k).take(pa.array(text)) for k in (0, 1)]
@@ -167,7 +195,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     One row per document and question with at least ``min_windows`` windows in a consistent alignment; ``n_windows`` is the
     most of any alignment, ``n_slots`` its slots with their distinct values and ``n_changed`` those with another value than
-    in the question.  Windows with as many slots as literals do not count, and questions under five tokens have none.
+    in the question.  Where a window of the question has as many slots as literals its literal tokens count, and so does a
+    question under five tokens as a whole, in its own case and with the mark that ends it; literal windows have no slots.
     ``doc_hash`` (xxhash64 of the text) tells rows with one id apart; repeated rows count once; null ids are kept.  Null or
     empty texts have no windows; an empty table on either side gives no rows.
     """
@@ -175,16 +204,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = shared_table(benchmark_windows(benchmark, item_col, item_text_col), "questions")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("doc_hash"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # of 5 to 8
+    kinds = sorted((r.length, r.form) for r in windows.select("length", "form").distinct().collect())
     n_blocks = -(-windows.select("hash").distinct().count() // block_hashes)
     hits = spark.createDataFrame([], f"doc_id bigint, doc_hash bigint, {_HITS}")
     for block in range(n_blocks):
         own = windows.where(F.pmod("hash", F.lit(n_blocks)) == block).select("hash").distinct().toArrow().column(0).to_numpy()
-        found = _found(rows, own.astype(np.int64).view(np.uint64), lengths)
+        found = _found(rows, own.astype(np.int64).view(np.uint64), kinds)
         hits = found if n_blocks == 1 else hits.unionByName(shared_table(found, "hits"))
     key = ["doc_id", "doc_hash", "item_id", "shift"]
-    asked = windows.select("item_id", "hash", "length", F.col("pos").alias("at"), F.col("slots").alias("values"))
-    matched = hits.join(asked, ["hash", "length"]).withColumn("shift", F.col("pos") - F.col("at"))
+    asked = windows.select("item_id", "hash", "length", "form", F.col("pos").alias("at"), F.col("slots").alias("values"))
+    matched = hits.join(asked, ["hash", "length", "form"]).withColumn("shift", F.col("pos") - F.col("at"))
     matched = matched.select(*key, "pos", F.arrays_zip("values", "slots").alias("filled"))
     one_each = matched.groupBy(*key).agg(F.count_distinct("pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
     n_slots = F.size("filled")

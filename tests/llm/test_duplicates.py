@@ -139,3 +139,23 @@ def test_clean_documents_stay_unchanged(make, spark):
     kept = decontaminate.keep_clean(docs, questions)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 8]
+
+
+DENSE = [
+    (1, "What is 25 percent of 80?"), (2, "What is 12 + 7 * 3 - 4?"), (3, "Table: 1 2 3 4 5 6 7 8 9 10 11 12 sums to 78"), (4, "Why so blue?"), (5, "Name the ocean"), (6, "Zanzibar?"),
+    (7, "What is 9"), (8, "1 2 3 4"), (9, "What is 40 percent of Rome in 1999?"),
+]
+COPIES = [
+    (1, "so: what is 25 percent of 80? it is 20", [1]), (2, "a 5 What is 12 + 7 * 3 - 4?", [2]), (3, "see 1 2 3 4 5 6 7 8 9 10 11 12 sums to 78 here", [3, 8]),
+    (4, "I ask: Why so\nblue? Now Name the ocean of it", [4, 5]), (5, "Why so blue a sky?", []), (6, "Zanzibar is far", []), (7, "is it Zanzibar? yes", [6]), (8, "Zanzibar?", [6]),
+    (9, "What is 26 percent of 80?", []), (10, "of 1 2 3", []), (11, "", []), (12, None, []), (13, "6 What is 9", [7]), (None, "then what is 40 percent of rome in 1999", [9]),
+]
+
+
+@pytest.mark.parametrize("block_hashes", [1 << 20, 3])
+def test_exact_copies_of_dense_and_short_questions_are_found(make, spark, block_hashes):
+    questions = spark.createDataFrame([*DENSE, (10, None), (11, ""), (12, "?!")], "item_id bigint, text string")
+    docs = make([r[:2] for r in COPIES], ("form", "length"))
+    found = decontaminate.contaminated(docs, questions, block_hashes=block_hashes).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == sorted((i or 0, item) for i, _, items in COPIES for item in items)
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, questions).collect()) == [i for i, _, items in COPIES if not items]
