@@ -5,7 +5,8 @@ tokens of the benchmark are the build side of a hash join.  A window with as man
 ``SHORTEST`` tokens, is looked for literally.  Every window of every whole document is looked up in a table of
 the benchmark's window hashes, which is broadcast in blocks of ``BLOCK_HASHES`` at most, one pass over the documents for
 each block; what is found is joined in Spark.  A match counts when its slots are consistent: within one alignment of a
-document with a question, each value of the question always stands for the same value of the document.
+document with a question, each value of the question always stands for the same value of the document.  Verbatim windows,
+without slots or with the question's own values, count in any case.
 """
 
 from __future__ import annotations
@@ -193,10 +194,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_col: str = "item_id", item_text_col: str = "text", block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """doc_id, doc_hash, item_id, n_windows, n_slots, n_changed: documents that hold a question of the benchmark.
 
-    One row per document and question with at least ``min_windows`` windows in a consistent alignment; ``n_windows`` is the
-    most of any alignment, ``n_slots`` its slots with their distinct values and ``n_changed`` those with another value than
-    in the question.  Where a window of the question has as many slots as literals its literal tokens count, and so does a
-    question under five tokens as a whole, in its own case and with the mark that ends it; literal windows have no slots.
+    One row per document and question with at least ``min_windows`` windows in a consistent alignment, or as many verbatim
+    windows in another one, of which only these count.  ``n_windows`` is the most of any alignment, ``n_slots`` its slots with
+    their distinct values and ``n_changed`` those with another value than in the question.  Where a window of the question has
+    as many slots as literals its literal tokens count, and so does a question under five tokens as a whole, in its own case
+    and with the mark that ends it; literal windows have no slots.
     ``doc_hash`` (xxhash64 of the text) tells rows with one id apart; repeated rows count once; null ids are kept.  Null or
     empty texts have no windows; an empty table on either side gives no rows.
     """
@@ -215,11 +217,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     asked = windows.select("item_id", "hash", "length", "form", F.col("pos").alias("at"), F.col("slots").alias("values"))
     matched = hits.join(asked, ["hash", "length", "form"]).withColumn("shift", F.col("pos") - F.col("at"))
     matched = matched.select(*key, "pos", F.arrays_zip("values", "slots").alias("filled"))
-    one_each = matched.groupBy(*key).agg(F.count_distinct("pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
-    n_slots = F.size("filled")
-    consistent = F.size(F.array_distinct(F.transform("filled", lambda x: x["values"]))) == n_slots
+    verbatim = F.forall("filled", lambda x: x["values"] == x["slots"])
+    one_each = matched.groupBy(*key).agg(F.count_distinct("pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"),
+                                         F.count_distinct(F.when(verbatim, F.col("pos"))).alias("n_verbatim"),
+                                         F.array_distinct(F.flatten(F.collect_set(F.when(verbatim, F.col("filled"))))).alias("unchanged"))
+    consistent = F.size(F.array_distinct(F.transform("filled", lambda x: x["values"]))) == F.size("filled")
+    counted = one_each.select(*key, F.when(consistent, F.col("n_windows")).otherwise(F.col("n_verbatim")).alias("n_windows"),
+                              F.when(consistent, F.col("filled")).otherwise(F.col("unchanged")).alias("filled"))
     changed = F.size(F.filter("filled", lambda x: x["values"] != x["slots"]))
-    aligned = one_each.where(consistent & (F.col("n_windows") >= min_windows)).withColumn("n_slots", n_slots).withColumn("n_changed", changed)
+    aligned = counted.where((F.col("n_windows") > 0) & (F.col("n_windows") >= min_windows)).withColumn("n_slots", F.size("filled")).withColumn("n_changed", changed)
     best = F.max_by(F.struct("n_windows", "n_slots", "n_changed"), F.struct("n_windows", -F.col("shift")))
     return aligned.groupBy("doc_id", "doc_hash", "item_id").agg(best.alias("best")).select("doc_id", "doc_hash", "item_id", "best.*")
 

@@ -159,3 +159,19 @@ def test_exact_copies_of_dense_and_short_questions_are_found(make, spark, block_
     found = decontaminate.contaminated(docs, questions, block_hashes=block_hashes).collect()
     assert sorted((r.doc_id or 0, r.item_id) for r in found) == sorted((i or 0, item) for i, _, items in COPIES for item in items)
     assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, questions).collect()) == [i for i, _, items in COPIES if not items]
+
+
+LONG = "Here is a long introduction without any value in it at all, as such things are, and then come 5 apples in one basket on the old table and 5 pears in another basket on the new chair"
+EDITED = [
+    (1, LONG, 0), (2, LONG.replace("5 pears", "6 pears"), 0), (3, LONG.replace("5 apples", "3 apples").replace("5 pears", "6 pears"), 0), (4, LONG.replace("5", "7"), 1),
+    (5, "and then come 5 apples", None),
+]
+
+
+def test_verbatim_windows_count_beside_a_conflict(make, spark):
+    questions = spark.createDataFrame([(1, LONG)], "item_id bigint, text string")
+    found = {r.doc_id: r for r in decontaminate.contaminated(make([r[:2] for r in EDITED], ("unchanged",)), questions).collect()}
+    assert {i: r.n_changed for i, r in found.items()} == {i: n for i, _, n in EDITED if n is not None}
+    assert found[1].n_windows == found[4].n_windows > found[2].n_windows > found[3].n_windows > 10
+    assert (found[1].n_slots, found[2].n_slots, found[3].n_slots) == (1, 1, 0)
+    assert decontaminate.contaminated(make([r[:2] for r in EDITED]), questions, min_windows=found[3].n_windows + 1).count() == 3
