@@ -24,7 +24,6 @@ VOCABULARY = 8192  # bound of the broadcast vectors
 SIZE = 32  # numbers of a word vector
 MARKS = 2  # set places of an index vector for each sign
 REACH = 2  # neighbours on each side
-LEAST_IN_BATCH = 2
 TRAIN_ROWS = 30_000  # bound of the labelled rows that fit the network
 HIDDEN = 32
 THRESHOLD = 0.5
@@ -79,8 +78,7 @@ def vocabulary_of(docs: DataFrame, most: int = VOCABULARY) -> np.ndarray:
                 held += [tokens.words, tokens.shapes]
             if held:
                 token, seen = np.unique(np.concatenate(held), return_counts=True)
-                often = seen >= LEAST_IN_BATCH
-                yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(seen.astype(np.int64))], schema=schema)
 
     counts = docs.select("text").mapInArrow(work, "token bigint, seen bigint").groupBy("token").agg(F.sum("seen").alias("seen"))
     table = heaviest(shared_table(counts, "words"), F.col("seen"), most).select("token").toArrow()

@@ -259,6 +259,25 @@ def test_shapes_stand_in_for_rare_words():
     assert tokens.known(np.sort(tokens.shapes[:1])).tolist() == [0, -1, -1, -1, 0]
 
 
+def test_vocabulary_does_not_depend_on_batches(make, spark):
+    rng = random.Random(4)
+    rows = [(i, f"everywhere once {rng.choice('abcdefgh') * 3} here{i}") for i in range(60)]
+    texts = [t for _, t in rows]
+    tokens = quality_model.Tokens(pa.array(texts))
+    token, seen = np.unique(np.concatenate([tokens.words, tokens.shapes]), return_counts=True)
+    docs = make(rows)
+    cut = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for records in ("10000", "7", "1"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+            for parts in (1, 30):
+                assert quality_model.vocabulary_of(docs.repartition(parts)).tolist() == token.tolist()
+                common = quality_model.vocabulary_of(docs.repartition(parts), 8)
+                assert 0 < len(common) <= 8 and quality_model.Tokens(pa.array(["everywhere once"])).words[0] in common
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", cut)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept, ids = docs, set(range(10**9))
