@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import bpe, decontaminate, license_rules, line_dedup, ngram_join, preference_format, quality_model, quality_rules, token_store, toxicity
+from tallyspark.llm import alignment, bpe, decontaminate, license_rules, line_dedup, ngram_join, preference_format, quality_model, quality_rules, token_store, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_pairs": bpe.query,
     "op9_toxicity": toxicity.query,
     "op10_quality_model": quality_model.query,
+    "op11_token_alignment": alignment.query,
 }
 
 ORACLES = {
