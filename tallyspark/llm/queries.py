@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import alignment, bpe, decontaminate, license_rules, line_dedup, ngram_join, preference_format, quality_model, quality_rules, token_store, toxicity
+from tallyspark.llm import alignment, bpe, decontaminate, license_rules, line_dedup, ngram_join, preference_format, quality_model, quality_rules, sanitize, token_store, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_quality_model": quality_model.query,
     "op11_token_alignment": alignment.query,
+    "op13_sanitize": sanitize.query,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op5_preference_format": preference_format.ORACLE,
     "op7_license_rules": license_rules.ORACLE,
+    "op13_sanitize": sanitize.ORACLE,
 }
