@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import alignment, bpe, decontaminate, license_rules, line_dedup, ngram_join, preference_format, quality_model, quality_rules, sanitize, token_store, toxicity
+from tallyspark.llm import alignment, bpe, decontaminate, license_rules, line_dedup, ngram_join, preference_format, quality_model, quality_rules, sanitize, token_store, toxicity, variants
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_quality_model": quality_model.query,
     "op11_token_alignment": alignment.query,
+    "op12_spelling_variants": variants.query,
     "op13_sanitize": sanitize.query,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op5_preference_format": preference_format.ORACLE,
     "op7_license_rules": license_rules.ORACLE,
+    "op12_spelling_variants": variants.ORACLE,
     "op13_sanitize": sanitize.ORACLE,
 }
