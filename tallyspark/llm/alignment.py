@@ -5,8 +5,8 @@ for in the longer list from where the last one was found, in steps that double,
 have cut the tokens into groups; the ranks of two neighbouring ends tell which tokens overlap.  Many stretches ("lanes") of
 the driving lists are searched side by side in numpy.
 
-Corpus-wide counts of linked id pairs are asked for once per slice of texts, not once per document: a slice of some
-megabytes names its distinct pairs, and the answers go back to the slice.
+Corpus-wide counts of linked id pairs are asked for once per slice of texts, not once per document: a slice of about
+a megabyte names its distinct pairs, and the answers go back to the slice.
 """
 
 from __future__ import annotations
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe
 from tallyspark.llm import words as W
-from tallyspark.llm.pieces import SLICE_BYTES, PieceEncoder
+from tallyspark.llm.pieces import SLICE_BYTES, SPACE, PieceEncoder
 from tallyspark.llm.shared import shared_table
 
 LANE = 64
 BLANK = "▁"
-PAIRS_BYTES = 4 << 20
+PAIRS_BYTES = 1 << 20
 SEPARATORS = np.frombuffer(b",|,;", dtype=np.uint8)  # within and after the first side's tokens, then the second side's
 
 
@@ -83,8 +83,43 @@ class Links:
         self.first, self.second = (other, driver) if swapped else (driver, other)
 
 
+def digits_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decimal digits of each id, the first ones in the first row, and how many there are."""
+    width = len(str(int(ids.max())))
+    counts = np.ones(len(ids), dtype=np.int64)
+    for k in range(1, width):
+        counts += ids >= 10**k
+    places = np.maximum(counts[None] - 1 - np.arange(width)[:, None], 0)
+    return (ids[None] // 10**places % 10 + ord("0")).astype(np.uint8), counts
+
+
+class BlankEncoder(PieceEncoder):
+    """Encodes what stands between blanks apart: a piece begins with a blank that follows no white space.
+
+    Exact for a sentence-piece model without a token that goes on after a blank, which is checked.
+    """
+
+    def __init__(self, model):
+        tokens = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        if any(BLANK in token.lstrip(BLANK) for token in tokens):
+            raise ValueError("the sentence-piece model has tokens with a blank inside")
+        self.model = model
+        super().__init__(self._encode, lambda text: b"", [])
+
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        found = self.model.encode([piece[1:] for piece in pieces], num_threads=1)  # the model adds the blank itself
+        blank = [self.model.piece_to_id(BLANK)]
+        return [np.array(ids if len(piece) > 1 else blank, dtype="<u4").tobytes() for piece, ids in zip(pieces, found, strict=True)]
+
+    def starts(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        space = self.classes[codes] == SPACE
+        begins = (codes == ord(" ")) & ~np.concatenate(([True], space[:-1]))
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(begins)
+
+
 class Tokenizers:
-    """Both tokenizers, the byte length of every id, and its decimal digits."""
+    """Both tokenizers, and the bytes and the decimal digits of every id."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -92,44 +127,41 @@ class Tokenizers:
         own = bpe.codec(path_a)
         self.split = PieceEncoder(own.merge_all, own.encode, [])  # strings of added tokens are plain text
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.blanks = BlankEncoder(self.model)
         self.bytes_a = own.by_id
         self.bytes_b = [self._piece(i) for i in range(self.model.get_piece_size())]
         self.sizes_a = np.fromiter(map(len, self.bytes_a), dtype=np.int64)
         self.sizes_b = np.fromiter(map(len, self.bytes_b), dtype=np.int64)
+        self.figures, self.counts = digits_of(np.arange(max(len(self.bytes_a), len(self.bytes_b))))
 
     def _piece(self, token: int) -> bytes:
         piece = self.model.id_to_piece(token)
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(token) else piece.replace(BLANK, " ").encode()
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of each text on both sides; both empty where there is no text, or a side's bytes are not blank + text."""
+        """Ids of each text on both sides; both empty where there is no text, or a side's bytes are not blank + text.
+
+        The sign for a blank comes back as a blank, so a text that has this sign itself never fits.
+        """
         none = np.zeros(0, dtype=np.int64)
-        spaced = [" " + text if text else "" for text in texts]
-        ids, offsets = self.split.encode_batch(pa.array(spaced, pa.large_string()))
+        spaced = [" " + text if text and BLANK not in text else "" for text in texts]
+        held = pa.array(spaced, pa.large_string())
+        (ids_a, from_a), (ids_b, from_b) = self.split.encode_batch(held), self.blanks.encode_batch(held)
         first, second = [], []
-        for k, own in enumerate(self.model.encode([text or "" for text in texts], num_threads=1)):
-            raw, mine = spaced[k].encode(), ids[offsets[k] : offsets[k + 1]]
-            same = raw and b"".join(map(self.bytes_b.__getitem__, own)) == raw and b"".join(map(self.bytes_a.__getitem__, mine.tolist())) == raw
+        for k, text in enumerate(spaced):
+            mine, own, raw = ids_a[from_a[k] : from_a[k + 1]], ids_b[from_b[k] : from_b[k + 1]], text.encode()
+            same = b"".join(map(self.bytes_b.__getitem__, own.tolist())) == raw and b"".join(map(self.bytes_a.__getitem__, mine.tolist())) == raw
             first.append(mine.astype(np.int64) if same else none)
-            second.append(np.array(own, dtype=np.int64) if same else none)
+            second.append(own.astype(np.int64) if same else none)
         return first, second
 
 
-def digits_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Decimal digits of each id, left-aligned in a matrix, and how many there are."""
-    width = len(str(int(ids.max()))) if len(ids) else 1
-    counts = np.ones(len(ids), dtype=np.int64)
-    for k in range(1, width):
-        counts += ids >= 10**k
-    places = counts[:, None] - 1 - np.arange(width)[None]
-    return (ids[:, None] // 10 ** np.maximum(places, 0) % 10 + ord("0")).astype(np.uint8), counts
-
-
 class Slice:
     """The aligned documents of one slice of texts."""
 
     def __init__(self, own: Tokenizers, texts: list[str | None]):
         first, second = own.encode(texts)
+        self.own = own
         self.n_a, self.n_b = (np.fromiter(map(len, side), dtype=np.int64, count=len(texts)) for side in (first, second))
         self.a, self.b = (np.concatenate([np.zeros(0, dtype=np.int64), *side]) for side in (first, second))
         self.from_a, self.from_b = (np.concatenate(([0], np.cumsum(n))) for n in (self.n_a, self.n_b))
@@ -159,13 +191,13 @@ class Slice:
         ids, mark = np.empty(len(self.a) + len(self.b), dtype=np.int64), np.empty(len(self.a) + len(self.b), dtype=np.uint8)
         ids[slot_a], ids[slot_b] = self.a, self.b
         mark[slot_a], mark[slot_b] = SEPARATORS[self.common_a.astype(int)], SEPARATORS[2 + self.common_b.astype(int)]
-        figures, counts = digits_of(ids)
+        counts = self.own.counts[ids]
         ends = np.cumsum(counts + 1)
         out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
         starts = ends - counts - 1
-        for k in range(figures.shape[1] if len(ids) else 0):
-            has = counts > k
-            out[starts[has] + k] = figures[has, k]
+        for k, figure in enumerate(self.own.figures):
+            has = np.flatnonzero(counts > k)
+            out[starts[has] + k] = figure[ids[has]]
         out[ends - 1] = mark
         return out.tobytes(), np.concatenate(([0], ends))[self.from_a + self.from_b]
 

@@ -74,6 +74,10 @@ class PieceEncoder:
         self.classes = code_classes()
         self.known: dict[int, bytes] = {}
 
+    def starts(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pieces that are encoded apart begin."""
+        return piece_starts(codes, offsets, self.classes)
+
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts behind each other, and the n + 1 offsets of the texts; null counts as empty."""
         data, byte_offsets = W.flat(texts)
@@ -83,7 +87,7 @@ class PieceEncoder:
         codes = np.frombuffer(raw.decode().encode("utf-32-le"), dtype="<u4")
         leads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         offsets = leads[byte_offsets]
-        starts = piece_starts(codes, offsets, self.classes)
+        starts = self.starts(codes, offsets)
         ends = np.concatenate((starts[1:], [len(codes)]))[: len(starts)]
         hashes = W.hash_spans(codes, starts, ends)
         kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)

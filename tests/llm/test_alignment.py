@@ -117,3 +117,14 @@ def test_query_columns_and_test_table(spark):
     small = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted((r.doc_id, r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in alignment.link_statistics(small).collect())
     assert got == statistics(rows)
+
+
+def test_pieces_between_blanks_match_the_library():
+    rng, own = random.Random(8), alignment._worker(*alignment.tokenizers_of(None, None))
+    parts = ["a", "b", " ", " ", "  ", "\n", "\t", "'s", "the", " the", "1", "é", "　", "\xa0", "😀", "<s>", "<unk>", "<0x0A>", "<|endoftext|>", "ing", "\x00", "\x85", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 15))) for _ in range(4000)]
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        for text, a, b in zip(part, *own.encode(part), strict=True):
+            want = want_of(text)
+            assert (a.tolist(), b.tolist()) == (want[0], want[1]), repr(text)
