@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.llm.shared import shared_table
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS = 1
@@ -34,15 +36,16 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, doc_hash, pos, h1, h2: one row per line whose key has enough characters, range-partitioned by hash and document.
-
-    Two 64-bit hashes with different seeds stand for the key.  The rows of a partition are sorted by (hash, document, position).
-    """
+def hashed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, doc_hash, pos, h1, h2: one row per line whose key has enough characters; two 64-bit hashes stand for the key."""
     text = F.col(text_col)
     lines = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("doc_hash"), F.posexplode(lines_of(text)).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.length("key") >= min_chars)
-    hashed = keyed.select("doc_id", "doc_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    return keyed.select("doc_id", "doc_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+
+
+def line_occurrences(hashed: DataFrame) -> DataFrame:
+    """The rows of ``hashed_lines`` range-partitioned by hash and document, a partition's rows sorted by (hash, document, position)."""
     order = ["h1", "h2", "doc_id", "doc_hash"]
     return hashed.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
 
@@ -63,11 +66,13 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first occurrence, by document and position, stays.  Rows with the same id and text are one document; rows with one id
     and different texts are different documents.  A null text is an empty one; an empty table gives no rows.
     """
-    occurrences = line_occurrences(docs, id_col, text_col, min_chars)
+    # Written once: finding the bounds of ranges, the counts and the join would else each split every text.
+    hashed = shared_table(hashed_lines(docs, id_col, text_col, min_chars), "lines")
+    occurrences = line_occurrences(hashed)
     # Common lines meet their occurrences in ``PARTS`` parts by document, so one line's occurrences are never one task's.
     parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
     common = line_counts(occurrences).where(F.col("n_documents") >= min_documents).select("h1", "h2", parts)
-    dealt = occurrences.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_hash"), F.lit(PARTS)).cast("int"))
+    dealt = hashed.withColumn("part", F.pmod(F.xxhash64("doc_id", "doc_hash"), F.lit(PARTS)).cast("int"))
     lost = dealt.join(common, ["h1", "h2", "part"]).drop("part")
     if keep_first:
         first = lost.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "doc_hash", "pos")).alias("first"))
