@@ -123,57 +123,3 @@ def vector_scorer(metric: str, exclude_same: Sequence[str] = (), min_score: floa
         return m
 
     return score
-
-
-def skeleton_scorer(threshold: float, exclude_same: Sequence[str] = ()) -> Scorer:
-    """Negated Euclidean distance; items below the skeleton similarity rank after all others."""
-    distance = vector_scorer("euclidean", exclude_same)
-
-    def score(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
-        m = distance(q, i)
-        left, right = [set(s.split()) for s in q["skeleton"]], [set(s.split()) for s in i["skeleton"]]
-        cache: dict[tuple[frozenset, frozenset], bool] = {}
-        for r, a in enumerate(left):
-            for c, b in enumerate(right):
-                key = (frozenset(a), frozenset(b))
-                if key not in cache:
-                    union = len(a | b)
-                    cache[key] = (len(a & b) / union if union else 0) >= threshold
-                if not cache[key]:
-                    m[r, c] -= SKELETON_PENALTY
-        return m
-
-    return score
-
-
-SKELETON_PENALTY = 1e6
-
-
-def weighted_term_scorer() -> Scorer:
-    """Sum over the query's terms of count × item weight (``terms`` / ``weights`` arrays).
-
-    Pairs without a shared term are left out.
-    """
-
-    def score(q: pd.DataFrame, i: pd.DataFrame) -> np.ndarray:
-        asked = {t for terms in q["terms"] for t in terms}
-        postings: dict[str, tuple[list[int], list[float]]] = {}
-        for position, (terms, weights) in enumerate(zip(i["terms"], i["weights"], strict=True)):
-            for term, weight in zip(terms, weights, strict=True):
-                if term in asked:
-                    rows, values = postings.setdefault(term, ([], []))
-                    rows.append(position)
-                    values.append(weight)
-        arrays = {t: (np.asarray(r), np.asarray(v, dtype=float)) for t, (r, v) in postings.items()}
-        m = np.zeros((len(q), len(i)))
-        shared = np.zeros(m.shape, dtype=bool)
-        for r, (terms, counts) in enumerate(zip(q["terms"], q["weights"], strict=True)):
-            for term, count in zip(terms, counts, strict=True):
-                if term in arrays:
-                    rows, values = arrays[term]
-                    m[r, rows] += count * values
-                    shared[r, rows] = True
-        m[~shared] = np.nan
-        return m
-
-    return score

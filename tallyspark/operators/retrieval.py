@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.blocks import SKELETON_PENALTY, block_topk, skeleton_scorer, vector_scorer, weighted_term_scorer
 from tallyspark.functions.editjoin import edit_join
+from tallyspark.functions.postings import top_items
+from tallyspark.functions.vectors import VectorIndex, build_index, search
 from tallyspark.functions.words import COMMON_TERMS, COMMON_WORDS, STOPWORDS, jaccard, name_tokens, plain_tokens, word_array, words
+from tallyspark.session import cut_lineage
 
 # Lexical weights, gram length, shown matches, thresholds.
 LONG_TOKEN_BONUS = 0.35
@@ -316,8 +318,8 @@ def nearest_name(names: DataFrame, catalog: DataFrame, cutoff: float = 0.88) ->
     return asked.withColumn("_l", F.lower("name")).join(found, ["db_id", "_l"]).select("db_id", "name", "nearest", "ratio")
 
 
-def bm25_weights(corpus: DataFrame, asked: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    """Per document: the asked terms it holds and their Okapi weights.
+def bm25_postings(corpus: DataFrame, asked: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """The asked terms that each document holds, with their Okapi weights: *group, item_id, term, weight.
 
     ``corpus``: ``item_id, tokens``; ``asked``: ``term``.  Term statistics come
     from map-side combined counts over the whole corpus; rare negative weights
@@ -329,10 +331,13 @@ def bm25_weights(corpus: DataFrame, asked: DataFrame, group: Sequence[str] = ())
     def one_per_group(summary: DataFrame) -> DataFrame:
         return summary if group else F.broadcast(summary)  # without groups it is a single row
 
-    shape = one_per_group(sized.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
-    # A document is one row, so its distinct terms are found before any shuffle.
-    per_term = sized.select(*keys, F.explode(F.array_distinct("tokens")).alias("term")).groupBy(*keys, "term").agg(
-        F.count(F.lit(1)).alias("df")).join(shape, keys)
+    # A document is one row, so its distinct terms are found before any shuffle; its length goes with the first of them.
+    every = sized.select(*keys, "dl", F.posexplode(F.array_distinct("tokens")).alias("pos", "term"))
+    counted = cut_lineage(every.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("pos") == 0, F.col("dl"))).alias("tokens")))
+    sizes = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    shape = counted.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).join(sizes, keys)
+    shape = one_per_group(shape.select(*keys, "n", (F.col("tokens") / F.col("n")).alias("avgdl")))
+    per_term = counted.select(*keys, "term", "df").join(shape, keys)
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     per_term = per_term.withColumn("raw", raw)
     floor = one_per_group(per_term.groupBy(*keys).agg((F.avg("raw") * BM25_EPSILON).alias("floor")))
@@ -340,17 +345,14 @@ def bm25_weights(corpus: DataFrame, asked: DataFrame, group: Sequence[str] = ())
         *keys, "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "avgdl")
     weight = F.col("idf") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     occurrences = sized.select(*keys, "item_id", "dl", F.explode("tokens").alias("term")).join(wanted, [*keys, "term"])
-    counted = occurrences.groupBy(*keys, "item_id", "dl", "term", "idf", "avgdl").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = counted.groupBy(*keys, "item_id").agg(
-        F.collect_list(F.struct("term", weight.alias("w"))).alias("_t"))
-    return weighted.select(*[k for k in keys if k != "_g"], "item_id", F.col("_t.term").alias("terms"), F.col("_t.w").alias("weights"))
+    counted = occurrences.groupBy(*keys, "term", "item_id", "dl", "idf", "avgdl").agg(F.count(F.lit(1)).alias("tf"))
+    return counted.select(*[k for k in keys if k != "_g"], "item_id", "term", weight.alias("weight"))
 
 
 def query_terms(queries: DataFrame, column: str = "tokens") -> DataFrame:
-    """Distinct terms of each query with their counts as weights."""
-    distinct = F.array_sort(F.array_distinct(F.col(column)))
-    counts = F.transform(distinct, lambda t: F.size(F.filter(F.col(column), lambda x: x == t)).cast("double"))
-    return queries.withColumn("terms", distinct).withColumn("weights", counts)
+    """Distinct terms of each query with their counts as weights, one row each; all columns but the tokens stay."""
+    kept = [c for c in queries.columns if c != column]
+    return queries.select(*kept, F.explode(column).alias("term")).groupBy(*kept, "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def bm25_top_n(queries: DataFrame, corpus: DataFrame, n: int, group: Sequence[str] = ()) -> DataFrame:
@@ -359,9 +361,7 @@ def bm25_top_n(queries: DataFrame, corpus: DataFrame, n: int, group: Sequence[st
     Documents without a shared term are not returned.
     """
     asked = queries.select(F.explode("tokens").alias("term"))
-    weights = bm25_weights(corpus, asked, group)
-    terms = query_terms(queries).select("query_id", *group, "terms", "weights")
-    return block_topk(terms, weights, weighted_term_scorer(), n, group)
+    return top_items(query_terms(queries.select("query_id", *group, "tokens")), bm25_postings(corpus, asked, group), n, group)
 
 
 def _column_sizes(values: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -396,9 +396,9 @@ def bm25_column_samples(questions: DataFrame, values: DataFrame, limit: int) ->
     asked = questions.select("query_id", "db_id", F.split(F.regexp_replace("question", "[\"'`]", ""), r"\s+").alias("tokens"))
     columns = corpus.select(F.col("db_id").alias("_db"), F.col("col").alias("_col")).distinct()
     scoped = asked.join(columns, F.col("db_id") == F.col("_db")).select("query_id", "db_id", F.col("_col").alias("col"), "tokens")
-    weights = bm25_weights(corpus, asked.select(F.explode("tokens").alias("term")), ["db_id", "col"])
+    postings = bm25_postings(corpus, asked.select(F.explode("tokens").alias("term")), ["db_id", "col"])
     named = scoped.select(F.struct("query_id", "col").alias("query_id"), "db_id", "col", "tokens")
-    hits = block_topk(query_terms(named).select("query_id", "db_id", "col", "terms", "weights"), weights, weighted_term_scorer(), limit, ["db_id", "col"])
+    hits = top_items(query_terms(named), postings, limit, ["db_id", "col"])
     hits = hits.select("query_id.query_id", "query_id.col", F.col("item_id").alias("value"), "score")
     # At most ``limit`` of the first 2 * limit values can be among the hits, so the rest are enough to fill up.
     by_value = Window.partitionBy("db_id", "col").orderBy("item_id")
@@ -421,51 +421,90 @@ def overlap_few_shot(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
     ``queries``: ``query_id, question``; ``pool``: ``item_id, question``.
     """
     def terms(df: DataFrame, key: str) -> DataFrame:
-        distinct = F.array_distinct(words(F.col("question")))
-        return df.select(key, distinct.alias("terms"), F.transform(distinct, lambda t: F.lit(1.0)).alias("weights"))
+        return df.select(key, F.explode(F.array_distinct(words(F.col("question")))).alias("term"), F.lit(1.0).alias("weight"))
 
-    return block_topk(terms(queries, "query_id"), terms(pool, "item_id"), weighted_term_scorer(), k)
+    asked = terms(queries, "query_id")
+    held = terms(pool, "item_id").join(asked.select("term").distinct(), "term", "left_semi")
+    return top_items(asked, held, k)
 
 
 def vector_few_shot(
-    targets: DataFrame, pool: DataFrame, k: int, metric: str = "cosine", cross_domain: bool = False
+    targets: DataFrame, pool: DataFrame, k: int, metric: str = "cosine", cross_domain: bool = False, probes: int | None = None
 ) -> DataFrame:
     """Nearest pool rows by cosine or Euclidean distance, never the same question.
 
-    Both sides: id, ``vector, question`` and, for ``cross_domain``, ``db_id``.
+    Both sides: id, ``vector, question`` and, for ``cross_domain``, ``db_id``.  ``probes`` as in ``vectors.search``.
     """
     same = ["question", *(["db_id"] if cross_domain else [])]
     columns = ["vector", *same]
-    return block_topk(
-        targets.select("query_id", *columns), pool.select("item_id", *columns), vector_scorer(metric, same), k)
+    index = build_index(pool.select("item_id", *columns), metric)
+    return search(index, targets.select("query_id", *columns), k, exclude_same=same, probes=probes)
+
+
+def similar_skeletons(left: DataFrame, right: DataFrame, threshold: float = SKELETON_SIMILARITY) -> DataFrame:
+    """left_skeleton, right_skeleton: pairs of distinct skeletons whose token sets have a Jaccard similarity of ``threshold``.
+
+    Both sides: ``skeleton``.  Similar sets share one of their rarest tokens, so the join meets on those alone.
+    """
+    def sets(df: DataFrame) -> DataFrame:
+        tokens = F.array_distinct(F.filter(F.split("skeleton", r"\s+"), lambda t: t != ""))
+        return df.select("skeleton").distinct().select("skeleton", tokens.alias("tokens"))
+
+    a, b = sets(left), sets(right)
+    counts = b.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefixes(df: DataFrame, side: str) -> DataFrame:
+        exploded = df.select("skeleton", "tokens", F.explode("tokens").alias("token")).join(counts, "token", "left")
+        ranked = exploded.groupBy("skeleton", "tokens").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("r"))
+        size = F.size("r")
+        rarest = F.slice("r", 1, (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
+        return ranked.select(F.col("skeleton").alias(f"{side}_skeleton"), F.col("tokens").alias(f"{side}_tokens"), F.explode(rarest["token"]).alias("token"))
+
+    met = prefixes(a, "left").join(prefixes(b, "right"), "token").drop("token").distinct()
+    union = F.size(F.array_union("left_tokens", "right_tokens"))
+    return met.where(F.size(F.array_intersect("left_tokens", "right_tokens")) / union >= threshold).select("left_skeleton", "right_skeleton")
 
 
 def vector_few_shot_skeleton(targets: DataFrame, pool: DataFrame, k: int, threshold: float = SKELETON_SIMILARITY) -> DataFrame:
-    """Nearest rows among those with a similar SQL skeleton, back-filled by plain distance."""
-    columns = ["vector", "question", "skeleton"]
-    hits = block_topk(
-        targets.select("query_id", *columns), pool.select("item_id", *columns), skeleton_scorer(threshold, ["question"]), k, digits=5)
-    passed = F.col("score") > -SKELETON_PENALTY / 2
-    distance = -F.when(passed, F.col("score")).otherwise(F.col("score") + SKELETON_PENALTY)
-    return hits.select("query_id", "item_id", "rank", passed.alias("near"), F.round(distance, 5).alias("distance"))
+    """Nearest rows among those with a similar SQL skeleton, back-filled by plain distance.
+
+    Distinct skeletons are compared once; a target then searches the rows of the skeletons that its own is similar to.  Fewer
+    than ``k`` similar rows are all among the results, so the nearest ``k`` of all rows are enough to fill up from.
+    """
+    similar = cut_lineage(similar_skeletons(targets, pool, threshold))
+    index = build_index(pool.select("item_id", "vector", "question", "skeleton"), "euclidean")
+    asked = targets.select("query_id", "vector", "question", "skeleton")
+    near = asked.withColumnRenamed("skeleton", "left_skeleton").join(similar, "left_skeleton").select(
+        "query_id", "vector", "question", F.col("right_skeleton").alias("skeleton"))
+    hits = search(index, near, k, ["skeleton"], ["question"], digits=5).withColumn("near", F.lit(True))
+    pairs = similar.select(F.col("left_skeleton").alias("skeleton"), "right_skeleton", F.lit(True).alias("same"))
+    plain = search(index, asked.drop("skeleton"), k, (), ["question"], digits=5)
+    plain = plain.join(asked.select("query_id", "skeleton"), "query_id").join(pool.select("item_id", F.col("skeleton").alias("right_skeleton")), "item_id")
+    others = plain.join(pairs, ["skeleton", "right_skeleton"], "left").where("same IS NULL").withColumn("near", F.lit(False))
+    columns = ["query_id", "item_id", "near", F.round(-F.col("score"), 5).alias("distance")]
+    every = hits.select(*columns).unionByName(others.select(*columns))
+    order = Window.partitionBy("query_id").orderBy(F.desc("near"), "distance", "item_id")
+    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "item_id", "rank", "near", "distance")
 
 
 def vector_threshold_match(queries: DataFrame, index: DataFrame, k: int, min_sim: float, keep: DataFrame | None = None) -> DataFrame:
     """Top k index rows per query above a similarity, optionally only those also in ``keep`` (``item_id``)."""
     group = ["db_id"] if "db_id" in queries.columns and "db_id" in index.columns else []
-    hits = block_topk(
-        queries.select("query_id", *group, "vector"), index.select("item_id", *group, "vector"), vector_scorer("dot", (), min_sim), k, group)
+    placed = build_index(index.select("item_id", *group, "vector"), "dot")
+    hits = search(placed, queries.select("query_id", *group, "vector"), k, group, min_score=min_sim)
     return hits if keep is None else hits.join(keep.select("item_id").distinct(), "item_id", "left_semi")
 
 
-def retrieve(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+def retrieve(queries: DataFrame, index: DataFrame | VectorIndex, k: int, probes: int | None = None) -> DataFrame:
     """k nearest rows from every index for every query, best first.
 
-    ``index``: ``index_id, item_id, vector``; ``queries``: ``query_id, index_ids array, vector``.
+    ``index``: ``index_id, item_id, vector``, or built from it for the cosine; ``queries``: ``query_id, index_ids array, vector``.
     """
+    placed = index if isinstance(index, VectorIndex) else build_index(index.select("index_id", "item_id", "vector"), "cosine")
     asked = queries.select(F.struct("query_id", "index_id").alias("query_id"), "index_id", "vector") if "index_id" in queries.columns else (
         queries.withColumn("index_id", F.explode("index_ids")).select(F.struct("query_id", "index_id").alias("query_id"), "index_id", "vector"))
-    hits = block_topk(asked, index.select("index_id", "item_id", "vector"), vector_scorer("cosine"), k, ["index_id"])
+    hits = search(placed, asked, k, ["index_id"], probes=probes)
     return hits.select("query_id.query_id", "query_id.index_id", "item_id", "score")
 
 
@@ -473,10 +512,12 @@ def retrieve_two_turns(queries: DataFrame, second: DataFrame, index: DataFrame,
     """A first turn, then rewritten queries over what the first turn did not return for that query.
 
     A query sees at most k first-turn rows per index, so the second turn asks
-    for twice as many and drops those already seen: the result is exact.
+    for twice as many and drops those already seen: the result is exact.  Both
+    turns search one index.
     """
-    first = retrieve(queries, index, k).withColumn("turn_n", F.lit(0))
-    again = retrieve(second, index, 2 * k).join(first.select("query_id", "index_id", "item_id"), ["query_id", "index_id", "item_id"], "left_anti")
+    placed = build_index(index.select("index_id", "item_id", "vector"), "cosine")
+    first = cut_lineage(retrieve(queries, placed, k).withColumn("turn_n", F.lit(0)))
+    again = retrieve(second, placed, 2 * k).join(first.select("query_id", "index_id", "item_id"), ["query_id", "index_id", "item_id"], "left_anti")
     order = Window.partitionBy("query_id", "index_id").orderBy(F.desc("score"), "item_id")
     fresh = again.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r").withColumn("turn_n", F.lit(1))
     return first.unionByName(fresh.select(*first.columns))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions.blocks import block_topk, vector_scorer, weighted_term_scorer
+from tallyspark.functions.blocks import block_topk, vector_scorer
 from tallyspark.functions.editjoin import edit_join
 from tallyspark.operators import joins as J
 from tallyspark.operators import retrieval as R
@@ -60,9 +60,9 @@ def test_block_topk_matches_brute_force(spark, block_rows):
 
 
 def test_block_topk_stays_inside_groups(spark):
-    queries = spark.createDataFrame([(1, "a", ["x"], [1.0]), (2, "b", ["x"], [1.0]), (3, "c", ["x"], [1.0])], "query_id int, db_id string, terms array<string>, weights array<double>")
-    items = spark.createDataFrame([(n, "a" if n < 30 else "b", ["x"], [float(n)]) for n in range(60)], "item_id int, db_id string, terms array<string>, weights array<double>")
-    rows = block_topk(queries, items, weighted_term_scorer(), 2, ["db_id"], block_rows=4).collect()
+    queries = spark.createDataFrame([(1, "a", [1.0]), (2, "b", [1.0]), (3, "c", [1.0])], "query_id int, db_id string, vector array<double>")
+    items = spark.createDataFrame([(n, "a" if n < 30 else "b", [float(n)]) for n in range(60)], "item_id int, db_id string, vector array<double>")
+    rows = block_topk(queries, items, vector_scorer("dot"), 2, ["db_id"], block_rows=4).collect()
     assert sorted((r["query_id"], r["item_id"]) for r in rows) == [(1, 28), (1, 29), (2, 58), (2, 59)]
 
 
