@@ -129,13 +129,24 @@ def unsafe_structure(spark, sf):
     return S.unsafe_structure(rows, "body", S.DIAGNOSTIC_FIELDS).select("event_id", F.array_join("problems", ",").alias("problems"))
 
 
+@query("unsafe_manifest", """
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'forbidden field' WHEN 3 THEN 'forbidden field' WHEN 4 THEN 'non-finite number' WHEN 5 THEN 'invalid json' ELSE '' END AS problems FROM events""")
+def unsafe_manifest(spark, sf):
+    k = F.col("event_id") % 6
+    counters = F.when(k == 0, '"note_tokens_prompt": "3"').otherwise('"prompt_tokens": 3, "raw_response_tokens": 4.5')
+    privacy = F.when(k == 3, '"contains_question_text": true').otherwise('"contains_question_text": false, "contains_sql": false')
+    body = F.concat(F.lit('{"run": {"token_usage": {'), counters, F.lit('}}, "privacy": {'), privacy, F.lit('}, "list": [[1, '), F.when(k == 4, "NaN").otherwise("2"), F.when(k == 5, "],").otherwise("]"), F.lit(']}'))
+    rows = table(spark, sf, "events").select("event_id", body.alias("body"))
+    return S.unsafe_structure(rows, "body", document="manifest").select("event_id", F.array_join("problems", ",").alias("problems"))
+
+
 @query("strip_records", """
 SELECT event_id, '{"ex": 0.5, "by": {"easy": {"n": ' || event_id || ', "list": [{"score": 1}, [{"k": 2}], "text"]}}, "n": ' || user_id || '}' AS body FROM events""")
 def strip_records(spark, sf):
     body = F.concat(
         F.lit('{"ex": 0.5, "per_sample": [1], "by": {"easy": {"n": '), F.col("event_id"),
         F.lit(', "Config-Path": "x", "list": [{"path": "/a", "score": 1}, [{"Records": [{"a": 1}], "k": 2}], "text"]}}, "Path": 1, "n": '), F.col("user_id"), F.lit("}"))
-    return table(spark, sf, "events").select("event_id", S.strip_records(body).alias("body"))
+    return S.strip_records(table(spark, sf, "events").select("event_id", body.alias("body")), "body")
 
 
 @query("redact", """
@@ -153,5 +164,5 @@ def redact(spark, sf):
 SELECT event_id, '{"k": ' || json_extract_string(props, '$.k') || ', "deep": {"on": true, "list": [1, [2.5], {"n": ' || event_id || '}]}}' AS kept FROM events""")
 def numeric_fields(spark, sf):
     deep = F.concat(F.lit(', "bad key": 1, "text": "x", "deep": {"on": true, "off": null, "list": [1, "y", [2.5, []], {"n": '), F.col("event_id"), F.lit(', "s": "z"}], "none": {"a": "b"}}}'))
-    kept = S.numeric_fields(F.concat(F.expr("substring(props, 1, length(props) - 1)"), deep))
-    return table(spark, sf, "events").select("event_id", kept.alias("kept"))
+    text = F.concat(F.expr("substring(props, 1, length(props) - 1)"), deep)
+    return S.numeric_fields(table(spark, sf, "events").select("event_id", text.alias("kept")), "kept")

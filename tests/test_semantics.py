@@ -305,9 +305,9 @@ def test_benchmark_split_is_read_in_order(spark, tmp_path):
 def test_records_go_at_any_depth(spark):
     text = '{"ex": 1, "deep": [{"config_path": "x", "list": [{"per_sample": [1], "n": {"Path": 1, "k": "v"}}]}], "Records": []}'
     df = spark.createDataFrame([(text,), (None,), ("no json",), ("[]",)], "t string")
-    assert [r[0] for r in df.select(N.strip_records(F.col("t"))).collect()] == ['{"ex": 1, "deep": [{"list": [{"n": {"k": "v"}}]}]}', None, None, "[]"]
+    assert [r[0] for r in N.strip_records(df, "t").collect()] == ['{"ex": 1, "deep": [{"list": [{"n": {"k": "v"}}]}]}', None, None, "[]"]
     numbers = spark.createDataFrame([('{"a b": 1, "x": {"y": [1, "s", [true, null]], "z": {"t": "u"}}}',), ('{"a": "b"}',)], "t string")
-    assert [r[0] for r in numbers.select(N.numeric_fields(F.col("t"))).collect()] == ['{"x": {"y": [1, [true]]}}', None]
+    assert [r[0] for r in N.numeric_fields(numbers, "t").collect()] == ['{"x": {"y": [1, [true]]}}', None]
 
 
 def test_blank_errors_fall_back(spark):
