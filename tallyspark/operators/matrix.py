@@ -234,20 +234,36 @@ def metric_value(cells: DataFrame, metric_id: str) -> DataFrame:
     return cells.where(F.col("metric_id") == metric_id).select("metric_id", "value")
 
 
-def publication_completeness(cells: DataFrame, samples: DataFrame, registry) -> DataFrame:
-    """Declared publishable metrics without a value although their raw signal was captured."""
+#: Derived metrics that a publication has to give when there is something to derive them from.
+FROM_TOKENS, FROM_ERRORS = ("token_total", "token_avg_per_sample", "cost_per_correct"), "error_root_distribution"
+
+
+def publication_completeness(cells: DataFrame, samples: DataFrame, registry, tokens: DataFrame | None = None) -> DataFrame:
+    """Declared publishable metrics without a value although their raw signal was captured.
+
+    The raw signal of token and cost metrics is a row of ``tokens``, that of the error distribution a wrong sample.
+    """
     declared = [
-        m for m in registry.folded()
-        if m.publication in ("public", "aggregate_only") and m.layer in ("L1", "L2", "L3", "L4") and m.id != "sc"
+        m for m in registry.metrics()
+        if (m.kind != "derived" or m.id in (*FROM_TOKENS, FROM_ERRORS)) and m.publication in ("public", "aggregate_only") and m.layer in ("L1", "L2", "L3", "L4") and m.id != "sc"
     ]
     from tallyspark.operators.aggregate import numeric_path
 
     always = {"ex", "em", "sf1", "ves", "rves"}
+    calls = F.lit(False) if tokens is None else tokens.agg(F.count(F.lit(1)) > 0).scalar()
+
+    def captured(m) -> Column:
+        if m.id in always:
+            return F.lit(True)
+        if m.id in FROM_TOKENS:
+            return calls
+        return F.count_if(F.col("ex") == 0) > 0 if m.id == FROM_ERRORS else F.count(numeric_path(samples, m.source)) > 0
+
     raw = F.array(
         *[
             F.struct(
                 F.lit(m.id).alias("metric_id"),
-                (F.lit(True) if m.id in always else F.count(numeric_path(samples, m.source)) > 0).alias("expected"),
+                captured(m).alias("expected"),
             )
             for m in declared
         ]

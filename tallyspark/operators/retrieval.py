@@ -33,23 +33,34 @@ def lexical_score(question_tokens: Column, name_parts: Column, stopwords=()) ->
     return overlap + LONG_TOKEN_BONUS * inside
 
 
+def _supplied(catalog: DataFrame, kind: str) -> Column:
+    """The probability that a row of the catalog brings along, under the first of its names that has one."""
+    present = [F.col(n).cast("double") for n in (f"{kind}_pred_prob", f"{kind}_pred_probs", f"{kind}_score", f"{kind}_prob") if n in catalog.columns]
+    return F.coalesce(*present) if present else F.lit(None).cast("double")
+
+
 def table_catalog(catalog: DataFrame, stopwords=(), abbreviations=None, hints: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """One row per database: nested tables with their columns and tokens, ready for row-local scoring."""
+    """One row per database: nested tables with their columns and tokens, ready for row-local scoring.
+
+    Probabilities of a supplied model (``table_prob``, ``column_prob`` and the like) take the place of lexical scores; a
+    table's is the greatest of its rows.
+    """
     compact = F.lower(F.regexp_replace(F.concat_ws(" ", "column_name", "column_descriptions"), "[^A-Za-z0-9]+", ""))
     column = F.struct(
         "column_no", "column_name", name_tokens(F.concat_ws(" ", "column_name", "column_descriptions"), stopwords).alias("tokens"),
-        compact.alias("compact"),
+        compact.alias("compact"), _supplied(catalog, "column").alias("given"),
     )
     hint_map = F.create_map(*[x for t, w in (hints or {}).items() for x in (F.lit(t), word_array(w))]) if hints else None
     hinted = F.coalesce(F.try_element_at(hint_map, F.lower("table_name")), word_array(())) if hint_map is not None else word_array(())
     tables = catalog.groupBy("db_id", "table_name").agg(
         F.array_sort(F.collect_list(column)).alias("columns"),
         F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all("foreign_key", F.lit(r"\[([A-Za-z_]\w*)\("), 1)))).alias("related"),
+        F.max(_supplied(catalog, "table")).alias("given"),
     )
     table = F.struct(
         "table_name", name_tokens(F.col("table_name"), stopwords).alias("tokens"),
         F.array_union(name_tokens(F.col("table_name"), stopwords, abbreviations), hinted).alias("all_tokens"), hinted.alias("hints"),
-        F.lower(F.regexp_replace("table_name", "[^A-Za-z0-9]+", "")).alias("compact"), "columns", "related",
+        F.lower(F.regexp_replace("table_name", "[^A-Za-z0-9]+", "")).alias("compact"), "columns", "related", "given",
     )
     return tables.groupBy("db_id").agg(F.array_sort(F.collect_list(table)).alias("tables"))
 
@@ -62,19 +73,19 @@ def _with_tables(questions: DataFrame, tables: DataFrame, stopwords) -> DataFram
 
 
 def rank_tables(questions: DataFrame, tables: DataFrame, top_k: int, stopwords=()) -> DataFrame:
-    """Best tables per question: twice the name score, hints, best column and a quarter of the next two.
+    """Best tables per question: the supplied probability, else twice the name score, hints, best column and a quarter of the next two.
 
     The first k−2 go by score, then related tables with a positive score, then the rest.
     ``tables`` is one row per database (``table_catalog``), so scoring never pairs rows.
     """
     lex_t, lex_c = _LEX.format(x="t"), _LEX.format(x="c")
     scored = F.expr(
-        f"transform(tables, (t, i) -> named_struct('o', i, 'name', t.table_name, 'related', t.related, 'hit', size(array_intersect(t.all_tokens, q)), "
+        f"transform(tables, (t, i) -> named_struct('o', i, 'name', t.table_name, 'given', t.given, 'related', t.related, 'hit', size(array_intersect(t.all_tokens, q)), "
         f"'base', 2D * {lex_t} + 1.2D * size(array_intersect(t.hints, q)), "
         f"'cols', reverse(array_sort(transform(t.columns, c -> {lex_c})))))"
     )
     total = F.expr(
-        "array_sort(transform(scored, s -> named_struct('neg', -round(s.base + coalesce(get(s.cols, 0), 0D) + 0.25D * (coalesce(get(s.cols, 1), 0D) + coalesce(get(s.cols, 2), 0D)), 6), "
+        "array_sort(transform(scored, s -> named_struct('neg', -round(coalesce(s.given, s.base + coalesce(get(s.cols, 0), 0D) + 0.25D * (coalesce(get(s.cols, 1), 0D) + coalesce(get(s.cols, 2), 0D))), 6), "
         "'o', s.o, 'name', s.name, 'related', s.related, 'hit', s.hit)))"
     )
     primary = top_k if top_k <= 3 else top_k - 2
@@ -96,11 +107,11 @@ def rank_tables(questions: DataFrame, tables: DataFrame, top_k: int, stopwords=(
 
 
 def rank_columns(questions: DataFrame, tables: DataFrame, top_k: int, stopwords=()) -> DataFrame:
-    """Best columns per question and table, stable in catalog order."""
+    """Best columns per question and table by the supplied probability, else lexically, stable in catalog order."""
     lex_c = _LEX.format(x="c")
     best = F.expr(
         f"transform(tables, t -> named_struct('table_name', t.table_name, 'cols', slice(array_sort(transform(t.columns, c -> named_struct("
-        f"'neg', -round({lex_c}, 6), 'no', c.column_no, 'name', c.column_name))), 1, {int(top_k)})))"
+        f"'neg', -round(coalesce(c.given, {lex_c}), 6), 'no', c.column_no, 'name', c.column_name))), 1, {int(top_k)})))"
     )
     rows = _with_tables(questions, tables, stopwords).select("query_id", F.explode(best).alias("t"))
     return rows.select("query_id", "t.table_name", F.posexplode("t.cols").alias("pos", "c")).select(
@@ -151,17 +162,33 @@ def question_grams(questions: DataFrame, max_n: int | str = MAX_GRAM) -> DataFra
     return questions.withColumn("_w", words(F.col("question"))).where(F.size("_w") > 0).select(*keep, F.explode(grams).alias("g")).select(*keep, "g.*")
 
 
+def boundary_stretches(text: Column) -> Column:
+    """All stretches of a text from one word boundary to another that have at most ``MAX_GRAM`` words between blanks.
+
+    Runs of word characters and of others take turns, and a boundary stands between two runs; a run of others at either
+    end of the text has none outside.
+    """
+    inner = F.regexp_replace(text, r"(?U)^\W+|\W+$", "")
+    runs = F.regexp_extract_all(inner, F.lit(r"(?U)\w+|\W+"), F.lit(0))
+
+    def from_run(_run: Column, i: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.size(runs) - i)
+        return F.transform(sizes, lambda n: F.array_join(F.slice(runs, i + 1, n), ""))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(runs, from_run)), lambda x: F.size(F.split(x, " ")) <= MAX_GRAM))
+
+
 def ngram_link(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """Question positions that match a table or column name: whole name or a run of its words.
+    """Question positions that match a table or column name: whole name, or a part of it between word boundaries.
 
-    ``names``: ``db_id, kind ('col' or 'tab'), item, name``.  Names are cut into
-    word runs too, so both kinds of match are one equi-join.
+    ``names``: ``db_id, kind ('col' or 'tab'), item, name``.  Names are cut at
+    all word boundaries ("free" is part of "Free-Meal Count"), so both kinds of
+    match are one equi-join.
     """
-    spaced = names.select("db_id", "kind", "item", F.filter(F.split(F.lower("name"), r"[\s_]+"), lambda t: t != "").alias("_w"))
-    runs = F.expr(
-        f"array_distinct(flatten(transform(sequence(1, least({MAX_GRAM}, size(_w))), n -> transform(sequence(0, size(_w) - n), i -> "
-        "struct(array_join(slice(_w, i + 1, n), ' ') AS gram, n = size(_w) AS whole)))))")
-    index = spaced.where(F.size("_w") > 0).select("db_id", "kind", "item", F.explode(runs).alias("r")).select("db_id", "kind", "item", "r.*")
+    spaced = names.select("db_id", "kind", "item", F.array_join(F.filter(F.split(F.lower("name"), r"[\s_]+"), lambda t: t != ""), " ").alias("_y"))
+    parts = F.transform(F.filter(boundary_stretches(F.col("_y")), lambda x: x != F.col("_y")), lambda x: F.struct(x.alias("gram"), F.lit(False).alias("whole")))
+    entries = F.concat(F.array(F.struct(F.col("_y").alias("gram"), F.lit(True).alias("whole"))), parts)
+    index = spaced.where(F.col("_y") != "").select("db_id", "kind", "item", F.explode(entries).alias("r")).select("db_id", "kind", "item", "r.*")
     noise = (*STOPWORDS, *PUNCTUATION)
     hits = question_grams(questions).join(index, ["db_id", "gram"]).where(F.col("whole") | ~F.col("gram").isin(*noise))
     spread = hits.select("query_id", "kind", "item", "whole", F.explode(F.expr("sequence(pos, pos + n - 1)")).alias("pos"))

@@ -770,12 +770,24 @@ def metric_value(spark, sf):
 
 
 @query("publication_completeness", """
-SELECT m.metric_id FROM (VALUES ('rves')) m(metric_id) WHERE (SELECT count(*) FROM scored) > 0""", ("scored",))
+SELECT m.metric_id FROM (VALUES ('rves')) m(metric_id) WHERE (SELECT count(*) FROM scored) > 0
+UNION ALL SELECT 'error_root_distribution' WHERE (SELECT count(*) FROM scored WHERE ex = 0) > 0""", ("scored",))
 def publication_completeness(spark, sf):
     rows = scored(spark, sf)
     return M.publication_completeness(A.aggregate_metrics(rows, default_registry()), rows, default_registry())
 
 
+@query("publication_completeness_derived", """
+SELECT m.metric_id FROM (VALUES ('rves'), ('token_avg_per_sample'), ('cost_per_correct')) m(metric_id) WHERE (SELECT count(*) FROM scored) > 0 AND (SELECT count(*) FROM stage_log) > 0""", ("scored", "stage_log"))
+def publication_completeness_derived(spark, sf):
+    """Token metrics are expected where calls were logged; of the wrong samples none is left here."""
+    rows = scored(spark, sf).where("ex = 1 OR ex IS NULL")
+    tokens = view(spark, sf, "stage_log")
+    cells = A.aggregate_metrics(rows, default_registry()).select("metric_id", "value")
+    given = tokens.agg(F.sum("total_tokens").cast("double").alias("value")).select(F.lit("token_total").alias("metric_id"), "value")
+    return M.publication_completeness(cells.unionByName(given), rows, default_registry(), tokens)
+
+
 _KEYS = ("run_id", "method", "dataset", "split")
 
 

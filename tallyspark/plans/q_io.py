@@ -76,6 +76,19 @@ def log_snapshots(spark, sf):
     return R.log_snapshots(chat_log(spark, sf), [F.col("pos")])
 
 
+@query("log_snapshots_named", f"""WITH {CHAT},
+b AS (SELECT conv_id, turn, role, p, last_value(p IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+s AS (SELECT CAST(conv_id AS VARCHAR) AS instance_id, 'pred_sql_before_' || role AS key, arg_min(before, turn) AS value FROM b WHERE before IS NOT NULL GROUP BY 1, 2),
+t AS (SELECT CAST(conv_id AS VARCHAR) AS instance_id, 'pred_sql_before_user' AS key, arg_max('given ' || turn, turn) AS told FROM c WHERE turn % 5 = 1 GROUP BY 1)
+SELECT instance_id, key, coalesce(told, value) AS value FROM s FULL JOIN t USING (instance_id, key)""")
+def log_snapshots_named(spark, sf):
+    """The same log under other names, with snapshots given in some rows."""
+    log = chat_log(spark, sf).withColumn("sample_id", F.col("instance_id")).withColumn("instance_id", F.when(F.col("pos") % 2 == 0, F.col("sample_id")).otherwise(""))
+    log = log.withColumn("actor", F.col("actor_name")).withColumn("actor_name", F.lit("")).withColumn("result", F.col("pred_sql")).drop("pred_sql")
+    log = log.withColumnRenamed("output_name", "OUTPUT_NAME").withColumn("pred_sql_before_user", F.when(F.col("pos") % 5 == 1, F.concat(F.lit("given "), "pos")))
+    return R.log_snapshots(log, [F.col("pos")])
+
+
 @query("join_external_text", """
 SELECT o_orderkey AS instance_id, text AS external FROM orders LEFT JOIN (SELECT doc_id, text FROM documents WHERE trim(text) <> '') d ON d.doc_id = o_orderkey""")
 def join_external_text(spark, sf):
@@ -153,6 +166,18 @@ def run_query_pairs(spark, sf):
     return X.run_query_pairs(spark, queries, scratch(spark, "cells"))[0]
 
 
+@query("run_query_status", """
+SELECT * FROM (VALUES ('s1', 0, false, 1), ('s1', 1, true, NULL), ('s2', NULL, true, NULL), ('s3', NULL, true, NULL), ('s4', 3, false, 1)) t(instance_id, candidate, failed, n_rows)
+WHERE (SELECT count(*) FROM region) > 0""")
+def run_query_status(spark, sf):
+    name = f"regions_{uuid.uuid4().hex}"
+    table(spark, sf, "region").createOrReplaceTempView(name)
+    good = f"SELECT count(*) FROM {name}"
+    texts = [("s1", "0", good), ("s1", "1", ""), ("s2", None, good), ("s3", "two", good), ("s4", "3", good)]
+    status = X.run_query_pairs(spark, texts, scratch(spark, "status"), at_once=2)[1]
+    return status.select("instance_id", "candidate", F.col("error").isNotNull().alias("failed"), F.col("n_rows").cast("int").alias("n_rows"))
+
+
 @query("verify_benchmark", """
 SELECT o_orderstatus AS split, count(*) AS actual, CASE o_orderstatus WHEN 'F' THEN count(*) ELSE 7 END AS declared, o_orderstatus = 'F' AS ok FROM orders GROUP BY 1
 UNION ALL SELECT 'gone', 0, 5, FALSE""")

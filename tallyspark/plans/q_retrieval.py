@@ -74,6 +74,30 @@ def rank_tables(spark, sf):
     return R.rank_tables(asked(spark, sf), lexical_catalog(spark, sf), 5, NAME_STOPWORDS).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def given_catalog(spark, sf):
+    """A catalog in which some tables and columns bring a probability along."""
+    c = view(spark, sf, "catalog_columns")
+    table_prob = F.when(F.col("table_name") == "t5", F.col("column_no") / 2).when(F.col("table_name") == "t2", F.lit(0.0))
+    column_prob = F.when(F.col("column_no") % 3 == 1, F.col("column_no") / 8)
+    return R.table_catalog(c.withColumn("table_pred_prob", table_prob).withColumn("column_score", F.lit(None).cast("double")).withColumn("column_prob", column_prob), NAME_STOPWORDS)
+
+
+@query("rank_columns_given", f"""WITH {LEXICAL},
+p AS (SELECT query_id, table_name, column_no, column_name, CASE WHEN column_no % 3 = 1 THEN round(column_no / 8, 6) ELSE score END AS score FROM cs)
+SELECT query_id, table_name, rank, column_name, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, table_name ORDER BY score DESC, column_no) AS rank FROM p) WHERE rank <= 3""", ("asked", "catalog_columns"))
+def rank_columns_given(spark, sf):
+    return R.rank_columns(asked(spark, sf), given_catalog(spark, sf), 3, NAME_STOPWORDS).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("rank_tables_given", f"""WITH {LEXICAL},
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, table_name ORDER BY score DESC) AS r FROM cs),
+s AS (SELECT r.query_id, r.table_name, CASE r.table_name WHEN 't5' THEN max(column_no) / 2 WHEN 't2' THEN 0 ELSE
+  sum(CASE WHEN r = 1 THEN score WHEN r <= 3 THEN 0.25 * score ELSE 0 END) + 2 * any_value(len(list_filter(q.q, lambda w: w = r.table_name))) END AS s FROM r JOIN q USING (query_id) GROUP BY r.query_id, r.table_name)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, table_name) AS rank, table_name FROM s QUALIFY rank <= 3""", ("asked", "catalog_columns"))
+def rank_tables_given(spark, sf):
+    return R.rank_tables(asked(spark, sf), given_catalog(spark, sf), 3, NAME_STOPWORDS).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 HAY = """
 h AS (SELECT a.query_id, c.table_name, c.column_name, 0.01 + len(list_intersect(list_distinct(regexp_extract_all(lower(c.table_name || ' ' || c.column_name || ' ' || c.column_types), '[a-z0-9]+')),
   list_distinct(regexp_extract_all(lower(a.question), '[a-z0-9]+')))) + CASE WHEN contains(lower(a.question), lower(c.column_name)) THEN 2 ELSE 0 END + CASE WHEN contains(lower(a.question), lower(c.table_name)) THEN 1 ELSE 0 END AS score
@@ -121,7 +145,31 @@ def ngram_link(spark, sf):
     return R.ngram_link(asked(spark, sf), names(spark, sf))
 
 
-@query("resolve_overlaps")
+MARKED = "CASE column_no % 3 WHEN 0 THEN 'Col-' || column_no || ' (Brand#' || column_no || ')' WHEN 1 THEN 'Free/' || table_name || '-Col ' || column_no ELSE column_name END"
+
+
+@query("ngram_link_marks", f"""WITH {GRAMS.replace("column_name AS item, replace(column_name, '_', ' ') AS name", f"column_name || table_name AS item, lower(replace({MARKED}, '_', ' ')) AS name")},
+pairs AS (SELECT DISTINCT gram, nm.name FROM g JOIN nm USING (db_id)),
+met AS (SELECT gram, name, gram = name AS exact FROM pairs WHERE gram = name OR (gram NOT IN ({STOP_SQL}) AND regexp_matches(name, '\\b' || regexp_escape(gram) || '\\b'))),
+hit AS (SELECT g.query_id, g.pos + d AS pos, nm.kind, nm.item, max(met.exact::INT) AS exact FROM g JOIN nm USING (db_id) JOIN met ON met.gram = g.gram AND met.name = nm.name, range(0, 5) x(d) WHERE d < g.n GROUP BY 1, 2, 3, 4)
+SELECT query_id, CAST(pos AS INT) AS pos, kind, item, CASE WHEN kind = 'col' THEN 'C' ELSE 'T' END || CASE WHEN exact = 1 THEN 'EM' ELSE 'PM' END AS flag FROM hit""", ("asked", "catalog_columns"))
+def ngram_link_marks(spark, sf):
+    c = view(spark, sf, "catalog_columns")
+    cols = c.select("db_id", F.lit("col").alias("kind"), F.concat("column_name", "table_name").alias("item"), F.expr(MARKED).alias("name"))
+    tabs = c.select("db_id", F.lit("tab").alias("kind"), F.col("table_name").alias("item"), F.col("table_name").alias("name"))
+    return R.ngram_link(asked(spark, sf), cols.unionByName(tabs).distinct())
+
+
+RESOLVED = f"""{LINK},
+per AS (SELECT query_id, pos, list(flag || '|' || kind || '|' || item) AS m, count(*) AS n FROM lk GROUP BY 1, 2),
+o AS MATERIALIZED (SELECT *, list_filter(m, lambda x: x[2:3] = 'EM') AS e, row_number() OVER (PARTITION BY query_id ORDER BY n, pos) AS r FROM per),
+st AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS taken, CAST(-1 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS kept FROM o
+ UNION ALL SELECT o.query_id, o.r, CASE WHEN len(list_intersect(s.taken, o.m)) > 0 THEN s.taken WHEN len(o.e) > 0 THEN list_concat(s.taken, o.e) ELSE list_concat(s.taken, o.m) END, CAST(o.pos AS BIGINT),
+  CASE WHEN len(list_intersect(s.taken, o.m)) > 0 THEN list_intersect(o.m, s.taken) WHEN len(o.e) > 0 THEN o.e ELSE o.m END FROM st s JOIN o ON o.query_id = s.query_id AND o.r = s.r + 1),
+res AS (SELECT query_id, CAST(pos AS INT) AS pos, string_split(unnest(kept), '|') AS x FROM st)"""
+
+
+@query("resolve_overlaps", f"WITH RECURSIVE {RESOLVED} SELECT query_id, pos, x[1] AS flag, x[2] AS kind, x[3] AS item FROM res", ("asked", "catalog_columns"))
 def resolve_overlaps(spark, sf):
     return R.resolve_overlaps(R.ngram_link(asked(spark, sf), names(spark, sf)))
 
@@ -156,17 +204,32 @@ VALUES = """
 v AS (SELECT db_id, table_name, column_name, lower(trim(value)) AS cell FROM cell_values GROUP BY ALL)"""
 
 
-@query("cell_value_link", f"""WITH {VALUES},
+CELLS = f"""{VALUES},
 t AS (SELECT query_id, db_id, unnest(string_split(lower(question), ' ')) AS word, generate_subscripts(string_split(lower(question), ' '), 1) - 1 AS pos FROM asked),
 cw AS (SELECT DISTINCT db_id, table_name, column_name, unnest(string_split_regex(cell, '\\s+')) AS word FROM v),
 h AS (SELECT query_id, db_id, table_name, column_name, pos, word, pos - row_number() OVER (PARTITION BY query_id, table_name, column_name ORDER BY pos) AS run FROM t JOIN cw USING (db_id, word) WHERE word NOT IN ({STOP_SQL}) AND try_cast(word AS DOUBLE) IS NULL),
-r AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY query_id, table_name, column_name, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS span FROM h)
-SELECT query_id, table_name, column_name, CASE WHEN EXISTS (SELECT 1 FROM v WHERE v.db_id = r.db_id AND v.table_name = r.table_name AND v.column_name = r.column_name AND v.cell = r.span) THEN 'EXACTMATCH' ELSE 'PARTIALMATCH' END AS flag, CAST(pos AS INT) AS pos FROM r""",
-       ("asked", "cell_values"))
+r AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY query_id, table_name, column_name, run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS span FROM h),
+cl AS (SELECT query_id, table_name, column_name, CASE WHEN EXISTS (SELECT 1 FROM v WHERE v.db_id = r.db_id AND v.table_name = r.table_name AND v.column_name = r.column_name AND v.cell = r.span) THEN 'EXACTMATCH' ELSE 'PARTIALMATCH' END AS flag, CAST(pos AS INT) AS pos FROM r)"""
+
+
+@query("cell_value_link", f"WITH {CELLS} SELECT * FROM cl", ("asked", "cell_values"))
 def cell_value_link(spark, sf):
     return R.cell_value_link(asked(spark, sf), view(spark, sf, "cell_values"))
 
 
+FIRMS = RESOLVED.replace("SELECT DISTINCT db_id, 'tab', table_name, table_name FROM catalog_columns", "SELECT DISTINCT db_id, 'tab', table_name, table_name FROM catalog_columns UNION SELECT DISTINCT db_id, 'tab', 'firms', 'building-firms' FROM catalog_columns").replace(
+    "contains(' ' || nm.name || ' ', ' ' || g.gram || ' ')", "(contains(' ' || nm.name || ' ', ' ' || g.gram || ' ') OR (nm.item = 'firms' AND g.gram = 'building'))")
+
+
+@query("drop_linked_cells", f"WITH RECURSIVE {FIRMS},{CELLS} SELECT * FROM cl WHERE NOT EXISTS (SELECT 1 FROM res WHERE res.query_id = cl.query_id AND res.pos = cl.pos)", ("asked", "catalog_columns", "cell_values"))
+def drop_linked_cells(spark, sf):
+    """A table named after a market segment is linked, so the segment's cells are not."""
+    known = names(spark, sf)
+    firms = known.select("db_id", F.lit("tab").alias("kind"), F.lit("firms").alias("item"), F.lit("Building-Firms").alias("name")).distinct()
+    links = R.resolve_overlaps(R.ngram_link(asked(spark, sf), known.unionByName(firms)))
+    return R.drop_linked_cells(cell_value_link(spark, sf), links).select("query_id", "table_name", "column_name", "flag", "pos")
+
+
 @query("numeric_tokens", """
 WITH t AS (SELECT query_id, db_id, unnest(string_split(lower(question), ' ')) AS word, generate_subscripts(string_split(lower(question), ' '), 1) - 1 AS pos FROM asked),
 n AS (SELECT db_id, count(*) AS n FROM catalog_columns WHERE column_types = 'number' GROUP BY 1)

@@ -48,12 +48,16 @@ def numbered_cells(written: DataFrame) -> DataFrame:
         "instance_id", "candidate", (F.col("_before") + F.col("_place")).alias("row_no"), "col_no", "num_value", "str_value")
 
 
-def _run_one(spark: SparkSession, instance_id: str, candidate: int, sql: str, out_path: str, timeout_s: float) -> tuple:
-    """Status of one query; its cells are appended in one execution, whose time is taken."""
+def _run_one(spark: SparkSession, instance_id: str, candidate: int | str | None, sql: str | None, out_path: str, timeout_s: float) -> tuple:
+    """Status of one query; its cells are appended in one execution, whose time is taken.  Whatever fails is in the status."""
     tag = f"pair-{uuid.uuid4().hex}"
     error, width, start = None, None, time.monotonic()
     context = spark.sparkContext
     late = threading.Event()
+    try:
+        number = int(candidate)
+    except (TypeError, ValueError):
+        return instance_id, None, None, f"candidate {candidate!r} is not a number", 0.0
 
     def stop() -> None:
         late.set()
@@ -65,15 +69,15 @@ def _run_one(spark: SparkSession, instance_id: str, candidate: int, sql: str, ou
     try:
         result = spark.sql(sql)
         width = len(result.columns)
-        named = result_cells(result).select(F.lit(instance_id).alias("instance_id"), F.lit(candidate).cast("int").alias("candidate"), "*")
+        named = result_cells(result).select(F.lit(instance_id).alias("instance_id"), F.lit(number).cast("int").alias("candidate"), "*")
         start = time.monotonic()
         named.write.parquet(f"{out_path}/pair={tag}")  # a folder of its own: writers side by side share no temporary files
     except Exception as problem:  # noqa: BLE001 - one bad query must not stop the batch
-        error = "timed out" if late.is_set() else str(problem).splitlines()[0]
+        error = "timed out" if late.is_set() else next(iter(str(problem).splitlines()), "") or type(problem).__name__
     finally:
         timer.cancel()
         context.removeJobTag(tag)
-    return instance_id, candidate, width, error, time.monotonic() - start
+    return instance_id, number, width, error, time.monotonic() - start
 
 
 def _slices(queries: DataFrame | Iterable[tuple[str, int, str]]) -> Iterator[list]:
@@ -89,16 +93,20 @@ def run_query_pairs(
 
     Every text is a plan of its own, so the driver starts them: it reads the texts in bounded slices and runs ``at_once``
     of them side by side; results go from the executors straight to the table.  A failing or slow query is recorded and
-    does not stop the rest.  Returns (cells, status).
+    does not stop the rest; every text has its status, also one without a usable candidate.  Returns (cells, status).
     """
     spark.createDataFrame([], WRITTEN).write.mode("append").parquet(f"{out_path}/cells/pair=none")
     spark.createDataFrame([], STATUS).write.mode("append").parquet(f"{out_path}/status")
     for part in _slices(queries):
         status: list[tuple] = []
+        broken: list[BaseException] = []
 
-        def work(todo: Iterator, status: list = status) -> None:
-            for instance_id, candidate, sql in todo:
-                status.append(_run_one(spark, instance_id, int(candidate), sql, f"{out_path}/cells", timeout_s))
+        def work(todo: list, status: list = status, broken: list = broken) -> None:
+            try:
+                for instance_id, candidate, sql in todo:
+                    status.append(_run_one(spark, instance_id, candidate, sql, f"{out_path}/cells", timeout_s))
+            except BaseException as problem:  # noqa: BLE001 - a thread's error must reach the caller
+                broken.append(problem)
 
         # Tags belong to a thread, so each worker takes every ``at_once``-th text of the slice.
         threads = [InheritableThread(target=work, args=(part[k::at_once],), session=spark) for k in range(min(at_once, len(part)))]
@@ -106,6 +114,8 @@ def run_query_pairs(
             thread.start()
         for thread in threads:
             thread.join()
+        if broken:
+            raise broken[0]
         spark.createDataFrame(status, STATUS).write.mode("append").parquet(f"{out_path}/status")
     cells = numbered_cells(spark.read.schema(f"{WRITTEN}, pair string").parquet(f"{out_path}/cells").drop("pair"))
     sizes = cells.groupBy("instance_id", "candidate").agg((F.max("row_no") + 1).alias("n_rows"))

@@ -103,6 +103,21 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType | str) -> Data
         F.monotonically_increasing_id().alias("row")))
 
 
+def _first_of(log: DataFrame, names: Sequence[str], blank: bool = False) -> Column:
+    """The first non-NULL value among the columns that a log has; with ``blank`` empty texts are passed over too."""
+    present = [F.nullif(F.col(n).cast("string"), F.lit("")) if blank else F.col(n).cast("string") for n in names if n in log.columns]
+    return F.coalesce(*present) if present else F.lit(None).cast("string")
+
+
+def named_log(log: DataFrame) -> DataFrame:
+    """The log with ``instance_id, actor_name, output_name`` and ``pred_sql``, whatever names its writer used."""
+    return (
+        log.withColumn("_i", _first_of(log, ("instance_id", "sample_id"), blank=True)).withColumn("_a", _first_of(log, ("actor_name", "actor", "name"), blank=True))
+        .withColumn("_u", _first_of(log, ("output_name", "OUTPUT_NAME"), blank=True)).withColumn("_p", _first_of(log, ("pred_sql", "output", "result", "value")))
+        .drop("instance_id", "actor_name", "output_name", "pred_sql")
+        .withColumnsRenamed({"_i": "instance_id", "_a": "actor_name", "_u": "output_name", "_p": "pred_sql"}).where("instance_id IS NOT NULL"))
+
+
 def log_diagnostics(log: DataFrame) -> DataFrame:
     """Latest non-NULL diagnostic per instance; one row per (instance, field)."""
     cells = []
@@ -110,25 +125,33 @@ def log_diagnostics(log: DataFrame) -> DataFrame:
         present = [F.col(n).cast("string") for n in names if n in log.columns]
         if present:
             cells.append(F.struct(F.lit(name).alias("field"), F.coalesce(*present).alias("value")))
-    long = log.select("instance_id", "pos", F.explode(F.array(*cells)).alias("c")).select("instance_id", "pos", "c.*")
+    long = named_log(log).select("instance_id", "pos", F.explode(F.array(*cells)).alias("c")).select("instance_id", "pos", "c.*")
     return long.where(F.col("value").isNotNull()).groupBy("instance_id", "field").agg(F.max_by("value", "pos").alias("value"))
 
 
 def log_snapshots(log: DataFrame, order: Sequence[Column]) -> DataFrame:
     """``pred_sql_before_<actor>`` per instance: the prediction that stood when the actor first ran.
 
-    ``log``: ``instance_id, actor_name, output_name, pred_sql`` and the order
-    columns.  Only rows that output a prediction matter.
+    ``log``: the columns of ``named_log`` under any of their names, and the
+    order columns.  Only rows that output a prediction matter.  A snapshot that
+    a row itself gives under such a name counts for more; the last one stays.
     """
     position = F.struct(*[c.alias(f"p{i}") for i, c in enumerate(order)])
-    rows = log.where((F.col("output_name") == "pred_sql") & F.col("instance_id").isNotNull()).withColumn("_at", position)
+    given = [c for c in log.columns if c.startswith(SNAPSHOT)]
+    named = named_log(log.withColumn("_at", position))
+    rows = named.where(F.col("output_name") == "pred_sql")
     known = rows.withColumn("_v", F.when(F.col("pred_sql").isNotNull(), F.struct("_at", "pred_sql")))
     so_far = running(known, ["instance_id"], [F.col("_at")], maxima={"_last": "_v"})
     before = with_previous(so_far, ["instance_id"], [F.col("_at")], "_last", "_before")
-    return (
+    seen = (
         before.where(F.col("actor_name").isNotNull() & F.col("_before").isNotNull())
         .groupBy("instance_id", F.concat(F.lit(SNAPSHOT), "actor_name").alias("key"))
         .agg(F.min_by("_before.pred_sql", "_at").alias("value")))
+    if not given:
+        return seen
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in given]))
+    told = named.select("instance_id", "_at", cells.alias("c")).where("c.value IS NOT NULL").groupBy("instance_id", "c.key").agg(F.max_by("c.value", "_at").alias("told"))
+    return seen.join(told, ["instance_id", "key"], "full_outer").select("instance_id", "key", F.coalesce("told", "value").alias("value"))
 
 
 def join_external_text(rows: DataFrame, texts: DataFrame) -> DataFrame:

@@ -127,3 +127,11 @@ def test_column_samples_fill_up(spark):
     rows = R.bm25_column_samples(q, values, 3).collect()
     got = {n: [r["value"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == n] for n in (1, 2)}
     assert got == {1: ["value0", "value1", "value2"], 2: ["value7", "value0", "value1"]}
+
+
+def test_names_are_cut_at_every_word_boundary(spark):
+    q = spark.createDataFrame([(1, "d", "list free meal counts (k-12) of été"), (2, "d", "count - k")], "query_id int, db_id string, question string")
+    names = spark.createDataFrame([("d", "col", "a", "Free-Meal Count (K-12)"), ("d", "col", "b", "Free Meal"), ("d", "tab", "c", "l'Été_x")], "db_id string, kind string, item string, name string")
+    got = {(r["query_id"], r["pos"], r["item"]): r["flag"] for r in R.ngram_link(q, names).collect()}
+    assert got == {(1, 1, "a"): "CPM", (1, 2, "a"): "CPM", (1, 1, "b"): "CEM", (1, 2, "b"): "CEM", (1, 6, "c"): "TPM", (2, 0, "a"): "CPM", (2, 2, "a"): "CPM"}
+    assert sorted(spark.range(1).select(R.boundary_stretches(F.lit("(a-b) c)"))).first()[0]) == sorted(["a", "a-", "a-b", "a-b) ", "a-b) c", "-", "-b", "-b) ", "-b) c", "b", "b) ", "b) c", ") ", ") c", "c"])
