@@ -6,9 +6,11 @@ the character ranges that a trainer learns from: what the assistant says, with t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.llm.shared import shared_table
+
 BEGIN, END, LEARNT = "<|im_start|>", "<|im_end|>", "assistant"
 SAFE = "<​|"  # what "<|" in a text becomes, so that no text can pose as a mark
 
@@ -77,16 +79,32 @@ def last_reply(turns: Column) -> Column:
     return F.size(turns) + 1 - F.nullif(F.array_position(roles, LEARNT), F.lit(0))
 
 
+def next_ids(ids: DataFrame, id_col: str) -> DataFrame:
+    """``ids`` (distinct ``id_col``, and ``__part``, its range) with ``__next``: the next larger id, for the last one the first.
+
+    Neighbours within a range come from the sorted range; the first ids of the ranges, one row each, tell what follows a range.
+    """
+    first = ids.groupBy("__part").agg(F.min(id_col).alias("__first"))
+    of_ranges = Window.orderBy("__part")  # as many rows as there are ranges
+    beyond = first.select("__part", F.coalesce(F.lead("__first").over(of_ranges), F.min("__first").over(Window.partitionBy())).alias("__beyond"))
+    inside = F.lead(id_col).over(Window.partitionBy("__part").orderBy(id_col))
+    return ids.withColumn("__inside", inside).join(beyond, "__part").select(id_col, F.coalesce("__inside", "__beyond").alias("__next"))
+
+
 def reply_pairs(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """pair_id, chosen, rejected from plain conversations: the rejected side ends in the last reply of the next conversation.
 
     Chosen is the whole conversation; rejected has the turns before its last assistant turn and then the last assistant turn
-    of the conversation with the next id.  A conversation without a reply, or whose next id has none, makes no pair.
+    of the conversation with the next larger id that has one, the last conversation that of the first.  A conversation
+    without a reply makes no pair, nor does the only one that has a reply.
     """
     own = conversations_of(turns, id_col).withColumn("__at", last_reply(F.col("turns"))).where("__at IS NOT NULL")
-    given = own.select((F.col("conv_id") - 1).alias("conv_id"), F.element_at("turns", F.col("__at").cast("int")).alias("__other"))
-    return own.join(given, "conv_id").select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"),
-                                             F.concat(F.slice("turns", F.lit(1), F.col("__at") - 1), F.array("__other")).alias("rejected"))
+    # Written once by range of ids, so a range means the same to all that read it.
+    own = shared_table(own.repartitionByRange("conv_id").withColumn("__part", F.spark_partition_id()), "conversations")
+    follows = next_ids(own.select("conv_id", "__part"), "conv_id").where("conv_id <> __next")
+    given = own.select(F.col("conv_id").alias("__next"), F.element_at("turns", F.col("__at").cast("int")).alias("__other"))
+    return own.join(follows, "conv_id").join(given, "__next").select(
+        F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.col("__at") - 1), F.array("__other")).alias("rejected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +136,8 @@ WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(t
 c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
 o AS (SELECT conv_id, turns, len(turns) + 1 - list_position(list_reverse([x.role FOR x IN turns]), '{LEARNT}') AS pos FROM c
       WHERE list_contains([x.role FOR x IN turns], '{LEARNT}')),
-p AS (SELECT a.conv_id AS pair_id, a.turns AS ch, list_append(a.turns[:a.pos - 1], b.turns[b.pos]) AS re FROM o a JOIN o b ON b.conv_id = a.conv_id + 1),
+f AS (SELECT conv_id, coalesce(lead(conv_id) OVER (ORDER BY conv_id), min(conv_id) OVER ()) AS follower FROM o),
+p AS (SELECT a.conv_id AS pair_id, a.turns AS ch, list_append(a.turns[:a.pos - 1], b.turns[b.pos]) AS re FROM o a JOIN f USING (conv_id) JOIN o b ON b.conv_id = f.follower AND b.conv_id <> a.conv_id),
 n AS (SELECT *, coalesce(list_position([ch[k] IS DISTINCT FROM re[k] FOR k IN range(1, greatest(len(ch), len(re)) + 1)], true) - 1, greatest(len(ch), len(re))) AS n_common FROM p),
 s AS (SELECT pair_id, CAST(n_common AS INT) AS n_common, ch[:n_common] AS pr, ch[n_common + 1:] AS ch, re[n_common + 1:] AS re FROM n)
 SELECT pair_id, n_common, {_sql_text('pr')} AS prompt, {_sql_text('ch')} AS chosen, {_sql_text('re')} AS rejected,
