@@ -231,13 +231,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     rows = features.join(marked.where(fold != HELD_OUT), "doc_id")
     sample = bounded_sample(rows, ["doc_id"], most).select("doc_id", "features", "quality").toArrow().sort_by("doc_id")
     x = sample.column(1).combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if sample.num_rows else np.zeros((0, FEATURES))
-    network = docs.sparkSession.sparkContext.broadcast(train(x, sample.column(2).to_numpy()))
+    # Plain arrays: a broadcast object would need its class, and so the package, on every worker.
+    network = docs.sparkSession.sparkContext.broadcast(tuple(vars(train(x, sample.column(2).to_numpy())).values()))
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network(*network.value)
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(network.value.probability(x))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.probability(x))], schema=schema)
 
     scored = features.mapInArrow(work, "doc_id bigint, score double")
     return scored.select("doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

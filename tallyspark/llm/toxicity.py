@@ -4,7 +4,7 @@ Tokens are runs of letters; their log-odds come from labelled documents under Di
 the estimate of its first six bytes, theirs that of the first five, then four, then the share of toxic documents.  Words
 never seen fall back the same way.  With a constant taken from each token, a linear scan finds all maximal segments of
 positive score (Ruzzo and Tompa); their scores are judged by the Gumbel law of the best segment of clean documents, and a
-document's score is a logistic function of its summed excess over that law.
+document's score is a logistic function of its summed excess over that law and, without any, of how far its best segment falls short.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ MOST_TOKENS = 1 << 18  # bound of the broadcast token table
 LEAST_DOCUMENTS = 2
 CALIBRATION_ROWS = 50_000  # bound of the labelled rows that calibrate the score
 TABLE_BITS = 22
+DEEPEST = 10.0  # units of the law below which shortfalls are alike
+LEAST_SLOPE = 0.01  # texts without a significant passage are ranked by their best one
 THRESHOLD = 0.3
 FOLDS, HELD_OUT, CALIBRATED = 4, 2, 3
 
@@ -130,21 +132,24 @@ def scores_of(tokens: Tokens, table: tuple[np.ndarray, np.ndarray], near: np.nda
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, last, score) of a sequence, in linear time; all have a positive score."""
+    """All maximal-scoring segments (first, last, score) of a sequence, in linear time; all have a positive score.
+
+    Each segment knows the nearest earlier one that begins at a smaller total.  The search for such a segment follows these
+    links, and what it has passed lies behind the new segment's own link, so nothing is passed twice.
+    """
     totals = np.concatenate(([0.0], np.cumsum(scores)))
-    segments: list[tuple[float, float, int, int]] = []  # totals before and after, first and last place
+    segments: list[tuple[float, float, int, int, int]] = []  # totals before and after, first and last place, link
     for k in np.flatnonzero(scores > 0).tolist():
         before, after, first = float(totals[k]), float(totals[k + 1]), k
-        while True:
-            j = len(segments) - 1
-            while j >= 0 and segments[j][0] >= before:
-                j -= 1
-            if j < 0 or segments[j][1] >= after:
-                segments.append((before, after, first, k))
-                break
-            before, first = segments[j][0], segments[j][2]
+        j = len(segments) - 1
+        while j >= 0 and segments[j][0] >= before:
+            j = segments[j][4]
+        while j >= 0 and segments[j][1] < after:
+            before, first, behind = segments[j][0], segments[j][2], segments[j][4]
             del segments[j:]
-    return [(first, last, after - before) for before, after, first, last in segments]
+            j = behind
+        segments.append((before, after, first, k, j))
+    return [(first, last, after - before) for before, after, first, last, _ in segments]
 
 
 def toxic_segments(docs: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -172,14 +177,19 @@ def toxic_segments(docs: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> Dat
     return docs.mapInArrow(work, ", ".join([*fields, "n_tokens bigint", "segments array<struct<first:int,last:int,score:double>>"]))
 
 
+def best_score(segments: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(segments, lambda s: s["score"])), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class Calibration:
-    """The Gumbel law of clean documents' best segments, and the logistic function of the summed excess."""
+    """The Gumbel law of clean documents' best segments, and the logistic function of summed excess and shortfall."""
 
     scale: float = 1.0
     log_k: float = 0.0
     slope: float = 4.0
     base: float = -3.0
+    shortfall_slope: float = 0.0
 
     def excess(self, segments: Column, n_tokens: Column) -> Column:
         """Sum over the significant segments of their score, in units of the law, beyond what a clean text of this length has."""
@@ -191,8 +201,14 @@ class Calibration:
         expected = F.lit(self.log_k) + F.log(F.greatest(n_tokens, F.lit(1)).cast("double"))
         return F.filter(segments, lambda s: self.scale * s["score"] > expected)
 
-    def score(self, excess: Column) -> Column:
-        return 1 / (1 + F.exp(-(self.base + self.slope * F.log1p(excess))))
+    def shortfall(self, segments: Column, n_tokens: Column) -> Column:
+        """How far the best segment stays behind the expected best one, in units of the law: 0 if it does not, at least -``DEEPEST``."""
+        expected = F.lit(self.log_k) + F.log(F.greatest(n_tokens, F.lit(1)).cast("double"))
+        return F.greatest(F.lit(-DEEPEST), F.least(F.lit(0.0), self.scale * best_score(segments) - expected))
+
+    def score(self, segments: Column, n_tokens: Column) -> Column:
+        odds = self.base + self.slope * F.log1p(self.excess(segments, n_tokens)) + self.shortfall_slope * self.shortfall(segments, n_tokens)
+        return 1 / (1 + F.exp(-odds))
 
 
 def calibrate(rows: DataFrame, most: int = CALIBRATION_ROWS) -> Calibration:
@@ -200,7 +216,7 @@ def calibrate(rows: DataFrame, most: int = CALIBRATION_ROWS) -> Calibration:
 
     At most ``most`` rows, those with the smallest hash, reach the driver; without rows of either kind the default stays.
     """
-    best = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
+    best = best_score(F.col("segments"))
     sample = bounded_sample(rows, ["doc_id", "n_tokens"], most).select("toxic", "n_tokens", best.alias("best"), "segments")
     sample = sample.select("toxic", "n_tokens", "best", F.transform("segments", lambda s: s["score"]).alias("scores")).toArrow()
     toxic, length = sample.column(0).to_numpy().astype(bool), np.maximum(sample.column(1).to_numpy(), 1).astype(float)
@@ -212,15 +228,16 @@ def calibrate(rows: DataFrame, most: int = CALIBRATION_ROWS) -> Calibration:
     log_k = float(np.mean(scale * clean - np.euler_gamma - np.log(length[~toxic])))
     expected = log_k + np.log(length)
     sums = np.array([sum(max(0.0, scale * s - e) for s in scores) for scores, e in zip(sample.column(3).to_pylist(), expected, strict=True)])
-    x = np.stack([np.ones(len(sums)), np.log1p(sums)])
-    weights = np.array([-2.0, 2.0])
+    behind = np.clip(scale * own - expected, -DEEPEST, 0)
+    x = np.stack([np.ones(len(sums)), np.log1p(sums), behind])
+    weights = np.array([-2.0, 2.0, 0.0])
     for _ in range(50):  # Newton steps of a ridge-penalised logistic regression
         p = 1 / (1 + np.exp(-np.clip(weights @ x, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-2 * np.eye(2), x @ (toxic - p) - 1e-2 * weights)
+        step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-2 * np.eye(3), x @ (toxic - p) - 1e-2 * weights)
         weights = weights + step
         if np.abs(step).max() < 1e-6:
             break
-    return Calibration(scale, log_k, float(max(weights[1], 0.0)), float(weights[0]))
+    return Calibration(scale, log_k, float(max(weights[1], 0.0)), float(weights[0]), float(max(weights[2], LEAST_SLOPE)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -240,9 +257,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     counts = token_counts(texts.where(~fold.isin(HELD_OUT, CALIBRATED)).join(learned.hint("merge"), "doc_id").select("toxic", "text"))
     found = shared_table(toxic_segments(texts, token_table(counts, share)), "segments")
     law = calibrate(found.join(marked.where(fold == CALIBRATED), "doc_id"))
-    excess = law.excess(F.col("segments"), F.col("n_tokens"))
     passages = law.significant(F.col("segments"), F.col("n_tokens"))
-    score = law.score(excess)
+    score = law.score(F.col("segments"), F.col("n_tokens"))
     return found.select("doc_id", F.coalesce(fold == HELD_OUT, F.lit(False)).alias("held_out"), score.alias("score"),
                         F.when(score >= threshold, 1).otherwise(0).alias("predicted"), F.size(passages).alias("n_passages"), passages.alias("passages"))
 

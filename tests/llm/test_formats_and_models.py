@@ -1,16 +1,20 @@
 """Preference formatting, licence rules, toxicity, the quality model and the pipeline."""
 
+import pickle
 import random
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 import check_queries as check
 import corpus_pipeline
 from tallyspark.llm import license_rules, preference_format, quality_model, queries, toxicity
+from tallyspark.llm.shared import heaviest
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +28,7 @@ def test_queries_match_sql(spark, name):
 def test_every_query_is_registered():
     registered = entry_module.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(registered)
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
 
 
 def text_of(turns):
@@ -72,7 +76,10 @@ def test_reply_pairs_with_nulls_and_repeats(spark):
             (None, 0, "assistant", "nobody"), (4, None, "assistant", "a4"), (5, 0, "assistant", "a5"), (5, 1, "user", "late")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     made = {r.pair_id: ([tuple(t) for t in r.chosen], [tuple(t) for t in r.rejected]) for r in preference_format.reply_pairs(turns).collect()}
-    assert made == {1: ([("user", "q"), ("assistant", "a1")], [("user", "q"), ("assistant", "a2")]), 4: ([("assistant", "a4")], [("assistant", "a5")])}
+    assert made == {
+        1: ([("user", "q"), ("assistant", "a1")], [("user", "q"), ("assistant", "a2")]), 2: ([("", ""), ("assistant", "a2")], [("", ""), ("assistant", "a4")]),
+        4: ([("assistant", "a4")], [("assistant", "a5")]), 5: ([("assistant", "a5"), ("user", "late")], [("assistant", "a1")])}
+    assert preference_format.reply_pairs(turns.where("conv_id = 1")).count() == 0
     assert preference_format.reply_pairs(turns.where("conv_id < 0")).count() == 0
 
 
@@ -185,6 +192,45 @@ def test_segments_match_their_definition():
         assert np.allclose([s for *_, s in got], [s for *_, s in want])
 
 
+def test_ids_with_gaps_make_a_pair_each(spark):
+    ids = sorted(random.Random(3).sample(range(10**12), 300))
+    turns = spark.createDataFrame([(i, k, role, f"{role} of {i}") for i in ids for k, role in enumerate(["user", "assistant"])], "conv_id bigint, turn int, role string, text string")
+    made = {r.pair_id: r.rejected[-1]["text"] for r in preference_format.reply_pairs(turns.repartition(5)).collect()}
+    assert made == {i: f"assistant of {j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+def test_segment_search_is_linear():
+    for pattern in ([1.0, -2.0], [1.0, -2.2, 0.5], [3.0, -1.0, -2.5, 1.0, -1.2]):
+        scores = np.array(pattern * 150_000)
+        began = time.perf_counter()
+        found = toxicity.maximal_segments(scores)
+        assert time.perf_counter() - began < 20  # looking back over all segments would take an hour
+        assert len(found) >= 100_000 and all(s > 0 for _, _, s in found[:10])
+
+
+def test_heaviest_rows_of_one_weight(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") < 50, 9.0).when(F.col("id") < 4900, 1.0).otherwise(0.0).alias("w"))
+    for most, least in ((5000, 4900), (1000, 700), (100, 50), (40, 5), (0, 0)):
+        got = heaviest(df, F.col("w"), most)
+        assert got.columns == df.columns and least <= got.count() <= most
+    assert heaviest(df, F.col("w"), 100).where("id < 50").count() == 50
+
+
+def test_broadcast_network_needs_no_class():
+    network = quality_model.train(np.zeros((0, quality_model.FEATURES)), np.zeros(0))
+    values = tuple(vars(network).values())
+    assert b"tallyspark" not in pickle.dumps(values)
+    assert quality_model.Network(*values).probability(np.zeros((2, quality_model.FEATURES))).tolist() == network.probability(np.zeros((2, quality_model.FEATURES))).tolist()
+
+
+def test_clean_texts_are_ranked_too(make, spark):
+    docs, labels = labelled(800)
+    docs += [(9000, "plain words here and there " * 3), (9001, "plain words and one vileness " * 1 + "in a long text of plain words " * 10)]
+    rows = {r.doc_id: r for r in toxicity.score_toxicity(make(docs), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    clean = [r.score for r in rows.values() if r.n_passages == 0]
+    assert len(set(clean)) > 1 and rows[9000].score < rows[9001].score
+
+
 def labelled(n=1500, seed=1):
     rng = random.Random(seed)
     words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
