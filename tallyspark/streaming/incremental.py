@@ -12,7 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tallyspark.functions.ordered import running
 from tallyspark.functions.stats import ratio
 from tallyspark.operators.aggregate import parse_tag
-from tallyspark.sources.readers import path_exists
 
 # Log line shapes of a run.
 STARTED = r"开始处理样本\s+(\S+)"
@@ -20,7 +19,6 @@ FINISHED = r"样本\s+(\S+)\s+处理完成"
 ENTERED = r"样本\s+(\S+)\s+@\s+(\S+)"
 REPORT, REPORTED = "评估结果", r"^\s*样本\s+(\d+)\s*条"
 FIRST_STAGE, LAST_STAGE = "准备中", "评估完成"
-BUCKETS = 64  # parts of the sample store by hash of the key
 
 
 def pending(df: DataFrame, completed: DataFrame, stage: str) -> DataFrame:
@@ -63,34 +61,40 @@ def is_converged(history: DataFrame, value: str, delta: float, patience: int, st
     return changed.withColumn("converged", F.coalesce(stable, F.lit(False)) if patience > 0 else F.lit(False))
 
 
-def incremental_score(
-    stream: DataFrame, store: str, checkpoint: str, metrics: Sequence[str], key: str = "instance_id", buckets: int = BUCKETS
-):
+def seen_keys(stream: DataFrame, key: str) -> DataFrame:
+    """The rows of each micro-batch with ``_times``: how often their key has come in the whole stream, this time included.
+
+    The ids seen so far are the state of a streaming aggregate, held by key in the state store, so no stored sample is read
+    again.  For update mode; a key that comes twice in a micro-batch gives one row.
+    """
+    rest = [c for c in stream.columns if c != key]
+    return stream.groupBy(key).agg(F.count(F.lit(1)).alias("_times"), F.first(F.struct(*rest)).alias("_row")).select(key, "_times", "_row.*")
+
+
+def incremental_score(stream: DataFrame, store: str, checkpoint: str, metrics: Sequence[str], key: str = "instance_id"):
     """Score a stream: each micro-batch is appended once and its totals are kept by batch id.
 
     Both writes are keyed by the batch id, so a batch that is replayed after a
-    failure replaces itself.  Samples are stored by hash bucket of their key: a
-    batch is held against the keys of its own buckets, not against the whole
-    store, and is computed once.  Returns the started query.
+    failure replaces itself.  A sample that is present already, in the same
+    micro-batch too, ends the query; which ids are present is keyed state of
+    the stream (``seen_keys``; use the RocksDB state store where ids outgrow
+    the executors' memory).  Returns the started query.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        kept = batch.withColumn("batch", F.lit(batch_id)).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        kept = batch.withColumn("batch", F.lit(batch_id)).persist()
         try:
-            if path_exists(spark, f"{store}/samples/_SUCCESS"):
-                touched = [r["bucket"] for r in kept.select("bucket").distinct().collect()]  # at most ``buckets``
-                earlier = spark.read.parquet(f"{store}/samples").where(F.col("bucket").isin(touched) & (F.col("batch") != batch_id))
-                clash = kept.join(earlier.select("bucket", key), ["bucket", key], "left_semi").take(1)
-                if clash:
-                    raise ValueError(f"sample already present: {clash[0][key]}")
-            for name, rows, parts in (("samples", kept, ["bucket", "batch"]), ("totals", batch_totals(kept.drop("bucket"), metrics), ["batch"])):
-                rows.write.partitionBy(*parts).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{store}/{name}")
+            clash = kept.where("_times > 1").select(key).take(1)
+            if clash:
+                raise ValueError(f"sample already present: {clash[0][key]}")
+            kept = kept.drop("_times")
+            for name, rows in (("samples", kept), ("totals", batch_totals(kept, metrics))):
+                rows.write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{store}/{name}")
         finally:
+            batch.unpersist()
             kept.unpersist()
 
-    return (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    counted = seen_keys(stream, key).writeStream.outputMode("update")
+    return counted.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def progress(lines: DataFrame, target: int = 0, finished_job: bool = False) -> DataFrame:
