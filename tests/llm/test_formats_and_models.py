@@ -223,12 +223,17 @@ def test_broadcast_network_needs_no_class():
     assert quality_model.Network(*values).probability(np.zeros((2, quality_model.FEATURES))).tolist() == network.probability(np.zeros((2, quality_model.FEATURES))).tolist()
 
 
-def test_clean_texts_are_ranked_too(make, spark):
-    docs, labels = labelled(800)
-    docs += [(9000, "plain words here and there " * 3), (9001, "plain words and one vileness " * 1 + "in a long text of plain words " * 10)]
-    rows = {r.doc_id: r for r in toxicity.score_toxicity(make(docs), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
-    clean = [r.score for r in rows.values() if r.n_passages == 0]
-    assert len(set(clean)) > 1 and rows[9000].score < rows[9001].score
+def test_clean_texts_are_ranked_too(spark):
+    law = toxicity.Calibration(1.0, 1.0, 4.0, -3.0, 0.5)
+    rows = [(k, 50, [(0, 1, s) for s in scores]) for k, scores in enumerate([[], [1.0], [0.5, 2.0], [4.9], [5.0, 5.0], [30.0]])]
+    df = spark.createDataFrame(rows, "k int, n_tokens bigint, segments array<struct<first:int,last:int,score:double>>")
+    got = df.select("k", law.score(F.col("segments"), F.col("n_tokens")).alias("s"), law.excess(F.col("segments"), F.col("n_tokens")).alias("e")).orderBy("k").collect()
+    expected = 1.0 + np.log(50)
+    for r, (_, _, segments) in zip(got, rows, strict=True):
+        excess = sum(max(0.0, s - expected) for _, _, s in segments)
+        behind = max(-10.0, min(0.0, max([s for _, _, s in segments], default=0.0) - expected))
+        assert r.e == pytest.approx(excess) and r.s == pytest.approx(1 / (1 + np.exp(3 - 4 * np.log1p(excess) - 0.5 * behind)))
+    assert [r.s for r in got] == sorted(r.s for r in got) and len({r.s for r in got}) == 6
 
 
 def labelled(n=1500, seed=1):
