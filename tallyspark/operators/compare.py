@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.ordered import numbered
-from tallyspark.functions.stats import close, ratio
+from tallyspark.functions.stats import ABS_TOL, REL_TOL, close, ratio
 
 ID = ["instance_id", "candidate"]
 ANSWER_ROWS = 100  # fixed value: rows that take part in a canonical answer
@@ -77,13 +77,48 @@ def _same_cell(left: str, right: str) -> Column:
     return F.coalesce(nulls | close(ln.cast("double"), rn.cast("double")) | (ls == rs), F.lit(False))
 
 
-def column_matches(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Number of equal cells per pair of columns, joined row by row."""
-    joined = left.alias("l").join(right.alias("r"), [*keys, "row_no"])
-    others = [c for c in ("left_id", "right_id") if c in (*left.columns, *right.columns)]
-    return joined.groupBy(
-        *keys, *others, F.col("l.col_no").alias("l_col"), F.col("r.col_no").alias("r_col")
-    ).agg(F.count_if(_same_cell("l", "r")).alias("same"))
+SIGNED = 3  # sums of a column's numbers with signs drawn by row
+
+
+def column_prints(cells: DataFrame) -> DataFrame:
+    """One row per column: what columns that agree cell by cell must have in common.
+
+    ``kinds`` covers the place and the text of every cell that is no number, so it has to be equal.  Numbers agree within a
+    tolerance, so their sums, plain and with signs drawn by row, may differ by the tolerances' sum at most.
+    """
+    number = F.col("num_value").cast("double")
+    kind = F.when(number.isNotNull(), "n").when(F.col("str_value").isNotNull(), "s").otherwise("0")
+    text = F.when(number.isNull(), F.col("str_value"))
+
+    def signed(k: int) -> Column:
+        return F.sum(F.when(F.getbit(F.xxhash64(F.lit(k), "row_no"), F.lit(0)) == 0, number).otherwise(-number)).alias(f"signed_{k}")
+
+    return cells.groupBy(*ID, "col_no").agg(
+        F.bit_xor(F.xxhash64("row_no", kind, text)).alias("kinds"), (F.max("row_no") + 1).cast("bigint").alias("length"), F.sum(number).alias("plain"),
+        *[signed(k) for k in range(SIGNED)], F.sum(F.abs(number)).alias("weight"))
+
+
+def alike_columns(prints: DataFrame) -> DataFrame:
+    """``instance_id, candidate, l_col, r_col``: a candidate's columns and the gold columns that they may agree with."""
+    sums = ["plain", *[f"signed_{k}" for k in range(SIGNED)]]
+    gold = prints.where(F.col("candidate") == 0).select(
+        "instance_id", F.col("col_no").alias("r_col"), "kinds", "length", *[F.col(c).alias(f"_{c}") for c in (*sums, "weight")])
+    met = prints.where(F.col("candidate") != 0).withColumnRenamed("col_no", "l_col").join(gold, ["instance_id", "kinds", "length"])
+    # Tolerances of all cells, relative and absolute, and what adding up many numbers may lose.
+    weight = F.coalesce(F.col("weight") + F.col("_weight"), F.lit(0.0))
+    room = ABS_TOL * 1.01 * F.col("length") + weight * F.greatest(F.lit(3 * REL_TOL), F.col("length") * 1e-15)
+    near = F.lit(True)
+    for c in sums:
+        gap = F.abs(F.col(c) - F.col(f"_{c}"))
+        near = near & F.coalesce(F.isnan(gap) | (gap <= room), F.lit(True))
+    return met.where(near).select(*ID, "l_col", "r_col")
+
+
+def column_matches(left: DataFrame, right: DataFrame, alike: DataFrame) -> DataFrame:
+    """Number of equal cells per pair of columns that may agree, joined row by row."""
+    asked = left.withColumnRenamed("col_no", "l_col").join(alike, [*ID, "l_col"]).alias("l")
+    joined = asked.join(right.withColumnRenamed("col_no", "r_col").alias("r"), ["instance_id", "row_no", "r_col"])
+    return joined.groupBy(*ID, "l_col", "r_col").agg(F.count_if(_same_cell("l", "r")).alias("same"))
 
 
 def execution_match(
@@ -98,21 +133,22 @@ def execution_match(
 
     Columns agree when they have equal length and equal values position by
     position (tolerant on numbers).  Gold columns take the first unused
-    matching column in order; ``reuse_columns`` lets several share one.
+    matching column in order; ``reuse_columns`` lets several share one.  Cells
+    are only compared for columns whose prints agree.
     """
+    body = _sorted_values(cells) if ignore_order else cells
+    prints = column_prints(body)
+    if shapes is None and not ignore_order:
+        shapes = prints.groupBy(*ID).agg(F.max("length").alias("n_rows"), (F.max("col_no") + 1).cast("bigint").alias("n_cols"))
     shapes = result_shapes(cells) if shapes is None else shapes
     pairs = _pairs(shapes)
-    body = _sorted_values(cells) if ignore_order else cells
     gold = body.where(F.col("candidate") == 0).drop("candidate")
     if condition_cols:
         gold = gold.where(F.col("col_no").isin(*condition_cols))
         wanted = F.lit(len(set(condition_cols))).cast("bigint")
     else:
         wanted = F.col("g_cols")
-    # Results of another length cannot agree, so their cells are not compared.
-    alike = pairs.where(F.col("n_rows") == F.col("g_rows")).select(*ID)
-    pred = body.where(F.col("candidate") != 0).join(alike, ID, "left_semi").withColumnRenamed("candidate", "left_id")
-    same = column_matches(pred, gold, ["instance_id"]).withColumnRenamed("left_id", "candidate")
+    same = column_matches(body.where(F.col("candidate") != 0), gold, alike_columns(prints))
     options = (
         same.join(pairs, ID)
         .where((F.col("same") == F.col("g_rows")) & (F.col("same") == F.col("n_rows")))

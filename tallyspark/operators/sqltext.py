@@ -92,7 +92,9 @@ def _levels(text: Column) -> Column:
             F.greatest(depth + opens.cast("int") - closes.cast("int"), F.lit(0)).alias("depth"), F.when(ends, 0).otherwise(sub).alias("sub"),
             F.concat(acc["all"], shown).alias("all"), F.when((sub == 0) | ends, F.concat(acc["top"], shown)).otherwise(acc["top"]).alias("top"))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), 0), start, step)
+    folded = F.aggregate(F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), 0), start, step)
+    flat = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("sub"), text.alias("all"), text.alias("top"))
+    return F.when(text.contains("("), folded).otherwise(flat)  # without an opening bracket every text is its outermost level
 
 
 def _count(text: Column, pattern: str) -> Column:

@@ -237,3 +237,34 @@ def test_hot_instance_spreads(spark):
                                     F.col("id").alias("row_no"), F.lit(0).alias("col_no"), F.col("id").cast("double").alias("num_value"),
                                     F.lit(None).cast("string").alias("str_value"))
     assert scores(C.execution_match(rows)) == {(1, 1): 1}
+
+
+def test_prints_keep_every_column_that_may_agree(spark):
+    """Columns shifted by almost the tolerance, huge and odd numbers, and texts: pairs that agree cell by cell are never left out."""
+    rng = random.Random(8)
+    rows, columns = 40, {}
+    for c in range(12):
+        kind = c % 4
+        base = [rng.choice([None, rng.uniform(-5, 5), rng.uniform(-1e12, 1e12), 0.0]) if kind < 3 else rng.choice(["a", "b", None]) for _ in range(rows)]
+        columns[0, c] = base
+        columns[1, c] = [v if v is None or isinstance(v, str) else v + rng.choice([-1, 1]) * max(0.00999, 0.99e-9 * abs(v)) for v in base]
+        columns[2, c] = [v if rng.random() < 0.97 else "z" if isinstance(v, str) else 77.0 for v in base]
+    cells = [("q", k, r, c, v if isinstance(v, float) else None, v if isinstance(v, str) else None) for (k, c), values in columns.items() for r, v in enumerate(values)]
+    df = spark.createDataFrame(cells, "instance_id string, candidate int, row_no bigint, col_no int, num_value double, str_value string")
+    got = {(r["candidate"], r["l_col"], r["r_col"]) for r in C.alike_columns(C.column_prints(df)).collect()}
+
+    def same(a, b):
+        if isinstance(a, float) and isinstance(b, float):
+            return abs(a - b) <= max(1e-9 * max(abs(a), abs(b)), 0.01)
+        return a == b
+
+    agree = {(k, c, g) for (k, c), values in columns.items() if k for g in range(12) if all(map(same, values, columns[0, g]))}
+    assert agree <= got and {(1, c, c) for c in range(12)} <= agree
+    assert len(got) < len(agree) + 40
+
+
+def test_columns_with_odd_numbers_stay_candidates(spark):
+    inf, nan = float("inf"), float("nan")
+    cells = [("q", k, r, 0, v, None) for k, values in enumerate([[1.0, inf], [1.0, inf], [1.0, -inf], [1.0, nan], [1.001, 1e308]]) for r, v in enumerate(values)]
+    df = spark.createDataFrame(cells, "instance_id string, candidate int, row_no bigint, col_no int, num_value double, str_value string")
+    assert {r["candidate"] for r in C.alike_columns(C.column_prints(df)).collect()} == {1, 2, 3, 4}
