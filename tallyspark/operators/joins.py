@@ -81,24 +81,36 @@ def containment_join(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return g.join(p, "instance_id").select("instance_id", F.explode(covered).alias("link"))
 
 
-def find_similar_values(values: DataFrame, literals: DataFrame, limit: int = SHOWN, max_value: int = MAX_VALUE) -> DataFrame:
-    """Distinct short cells that contain a literal, at most ``limit`` per column.
-
-    Every substring of a cell whose length some literal has is looked up by
-    equality within its database; cells are shorter than ``max_value``
-    characters, so the fan-out is bounded.  ``values`` and ``literals`` carry
-    ``db_id``.
+def text_grams(text: Column, size: int) -> Column:
+    """The distinct stretches of ``size`` characters (2 or 3) of a text, in time linear in its length."""
+    chars = F.split(text, "")
+    grams = F.zip_with(chars, F.slice(chars, 2, 1 << 30), lambda x, y: F.concat(x, y))
+    if size == 3:
+        grams = F.zip_with(grams, F.slice(chars, 3, 1 << 30), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.filter(grams, lambda g: g.isNotNull()))
+
+
+def find_similar_values(values: DataFrame, literals: DataFrame, limit: int = SHOWN, max_value: int | None = MAX_VALUE) -> DataFrame:
+    """Distinct cells that contain a literal, at most ``limit`` per column; both sides carry ``db_id``.
+
+    The cells' grams of two and three characters are an index, as long as the
+    cells are.  A literal is looked up by the rarest of its grams in its
+    database only, and what is found is compared with the whole literal; one
+    with a gram that no cell has is in none.  Cells have fewer than
+    ``max_value`` characters, or any number with None.
     """
     asked = literals.select("db_id", F.lower("literal").alias("_s"), "literal").where(F.length("literal") > 1).distinct()
-    # Literals as long as the longest shown cell can match: fewer than ``max_value`` distinct lengths exist.
-    lengths = asked.select(F.length("_s").alias("n")).where(F.col("n") < max_value).distinct().agg(F.collect_set("n")).scalar()
-    cells = values.select("db_id", "table_name", "column_name", "value").where(F.length("value") < max_value).distinct()
-    pieces = F.expr(
-        "array_distinct(flatten(transform(filter(_n, n -> n <= length(value)), n -> transform(sequence(1, length(value) - n + 1), i -> substring(lower(value), i, n)))))"
-    )
-    hits = cells.withColumn("_n", lengths).select("db_id", "table_name", "column_name", "value", F.explode(pieces).alias("_s")).join(asked, ["db_id", "_s"])
+    shown = values.select("db_id", "table_name", "column_name", "value").where(F.length("value") < max_value if max_value else F.col("value").isNotNull())
+    cells = shown.distinct().withColumn("_t", F.lower("value"))
+    index = cells.select("db_id", "_t").distinct().select("db_id", "_t", F.explode(F.concat(text_grams(F.col("_t"), 2), text_grams(F.col("_t"), 3))).alias("_g"))
+    counts = index.groupBy("db_id", "_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.length("_s") == 2, F.array("_s")).otherwise(text_grams(F.col("_s"), 3))
+    known = asked.select("db_id", "_s").distinct().select("db_id", "_s", F.explode(own).alias("_g")).join(counts, ["db_id", "_g"], "left")
+    rarest = known.groupBy("db_id", "_s").agg(F.min_by("_g", F.struct("_n", "_g")).alias("_g"), F.count_if(F.col("_n").isNull()).alias("_missing"))
+    met = rarest.where("_missing = 0").drop("_missing").join(index, ["db_id", "_g"]).where(F.contains("_t", "_s")).select("db_id", "_s", "_t")
+    hits = met.join(asked, ["db_id", "_s"]).join(cells, ["db_id", "_t"]).select("db_id", "table_name", "column_name", "value", "literal")
     order = Window.partitionBy("literal", "db_id", "table_name", "column_name").orderBy("value")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("_s")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def exclude_retrieved(pool: DataFrame, hits: DataFrame, keys: Sequence[str]) -> DataFrame:

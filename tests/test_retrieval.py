@@ -135,3 +135,16 @@ def test_names_are_cut_at_every_word_boundary(spark):
     got = {(r["query_id"], r["pos"], r["item"]): r["flag"] for r in R.ngram_link(q, names).collect()}
     assert got == {(1, 1, "a"): "CPM", (1, 2, "a"): "CPM", (1, 1, "b"): "CEM", (1, 2, "b"): "CEM", (1, 6, "c"): "TPM", (2, 0, "a"): "CPM", (2, 2, "a"): "CPM"}
     assert sorted(spark.range(1).select(R.boundary_stretches(F.lit("(a-b) c)"))).first()[0]) == sorted(["a", "a-", "a-b", "a-b) ", "a-b) c", "-", "-b", "-b) ", "-b) c", "b", "b) ", "b) c", ") ", ") c", "c"])
+
+
+def test_similar_values_against_all_pairs(spark):
+    rng = random.Random(12)
+    def word():
+        return "".join(rng.choice("abABé ") for _ in range(rng.randint(0, 9)))
+    cells = sorted({(f"d{k % 2}", "t", f"c{k % 3}", word()) for k in range(300)}) + [("d0", "t", "c0", "x" * 20_000 + "abab" + "y" * 20_000), ("d0", "t", "c0", None)]
+    asked = sorted({(f"d{k % 2}", word()[:5]) for k in range(120)}) + [("d0", "xaba"), ("d0", "aba"), ("d9", "ab"), ("d0", "zz"), ("d0", None)]
+    values = spark.createDataFrame(cells, "db_id string, table_name string, column_name string, value string")
+    literals = spark.createDataFrame(asked, "db_id string, literal string")
+    for most in (50, None):
+        got = {(r["literal"], r["db_id"], r["column_name"], r["value"]) for r in J.find_similar_values(values, literals, 10**6, most).collect()}
+        assert got == {(s, d, c, v) for d, _, c, v in cells if v is not None and (most is None or len(v) < most) for e, s in asked if s and len(s) > 1 and e == d and s.lower() in v.lower()}
