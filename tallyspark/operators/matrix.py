@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.stats import ratio
@@ -134,23 +134,71 @@ def efficiency_headroom(matrix: DataFrame) -> DataFrame:
     ).withColumn("headroom", ratio(F.col("mean_t_max") - F.col("mean_t_min"), F.col("mean_t_max")))
 
 
-def matrix_report(matrix: DataFrame) -> DataFrame:
-    """All cross-method results as ``(section, item, value)`` rows."""
-    def long(df: DataFrame, section: str, item: Column, value: Column) -> DataFrame:
-        return df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), value.cast("double").alias("value"))
+def packed_cells(samples: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """``(instance_id, cells)`` for every instance, from one pass over the log; not yet cut to the common ones."""
+    def latest(metric: str) -> Column:
+        return F.max_by(metric, F.when(F.col(metric).isNotNull(), F.struct(*order)))
 
-    gap = oracle_gap(matrix)
-    pair = F.concat_ws("|", "method_a", "method_b")
-    differing, alone = disagreement(matrix), uniquely_solved_counts(matrix)
-    difficulty, room = difficulty_histogram(matrix), efficiency_headroom(matrix)
-    cells = F.explode(F.expr("map('ex_static', ex_static, 'ex_dynamic', ex_dynamic, 'gap', gap, 'query_count', CAST(query_count AS DOUBLE))"))
-    return (
-        gap.select(F.lit("oracle_gap").alias("section"), cells.alias("item", "value"))
-        .unionByName(long(differing, "method_disagreement", pair, F.col("combined")))
-        .unionByName(long(difficulty, "empirical_difficulty", F.col("solved_by"), F.col("queries")))
-        .unionByName(long(alone, "uniquely_solved", F.col("method"), F.col("queries")))
-        .unionByName(long(room, "efficiency_headroom", F.col("solved_by"), F.col("headroom")))
-    )
+    last = samples.groupBy("method", "instance_id").agg(latest("ex").alias("ex"), latest("act_elapsed_s").cast("double").alias("latency"))
+    cell = F.struct("method", (F.col("ex") != 0).cast("int").alias("correct"), "latency")
+    return last.where(F.col("ex").isNotNull()).groupBy("instance_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+
+
+def _facts() -> Column:
+    """What one instance adds to the reports: (kind, item, x, y) by method, by pair of methods, by number of solvers, and once."""
+    def fact(kind: str, item: Column, x: Column, y: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), item.cast("string").alias("item"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    def pairs(a: Column, i: Column) -> Column:
+        def pair(b: Column) -> Column:
+            total = a["latency"] + b["latency"]
+            spread = F.when(total > 0, F.abs(a["latency"] - b["latency"]) / total)
+            return fact("pair", F.concat_ws("|", a["method"], b["method"]), a["correct"] != b["correct"], spread)
+
+        return F.transform(F.slice("cells", i + 2, F.size("cells")), pair)
+
+    solvers = F.size(_solvers())
+    times = F.array_compact(F.transform(_solvers(), lambda c: c["latency"]))
+    methods = F.transform("cells", lambda c: fact("method", c["method"], c["correct"], (solvers == 1) & (c["correct"] == 1)))
+    return F.concat(methods, F.flatten(F.transform("cells", pairs)),
+                    F.array(fact("solvers", solvers, F.array_max(times), F.array_min(times)), fact("all", F.lit(""), solvers > 0, F.lit(None))))
+
+
+def matrix_facts(cells: DataFrame) -> DataFrame:
+    """``kind, item, n, x, y, y_sum`` over the common instances, with the best method in every row: one aggregation of all facts.
+
+    Instances are told apart by how many methods they have.  Only those with all methods count, and how many there are
+    shows in the aggregate itself, which has a row per pair of methods and number of methods.
+    """
+    facts = cells.select(F.size("cells").alias("width"), F.explode(_facts()).alias("f")).select("width", "f.*")
+    folded = facts.groupBy("width", "kind", "item").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum("y").alias("y_sum"))
+    everything = Window.partitionBy(F.lit(0))
+    known = folded.withColumn("methods", F.size(F.collect_set(F.when(F.col("kind") == "method", F.col("item"))).over(everything)))
+    method = F.when(F.col("kind") == "method", F.struct(-F.col("x"), "item"))
+    return known.where(F.col("width") == F.col("methods")).select(
+        "kind", "item", "n", "x", "y", "y_sum", F.max(F.when(F.col("kind") == "method", F.col("x"))).over(everything).alias("best"),
+        F.min_by("item", method).over(everything).alias("best_method"))
+
+
+def oracle_gap_of_log(samples: DataFrame, order: Sequence[str] = ("ts",)) -> DataFrame:
+    """``oracle_gap`` from one pass over the log; no row without a common instance."""
+    return matrix_facts(packed_cells(samples, order)).where("kind = 'all'").select(
+        F.col("best").alias("ex_static"), F.col("x").alias("ex_dynamic"), (F.col("x") - F.col("best")).alias("gap"),
+        F.col("best_method").alias("best_static_method"), F.col("n").alias("query_count"))
+
+
+def matrix_report(cells: DataFrame) -> DataFrame:
+    """All cross-method results as ``(section, item, value)`` rows, from ``packed_cells`` or a matrix; none without a common instance."""
+    def row(section: str, item: Column, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), item.alias("item"), value.cast("double").alias("value"))
+
+    kind, item, x, y, n, best = (F.col(c) for c in ("kind", "item", "x", "y", "n", "best"))
+    gap = F.array(*[row("oracle_gap", F.lit(name), value) for name, value in (("ex_static", best), ("ex_dynamic", x), ("gap", x - best), ("query_count", n))])
+    solvers = F.array(row("empirical_difficulty", item, n), F.when(x.isNotNull(), row("efficiency_headroom", item, ratio(x - y, x))))
+    rows = (F.when(kind == "all", gap).when(kind == "pair", F.array(row("method_disagreement", item, (x + y) / 2)))
+            .when(kind == "solvers", F.array_compact(solvers)).otherwise(F.array(row("uniquely_solved", item, F.col("y_sum")))))
+    return matrix_facts(cells).select(F.explode(rows).alias("r")).select("r.*")
 
 
 # Metrics whose means are compared between two runs.

@@ -81,6 +81,11 @@ FROM best, dyn"""
 
 @query("oracle_gap", with_latest(GAP), ("eval_log",))
 def oracle_gap(spark, sf):
+    return rounded(M.oracle_gap_of_log(view(spark, sf, "eval_log"), ORDER))
+
+
+@query("oracle_gap_matrix", with_latest(GAP), ("eval_log",))
+def oracle_gap_matrix(spark, sf):
     return rounded(M.oracle_gap(matrix(spark, sf)))
 
 
@@ -702,7 +707,7 @@ UNION ALL SELECT 'empirical_difficulty', CAST(solved_by AS VARCHAR), queries FRO
 UNION ALL SELECT 'uniquely_solved', method, queries FROM ({_ALONE})
 UNION ALL SELECT 'efficiency_headroom', CAST(solved_by AS VARCHAR), headroom FROM ({_ROOM}))"""), ("eval_log",))
 def matrix_report(spark, sf):
-    return rounded(M.matrix_report(matrix(spark, sf)))
+    return rounded(M.matrix_report(M.packed_cells(view(spark, sf, "eval_log"), ORDER)))
 
 
 def latest_of(spark, sf, method):
