@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
 from tallyspark.llm.components import connected_components
-from tallyspark.llm.shared import heaviest, shared_table
+from tallyspark.llm.shared import free_shuffles, heaviest, shared_table
 
 GROUPS = 128
 FINE_GROUPS = 2048
@@ -35,18 +35,19 @@ FULL = 255  # a count from which on a coordinate bounds nothing
 PERCENT = 75
 COMMON_SHINGLES = 1 << 18  # bound of the broadcast list of common shingles
 COMMON_IN_BATCH = 3
-PIECE = 2048  # documents of a block that meet in one task
+PIECE = 512  # documents of a block, or partners of a document, that meet in one task
 LEAF = 32
 FANOUT = 16
 OUT_ROWS = 50_000
 RUN_ROWS = 100_000
 LONG_RUN = 1_000_000
-NO_ID = 1 << 62
+WANTED_BITS = 1 << 25  # of the broadcast bitmap of wanted documents: 4 MB
+SET_BYTES = 6  # of each shingle hash, when whole sets are compared
 
 
 def node_of(id_col: Column, text: Column) -> Column:
-    """The id, or for a null id a number from 2**62 made of the text."""
-    return F.coalesce(id_col.cast("bigint"), F.lit(NO_ID) + F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(NO_ID)))
+    """A 64-bit hash of id and text: rows with the same id and text are one node."""
+    return F.xxhash64(id_col, F.coalesce(text, F.lit("")))
 
 
 def least_overlap(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
@@ -366,78 +367,146 @@ def _pairs_of(block: pa.Table, between: bool) -> Iterator[tuple[np.ndarray, np.n
         yield node[best[found]], node[found]
 
 
+def packed_set(own: np.ndarray) -> bytes:
+    """A set of shingle hashes as the sorted first ``SET_BYTES`` bytes of each, mixed."""
+    first = np.unique(W.mix(own) >> np.uint64(64 - 8 * SET_BYTES))
+    return first.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes()
+
+
+def unpacked_set(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // SET_BYTES, 8), dtype=np.uint8)
+    wide[:, :SET_BYTES] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, SET_BYTES)
+    return wide.view("<u8").ravel()
+
+
+def maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most of the rows whose node is not among the ``wanted``, before anything is shuffled.
+
+    A bitmap of ``WANTED_BITS`` bits, whatever the number of nodes, tells which nodes cannot be wanted; the more of them are
+    wanted, the fewer rows it takes out.
+    """
+    place = F.pmod("node", F.lit(WANTED_BITS))
+    bits = wanted.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
+    at = F.bitmap_bit_position(place + 1)
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    met = docs.withColumn("bucket", F.bitmap_bucket_number(place + 1)).withColumn("at", at).join(F.broadcast(bits), "bucket")
+    return met.where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose whole shingle sets have 100 * overlap >= 75 * union."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """The pairs whose whole shingle sets have 100 * overlap >= 75 * union.
+
+    A document's partners are dealt into parts of about ``PIECE``; its own set goes to each part, a partner's to the one it
+    is in.  Sets are compared by ``SET_BYTES`` bytes of each shingle's hash, so two shingles that differ count as equal with
+    a chance of 2**-48.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("bigint").alias("parts"))
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    partners = dealt.select(F.col("b").alias("node"), F.col("a").alias("home"), "part", F.lit(1).alias("turn"))
+    homes = dealt.select(F.col("a").alias("node"), F.col("a").alias("home"), "part", F.lit(0).alias("turn")).distinct()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("own", pa.binary())])
+        names = ["home", "part", "turn", "node", "n", "own"]
         for batch in batches:
             for piece in W.slices(batch, "text"):
-                sets = [s.tobytes() for s in W.shingle_sets(piece.column(1))]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(sets, pa.binary())], schema=schema)
+                sets = list(W.shingle_sets(piece.column(4)))
+                sizes = pa.array([len(own) for own in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in range(4)), sizes, pa.array(map(packed_set, sets), pa.binary())], names=names)
 
-    # The needed documents grow with the data, so the plan is the same at every size: each text moves once.
-    sets = shared_table(docs.join(needed.hint("merge"), "node", "left_semi").select("node", "text").mapInArrow(make, "node bigint, own binary"), "sets")
-    sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    # The wanted documents grow with the data, so the plan is the same at every size: each text moves once.
+    wanted = partners.unionByName(homes)
+    texts = maybe_wanted(docs.select("node", "text"), wanted.select("node")).dropDuplicates(["node"])
+    held = texts.join(wanted.hint("merge"), "node").select("home", "part", "turn", "node", "text")
+    sets = held.mapInArrow(make, "home bigint, part bigint, turn int, node bigint, n bigint, own binary")
+    sided = sets.repartition("home", "part").sortWithinPartitions("home", "part", "turn", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, own = 0, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                linked.append(len(np.intersect1d(x, y, assume_unique=True)) >= least_overlap(len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIRS).filter(pa.array(linked, pa.bool_()))
+            linked: list[tuple[int, int]] = []
+            for home, turn, node, n, packed in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), batch.column(5), strict=True):
+                found = unpacked_set(packed.as_buffer())
+                if turn == 0:
+                    first, own = n, found
+                elif len(np.intersect1d(own, found, assume_unique=True)) >= least_overlap(first, n):
+                    linked.append((home, node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)], schema=_PAIRS)
 
-    return sided.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    return sided.mapInArrow(check, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """node, doc_id, n_shingles, component_id for each row: the smallest id that it reaches by links, its own included.
+def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, node, n_shingles, component for each row: the smallest node that its text reaches by links.
 
-    Rows with one id are one document and share a component.  A row with a null id takes part, with a node number of its
-    text; a component without any id has the id null.  A document without words has no shingles and no links but those of
-    its id.  An empty table gives no rows.  Links between equal sets need no comparison; all others are verified.
+    Links between equal sets need no comparison; all others are verified.
     """
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table = shared_table(df, name)
+        free_shuffles(docs.sparkSession)
+        return table
+
     nodes = docs.select(node_of(F.col(id_col), F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
     profiles = shared_table(profile(nodes), "profiles")
     rows = profiles.where("shingle IS NULL").select("node", "n", "k1", "k2", "vector", "parity")
     copies = rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("node").alias("first"))
     first_of = rows.where("n > 0").join(copies, ["n", "k1", "k2"]).select("node", "first").distinct()
-    firsts = shared_table(first_of, "copies")
+    firsts = kept(first_of, "copies")
     same = firsts.select(F.col("node").alias("u"), F.col("first").alias("v"))
 
     blocks = blocks_of(prefix_keys(nodes, common_shingles(profiles)))
-    blocks = shared_table(blocks.join(firsts, "node").select("s1", "s2", F.col("first").alias("node")).distinct(), "blocks")
+    blocks = kept(blocks.join(firsts, "node").select("s1", "s2", F.col("first").alias("node")).distinct(), "blocks")
     sizes = blocks.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     sizes = sizes.select("s1", "s2", F.ceil(F.col("held") / PIECE).cast("bigint").alias("pieces"))
     points = rows.join(copies, ["n", "k1", "k2"]).where("node = first").select("node", "n", "vector", "parity").dropDuplicates(["node"])
     placed = blocks.join(sizes, ["s1", "s2"]).join(points, "node")
 
-    near = shared_table(candidate_pairs(placed.withColumn("component", F.col("node")), between=False), "near")
-    links = shared_table(verified(near, nodes), "links")
+    near = kept(candidate_pairs(placed.withColumn("component", F.col("node")), between=False), "near")
+    links = kept(verified(near, nodes), "links")
     found = links.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    grouped = shared_table(connected_components(found), "groups")
+    grouped = kept(connected_components(found), "groups")
     told = placed.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_blocks = blocks.join(grouped, "node", "left").groupBy("s1", "s2").agg(
         F.min(F.coalesce("component", "node")).alias("low"), F.max(F.coalesce("component", "node")).alias("high")).where("low < high").select("s1", "s2")
     rest = candidate_pairs(told.join(open_blocks, ["s1", "s2"], "left_semi"), between=True).join(near, ["a", "b"], "left_anti")
-    more = verified(shared_table(rest, "between"), nodes).select(F.col("b").alias("u"), F.col("a").alias("v"))
-    labels = connected_components(found.unionByName(more).unionByName(same))
-    labels = labels.groupBy("node").agg(F.min("component").alias("component"))
-    joined = rows.select("node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = F.when(F.col("component") < NO_ID, F.col("component"))
-    return joined.select("node", F.when(F.col("node") < NO_ID, F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), known.alias("component_id"))
+    more = kept(verified(kept(rest, "between"), nodes), "links").select(F.col("b").alias("u"), F.col("a").alias("v"))
+    labels = kept(connected_components(found.unionByName(more).unionByName(same)), "labels")
+    # Rows of one text and id are one node, and the row's id comes back by the same hash.
+    ids = docs.select(node_of(F.col(id_col), F.col(text_col)).alias("node"), F.col(id_col).alias(id_col))
+    sized = rows.select("node", F.col("n").alias("n_shingles")).distinct()
+    joined = ids.join(sized, "node").join(labels, "node", "left")
+    return joined.select(id_col, "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id for each row: the smallest id that it reaches by links, its own included.
+
+    Rows with one id share a component, whatever their texts.  A row with a null id takes part; a component without any id
+    has the id null.  A document without words has no shingles and no links but those of its id.  Repeated rows give
+    repeated results, other columns are not looked at, and an empty table gives no rows.
+    """
+    rows = shared_table(text_groups(docs, id_col, text_col), "components")
+    # Components that one id holds together: links from each of them to the smallest one of the id.
+    of_id = rows.where(F.col(id_col).isNotNull()).select(id_col, "component").distinct()
+    least = of_id.groupBy(id_col).agg(F.min("component").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    merged = connected_components(of_id.join(least, id_col).select(F.col("component").alias("u"), "v"))
+    rows = rows.join(merged.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "component"))
+    smallest = rows.groupBy("root").agg(F.min(id_col).alias("component_id"))
+    return rows.join(smallest, "root").select(id_col, "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the one with the smallest id."""
-    groups = near_duplicates(docs, id_col, text_col)
-    roots = groups.where("doc_id = component_id OR component_id IS NULL").select(F.col("node").alias("__node")).distinct()
+    """``docs`` with one row of each group of near duplicate texts: the one with the smallest id, a null id last.
+
+    Here rows with one id and unrelated texts are different documents and all stay, as do rows without words; of rows with
+    the same id and text one stays.  All columns stay as they are.
+    """
+    groups = text_groups(docs, id_col, text_col)
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "node")
+    roots = groups.groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.node").alias("__node"))
     noded = docs.withColumn("__node", node_of(F.col(id_col), F.col(text_col)))
     return noded.join(roots, "__node", "left_semi").dropDuplicates(["__node"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return groups.select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,20 +27,33 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of jobs that have ended.
+
+    It does so once the driver's garbage collector finds their plans unused; between the rounds of a long operator that
+    need not happen by itself, and the files of all rounds would stay until the end.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def heaviest(df: DataFrame, weight: Column, most: int) -> DataFrame:
-    """The rows of the greatest positive weights, at most ``most`` of them, without sorting them in one task.
+    """The rows of the greatest positive weights, about ``most`` of them and not more, without sorting them in one task.
 
     Weights are counted by level (an eighth of a power of two), and the levels are taken from above while their rows fit.
+    Of the first level that does not fit, rows are taken by hash for the room that is left.
     """
-    levelled = df.withColumn("__level", F.floor(8 * F.log2(weight)).cast("int"))
-    taken, total = None, 0
+    hashed = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 31))
+    levelled = df.withColumn("__level", F.floor(8 * F.log2(weight)).cast("int")).withColumn("__draw", hashed)
+    chosen, room = F.lit(False), most
     for row in levelled.where("__level IS NOT NULL").groupBy("__level").count().orderBy(F.desc("__level")).collect():
-        total += row["count"]
-        if total > most:
+        level, count = row["__level"], row["count"]
+        if count > room:
+            share = max(0.0, room - 4 * math.sqrt(room)) / count  # four deviations below the room
+            chosen = chosen | ((F.col("__level") == level) & (F.col("__draw") < int((1 << 31) * share)))
             break
-        taken = row["__level"]
-    chosen = F.lit(False) if taken is None else F.coalesce(F.col("__level") >= taken, F.lit(False))
-    return levelled.where(chosen).drop("__level")
+        chosen, room = F.col("__level") >= level, room - count
+    return levelled.where(F.coalesce(chosen, F.lit(False))).drop("__level", "__draw")
 
 
 def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:

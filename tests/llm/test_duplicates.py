@@ -86,6 +86,27 @@ def test_one_of_each_group_stays(make):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, 1, 3, 4, 5]
 
 
+def test_unrelated_texts_of_one_id_and_copies_without_ids(make):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a b c d e f g h"), (1, "other words in this one here"), (None, text), (None, text + " more"), (7, text + " most"), (None, "alone in the world it is"), (8, "A B c d e f g h")]
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in ngram_join.keep_one(make(rows)).collect())
+    assert kept == [(-1, "alone in the world it is"), (1, "a b c d e f g h"), (1, "other words in this one here"), (7, text + " most")]
+
+
+def test_links_of_every_text_of_an_id(make):
+    words, others = [f"w{k}" for k in range(80)], [f"v{k}" for k in range(80)]
+    rows = [(5, " ".join(words)), (5, " ".join(others)), (6, " ".join(words[:-2])), (7, " ".join(others[2:]))]
+    got = ngram_join.near_duplicates(make(rows)).collect()
+    assert sorted(map(tuple, got)) == brute_components(rows) and {r.component_id for r in got} == {5}
+
+
+def test_packed_sets():
+    own = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000).astype(np.uint64))
+    packed = ngram_join.packed_set(own)
+    assert len(packed) == 6 * len(own) and (np.diff(ngram_join.unpacked_set(packed).astype(np.int64)) > 0).all()
+    assert len(np.intersect1d(ngram_join.unpacked_set(packed), ngram_join.unpacked_set(ngram_join.packed_set(own[::2])))) == 500
+
+
 def test_empty_tables(make, spark):
     empty = make([(1, "x")]).where("doc_id < 0")
     assert ngram_join.near_duplicates(empty).count() == 0
