@@ -84,10 +84,14 @@ def numbered(
     out: str = "row_no",
     start: int = 0,
     hot_rows: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Position of each row inside its key, counted from ``start``."""
+    """Position of each row inside its key, counted from ``start``.
+
+    ``counted`` has the keys too, and for each at least as many rows; give it where it is cheaper to count than ``df``.
+    """
     named, keys_ = _named(df, keys)
-    if not has_hot_key(named, keys_, hot_rows):
+    if not has_hot_key(named if counted is None else _named(counted, keys)[0], keys_, hot_rows):
         inside = Window.partitionBy(*keys_).orderBy(*order)
         return named.withColumn(out, F.row_number().over(inside).cast("bigint") + (start - 1)).select(*df.columns, out)
     cut = cut_hot_keys(named, keys_, order, hot_rows)

@@ -311,7 +311,8 @@ def soft_f1(cells: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
     )
     cell = F.transform("_c", lambda c: F.struct(c["num_value"].alias("n"), c["str_value"].alias("s")))
     rows = packed.groupBy(*ID, F.array_join("_c.t", SEPARATOR).alias("_t")).agg(F.first(cell).alias("v"))
-    ranked = numbered(rows, ID, [F.col("_t")], out="rank").drop("_t")
+    # Distinct rows of a result are at most its rows, and those can be counted without packing them.
+    ranked = numbered(rows, ID, [F.col("_t")], out="rank", counted=cells.where("col_no = 0")).drop("_t")
     gold = (
         ranked.where(F.col("candidate") == 0).drop("candidate")
         .join(pairs.select(*ID), "instance_id").select(*ID, "rank", F.col("v").alias("g"))
