@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.session import cut_lineage
+from tallyspark.session import written as written_table
 
 TOKEN = r'"[^"\\]*+(?:(?s:\\.)[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]++|"'
 STRING = r'^"[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1F]*+)*+"$'
@@ -127,4 +127,4 @@ def with_result(df: DataFrame, column: str, results: DataFrame) -> DataFrame:
 
 def held_stream(df: DataFrame, column: str) -> DataFrame:
     """The token stream, written once because judging and pruning read it several times."""
-    return cut_lineage(token_stream(df, column))
+    return written_table(token_stream(df, column), "tokens")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.blocks import block_topk, vector_scorer
-from tallyspark.session import cut_lineage
+from tallyspark.session import written
 
 #: Rows on which centroids are fitted: the ones with the smallest hash of their id.
 SAMPLE_ROWS = 4096
@@ -77,7 +77,7 @@ def build_index(items: DataFrame, metric: str, cells: int | None = None, sample_
         cell = gaps.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "gap": np.sqrt(gaps[np.arange(len(cell)), cell])})
 
-    rows = cut_lineage(items.withColumn("_p", place("vector")).select(*items.columns, F.col("_p.cell").alias("_cell"), F.col("_p.gap").alias("_gap")))
+    rows = written(items.withColumn("_p", place("vector")).select(*items.columns, F.col("_p.cell").alias("_cell"), F.col("_p.gap").alias("_gap")), "placed")
     radii = np.full(len(centroids), -1.0)  # a cell without items
     for r in rows.groupBy("_cell").agg(F.max("_gap").alias("radius")).collect():
         radii[r["_cell"]] = r["radius"]
@@ -136,7 +136,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, group: Sequence[str]
     first = hits(asked.withColumn("_cell", F.explode(F.slice("_cells", 1, probes or PROBES)["cell"])))
     if probes is not None:
         return first
-    first = cut_lineage(first)
+    first = written(first, "hits")
     kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
     least = F.coalesce(F.col("_kth") - error, F.lit(-math.inf))
     others = F.slice("_cells", PROBES + 1, F.greatest(F.size("_cells"), F.lit(1)))

@@ -11,7 +11,7 @@ from tallyspark.functions.editjoin import edit_join
 from tallyspark.functions.postings import top_items
 from tallyspark.functions.vectors import VectorIndex, build_index, search
 from tallyspark.functions.words import COMMON_TERMS, COMMON_WORDS, STOPWORDS, jaccard, name_tokens, plain_tokens, word_array, words
-from tallyspark.session import cut_lineage
+from tallyspark.session import written
 
 # Lexical weights, gram length, shown matches, thresholds.
 LONG_TOKEN_BONUS = 0.35
@@ -360,7 +360,7 @@ def bm25_postings(corpus: DataFrame, asked: DataFrame, group: Sequence[str] = ()
 
     # A document is one row, so its distinct terms are found before any shuffle; its length goes with the first of them.
     every = sized.select(*keys, "dl", F.posexplode(F.array_distinct("tokens")).alias("pos", "term"))
-    counted = cut_lineage(every.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("pos") == 0, F.col("dl"))).alias("tokens")))
+    counted = written(every.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("pos") == 0, F.col("dl"))).alias("tokens")), "counted")
     sizes = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     shape = counted.groupBy(*keys).agg(F.sum("tokens").alias("tokens")).join(sizes, keys)
     shape = one_per_group(shape.select(*keys, "n", (F.col("tokens") / F.col("n")).alias("avgdl")))
@@ -452,7 +452,7 @@ def overlap_few_shot(queries: DataFrame, pool: DataFrame, k: int) -> DataFrame:
 
     asked = terms(queries, "query_id")
     held = terms(pool, "item_id").join(asked.select("term").distinct(), "term", "left_semi")
-    return top_items(asked, held, k)
+    return top_items(asked, held, k, head=1.0)  # all words weigh the same
 
 
 def vector_few_shot(
@@ -498,7 +498,7 @@ def vector_few_shot_skeleton(targets: DataFrame, pool: DataFrame, k: int, thresh
     Distinct skeletons are compared once; a target then searches the rows of the skeletons that its own is similar to.  Fewer
     than ``k`` similar rows are all among the results, so the nearest ``k`` of all rows are enough to fill up from.
     """
-    similar = cut_lineage(similar_skeletons(targets, pool, threshold))
+    similar = written(similar_skeletons(targets, pool, threshold), "similar")
     index = build_index(pool.select("item_id", "vector", "question", "skeleton"), "euclidean")
     asked = targets.select("query_id", "vector", "question", "skeleton")
     near = asked.withColumnRenamed("skeleton", "left_skeleton").join(similar, "left_skeleton").select(
@@ -543,7 +543,7 @@ def retrieve_two_turns(queries: DataFrame, second: DataFrame, index: DataFrame,
     turns search one index.
     """
     placed = build_index(index.select("index_id", "item_id", "vector"), "cosine")
-    first = cut_lineage(retrieve(queries, placed, k).withColumn("turn_n", F.lit(0)))
+    first = written(retrieve(queries, placed, k).withColumn("turn_n", F.lit(0)), "turn")
     again = retrieve(second, placed, 2 * k).join(first.select("query_id", "index_id", "item_id"), ["query_id", "index_id", "item_id"], "left_anti")
     order = Window.partitionBy("query_id", "index_id").orderBy(F.desc("score"), "item_id")
     fresh = again.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r").withColumn("turn_n", F.lit(1))

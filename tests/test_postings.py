@@ -36,7 +36,7 @@ def brute(asked, items, k):
                   for r, (i, s) in enumerate(sorted(found.items(), key=lambda x: (-round(x[1], 6), x[0]))[:k], 1))
 
 
-@pytest.mark.parametrize(("seed", "negative", "part_rows", "head"), [(1, False, 1000, 0.1), (2, True, 7, 0.1), (3, False, 5, 0.5), (4, True, 1000, 0.0)])
+@pytest.mark.parametrize(("seed", "negative", "part_rows", "head"), [(1, False, 1000, 0.1), (2, True, 7, 0.1), (3, False, 5, 0.5), (4, True, 1000, 0.0), (5, True, 6, 1.0)])
 def test_top_items_match_brute_force(spark, seed, negative, part_rows, head):
     asked, items = data(seed, negative)
     queries = spark.createDataFrame(asked, "query_id string, db string, term string, weight double")
