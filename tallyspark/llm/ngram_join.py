@@ -41,7 +41,6 @@ FANOUT = 16
 OUT_ROWS = 50_000
 RUN_ROWS = 100_000
 LONG_RUN = 1_000_000
-WANTED_BITS = 1 << 25  # of the broadcast bitmap of wanted documents: 4 MB
 SET_BYTES = 6  # of each shingle hash, when whole sets are compared
 
 
@@ -379,20 +378,6 @@ def unpacked_set(packed: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most of the rows whose node is not among the ``wanted``, before anything is shuffled.
-
-    A bitmap of ``WANTED_BITS`` bits, whatever the number of nodes, tells which nodes cannot be wanted; the more of them are
-    wanted, the fewer rows it takes out.
-    """
-    place = F.pmod("node", F.lit(WANTED_BITS))
-    bits = wanted.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits"))
-    at = F.bitmap_bit_position(place + 1)
-    byte = F.conv(F.hex(F.expr("substring(bits, CAST(at DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    met = docs.withColumn("bucket", F.bitmap_bucket_number(place + 1)).withColumn("at", at).join(F.broadcast(bits), "bucket")
-    return met.where(F.getbit(byte, (F.col("at") % 8).cast("int")) == 1).select(*docs.columns)
-
-
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose whole shingle sets have 100 * overlap >= 75 * union.
 
@@ -415,7 +400,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     # The wanted documents grow with the data, so the plan is the same at every size: each text moves once.
     wanted = partners.unionByName(homes)
-    texts = maybe_wanted(docs.select("node", "text"), wanted.select("node")).dropDuplicates(["node"])
+    texts = docs.select("node", "text").dropDuplicates(["node"])
     held = texts.join(wanted.hint("merge"), "node").select("home", "part", "turn", "node", "text")
     sets = held.mapInArrow(make, "home bigint, part bigint, turn int, node bigint, n bigint, own binary")
     sided = sets.repartition("home", "part").sortWithinPartitions("home", "part", "turn", "node")
