@@ -83,7 +83,7 @@ def decayed_sample(spark, sf):
     rows = table(spark, sf, "lineitem").select(
         (F.col("l_linenumber") - 1).alias("turn_n"), (F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 100 + F.col("l_suppkey")).alias("id"))
     kept = S.decayed_sample(rows, "id", 0.8, 0.7)
-    return kept.groupBy("turn_n").agg(F.count(F.lit(1)).alias("kept"), F.sum("id").cast("double").alias("ids"))
+    return kept.groupBy("turn_n").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.col("id").cast("decimal(20,0)")).cast("double").alias("ids"))
 
 
 @query("repair_candidates", """

@@ -21,3 +21,10 @@ def test_exploded_sides_of_name_links_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan_of(links)
     got = {(r["query_id"], r["pos"], r["flag"]) for r in links.collect()}
     assert got == {(1, 1, "TEM"), (2, 0, "TEM"), (2, 0, "CPM"), (1, 1, "CPM"), (1, 2, "CPM"), (1, 3, "CPM")}
+
+
+def test_decayed_sample_sums_past_64_bits(spark, tmp_path):
+    rows = [(9_000_000_000_000 + n, n, n, 1) for n in range(20)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    row = registry.QUERIES["decayed_sample"](spark, str(tmp_path)).collect()[0]
+    assert row["kept"] == 16 and abs(row["ids"] / (16 * 9e18) - 1) < 1e-6
