@@ -299,10 +299,14 @@ def progress_reported(spark, sf):
     return I.progress(lines.unionByName(report))
 
 
+def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a file-source stream: one file, or a folder of files, which a pattern that only the table's path fits takes alike."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
+
+
 def token_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The token log as a file-source stream."""
-    schema = table(spark, sf, "lineitem").schema
-    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    lines = table_stream(spark, sf, "lineitem")
     quantity = F.col("l_quantity").cast("bigint")
     return lines.select(
         F.col("l_shipdate").alias("ts"), F.concat(F.lit("sample:"), "l_orderkey", F.lit("|step"), "l_linenumber").alias("tag"), F.col("l_returnflag").alias("model"),
@@ -342,7 +346,7 @@ def token_usage_windows(spark, sf):
 
 @query("incremental_score", "SELECT count(*) AS samples, count(ex) AS ex_n, CAST(sum(ex) AS DOUBLE) AS ex_sum FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS ex FROM orders)")
 def incremental_score(spark, sf):
-    orders = spark.readStream.schema(table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
+    orders = table_stream(spark, sf, "orders")
     rows = orders.select(F.col("o_orderkey").alias("instance_id"), F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 0).alias("ex"))
     folder = scratch(spark, "scores")
     I.incremental_score(rows, folder, f"{folder}/state", ["ex"]).awaitTermination()
@@ -354,8 +358,7 @@ def incremental_score(spark, sf):
 b AS (SELECT conv_id, turn, role, last_value(p IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
 SELECT CAST(conv_id AS VARCHAR) AS instance_id, turn AS pos, role AS actor_name, before FROM b WHERE before IS NOT NULL""")
 def stream_snapshots(spark, sf):
-    schema = table(spark, sf, "conversations").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    turns = table_stream(spark, sf, "conversations")
     log = turns.select(F.col("conv_id").cast("string").alias("instance_id"), F.col("turn").alias("pos"), F.col("role").alias("actor_name"),
                        F.when(F.col("turn") % 3 != 2, F.md5("text")).alias("pred_sql"))
     return run_available(I.stream_snapshots(log), spark, "append")

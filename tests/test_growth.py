@@ -28,3 +28,16 @@ def test_decayed_sample_sums_past_64_bits(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     row = registry.QUERIES["decayed_sample"](spark, str(tmp_path)).collect()[0]
     assert row["kept"] == 16 and abs(row["ids"] / (16 * 9e18) - 1) < 1e-6
+
+
+def test_streams_read_tables_in_several_files(spark, tmp_path):
+    turns = [(c, t, "user", f"text {c} {t}") for c in range(6) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["instance_id"], r["pos"]) for r in registry.QUERIES["stream_snapshots"](spark, str(tmp_path)).collect()}
+    assert got == {(str(c), t) for c in range(6) for t in (1, 2, 3)}
+    day = datetime.datetime(2024, 1, 1)
+    lines = [(n, 1 + n % 2, "A", 3.0, day) for n in range(10)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_shipdate timestamp").repartition(2).write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    usage = registry.QUERIES["token_usage_stream"](spark, str(tmp_path))
+    assert usage.agg(F.sum("calls")).collect()[0][0] == 10
