@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
-MAX_PIECES = 1024
+MAX_PIECES = 1000  # the planner cuts a ranking before its shuffle up to this many rows
+EDGE_ROWS = 8  # rows looked at for each edge
 PERCENTILE_ROWS = 200_000  # up to here a key's values fit one aggregation buffer
 
 
@@ -54,12 +55,14 @@ def cut_hot_keys(
         .agg(F.count(F.lit(1)).alias("_ord_n"))
         .where(F.col("_ord_n") > limit)
         .withColumn("_ord_edges", F.least(F.lit(MAX_PIECES), F.ceil(F.col("_ord_n") * 4 / limit)))
+        .withColumn("_ord_most", F.col("_ord_edges") * (EDGE_ROWS * 2.0**53) / F.col("_ord_n"))
         .drop("_ord_n")
     )
     by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64("_ord_o"), "_ord_o")
     edges = (
         df.select(*keys, position.alias("_ord_o"))
         .join(_lookup(sizes, keys), list(keys))
+        .where(F.shiftrightunsigned(F.xxhash64("_ord_o"), 11) <= F.col("_ord_most"))
         .withColumn("_ord_r", F.row_number().over(by_hash))
         .where((F.col("_ord_r") <= MAX_PIECES) & (F.col("_ord_r") <= F.col("_ord_edges")))
         .groupBy(*keys)

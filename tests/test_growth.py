@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions import ordered
 from tallyspark.operators import retrieval as R
 from tallyspark.plans import registry
 
@@ -41,3 +42,13 @@ def test_streams_read_tables_in_several_files(spark, tmp_path):
         f"{tmp_path}/lineitem.parquet")
     usage = registry.QUERIES["token_usage_stream"](spark, str(tmp_path))
     assert usage.agg(F.sum("calls")).collect()[0][0] == 10
+
+
+def test_edges_of_large_keys_are_cut_before_the_shuffle(spark):
+    df = spark.range(5000).select(F.concat(F.lit("dev_"), "id").alias("k"))
+    cut = ordered.cut_hot_keys(df.withColumn("g", F.lit(0)), ["g"], [F.col("k")], hot_rows=100)
+    assert "TakeOrderedAndProject" in plan_of(cut) or "WindowGroupLimit" in plan_of(cut)
+    sizes = [r["count"] for r in cut.groupBy("_ord_piece").count().collect()]
+    assert sum(sizes) == 5000 and len(sizes) > 100 and max(sizes) < 500
+    got = [r["k"] for r in ordered.numbered(df, [], [F.col("k")], hot_rows=100).orderBy("row_no").collect()]
+    assert got == sorted(f"dev_{n}" for n in range(5000))
