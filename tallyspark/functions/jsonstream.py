@@ -17,6 +17,7 @@ TOKEN = r'"[^"\\]*+(?:(?s:\\.)[^"\\]*+)*+"|[{}\[\],:]|[^\s{}\[\],:"]++|"'
 STRING = r'^"[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1F]*+)*+"$'
 NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
 NOT_FINITE = r"^(?:NaN|-?Infinity)$"
+TASK_CHARS = 4_000_000
 VALUES = ("value", "string", "scalar")
 
 
@@ -30,6 +31,16 @@ def plain_string(token: Column) -> Column:
     return F.when(token.contains("\\"), F.from_json(F.concat(F.lit("["), token, F.lit("]")), "array<string>")[0]).otherwise(inner)
 
 
+def dealt(texts: DataFrame) -> DataFrame:
+    """One row per document (``doc, text``), dealt by document while it is still one text: its tokens then need no shuffle.
+
+    A partition holds about ``TASK_CHARS`` characters, so that its tokens are sorted in memory.
+    """
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+    return texts.repartition(parts, "doc").dropDuplicates(["doc"])
+
+
 def token_stream(df: DataFrame, column: str) -> DataFrame:
     """One row per token of each distinct document, an opening bracket as a value of its container and as a container.
 
@@ -38,8 +49,8 @@ def token_stream(df: DataFrame, column: str) -> DataFrame:
     container ends; ``ok`` tells whether the token may stand here.  Roles: value (of a container), open, close, comma,
     colon, string, scalar, name.
     """
-    texts = df.select(F.col(column).alias("text")).where(F.col(column).isNotNull()).distinct()
-    tokens = texts.select(document_key(F.col("text")).alias("doc"), F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
+    texts = dealt(df.select(F.col(column).alias("text")).where(F.col(column).isNotNull()).select(document_key(F.col("text")).alias("doc"), "text"))
+    tokens = texts.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "token"))
     step = F.when(F.col("token").isin("{", "["), 1).when(F.col("token").isin("}", "]"), -1).otherwise(0)
     tokens = tokens.withColumn("step", step).withColumn("depth", F.sum("step").over(Window.partitionBy("doc").orderBy("pos")))
 

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tallyspark.functions import ordered
+from tallyspark.functions import jsonstream, ordered
 from tallyspark.operators import retrieval as R
 from tallyspark.plans import registry
 
@@ -52,3 +52,10 @@ def test_edges_of_large_keys_are_cut_before_the_shuffle(spark):
     assert sum(sizes) == 5000 and len(sizes) > 100 and max(sizes) < 500
     got = [r["k"] for r in ordered.numbered(df, [], [F.col("k")], hot_rows=100).orderBy("row_no").collect()]
     assert got == sorted(f"dev_{n}" for n in range(5000))
+
+
+def test_documents_are_dealt_before_they_are_cut_to_tokens(spark):
+    df = spark.createDataFrame([('{"a": [1, {"b": 2}]}',), ('{"a": [1, {"b": 2}]}',), (None,)], "t string")
+    stream = jsonstream.token_stream(df, "t")
+    assert plan_of(stream).count("Exchange hashpartitioning") == 1
+    assert stream.where("role = 'open'").count() == 3
