@@ -3,7 +3,8 @@
 Centroids are fitted on a bounded sample; every item is placed in the cell of its nearest centroid, and a cell knows the
 greatest distance of an item to its centroid.  That bounds the score of all items of a cell for a query.  A query first
 searches the cells of the best bounds; the k-th score found there rules out all cells whose bound is lower, and only the
-others are searched.  The index is written once and serves any number of searches.
+others are searched.  Cells are packed into parts as large as a block, and a query goes once to each part that it asks, not
+once to each cell.  The index is written once and serves any number of searches.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.blocks import block_topk, vector_scorer
+from tallyspark.functions.blocks import BLOCKS, LEAST_ROWS, MOST_ROWS, block_topk, vector_scorer
 from tallyspark.session import written
 
 #: Rows on which centroids are fitted: the ones with the smallest hash of their id.
 SAMPLE_ROWS = 4096
 ROUNDS = 8
 PROBES = 4
+BLOCK_NUMBERS = 1 << 21  # numbers in the vectors of a block
 
 
 class VectorIndex(NamedTuple):
@@ -114,6 +116,21 @@ def _bounds(index: VectorIndex):
     return bounds
 
 
+def _parts(index: VectorIndex, group: Sequence[str], most: int) -> list[int]:
+    """The part of each cell: neighbouring cells share one, up to the size of a block."""
+    per_cell = index.rows.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("n")).groupBy("_cell").agg(F.max("n").alias("n"))
+    sizes = {r["_cell"]: r["n"] for r in per_cell.collect()}  # as many as were fitted
+    room = min(max(LEAST_ROWS, math.ceil(sum(sizes.values()) / BLOCKS)), most)
+    parts, part, held = [], 0, 0
+    for cell in range(len(index.centroids)):
+        size = sizes.get(cell, 0)
+        if held and held + size > room:
+            part, held = part + 1, 0
+        held += size
+        parts.append(part)
+    return parts
+
+
 def search(index: VectorIndex, queries: DataFrame, k: int, group: Sequence[str] = (), exclude_same: Sequence[str] = (),
            min_score: float | None = None, probes: int | None = None, digits: int = 6) -> DataFrame:
     """Best ``k`` items per query: ``query_id, item_id, score, rank``; ties go to the smaller ``item_id``.
@@ -126,21 +143,25 @@ def search(index: VectorIndex, queries: DataFrame, k: int, group: Sequence[str]
     scorer = vector_scorer(index.metric, exclude_same, min_score)
     kept = list(dict.fromkeys([*group, *exclude_same]))
     items = index.rows.select("item_id", "vector", *kept, "_cell")
+    most = min(max(LEAST_ROWS, BLOCK_NUMBERS // index.centroids.shape[1]), MOST_ROWS)
+    parts = _parts(index, group, most)
     bounded = F.transform(_bounds(index)("vector"), lambda b, i: F.struct(b.alias("bound"), i.alias("cell")))
     useful = F.filter(bounded, lambda c: c["bound"] >= (-math.inf if min_score is None else min_score - error))
-    asked = queries.select("query_id", "vector", *kept, F.sort_array(F.filter(useful, lambda c: c["bound"] > F.lit(-math.inf)), asc=False).alias("_cells"))
+    cells = F.sort_array(F.filter(useful, lambda c: c["bound"] > F.lit(-math.inf)), asc=False)
 
-    def hits(requests: DataFrame) -> DataFrame:
-        return block_topk(requests.select("query_id", "vector", *kept, "_cell"), items, scorer, k, [*group, "_cell"], digits=digits).select("query_id", "item_id", "score", "rank")
+    def hits(requests: DataFrame, asked: Column) -> DataFrame:
+        requests = requests.withColumn("_cells", cells).select("query_id", "vector", *kept, asked.alias("_asked"), "_least")
+        return block_topk(requests, items, scorer, k, group, most, digits, parts).select("query_id", "item_id", "score", "rank")
 
-    first = hits(asked.withColumn("_cell", F.explode(F.slice("_cells", 1, probes or PROBES)["cell"])))
+    asked = queries.select("query_id", "vector", *kept)
+    first = hits(asked.withColumn("_least", F.lit(-math.inf)), F.slice("_cells", 1, probes or PROBES)["cell"])
     if probes is not None:
         return first
     first = written(first, "hits")
-    kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
-    least = F.coalesce(F.col("_kth") - error, F.lit(-math.inf))
-    others = F.slice("_cells", PROBES + 1, F.greatest(F.size("_cells"), F.lit(1)))
-    further = asked.join(kth, "query_id", "left").withColumn("_least", least).withColumn("_c", F.explode(others))
-    second = hits(further.where(F.col("_c.bound") >= F.col("_least")).withColumn("_cell", F.col("_c.cell")))
+    # Cells whose bound, and hits whose score, is below the k-th score found cannot change the result.
+    kth = first.where(F.col("rank") == k).select("query_id", (F.col("score") - error).alias("_least"))
+    further = asked.join(kth, "query_id", "left").withColumn("_least", F.coalesce("_least", F.lit(-math.inf)))
+    others = F.filter(F.slice("_cells", PROBES + 1, F.greatest(F.size("_cells"), F.lit(1))), lambda c: c["bound"] >= F.col("_least"))
+    second = hits(further, others["cell"])
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return first.unionByName(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -92,3 +92,29 @@ def test_similar_skeletons(spark):
         got = {tuple(r) for r in R.similar_skeletons(df, df, threshold).collect()}
         sets = {t: set(t.split()) for t in texts}
         assert got == {(a, b) for a in texts for b in texts if sets[a] | sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= threshold}
+
+
+def test_queries_are_sent_to_parts_not_to_cells(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    queries, items = frames(spark, rng.normal(size=(50, 12)), rng.normal(size=(400, 12)))
+    sent, scorer = spark.sparkContext.accumulator(0), V.vector_scorer
+
+    def counted(*args):
+        own = scorer(*args)
+
+        def score(q, i):
+            sent.add(len(q))
+            return own(q, i)
+
+        return score
+
+    monkeypatch.setattr(V, "vector_scorer", counted)
+    index = V.build_index(items, "euclidean", cells=20)
+    assert V.search(index, queries, 5).count() == 250
+    assert sent.value <= 2 * 50  # once for each phase, as all cells fit one part; it was once for each cell
+
+
+def test_parts_hold_whole_cells_up_to_a_block(spark):
+    rows = spark.createDataFrame([(c, c % 2) for c in (0, 1, 1, 2, 4, 5, 5, 5) for _ in range(500)], "_cell int, g int")
+    index = V.VectorIndex(rows, np.zeros((7, 2)), np.zeros(7), "dot")
+    assert V._parts(index, ["g"], 32768) == [0, 1, 2, 2, 2, 3, 3]  # 500, 1000, 500, 0, 500, 1500, 0
