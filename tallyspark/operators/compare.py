@@ -10,21 +10,33 @@ cells unless given; give it when results may be empty.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions import ordered
 from tallyspark.functions.ordered import numbered
 from tallyspark.functions.stats import ABS_TOL, REL_TOL, close, ratio
 
 ID = ["instance_id", "candidate"]
 ANSWER_ROWS = 100  # fixed value: rows that take part in a canonical answer
 SEPARATOR = "\x1f"
+TASK_CELLS = 250_000  # about as many are dealt to a task
 
 
 def number_rows(cells: DataFrame, row_key: str) -> DataFrame:
-    """Add ``row_no`` from an ordering key of the result rows."""
+    """Add ``row_no`` from an ordering key of the result rows.
+
+    Instances of moderate size are dealt whole, so grouping by instance, result, row or column takes no further shuffle;
+    the number of tasks grows with the cells.
+    """
+    sizes = cells.groupBy("instance_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).collect()[0]
+    if (sizes["most"] or 0) <= ordered.HOT_ROWS:
+        tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((sizes["all"] or 0) / TASK_CELLS))
+        inside = Window.partitionBy(*ID, "col_no").orderBy(row_key)
+        return cells.repartition(tasks, "instance_id").withColumn("row_no", F.row_number().over(inside).cast("bigint") - 1)
     return numbered(cells, [*ID, "col_no"], [F.col(row_key)])
 
 
@@ -62,12 +74,12 @@ def _pairs(shapes: DataFrame) -> DataFrame:
     return shapes.where(F.col("candidate") != 0).join(gold, "instance_id")
 
 
-def _sorted_values(cells: DataFrame) -> DataFrame:
-    """Re-number each column by its values: NULL last, then type, then text."""
+def _sorted_values(cells: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Re-number each column by its values: NULL last, then type, then text; ``counted`` as in ``numbered``."""
     missing = F.col("num_value").isNull() & F.col("str_value").isNull()
     text = F.coalesce(F.col("num_value").cast("string"), F.col("str_value"), F.lit(""))
     plain = cells.withColumnRenamed("row_no", "_row")
-    return numbered(plain, [*ID, "col_no"], [missing, F.col("num_value").isNull(), text, F.col("_row")]).drop("_row")
+    return numbered(plain, [*ID, "col_no"], [missing, F.col("num_value").isNull(), text, F.col("_row")], counted=counted).drop("_row")
 
 
 def _same_cell(left: str, right: str) -> Column:
@@ -198,16 +210,26 @@ def quick_reject(cells: DataFrame, ignore_order: bool, shapes: DataFrame | None
 
 
 def rowset_equal(cells: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
-    """Same shape and the same set of rows after rounding floats to 2 places."""
-    pairs = _pairs(result_shapes(cells) if shapes is None else shapes)
-    rows = result_rows(cells, 2).select(*ID, "values").distinct()
-    sizes = rows.groupBy(*ID).agg(F.count(F.lit(1)).alias("_d"))
-    gold_sizes = sizes.where(F.col("candidate") == 0).select("instance_id", F.col("_d").alias("_gd"))
-    common = _common_rows(rows.where(F.col("candidate") != 0), rows.where(F.col("candidate") == 0), ID)
-    joined = pairs.join(sizes, ID, "left").join(gold_sizes, "instance_id", "left").join(common, ID, "left")
+    """Same shape and the same set of rows after rounding floats to 2 places.
+
+    Every distinct row of an instance is met once, with the results that hold it; shapes come from the same rows.
+    """
+    packed = cells.groupBy(*ID, "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", encode(2).alias("v")))).alias("_c"))
+    rows = packed.select(*ID, "row_no", F.col("_c.v").alias("values"), F.array_max("_c.col_no").alias("_last"))
+    distinct = rows.groupBy(*ID, "values").agg(F.max("row_no").alias("_row"), F.max("_last").alias("_last"))
+    held = distinct.groupBy("instance_id", "values").agg(F.collect_list(F.struct("candidate", "_row", "_last")).alias("_h"))
+    each = held.select("instance_id", F.exists("_h", lambda h: h["candidate"] == 0).alias("_gold"), F.explode("_h").alias("h")).select("instance_id", "_gold", "h.*")
+    sizes = each.groupBy(*ID).agg(
+        F.count(F.lit(1)).alias("_d"), F.count_if("_gold").alias("_common"), (F.max("_row") + 1).cast("bigint").alias("n_rows"),
+        (F.max("_last") + 1).cast("bigint").alias("n_cols"))
+    if shapes is not None:
+        sizes = shapes.join(sizes.drop("n_rows", "n_cols"), ID, "left")
+    gold = sizes.where(F.col("candidate") == 0).select(
+        "instance_id", F.col("_d").alias("_gd"), F.col("n_rows").alias("g_rows"), F.col("n_cols").alias("g_cols"))
+    joined = sizes.where(F.col("candidate") != 0).join(gold, "instance_id")
     shape = (F.col("n_rows") == F.col("g_rows")) & (F.col("n_cols") == F.col("g_cols"))
     none = F.col("n_rows") == 0
-    equal = (F.col("_d") == F.col("_gd")) & (F.coalesce("common_distinct", F.lit(0)) == F.col("_d"))
+    equal = (F.col("_d") == F.col("_gd")) & (F.col("_common") == F.col("_d"))
     return joined.select(*ID, (shape & (none | F.coalesce(equal, F.lit(False)))).cast("int").alias("score"))
 
 

@@ -35,14 +35,19 @@ def _merge_tolerant(cells: DataFrame, exact: DataFrame) -> DataFrame:
     Copies are collapsed before, so only leaders of equal length are compared.
     """
     leaders = exact.where(F.col("candidate") == F.col("cluster")).select("instance_id", "candidate")
-    kept = compare._sorted_values(cells.join(leaders, ["instance_id", "candidate"], "left_semi"))
-    shapes = compare.result_shapes(kept)
-    sized = kept.join(shapes, ["instance_id", "candidate"])
-    later = sized.withColumnRenamed("candidate", "left_id").drop("n_cols")
-    earlier = sized.withColumnRenamed("candidate", "right_id").withColumnRenamed("n_cols", "r_cols")
-    joined = later.alias("l").join(earlier.alias("r"), ["instance_id", "n_rows", "row_no"]).where("right_id < left_id")
+    columns = cells.groupBy("instance_id", "candidate", "col_no").agg(F.count(F.lit(1)).alias("n"))
+    shapes = columns.groupBy("instance_id", "candidate").agg(F.max("n").alias("n_rows"), (F.max("col_no") + 1).cast("bigint").alias("n_cols"))
+    # Joined by instance alone, as the cells are dealt, and met by aggregates, cells are not shuffled again.
+    wanted = leaders.join(shapes, ["instance_id", "candidate"]).groupBy("instance_id").agg(F.collect_list(F.struct("candidate", "n_rows", "n_cols")).alias("_w"))
+    kept = cells.join(wanted, "instance_id").withColumn("_w", F.expr("filter(_w, w -> w.candidate = candidate)")).where(F.size("_w") > 0)
+    sized = compare._sorted_values(kept, cells).select("*", F.col("_w")[0]["n_rows"].alias("n_rows"), F.col("_w")[0]["n_cols"].alias("r_cols"))
+    rows = sized.groupBy("instance_id", "n_rows", "row_no").agg(
+        F.collect_list(F.struct("candidate", "col_no", "num_value", "str_value", "r_cols")).alias("cs"))
+    joined = rows.select("instance_id", "n_rows", "cs", F.explode("cs").alias("l")).select(
+        "instance_id", "n_rows", "l", F.explode(F.expr("filter(cs, c -> c.candidate < l.candidate)")).alias("r"))
     agree = (
-        joined.groupBy("instance_id", "left_id", "right_id", "n_rows", "r_cols", F.col("l.col_no"), F.col("r.col_no").alias("r_col"))
+        joined.groupBy("instance_id", F.col("l.candidate").alias("left_id"), F.col("r.candidate").alias("right_id"), "n_rows", "r.r_cols",
+                       F.col("l.col_no"), F.col("r.col_no").alias("r_col"))
         .agg(F.count_if(compare._same_cell("l", "r")).alias("same"))
         .where(F.col("same") == F.col("n_rows"))
         .groupBy("instance_id", "left_id", "right_id", "r_cols").agg(F.count_distinct("r_col").alias("covered"))

@@ -5,7 +5,9 @@ import datetime
 from pyspark.sql import functions as F
 
 from tallyspark.functions import jsonstream, ordered
+from tallyspark.operators import compare as C
 from tallyspark.operators import retrieval as R
+from tallyspark.operators import selection as S
 from tallyspark.plans import registry
 
 registry.load()
@@ -59,3 +61,21 @@ def test_documents_are_dealt_before_they_are_cut_to_tokens(spark):
     stream = jsonstream.token_stream(df, "t")
     assert plan_of(stream).count("Exchange hashpartitioning") == 1
     assert stream.where("role = 'open'").count() == 3
+
+
+def test_cells_are_shuffled_once(spark):
+    rows = [(i, c, k, n, None if n else "x", float(k + (c == 2) * 5) + 0.004 * (c == 1) if n else None)
+            for i in range(6) for c in range(4) for k in range(5) for n in range(2) if not (c == 3 and k == 2)]
+    cells = C.number_rows(spark.createDataFrame(rows, "instance_id long, candidate int, row_key long, col_no int, str_value string, num_value double"), "row_key")
+    assert {r["row_no"] for r in cells.collect()} == set(range(5))
+
+    def shuffles(df):
+        return [line for line in plan_of(df).splitlines() if "Exchange hashpartitioning" in line]
+
+    equal, clusters = C.rowset_equal(cells), S.cluster_by_result(cells, tolerant=True)
+    assert len(shuffles(equal)) <= 4  # one of cells, in both branches of the plan, and the join of results
+    assert not any("row_no" in line for line in shuffles(clusters))
+    assert {(r["candidate"], r["score"]) for r in equal.collect()} == {(1, 1), (2, 0), (3, 0)}
+    assert {(r["candidate"], r["cluster"]) for r in clusters.collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
+    given = spark.createDataFrame([(i, c, 5, 2) for i in range(7) for c in range(2)], "instance_id long, candidate int, n_rows long, n_cols long")
+    assert C.rowset_equal(cells, given).agg(F.sum("score"), F.count("score")).collect()[0] == (6, 7)
