@@ -8,6 +8,7 @@ Per-database arrays are as wide as one database has columns.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from tallyspark.session import cut_lineage
 CUT = 150  # fixed value: longest type or description in a rendered catalog
 SAMPLES = 3  # fixed value: sample values of a profile
 LONG_TEXT = 360  # fixed value: longest text of sample values
+TASK_ROWS = 200_000  # selected tables for each task that holds their neighbours
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -115,18 +117,21 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("db_id", F.explode(ways).alias("w")).select("db_id", "w.*").where("a <> b").groupBy("db_id", "a", "b").agg(F.min("on").alias("on"))
 
 
-def fk_neighbors(selected: DataFrame, edges: DataFrame) -> DataFrame:
+def fk_neighbors(selected: DataFrame, edges: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Tables one foreign key away from the selected ones, in either direction.
 
-    ``selected``: ``instance_id, db_id, table_name``.
+    ``selected``: ``instance_id, db_id, table_name``.  ``counted`` has at least as many rows; give it where it is cheaper to
+    count.  The number of tasks that hold neighbours grows with that count.
     """
+    rows = (selected if counted is None else counted).count()
+    tasks = max(int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / TASK_ROWS))
     ways = both_ways(edges).select("db_id", F.lower("a").alias("_a"), F.col("b").alias("table_name"))
     near = (
         selected.select("instance_id", "db_id", F.lower("table_name").alias("_a"))
-        .join(ways, ["db_id", "_a"]).select("instance_id", "db_id", "table_name", F.lower("table_name").alias("_l")).distinct()
+        .join(ways, ["db_id", "_a"]).select("instance_id", "db_id", "table_name", F.lower("table_name").alias("_l"))
     )
-    taken = selected.select("instance_id", F.lower("table_name").alias("_l"))
-    return near.join(taken, ["instance_id", "_l"], "left_anti").drop("_l")
+    taken = selected.select("instance_id", F.lower("table_name").alias("_l")).repartition(tasks, "instance_id", "_l")
+    return near.join(taken, ["instance_id", "_l"], "left_anti").distinct().drop("_l")
 
 
 def join_paths(edges: DataFrame, pairs: DataFrame, max_hops: int | None = None) -> DataFrame:

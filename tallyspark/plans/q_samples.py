@@ -421,7 +421,7 @@ n AS (SELECT s.instance_id, s.db_id, e.ref_table AS table_name FROM s JOIN e ON
  UNION SELECT s.instance_id, s.db_id, e.src_table FROM s JOIN e ON e.db_id = s.db_id AND e.ref_table = lower(s.table_name))
 SELECT n.* FROM n LEFT JOIN (SELECT DISTINCT instance_id, lower(table_name) AS t FROM s) x ON x.instance_id = n.instance_id AND x.t = n.table_name WHERE x.t IS NULL""", ("catalog_columns",))
 def fk_neighbors(spark, sf):
-    return K.fk_neighbors(selected(spark, sf), K.fk_edges(catalog(spark, sf)))
+    return K.fk_neighbors(selected(spark, sf), K.fk_edges(catalog(spark, sf)), table(spark, sf, "lineitem"))
 
 
 @query("join_paths", f"""WITH RECURSIVE {EDGES},

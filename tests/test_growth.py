@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tallyspark.functions import jsonstream, ordered
+from tallyspark.operators import catalog as K
 from tallyspark.operators import compare as C
 from tallyspark.operators import retrieval as R
 from tallyspark.operators import selection as S
@@ -79,3 +80,15 @@ def test_cells_are_shuffled_once(spark):
     assert {(r["candidate"], r["cluster"]) for r in clusters.collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
     given = spark.createDataFrame([(i, c, 5, 2) for i in range(7) for c in range(2)], "instance_id long, candidate int, n_rows long, n_cols long")
     assert C.rowset_equal(cells, given).agg(F.sum("score"), F.count("score")).collect()[0] == (6, 7)
+
+
+def test_tasks_that_hold_neighbors_grow_with_the_rows(spark, monkeypatch):
+    selected = spark.createDataFrame([(n, "d", t) for n in range(60) for t in ("T1", "t2", "t2")], "instance_id long, db_id string, table_name string")
+    edges = spark.createDataFrame([("d", "t1", "x", "t2", "x"), ("d", "t3", "x", "T1", "x"), ("d", "t3", "y", "t2", "y")],
+                                  "db_id string, src_table string, src_column string, ref_table string, ref_column string")
+    edges = edges.union(edges.withColumn("ref_table", F.lower("ref_table")))
+    monkeypatch.setattr(K, "TASK_ROWS", 10)
+    near = K.fk_neighbors(selected, edges)
+    assert "REPARTITION_BY_NUM" in plan_of(near) and "18)" in plan_of(near)
+    assert sorted(tuple(r) for r in near.collect()) == [(n, "d", "t3") for n in range(60)]
+    assert sorted(tuple(r) for r in K.fk_neighbors(selected, edges, selected.union(selected)).collect()) == [(n, "d", "t3") for n in range(60)]
