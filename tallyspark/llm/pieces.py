@@ -20,7 +20,7 @@ import regex
 from tallyspark.llm import words as W
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 150_000
 KNOWN_CHARS = 64
 SLICE_BYTES = 1 << 20
 
@@ -66,13 +66,18 @@ def piece_starts(codes: np.ndarray, offsets: np.ndarray, classes: np.ndarray) ->
 
 
 class PieceEncoder:
-    """Encodes batches of texts through ``encode_pieces`` (list of strings to list of packed ids); ids of short pre-tokens are kept."""
+    """Encodes batches of texts through ``encode_pieces`` (list of strings to list of packed ids).
+
+    The ids of short pre-tokens are kept in two generations of ``KNOWN_PIECES`` each: one that is used again moves to the
+    younger, and a full younger one takes the place of the elder, so that common pre-tokens never have to be encoded anew.
+    """
 
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], added: list[str]):
         self.encode_pieces, self.encode_text = encode_pieces, encode_text
         self.added = [content.encode() for content in added]
         self.classes = code_classes()
         self.known: dict[int, bytes] = {}
+        self.known_before: dict[int, bytes] = {}
 
     def starts(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where the pieces that are encoded apart begin."""
@@ -84,14 +89,18 @@ class PieceEncoder:
         raw = data.tobytes()
         if any(content in raw for content in self.added):
             return self._one_by_one(raw, byte_offsets)
-        codes = np.frombuffer(raw.decode().encode("utf-32-le"), dtype="<u4")
+        text = raw.decode()
+        codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
         leads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         offsets = leads[byte_offsets]
         starts = self.starts(codes, offsets)
         ends = np.concatenate((starts[1:], [len(codes)]))[: len(starts)]
         hashes = W.hash_spans(codes, starts, ends)
-        kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        packed = self._look_up(kinds, first, codes, starts, ends)
+        coded = pa.array(hashes).dictionary_encode()
+        kinds, which = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        first = np.empty(len(kinds), dtype=np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        packed = self._look_up(kinds, text, starts[first], ends[first])
         sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
         pool = np.frombuffer(b"".join(packed), dtype="<u4")
         from_pool = np.cumsum(sizes) - sizes
@@ -100,17 +109,25 @@ class PieceEncoder:
         ids = pool[np.arange(filled[-1]) - np.repeat(filled[:-1] - from_pool[which], own)]
         return ids, filled[np.searchsorted(starts, offsets)]
 
-    def _look_up(self, kinds: np.ndarray, first: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        found = list(map(self.known.get, kinds.tolist()))
-        fresh = [k for k, ids in enumerate(found) if ids is None]
+    def _look_up(self, kinds: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        if len(self.known) > KNOWN_PIECES:
+            self.known, self.known_before = {}, self.known
+        names = kinds.tolist()
+        found = list(map(self.known.get, names))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        fresh = []
+        for k in missing:
+            ids = self.known_before.get(names[k])
+            if ids is None:
+                fresh.append(k)
+            else:
+                found[k] = self.known[names[k]] = ids
         if fresh:
-            pieces = [codes[starts[first[k]] : ends[first[k]]].tobytes().decode("utf-32-le") for k in fresh]
-            if len(self.known) > KNOWN_PIECES:
-                self.known.clear()
+            pieces = [text[at:to] for at, to in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
             for k, piece, ids in zip(fresh, pieces, self.encode_pieces(pieces), strict=True):
                 found[k] = ids
                 if len(piece) <= KNOWN_CHARS:
-                    self.known[int(kinds[k])] = ids
+                    self.known[names[k]] = ids
         return found
 
     def _one_by_one(self, raw: bytes, byte_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import words as W
-from tallyspark.llm.bpe import per_worker, vocabulary_path
+from tallyspark.llm.bpe import byte_letters, per_worker, vocabulary_path
 from tallyspark.llm.pieces import SLICE_BYTES, PieceEncoder
 from tallyspark.llm.shared import shared_folder
 
@@ -124,6 +125,8 @@ def _put(folder: str, name: str, data: bytes) -> None:
 def _tokenizer(path: str) -> tuple[PieceEncoder, int]:
     """An encoder of batches that gives each distinct pre-token to the tokenizers library once, and the vocabulary's size."""
     from tokenizers import Tokenizer
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
@@ -132,11 +135,25 @@ def _tokenizer(path: str) -> tuple[PieceEncoder, int]:
         library.no_truncation()
         library.no_padding()
 
-        def packed(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        model, cut = library.model, library.pre_tokenizer
+        plain = library.normalizer is None and isinstance(model, BPE) and isinstance(cut, ByteLevel) and not cut.add_prefix_space
+        letters = {b: letter for letter, b in byte_letters().items()}
+
+        def pieces(texts: list[str]) -> list[bytes]:
+            """Ids of pre-tokens; where nothing but the letters of bytes stands before the library's model, by the model itself."""
+            if not plain:
+                return [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+            spelled = [text.encode().decode("latin-1").translate(letters) for text in texts]
+            found = [[token.id for token in model.tokenize(text)] for text in spelled]
+            raw = np.fromiter(chain.from_iterable(found), dtype="<u4").tobytes()
+            edges = list(accumulate((4 * len(ids) for ids in found), initial=0))
+            return [raw[at:to] for at, to in zip(edges, edges[1:], strict=False)]
+
+        def whole(text: str) -> bytes:
+            return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
         added = [token.content for token in library.get_added_tokens_decoder().values()]
-        return PieceEncoder(packed, lambda text: packed([text])[0], added), library.get_vocab_size(with_added_tokens=True)
+        return PieceEncoder(pieces, whole, added), library.get_vocab_size(with_added_tokens=True)
 
     return per_worker(("tokenizers", path), make)
 

@@ -60,21 +60,33 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends
 
 
+def _powers(step: int, count: int) -> np.ndarray:
+    """step ** 0 to step ** (count - 1), modulo 2**64."""
+    out = np.full(count, step, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+UP, DOWN = _powers(int(STEP), CHUNK_BYTES + 1), _powers(pow(int(STEP), -1, 1 << 64), CHUNK_BYTES + 1)
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each span of bytes or code points; spans are handled in chunks of some megabytes, so memory stays small."""
+    """Hash of each span of bytes or code points, in ascending order without overlap.
+
+    A span's polynomial is the difference of two running sums, divided by the power of its place.  Sums begin anew every
+    ``CHUNK_BYTES``, so memory stays small; a longer span has a sum of its own.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     lengths = ends - starts
-    if not len(starts):
-        return out
-    powers = np.cumprod(np.full(int(lengths.max()), STEP, dtype=np.uint64))
-    filled = np.concatenate(([0], np.cumsum(lengths)))
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(filled, filled[at] + CHUNK_BYTES, side="right")) - 1)
-        first, size = filled[at:to] - filled[at], lengths[at:to]
-        within = np.arange(filled[to] - filled[at]) - np.repeat(first, size)
-        values = (data[np.repeat(starts[at:to], size) + within].astype(np.uint64) + np.uint64(1)) * powers[within]
-        out[at:to] = np.add.reduceat(values, first)
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
+        size = int(ends[to - 1]) - base
+        up = UP if size < len(UP) else _powers(int(STEP), size + 1)
+        sums = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum((data[base : base + size].astype(np.uint64) + np.uint64(1)) * up[1 : size + 1], out=sums[1:])
+        out[at:to] = (sums[ends[at:to] - base] - sums[starts[at:to] - base]) * (DOWN[starts[at:to] - base] if to > at + 1 else np.uint64(1))
         at = to
     return mix(out + lengths.astype(np.uint64) * WEIGHTS[0])
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallyspark.llm import bpe, token_store
+from tallyspark.llm import bpe, pieces, token_store, words
 from tallyspark.llm.shared import shared_folder
 
 LIBRARY = Tokenizer.from_file(bpe.vocabulary_path())
@@ -124,3 +124,39 @@ def test_empty_store(make, spark):
     manifest = token_store.write_shards(empty, folder)
     assert token_store.read_shards(spark, folder, manifest).count() == 0
     assert bpe.digests(empty).count() == 0
+
+
+def test_common_pieces_are_encoded_once_though_more_pieces_come_than_are_kept(monkeypatch):
+    asked = []
+
+    def encode(texts):
+        asked.extend(texts)
+        return [np.array([len(t)], dtype="<u4").tobytes() for t in texts]
+
+    monkeypatch.setattr(pieces, "KNOWN_PIECES", 20)
+    encoder = pieces.PieceEncoder(encode, lambda text: b"", [])
+    for k in range(30):
+        ids, offsets = encoder.encode_batch(pa.array(["the" + "".join(f" {chr(97 + j)}{'x' * k}" for j in range(10)), None]))
+        assert ids.tolist() == [3] + [k + 2] * 10 and offsets.tolist() == [0, 11, 11]
+    assert asked.count("the") == 1 and len(encoder.known) + len(encoder.known_before) <= 64
+
+
+def test_token_store_pieces_have_the_ids_of_the_library():
+    texts = ["", " ", "it's  a\tdog's 12 día   x\n\n y", "<|endoftext|>a <|endoftext|>", "漢字 👩‍👩‍👧 'll 're'veil", "a" * 300, None, "\x00\x7f \x85z"]
+    encoder, _ = token_store._tokenizer(bpe.vocabulary_path())
+    for some in (texts, [t for t in texts if t is None or "<|" not in t]):
+        ids, offsets = encoder.encode_batch(pa.array(some))
+        want = [want_ids(t) for t in some]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want
+
+
+def test_hashes_of_spans_depend_on_the_span_alone():
+    data = np.random.default_rng(5).integers(0, 256, 3 * words.CHUNK_BYTES, dtype=np.uint8)
+    starts = np.array([0, 7, 20, words.CHUNK_BYTES + 30, 2 * words.CHUNK_BYTES + 40])
+    ends = np.array([7, 11, words.CHUNK_BYTES + 25, 2 * words.CHUNK_BYTES + 30, 2 * words.CHUNK_BYTES + 45])
+    alone = [int(words.hash_spans(data[a:b].copy(), np.array([0]), np.array([b - a]))[0]) for a, b in zip(starts, ends, strict=True)]
+    assert words.hash_spans(data, starts, ends).tolist() == alone
+    mask, value = (1 << 64) - 1, 0
+    for k, byte in enumerate(data[7:11].tolist()):
+        value += (byte + 1) * pow(int(words.STEP), k + 1, 1 << 64)
+    assert alone[1] == int(words.mix(np.array([(value + 4 * int(words.WEIGHTS[0])) & mask], dtype=np.uint64))[0])
