@@ -3,7 +3,8 @@
 A document's shingles are hashed into ``GROUPS`` groups; the counts per group are a point.  The overlap of two documents is
 at most the sum, over the groups, of the smaller count, and for boxes of points at most the sum of the smaller upper edges.
 R-trees over the points are joined under that bound.  A surviving pair is also held against the parities of its counts in
-``FINE_GROUPS`` finer groups: sets differ in at least as many shingles as parities.  What is left is verified on the whole
+finer groups: sets differ in at least as many shingles as parities.  There are at least as many groups as shingles, up to
+``MOST_FINE``, as the parities of fewer groups cannot tell long documents apart.  What is left is verified on the whole
 shingle sets.
 
 Points of unrelated documents lie too close together for one tree over all of them to prune, so the trees stand over
@@ -30,7 +31,8 @@ from tallyspark.llm.components import connected_components
 from tallyspark.llm.shared import free_shuffles, heaviest, shared_table
 
 GROUPS = 128
-FINE_GROUPS = 2048
+FINE_GROUPS = 2048  # at least; a power of two
+MOST_FINE = 1 << 16
 FULL = 255  # a count from which on a coordinate bounds nothing
 PERCENT = 75
 COMMON_SHINGLES = 1 << 18  # bound of the broadcast list of common shingles
@@ -59,6 +61,11 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def fine_groups(sizes: np.ndarray) -> np.ndarray:
+    """How many finer groups sets of these sizes have: the next power of two, within ``FINE_GROUPS`` and ``MOST_FINE``."""
+    return 1 << np.ceil(np.log2(np.clip(sizes, FINE_GROUPS, MOST_FINE))).astype(np.int64)
+
+
 def _profile_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A row per document, and a row per shingle that several documents of the batch have."""
     gathered = []
@@ -70,13 +77,15 @@ def _profile_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = np.repeat(np.arange(len(sets)), sizes)
         counts = np.bincount(own * GROUPS + (every >> np.uint64(57)).astype(np.int64), minlength=len(sets) * GROUPS)
         vectors = np.minimum(counts, FULL).astype(np.uint8).tobytes()
-        parity = np.bincount(own * FINE_GROUPS + (every % np.uint64(FINE_GROUPS)).astype(np.int64), minlength=len(sets) * FINE_GROUPS) % 2
-        parity = np.packbits(parity.astype(np.uint8)).tobytes()
-        width = FINE_GROUPS // 8
+        widths = fine_groups(sizes)
+        edges = np.concatenate(([0], np.cumsum(widths)))
+        within = (every & (widths[own] - 1).astype(np.uint64)).astype(np.int64)
+        parity = np.packbits((np.bincount(edges[own] + within, minlength=int(edges[-1])) & 1).astype(np.uint8)).tobytes()
+        edges = (edges // 8).tolist()
         prints = [_sums(W.mix(every ^ np.uint64(seed)), sizes) for seed in (0x1234567, 0x89ABCDE)]
         yield pa.RecordBatch.from_arrays(
             [piece.column(0), pa.array(sizes), *map(pa.array, prints), pa.array([vectors[k : k + GROUPS] for k in range(0, len(vectors), GROUPS)], pa.binary()),
-             pa.array([parity[k : k + width] for k in range(0, len(parity), width)], pa.binary()),
+             pa.array([parity[at:to] for at, to in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
              pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], schema=_PROFILE)
     shingles, seen = np.unique(np.concatenate(gathered), return_counts=True)
     common = seen >= COMMON_IN_BATCH
@@ -217,12 +226,43 @@ def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield keys, nodes, False
 
 
+class Parities:
+    """The parities of documents, each in its own number of groups and folded to half of it.
+
+    Two documents whose sizes allow a link are at most one power of two apart, so they are compared in the smaller number.
+    """
+
+    def __init__(self, packed: list[bytes]):
+        self.widths = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed))
+        self.place: dict[int, np.ndarray] = {}
+        self.rows: dict[int, np.ndarray] = {}
+        for width in np.unique(self.widths).tolist():
+            for target in (width, width // 2):
+                if target not in self.rows:
+                    own, twice = np.flatnonzero(self.widths == target), np.flatnonzero(self.widths == 2 * target)
+                    rows = [np.frombuffer(b"".join([packed[k] for k in some.tolist()]), dtype=np.uint64) for some in (own, twice)]
+                    halves = rows[1].reshape(len(twice), 2, target // 8)
+                    self.rows[target] = np.concatenate((rows[0].reshape(len(own), target // 8), halves[:, 0] ^ halves[:, 1]))
+                    self.place[target] = np.zeros(len(packed), dtype=np.int64)
+                    self.place[target][np.concatenate((own, twice))] = np.arange(len(own) + len(twice))
+
+    def differ(self, own: np.ndarray, other: Parities, others: np.ndarray) -> np.ndarray:
+        """In how many groups each document of ``own`` differs from the one of ``others``; 0 if the widths are too far apart."""
+        out = np.zeros(len(own), dtype=np.int64)
+        first, second = self.widths[own], other.widths[others]
+        least = np.minimum(first, second)
+        for width in np.unique(least).tolist():
+            some = np.flatnonzero((least == width) & (np.maximum(first, second) <= 2 * width))
+            a, b = self.rows[width][self.place[width][own[some]]], other.rows[width][other.place[width][others[some]]]
+            out[some] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return out
+
+
 class CountTree:
     """R-tree over count vectors: a node has the upper edges of its points' box and the range of their sizes."""
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, parities: np.ndarray | None = None):
-        self.vectors, self.sizes = vectors, sizes
-        self.parities = np.zeros((len(sizes), 1), dtype=np.uint64) if parities is None else parities
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, parities: Parities | None = None):
+        self.vectors, self.sizes, self.parities = vectors, sizes, parities
         spread = vectors.astype(np.int32).var(axis=0) if len(sizes) > LEAF else np.zeros(1)
         axes = np.argsort(-spread)[:4]
         self.order = np.lexsort((*vectors[:, axes].T, sizes)) if len(sizes) > LEAF else np.arange(len(sizes))
@@ -254,11 +294,12 @@ def tree_join(first: CountTree, second: CountTree) -> Iterator[tuple[np.ndarray,
             p, q = first.leaves[i], second.leaves[j]
             a, b = np.nonzero(_surviving(first.vectors[p], first.sizes[p], first.sizes[p], second.vectors[q], second.sizes[q], second.sizes[q]))
             a, b = p[a], q[b]
-            if len(a):
-                differ = np.bitwise_count(first.parities[a] ^ second.parities[b]).sum(axis=1, dtype=np.int64)
+            if len(a) and first.parities is not None:
                 n, m = first.sizes[a], second.sizes[b]
-                close = differ <= n + m - 2 * least_overlap(n, m)
-                yield a[close], b[close]
+                close = first.parities.differ(a, second.parities, b) <= n + m - 2 * least_overlap(n, m)
+                a, b = a[close], b[close]
+            if len(a):
+                yield a, b
             continue
         x, y = first.levels[min(level - 1, len(first.levels) - 1)], second.levels[min(level - 1, len(second.levels) - 1)]
         a, b = np.nonzero(_surviving(*(v[rows] for v in x), *(v[cols] for v in y)))
@@ -342,12 +383,14 @@ def _pairs_of(block: pa.Table, between: bool) -> Iterator[tuple[np.ndarray, np.n
     left, right = np.flatnonzero(piece == p), np.flatnonzero(piece == q)
     if not len(left) or not len(right):
         return
-    parities = np.frombuffer(b"".join(block.column(9).to_pylist()), dtype=np.uint64).reshape(len(n), FINE_GROUPS // 64)
-    first = CountTree(vectors[left], n[left], parities[left])
-    second = first if p == q else CountTree(vectors[right], n[right], parities[right])
+    packed = block.column(9).to_pylist()
+    first = CountTree(vectors[left], n[left], Parities([packed[k] for k in left.tolist()]))
+    second = first if p == q else CountTree(vectors[right], n[right], Parities([packed[k] for k in right.tolist()]))
     best = np.full(len(n), -1, dtype=np.int64)
     slack = np.full(len(n), -1, dtype=np.int64)
     for i, j in tree_join(first, second):
+        if not between:
+            differ = first.parities.differ(i, second.parities, j)
         i, j = left[i], right[j]
         if between:
             i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
@@ -355,8 +398,8 @@ def _pairs_of(block: pa.Table, between: bool) -> Iterator[tuple[np.ndarray, np.n
             if apart.any():
                 yield node[i[apart]], node[j[apart]]
             continue
-        i, j = i[node[i] < node[j]], j[node[i] < node[j]]
-        differ = np.bitwise_count(parities[i] ^ parities[j]).sum(axis=1, dtype=np.int64)
+        rising = node[i] < node[j]
+        i, j, differ = i[rising], j[rising], differ[rising]
         room = 1000 - 1000 * differ // (n[i] + n[j])
         for x, y, r in zip(i.tolist(), j.tolist(), room.tolist(), strict=True):
             if r > slack[y]:

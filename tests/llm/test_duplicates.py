@@ -5,9 +5,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallyspark.llm import components, decontaminate, ngram_join
+from tallyspark.llm import components, decontaminate, ngram_join, words
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -115,6 +116,33 @@ def test_empty_tables(make, spark):
     assert decontaminate.contaminated(make([(1, "a text")]), questions.where("item_id < 0")).count() == 0
 
 
+def test_long_unrelated_documents_are_no_candidates_of_each_other(make):
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (4000, 5000, 6000, 6000, 7000, 8200)]
+    texts.append(texts[0] + " " + " ".join(f"z{k}" for k in range(300)))  # 3,996 and 4,296 shingles: 4,096 and 8,192 groups
+    nodes = make(list(enumerate(texts))).selectExpr("doc_id AS node", "text")
+    rows = ngram_join.profile(nodes).where("shingle IS NULL").select("node", "n", "vector", "parity")
+    block = rows.selectExpr("1L AS s1", "1L AS s2", "*", "node AS component", "2L AS pieces")
+    assert [tuple(r) for r in ngram_join.candidate_pairs(block, between=True).collect()] == [(0, 6)]
+    assert [tuple(r) for r in ngram_join.candidate_pairs(block.drop("pieces").selectExpr("*", "1L AS pieces"), between=False).collect()] == [(0, 6)]
+
+
+def test_parities_differ_as_in_the_smaller_number_of_groups(make):
+    rng = np.random.default_rng(12)
+    sizes = [1, 1800, 2048, 2049, 2600, 4096, 5000, 60000, 70000, 90000]
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 10**6, size + 4)) for size in sizes]
+    rows = ngram_join.profile(make(list(enumerate(texts))).selectExpr("doc_id AS node", "text")).where("shingle IS NULL").orderBy("node").collect()
+    sets = list(words.shingle_sets(pa.array(texts)))
+    assert [8 * len(r.parity) for r in rows] == ngram_join.fine_groups(np.array([len(x) for x in sets])).tolist()
+    parities = ngram_join.Parities([bytes(r.parity) for r in rows])
+    for i, one in enumerate(sets):
+        for j, two in enumerate(sets):
+            least, most = sorted((8 * len(rows[i].parity), 8 * len(rows[j].parity)))
+            counts = np.bincount((np.setxor1d(one, two) % np.uint64(least)).astype(np.int64), minlength=least)
+            want = int((counts % 2).sum()) if most <= 2 * least else 0
+            assert parities.differ(np.array([i]), parities, np.array([j])).tolist() == [want]
+
+
 def test_tree_join_gives_every_pair_that_the_bound_allows():
     rng = np.random.default_rng(5)
     for count in (1, 2, 31, 33, 700):
