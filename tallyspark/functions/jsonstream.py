@@ -3,11 +3,17 @@
 Depth is a running sum of brackets.  Within one level of a document, the tokens from an opening bracket to its closing one are
 neighbours, whatever is nested deeper, so a token's container, its key and whether it may stand where it stands follow from the
 rows before and after it.  A subtree is an interval of positions; dropping subtrees is a running sum of interval edges.
-Equal documents are worked on once.
+
+Documents are judged as rows of tokens, equal ones once (``token_stream``).  They are pruned whole (``pruned``), by the same rules on
+arrays of token kinds, a batch of documents at a time: only their texts are shuffled, to even out the tasks, and nothing is written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +25,11 @@ NUMBER = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
 NOT_FINITE = r"^(?:NaN|-?Infinity)$"
 TASK_CHARS = 4_000_000
 VALUES = ("value", "string", "scalar")
+# Kinds of tokens: a class, and what a single token tells.
+BRACKETS = {"{": 0, "[": 1, "}": 2, "]": 3}
+COMMA, COLON, TEXT, SCALAR = 4, 5, 6, 7
+WELL_FORMED, MARKED = 8, 16
+SLICE_TOKENS = 1 << 18  # of the documents that are pruned at a time
 
 
 def document_key(text: Column) -> Column:
@@ -36,9 +47,12 @@ def dealt(texts: DataFrame) -> DataFrame:
 
     A partition holds about ``TASK_CHARS`` characters, so that its tokens are sorted in memory.
     """
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
-    return texts.repartition(parts, "doc").dropDuplicates(["doc"])
+    return texts.repartition(_tasks(texts, "text"), "doc").dropDuplicates(["doc"])
+
+
+def _tasks(df: DataFrame, column: str) -> int:
+    chars = df.agg(F.sum(F.length(F.col(column)))).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
 
 
 def token_stream(df: DataFrame, column: str) -> DataFrame:
@@ -109,6 +123,154 @@ def json_values(stream: DataFrame) -> DataFrame:
     return values.join(keys, ["doc", "home"], "left")
 
 
+def token_kinds(text: Column, marked_key: Callable[[Column], Column], marked_scalar: Callable[[Column], Column] | None = None) -> Column:
+    """Kind of each token: its class, ``WELL_FORMED`` and ``MARKED``, the latter for keys and scalars that the given conditions name."""
+    def flag(condition: Column, bit: int) -> Column:
+        return F.when(condition, bit).otherwise(0)
+
+    def kind(token: Column) -> Column:
+        known = F.when(token == ",", COMMA).when(token == ":", COLON)
+        for bracket, number in BRACKETS.items():
+            known = known.when(token == bracket, number)
+        plain = F.lit(SCALAR) + flag(token.isin("true", "false", "null") | token.rlike(NUMBER) | token.rlike(NOT_FINITE), WELL_FORMED)
+        if marked_scalar is not None:
+            plain = plain + flag(marked_scalar(token), MARKED)
+        quoted = F.lit(TEXT) + flag(token.rlike(STRING), WELL_FORMED) + flag(marked_key(plain_string(token)), MARKED)
+        return known.when(token.startswith('"'), quoted).otherwise(plain).cast("tinyint")
+
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), kind)
+
+
+def _covered(size: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The positions that an interval covers, both ends with it."""
+    edges = np.bincount(start, minlength=size + 1) - np.bincount(stop + 1, minlength=size + 1)
+    return np.cumsum(edges)[:size] > 0
+
+
+def kept_pieces(kinds: np.ndarray, ends: np.ndarray, numbers_only: bool = False, max_items: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens of documents stay: 0 not, else 1, and 2 more with a comma before and 4 more with a colon after; and which documents are valid.
+
+    ``ends`` are the documents' ends among the tokens.  Members with a marked key go.  With ``numbers_only`` go all values but marked
+    scalars, items of lists from ``max_items`` on, and containers in which no marked scalar is left.  The rules are those of ``token_stream``:
+    a token stands in two rows if it opens a container, and rows are ordered by document, level and place.
+    """
+    size, docs = len(kinds), len(ends)
+    counts = np.diff(ends, prepend=0)
+    doc = np.repeat(np.arange(docs), counts)
+    kind, good, marked = kinds & 7, (kinds & WELL_FORMED) > 0, (kinds & MARKED) > 0
+    opens, closes = kind < 2, (kind == 2) | (kind == 3)
+    depth = np.cumsum(opens.astype(np.int64) - closes)
+    depth -= np.concatenate([[0], depth])[ends - counts][doc]
+    pos = np.repeat(np.arange(size), 1 + opens)
+    opening = np.zeros(len(pos), dtype=bool)
+    opening[1:] = pos[1:] == pos[:-1]
+    level = depth[pos] + closes[pos] - (opens[pos] & ~opening)
+    least = level.min(initial=0)
+    order = np.argsort(doc[pos] * (level.max(initial=0) - least + 1) + (level - least), kind="stable")
+    pos, opening, level = pos[order], opening[order], level[order]
+    at, k, d = np.arange(len(pos)), kind[pos], doc[pos]
+    opened, closed, comma, colon = opening, closes[pos], k == COMMA, k == COLON
+    value = ~(opened | closed | comma | colon)
+
+    def near(by: int) -> np.ndarray:
+        """The row so far behind in the same level of the same document, else one that is nothing."""
+        other = at + by
+        inside = (other >= 0) & (other < len(at))
+        other[~inside] = 0
+        inside &= (d[other] == d) & (level[other] == level)
+        return np.where(inside, other, len(at))
+
+    def seen(rows: np.ndarray, there: np.ndarray) -> np.ndarray:
+        return np.append(rows, False)[there]
+
+    before, before2, after = near(-1), near(-2), near(1)
+    first = np.maximum.accumulate(np.where(before == len(at), at, 0))
+    home = np.maximum.accumulate(np.where(opened, at, -1))
+    housed = home >= first
+    in_object, in_list = housed & (k[home] == 0), housed & (k[home] == 1)
+    last = np.minimum.accumulate(np.where(after == len(at), at, len(at))[::-1])[::-1]
+    close = np.minimum.accumulate(np.where(closed, at, len(at))[::-1])[::-1]
+    starts = seen(opened, before) | seen(comma, before)
+    named = in_object & (k == TEXT) & starts
+    placed = np.where(in_object, seen(colon, before), np.where(in_list, starts, (before == len(at)) & (after == len(at))))
+    ok = np.select(
+        [named, opened, closed, comma, colon],
+        [good[pos] & seen(colon, after), close <= last, (seen(opened, before) | seen(value, before)) & ((in_object & (k == 2)) | (in_list & (k == 3))),
+         housed & seen(value, before) & (after < len(at)) & ~seen(closed, after), in_object & seen(value & (k == TEXT), before) & (seen(opened, before2) | seen(comma, before2))],
+        placed & (good[pos] | (k < 2)))
+    valid = (counts > 0) & (np.bincount(d[~ok | (level < 0)], minlength=docs) == 0)
+    valid &= np.bincount(doc[opens], minlength=docs) == np.bincount(doc[closes], minlength=docs)
+
+    # From here on only rows of valid documents count.
+    value &= ~named & valid[d]
+    stop = np.arange(size)
+    ended = opened & valid[d]
+    stop[pos[ended]] = pos[close[ended]]
+    member = value & in_object
+    start = pos.copy()
+    start[member] = pos[before2[member]]
+    unwanted = member & marked[start]
+    if numbers_only:
+        unwanted |= value & (k >= TEXT) & ~((k == SCALAR) & marked[pos])
+        if max_items is not None:
+            commas = np.cumsum(comma)
+            unwanted |= value & in_list & (commas - commas[home] >= max_items)
+    gone = _covered(size, start[unwanted], stop[pos[unwanted]])
+    if numbers_only:
+        held = np.cumsum((kind == SCALAR) & marked & ~gone)
+        box = value & (k < 2)
+        unwanted |= box & (held[stop[pos]] == held[pos])
+        gone = _covered(size, start[unwanted], stop[pos[unwanted]])
+
+    stays = valid[doc] & (kind != COMMA) & (kind != COLON) & ~gone
+    pieces = stays.astype(np.int8)
+    leads = (named | (value & in_list)) & stays[pos]
+    lead, house = pos[leads], home[leads]
+    later = np.zeros(len(lead), dtype=bool)
+    later[1:] = house[1:] == house[:-1]
+    pieces[lead[later]] += 2
+    pieces[pos[named & stays[pos]]] += 4
+    return pieces, valid
+
+
+def pruned(df: DataFrame, column: str, marked_key: Callable[[Column], Column], marked_scalar: Callable[[Column], Column] | None = None,
+           max_items: int | None = None) -> DataFrame:
+    """``df`` with the document in ``column`` freed of members that ``marked_key`` names; NULL for invalid JSON and where nothing is left.
+
+    With ``marked_scalar`` only the scalars that it names are left, of lists the first ``max_items`` items, and no empty containers.
+    Scalars come as they were written, with one blank after commas and colons.  Rows are dealt evenly first, so that the number of tasks
+    follows the length of the texts, not the files that they were read from.
+    """
+    text = F.col(column)
+    only = marked_scalar is not None
+
+    def slices(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Runs of documents of about ``SLICE_TOKENS`` tokens."""
+        turns = np.flatnonzero(np.diff((np.cumsum(counts) - counts) // SLICE_TOKENS)) + 1
+        yield from zip([0, *turns], [*turns, len(counts)], strict=True)
+
+    @F.arrow_udf("array<tinyint>")
+    def pieces(kinds: pa.Array) -> pa.Array:
+        counts = kinds.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, ends = kinds.flatten().to_numpy(zero_copy_only=False), np.cumsum(counts)
+        parts, left = [], []
+        for a, b in slices(counts):
+            low = ends[a] - counts[a] if len(counts) else 0
+            part, valid = kept_pieces(flat[low : low + counts[a:b].sum()], ends[a:b] - low, only, max_items)
+            kept = np.concatenate([[0], np.cumsum(part > 0)])
+            parts.append(part)
+            left.append(valid & (kept[ends[a:b] - low] > kept[ends[a:b] - low - counts[a:b]]))
+        values, left = np.concatenate(parts), np.concatenate(left)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values, pa.int8()), mask=pa.array(~left))
+
+    def piece(token: Column, how: Column) -> Column:
+        return F.when(how > 0, F.concat(F.when(how.bitwiseAND(2) > 0, ", ").otherwise(""), token, F.when(how.bitwiseAND(4) > 0, ": ").otherwise("")))
+
+    found = pieces(token_kinds(text, marked_key, marked_scalar))
+    left = F.array_join(F.zip_with(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), found, piece), "")
+    return df.repartition(_tasks(df, column)).withColumn(column, left)
+
+
 def uncovered(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """The rows of (doc, pos, …) that no interval (doc, start, stop) covers."""
     marks = spans.select("doc", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(0).alias("_turn"), F.lit(1).alias("_edge")),

@@ -8,6 +8,7 @@ from tallyspark.functions import jsonstream, ordered
 from tallyspark.operators import catalog as K
 from tallyspark.operators import compare as C
 from tallyspark.operators import retrieval as R
+from tallyspark.operators import scans as N
 from tallyspark.operators import selection as S
 from tallyspark.plans import registry
 
@@ -64,6 +65,17 @@ def test_documents_are_dealt_before_they_are_cut_to_tokens(spark):
     assert stream.where("role = 'open'").count() == 3
 
 
+def test_json_is_pruned_without_rows_of_tokens(spark, monkeypatch):
+    monkeypatch.setattr(jsonstream, "SLICE_TOKENS", 8)  # documents go over several slices of a batch
+    texts = ['{"a": [1, {"b": "x"}, []], "c d": 2, "e": {"f": {}}}', None, "[1,", "[" * 2000 + "1" + "]" * 2000, '"x"', '{"records": [1], "k": {"x_path": "/a"}}'] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    numbers = N.numeric_fields(df, "t")
+    assert plan_of(numbers).count("Exchange") == 1 and "Window" not in plan_of(numbers)
+    want = ['{"a": [1]}', None, None, texts[3], None, '{"records": [1]}'] * 3
+    assert [r["t"] for r in numbers.orderBy("n").collect()] == want
+    assert numbers.where("n < 0").collect() == []
+
+
 def test_cells_are_shuffled_once(spark):
     rows = [(i, c, k, n, None if n else "x", float(k + (c == 2) * 5) + 0.004 * (c == 1) if n else None)
             for i in range(6) for c in range(4) for k in range(5) for n in range(2) if not (c == 3 and k == 2)]
