@@ -271,33 +271,6 @@ def pruned(df: DataFrame, column: str, marked_key: Callable[[Column], Column], m
     return df.repartition(_tasks(df, column)).withColumn(column, left)
 
 
-def uncovered(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows of (doc, pos, …) that no interval (doc, start, stop) covers."""
-    marks = spans.select("doc", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(0).alias("_turn"), F.lit(1).alias("_edge")),
-                                                  F.struct(F.col("stop").alias("pos"), F.lit(2).alias("_turn"), F.lit(-1).alias("_edge")))).alias("m")).select("doc", "m.*")
-    both = rows.withColumn("_turn", F.lit(1)).withColumn("_edge", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-    within = F.sum("_edge").over(Window.partitionBy("doc").orderBy("pos", "_turn").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("_within", within).where("_turn = 1 AND _within = 0").drop("_turn", "_edge", "_within")
-
-
-def written(stream: DataFrame, dropped: DataFrame) -> DataFrame:
-    """doc, json: the documents without the dropped intervals; scalars as they were written, one blank after commas and colons."""
-    kept = uncovered(stream.where(F.col("role").isin(*VALUES, "name", "close")), dropped)
-    leads = (F.col("role") == "name") | (F.col("role").isin(*VALUES) & F.col("shape").eqNullSafe("["))
-    place = F.row_number().over(Window.partitionBy("doc", "home", leads).orderBy("pos"))
-    text = F.concat(F.when(leads & (place > 1), ", ").otherwise(""), "token", F.when(F.col("role") == "name", ": ").otherwise(""))
-    pieces = kept.select("doc", "pos", text.alias("piece"))
-    joined = pieces.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "piece")))["piece"], "").alias("json"))
-    return joined.join(valid_documents(stream), "doc", "left_semi")
-
-
-def with_result(df: DataFrame, column: str, results: DataFrame) -> DataFrame:
-    """``df`` with the document in ``column`` replaced by its result, null where there is none."""
-    found = results.select(F.col("doc").alias("_doc"), F.col("json").alias("_json"))
-    joined = df.withColumn("_doc", document_key(F.col(column))).join(found, "_doc", "left")
-    return joined.select(*[F.col("_json").alias(c) if c == column else F.col(c) for c in df.columns])
-
-
 def held_stream(df: DataFrame, column: str) -> DataFrame:
     """The token stream, written once because judging and pruning read it several times."""
     return written_table(token_stream(df, column), "tokens")

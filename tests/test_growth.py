@@ -76,6 +76,13 @@ def test_json_is_pruned_without_rows_of_tokens(spark, monkeypatch):
     assert numbers.where("n < 0").collect() == []
 
 
+def test_records_go_without_rows_of_tokens(spark):
+    df = spark.createDataFrame([(0, '{"x": {"records": [1], "k": [{"Path": 1}, "s"]}, "per_sample": 1}'), (1, '{"a" 1}'), (2, None)], "n int, t string")
+    stripped = N.strip_records(df, "t")
+    assert plan_of(stripped).count("Exchange") == 1 and "Window" not in plan_of(stripped)
+    assert [r["t"] for r in stripped.orderBy("n").collect()] == ['{"x": {"k": [{}, "s"]}}', None, None]
+
+
 def test_cells_are_shuffled_once(spark):
     rows = [(i, c, k, n, None if n else "x", float(k + (c == 2) * 5) + 0.004 * (c == 1) if n else None)
             for i in range(6) for c in range(4) for k in range(5) for n in range(2) if not (c == 3 and k == 2)]
