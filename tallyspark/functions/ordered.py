@@ -7,6 +7,7 @@ window is planned.  Otherwise the large keys are cut into ordered pieces at
 edges taken from their own order values, the window runs per (key, piece), and
 a small table of per-piece totals carries the state across pieces.  Edges only
 decide where the cut lies, never which rows are used, so results are exact.
+Numbers over all rows need no edges: Spark's range partitions are the pieces.
 """
 
 from __future__ import annotations
@@ -16,9 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.session import written
+
 HOT_ROWS = 2_000_000
 MAX_PIECES = 1000  # the planner cuts a ranking before its shuffle up to this many rows
 EDGE_ROWS = 8  # rows looked at for each edge
+ROW_BITS = 33  # of monotonically_increasing_id, the row in its partition
 PERCENTILE_ROWS = 200_000  # up to here a key's values fit one aggregation buffer
 
 
@@ -93,10 +97,15 @@ def numbered(
 
     ``counted`` has the keys too, and for each at least as many rows; give it where it is cheaper to count than ``df``.
     """
+    limit = HOT_ROWS if hot_rows is None else hot_rows
     named, keys_ = _named(df, keys)
-    if not has_hot_key(named if counted is None else _named(counted, keys)[0], keys_, hot_rows):
+    in_ranges = not keys and _can_be_written(df)
+    rows = (df if counted is None else counted).count() if in_ranges else 0
+    if not (rows > limit if in_ranges else has_hot_key(named if counted is None else _named(counted, keys)[0], keys_, hot_rows)):
         inside = Window.partitionBy(*keys_).orderBy(*order)
         return named.withColumn(out, F.row_number().over(inside).cast("bigint") + (start - 1)).select(*df.columns, out)
+    if in_ranges:
+        return _numbered_ranges(df, order, out, start, -(-rows // limit))
     cut = cut_hot_keys(named, keys_, order, hot_rows)
     before = (
         cut.where("_ord_hot")
@@ -114,6 +123,33 @@ def numbered(
     )
 
 
+def _can_be_written(df: DataFrame) -> bool:
+    """Parquet has no columns without a type, none of calendar intervals, and no two names that differ by case only."""
+    names = {c.lower() for c in df.columns}
+    return len(names) == len(df.columns) and not any(t in f.dataType.simpleString() for f in df.schema for t in ("void", "interval", "variant"))
+
+
+def _numbered_ranges(df: DataFrame, order: Sequence[Column], out: str, start: int, least: int) -> DataFrame:
+    """Position of each row among all: its place in its range partition, of ``least`` or more, and the rows of the partitions before.
+
+    The sorted rows are written once, as another run could draw other ranges; counts and numbers are read from the same rows.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least)
+    position = [c.alias(f"_ord_o{i}") for i, c in enumerate(order)]
+    by = [f"_ord_o{i}" for i in range(len(order))]
+    ranges = df.select("*", *position).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    held = written(ranges.select(*df.columns, F.monotonically_increasing_id().alias("_ord_place")), "ranges")
+    piece, row = F.shiftright("_ord_place", ROW_BITS), F.col("_ord_place").bitwiseAND((1 << ROW_BITS) - 1)
+    before = (
+        held.groupBy(piece.alias("_ord_piece"))
+        .agg(F.count(F.lit(1)).alias("_ord_c"))
+        .withColumn("_ord_before", F.coalesce(F.sum("_ord_c").over(Window.orderBy("_ord_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .drop("_ord_c")
+    )
+    placed = held.withColumn("_ord_piece", piece).join(F.broadcast(before), "_ord_piece")
+    return placed.withColumn(out, row + start + F.col("_ord_before")).select(*df.columns, out)
+
+
 def _earlier(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("_ord_piece").rowsBetween(Window.unboundedPreceding, -1)
 

@@ -8,6 +8,7 @@ from tallyspark.functions import jsonstream, ordered
 from tallyspark.operators import catalog as K
 from tallyspark.operators import compare as C
 from tallyspark.operators import retrieval as R
+from tallyspark.operators import sampling as P
 from tallyspark.operators import scans as N
 from tallyspark.operators import selection as S
 from tallyspark.plans import registry
@@ -58,6 +59,18 @@ def test_edges_of_large_keys_are_cut_before_the_shuffle(spark):
     assert got == sorted(f"dev_{n}" for n in range(5000))
 
 
+def test_rows_are_numbered_by_range_partitions(spark):
+    keys = [f"dev_{n * 7919 % 4001}" for n in range(4000)] + [None, None, "dev", "dev_007", "dev_7"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(5)
+    ranked = ordered.numbered(df, [], [P.natural_key(F.col("k"))], out="rank", start=3, hot_rows=300)
+    assert "lambdafunction" not in plan_of(ranked) and "_ord_edges" not in plan_of(ranked)
+    plain = ordered.numbered(df, [], [P.natural_key(F.col("k"))], out="rank", start=3)
+    assert plain.dtypes == ranked.dtypes
+    assert [tuple(r) for r in ranked.orderBy("rank").collect()] == [tuple(r) for r in plain.orderBy("rank").collect()]
+    untyped = df.withColumn("v", F.lit(None))
+    assert [r["row_no"] for r in ordered.numbered(untyped, [], [F.col("k")], hot_rows=300).orderBy("row_no").collect()] == list(range(4005))
+
+
 def test_documents_are_dealt_before_they_are_cut_to_tokens(spark):
     df = spark.createDataFrame([('{"a": [1, {"b": 2}]}',), ('{"a": [1, {"b": 2}]}',), (None,)], "t string")
     stream = jsonstream.token_stream(df, "t")
