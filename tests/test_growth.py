@@ -78,6 +78,27 @@ def test_documents_are_dealt_before_they_are_cut_to_tokens(spark):
     assert stream.where("role = 'open'").count() == 3
 
 
+def test_only_targets_short_of_similar_rows_search_all(spark, monkeypatch):
+    shapes = ["select _ from _", "select _ from _", "select _ from _", "select _ from _", "update _ set _", "update _ set _", "drop it", None]
+    rows = [(n, [float(n * n % 11), float(n)], f"q{n}", s) for n, s in enumerate(shapes)]
+    targets = spark.createDataFrame([*rows, (None, [1.0, 1.0], "q9", shapes[0]), rows[0], rows[4]], "query_id long, vector array<double>, question string, skeleton string")
+    pool = spark.createDataFrame(rows, "item_id long, vector array<double>, question string, skeleton string")
+    asked, search = [], R.search
+
+    def seen(index, queries, *a, **b):
+        asked.append({r[0] for r in queries.select("query_id").collect()})
+        return search(index, queries, *a, **b)
+
+    monkeypatch.setattr(R, "search", seen)
+    got = {}
+    for r in R.vector_few_shot_skeleton(targets, pool, 2).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["item_id"], r["near"], r["distance"]))
+    assert asked[1] - {None} == {5, 6, 7}  # the target that comes twice has its one similar row twice, as before
+    for n, v, _, shape in rows[1:4] + rows[5:]:
+        others = sorted((not (shape is not None and s == shape), round(((v[0] - w[0]) ** 2 + (v[1] - w[1]) ** 2) ** 0.5, 5), m) for m, w, _, s in rows if m != n)
+        assert got[n] == [(m, not far, d) for far, d, m in others[:2]]
+
+
 def test_json_is_pruned_without_rows_of_tokens(spark, monkeypatch):
     monkeypatch.setattr(jsonstream, "SLICE_TOKENS", 8)  # documents go over several slices of a batch
     texts = ['{"a": [1, {"b": "x"}, []], "c d": 2, "e": {"f": {}}}', None, "[1,", "[" * 2000 + "1" + "]" * 2000, '"x"', '{"records": [1], "k": {"x_path": "/a"}}'] * 3
