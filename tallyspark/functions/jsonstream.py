@@ -47,12 +47,16 @@ def dealt(texts: DataFrame) -> DataFrame:
 
     A partition holds about ``TASK_CHARS`` characters, so that its tokens are sorted in memory.
     """
-    return texts.repartition(_tasks(texts, "text"), "doc").dropDuplicates(["doc"])
+    return texts.repartition(_at_least(texts, _tasks(texts, "text")), "doc").dropDuplicates(["doc"])
 
 
 def _tasks(df: DataFrame, column: str) -> int:
     chars = df.agg(F.sum(F.length(F.col(column)))).first()[0] or 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+    return -(-chars // TASK_CHARS)
+
+
+def _at_least(df: DataFrame, tasks: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks)
 
 
 def token_stream(df: DataFrame, column: str) -> DataFrame:
@@ -268,7 +272,8 @@ def pruned(df: DataFrame, column: str, marked_key: Callable[[Column], Column], m
 
     found = pieces(token_kinds(text, marked_key, marked_scalar))
     left = F.array_join(F.zip_with(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), found, piece), "")
-    return df.repartition(_tasks(df, column)).withColumn(column, left)
+    tasks = _tasks(df, column)  # rows that one task can take stay where they are
+    return (df if tasks <= 1 else df.repartition(_at_least(df, tasks))).withColumn(column, left)
 
 
 def held_stream(df: DataFrame, column: str) -> DataFrame:

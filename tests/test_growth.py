@@ -100,6 +100,7 @@ def test_only_targets_short_of_similar_rows_search_all(spark, monkeypatch):
 
 
 def test_json_is_pruned_without_rows_of_tokens(spark, monkeypatch):
+    monkeypatch.setattr(jsonstream, "TASK_CHARS", 1000)
     monkeypatch.setattr(jsonstream, "SLICE_TOKENS", 8)  # documents go over several slices of a batch
     texts = ['{"a": [1, {"b": "x"}, []], "c d": 2, "e": {"f": {}}}', None, "[1,", "[" * 2000 + "1" + "]" * 2000, '"x"', '{"records": [1], "k": {"x_path": "/a"}}'] * 3
     df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
@@ -113,7 +114,7 @@ def test_json_is_pruned_without_rows_of_tokens(spark, monkeypatch):
 def test_records_go_without_rows_of_tokens(spark):
     df = spark.createDataFrame([(0, '{"x": {"records": [1], "k": [{"Path": 1}, "s"]}, "per_sample": 1}'), (1, '{"a" 1}'), (2, None)], "n int, t string")
     stripped = N.strip_records(df, "t")
-    assert plan_of(stripped).count("Exchange") == 1 and "Window" not in plan_of(stripped)
+    assert "Exchange" not in plan_of(stripped) and "Window" not in plan_of(stripped)
     assert [r["t"] for r in stripped.orderBy("n").collect()] == ['{"x": {"k": [{}, "s"]}}', None, None]
 
 
